@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, pii, quality
+from . import exact_dedup, langid, licenses, lm_scoring, mixing, near_dedup, packing, pii, quality, substrings
 from .common import table
 
 
@@ -13,6 +15,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.marked(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"), langid.remainder(F.col("doc_id"), 4) == 2)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("_copies")
 
@@ -25,12 +43,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_score(table(spark, sf_dir, "documents"), langid.remainder(F.col("doc_id"), 7) == 2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.with_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op7_license_scan, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_substring_dedup, op6_mixing, op7_license_scan, op8_pii, op9_lm_scoring, op10_quality_rules)}
 
 
 def _quoted(text: str) -> str:
