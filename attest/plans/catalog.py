@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import biometrics, evidence
+
+QUERIES = {**biometrics.QUERIES, **evidence.QUERIES}
+ORACLES = {**biometrics.ORACLES, **evidence.ORACLES}
