@@ -42,7 +42,7 @@ def page(found: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
 def facets(catalog: DataFrame, deprecated: bool = False) -> DataFrame:
     """(facet, value, name, count): documents by country code, type and format in one grouping-sets aggregate. A country is named as in the first of its documents in catalog order."""
     docs = search(catalog, deprecated=deprecated)
-    kinds = F.concat(F.transform("iso_codes", lambda c: F.struct(F.lit("country").alias("facet"), c.alias("value"))), F.array(F.struct(F.lit("type"), F.col("document_type")), F.struct(F.lit("format"), F.col("document_format"))))
+    kinds = F.concat(F.transform("iso_codes", lambda c: F.struct(F.lit("country").alias("facet"), c.alias("value"))), F.array(F.struct(F.lit("type").alias("facet"), F.col("document_type").alias("value")), F.struct(F.lit("format").alias("facet"), F.col("document_format").alias("value"))))
     rows = docs.select(F.explode(kinds).alias("f"), "country", F.struct(*sort_key()).alias("k")).where(F.length("f.value") > 0)
     return rows.groupBy("f.facet", "f.value").agg(F.min_by("country", "k").alias("name"), F.count("*").alias("count")).withColumn("name", F.when(F.col("facet") == "country", F.col("name")))
 

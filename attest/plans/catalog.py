@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, evidence
+from . import biometrics, documents, evidence
 
-QUERIES = {**biometrics.QUERIES, **evidence.QUERIES}
-ORACLES = {**biometrics.ORACLES, **evidence.ORACLES}
+QUERIES = {**biometrics.QUERIES, **evidence.QUERIES, **documents.QUERIES}
+ORACLES = {**biometrics.ORACLES, **evidence.ORACLES, **documents.ORACLES}
