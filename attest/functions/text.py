@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .let import let
+
 
 @F.pandas_udf(StringType())
 def nfkc_key(values: pd.Series) -> pd.Series:
@@ -58,8 +60,8 @@ def variants(value: Column, table: dict[str, str] | None = None) -> Column:
 
 def compatible(a: Column, b: Column) -> Column:
     """For arrays of variants: null if one is empty; else whether one of one side begins with one of the other."""
-    met = F.exists(a, lambda x: F.exists(b, lambda y: x.startswith(y) | y.startswith(x)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), met)
+    met = lambda p: F.exists(p["a"], lambda x: F.exists(p["b"], lambda y: x.startswith(y) | y.startswith(x)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), met(p)))
 
 
 def compatible_keys(a: Column, b: Column) -> Column:

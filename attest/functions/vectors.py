@@ -25,7 +25,7 @@ def template_error(vector: Column, length: int) -> Column:
 def similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """Cosine mapped to [0, 1]; null where a norm is zero."""
     cosine = F.try_divide(dot(a, b), (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b))
-    return (F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)) + 1) / 2
+    return F.when(cosine.isNotNull(), (F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)) + 1) / 2)  # least and greatest pass over nulls
 
 
 def softmax(logits: Column) -> Column:
