@@ -132,27 +132,31 @@ def catalog_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "front", "relation", F.array_join(F.transform("related", lambda x: x["identifier"].cast("string")), ",").alias("related"))
 
 
+def _collection() -> Column:
+    return F.concat_ws("/", F.col("conv_id").cast("string"), F.floor(F.col("turn") / fusion.MOST_PAGES).cast("string"))
+
+
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as pages whose layouts are given in reverse."""
-    t = table(spark, sf_dir, "conversations").where(F.col("turn") < fusion.MOST_PAGES)
-    pages = t.select(F.col("conv_id").alias("collection_id"), F.col("turn").alias("position"), (100 - F.col("turn")).alias("identifier"), (F.lit(20) - F.col("turn")).alias("ordinal"), F.array(F.lit(99) - F.col("turn"), F.lit(101) - F.col("turn")).alias("related"))
+    """Turns of a conversation, as many as a collection may have pages, with layouts that are given in reverse."""
+    t = table(spark, sf_dir, "conversations")
+    pages = t.select(_collection().alias("collection_id"), F.col("turn").alias("position"), (100 - F.col("turn")).alias("identifier"), (F.lit(20) - F.col("turn")).alias("ordinal"), F.array(F.lit(99) - F.col("turn"), F.lit(101) - F.col("turn")).alias("related"))
     rows = fusion.page_order(pages)
     return rows.select("collection_id", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), "decision", "method")
 
 
 def page_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").where(F.col("turn") < fusion.MOST_PAGES)
+    t = table(spark, sf_dir, "conversations")
     key = text.ascii_key(F.col("role"))
-    pages = t.select(F.col("conv_id").alias("collection_id"), F.col("turn").alias("position"), F.lit("UTO").alias("country"), F.when(F.col("conv_id") % 3 == 0, key).otherwise(F.lit("SAME")).alias("name"), F.lit("").alias("surname"), F.when(F.col("turn") % 2 == 0, "19800321").alias("date_of_birth"), F.when(F.col("conv_id") % 5 == 0, F.substring(key, 1, 1)).alias("sex"))
+    pages = t.select(_collection().alias("collection_id"), F.col("turn").alias("position"), F.lit("UTO").alias("country"), F.when(F.col("conv_id") % 3 == 0, key).otherwise(F.lit("SAME")).alias("name"), F.lit("").alias("surname"), F.when(F.col("turn") % 2 == 0, "19800321").alias("date_of_birth"), F.when(F.col("conv_id") % 5 == 0, F.substring(key, 1, 1)).alias("sex"))
     rows = fusion.folded_pages(pages)
     return rows.select("collection_id", "decision", F.array_join("page_decisions", ",").alias("page_decisions"), "name")
 
 
 def field_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fields need, over edges from each part to two smaller ones and, for one part, back to itself."""
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < 200).select(F.col("p_partkey").alias("k"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     edges = p.select(F.col("k").alias("name"), F.explode(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3), F.when(F.col("k") == 6, F.lit(12)).otherwise(F.col("k")))).alias("needs")).where(F.col("needs") > 0)
-    return layouts.dependencies(p.where(F.col("k") > 150).select(F.col("k").alias("root"), F.col("k").alias("name")), edges)
+    return layouts.dependencies(p.select(F.col("k").alias("root"), F.col("k").alias("name")), edges)
 
 
 def field_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +223,7 @@ ORACLES = {
     "catalog_relation": f"""WITH e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'related_document' ELSE 'paired_page' END AS relation, unnest(CASE WHEN p_partkey % 3 = 0 THEN [p_partkey + 1, p_partkey + 2] ELSE [p_partkey + 1, p_partkey + 4] END) AS dst FROM part WHERE p_partkey % 3 < 2),
         r AS (SELECT id, relation, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS related FROM e WHERE dst IN (SELECT p_partkey FROM part) GROUP BY id, relation), m AS (SELECT l_orderkey AS doc_id, id AS front, relation, related, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_RANK}) AS k FROM lineitem JOIN r ON l_partkey = id)
         SELECT doc_id, front, relation, related FROM m WHERE k = 1""",
-    "field_closure": """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 200), e AS (SELECT k AS name, unnest([k // 2, k // 3, CASE WHEN k = 6 THEN 12 ELSE k END]) AS needs FROM p), c AS (SELECT k AS root, k AS name FROM p WHERE k > 150 UNION SELECT root, needs FROM c JOIN e USING (name) WHERE needs > 0) SELECT root, name FROM c""",
+    "field_closure": """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS name, unnest([k // 2, k // 3, CASE WHEN k = 6 THEN 12 ELSE k END]) AS needs FROM p), c AS (SELECT k AS root, k AS name FROM p UNION SELECT root, needs FROM c JOIN e USING (name) WHERE needs > 0) SELECT root, name FROM c""",
     "field_assembly": """SELECT c_custkey AS doc_id, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', JANE' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN ' /  - ' || c_mktsegment ELSE ' - ' || c_mktsegment END AS value,
         round(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 0.6 WHEN c_custkey % 2 = 0 THEN 0.55 WHEN c_custkey % 3 <> 0 THEN 0.6 ELSE 0.5 END, 6)::DOUBLE AS confidence,
         'surname' || CASE WHEN c_custkey % 2 = 0 THEN ',given' ELSE '' END || CASE WHEN c_custkey % 3 <> 0 THEN ',place' ELSE '' END AS derived_from FROM customer WHERE c_custkey % 10 <> 0""",

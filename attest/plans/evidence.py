@@ -71,7 +71,7 @@ def mrz_td1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mrz_two_line_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same record as TD2 and as both kinds of visa: how many checks hold in each reading, and the best."""
     k = F.col("c_custkey")
-    c = _customers(spark, sf_dir).where(k % 50 != 0)
+    c = _customers(spark, sf_dir)
     core = F.concat(_checked(_number(k)), F.lit("UTO"), _checked(_day(k, 60)), F.lit("F"), _checked(_day(k, 5)))
     rows = settled(c.select(k.alias("key"), _name_zone(k, F.col("c_name"), 31).alias("names"), core.alias("core")))
     whole = F.concat(F.substring("core", 1, 10), F.substring("core", 14, 7), F.substring("core", 22, 7), F.lit("<<<<<<<"))
@@ -262,7 +262,7 @@ ORACLES = {
           CASE WHEN c_custkey % 6 = 0 THEN {_SURNAME} || CASE WHEN substr(c_name, 8, 1) BETWEEN 'A' AND 'z' THEN ' ' ELSE ' ' END || 'ANNA MARIA' ELSE {_SURNAME} END AS surname,
           CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'ANNA MARIA' END AS given_names, c_custkey::VARCHAR AS optional_data, CASE WHEN bad THEN 3 ELSE 5 END AS n_valid, CASE WHEN bad THEN 0 ELSE 1 END AS status, CASE WHEN odd = 1 THEN 'date' END AS error FROM z""",
     "mrz_td1": f"SELECT c_custkey AS key, 'L' || lpad(c_custkey::VARCHAR, 8, '0') AS document_number, {_iso(60, 'birth', '(c_custkey + c_custkey % 50 + 1)')} AS date_of_birth, CASE WHEN c_custkey % 6 = 0 THEN {_SURNAME} || ' ANNA MARIA' ELSE {_SURNAME} END AS surname, 4 AS n_valid, 1 AS status FROM customer",
-    "mrz_two_line_formats": "SELECT c_custkey AS key, unnest(['TD2', 'MRV-B', 'MRV-A']) AS format, unnest([4, 3, 3]) AS score, true AS valid FROM customer WHERE c_custkey % 50 <> 0",
+    "mrz_two_line_formats": "SELECT c_custkey AS key, unnest(['TD2', 'MRV-B', 'MRV-A']) AS format, unnest(CASE WHEN c_custkey % 50 = 0 THEN [0, 0, 0] ELSE [4, 3, 3] END) AS score, c_custkey % 50 <> 0 AS valid FROM customer",
     "aamva_parse": """SELECT c_custkey, true AS "headerValid", c_custkey::VARCHAR AS "documentNumber", c_name AS "familyName", 'JANE' AS "firstName", '1980-' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS "dateOfBirth",
         ['M', 'F', 'X'][c_custkey % 3 + 1] AS sex, '1 MAIN ST, TOWN, AZ, 12345' AS address, 'DAC,DAG,DAI,DAJ,DAK,DAQ,DBB,DBC,DCS' AS designators FROM customer""",
     "verification_urls": """SELECT o_orderkey, CASE WHEN ok THEN o_orderkey::VARCHAR END AS identifier, CASE WHEN ok THEN strftime(o_orderdate, '%Y-%m-%d') END AS issue_date, CASE WHEN ok THEN o_custkey::VARCHAR END AS query_identifier
