@@ -26,6 +26,12 @@ def http_status(error: Column) -> Column:
     return F.when(error.isNull(), 200).otherwise(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in STATUS.items() for x in p)), error), F.lit(500)))
 
 
+def error_code(status: Column) -> Column:
+    """The code of an error response by its status; a status without a code of its own is a failed request."""
+    known = {400: "invalid_request", 413: "payload_too_large", 415: "unsupported_media_type", 422: "unprocessable_image", 503: "service_unavailable"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in known.items() for x in p)), status), F.lit("request_failed"))
+
+
 def decoded_base64(value: Column) -> Column:
     """Strict base64, plain or as a data URL; null for anything else."""
     plain = F.regexp_replace(F.trim(value), "^data:[^,]*,", "")
