@@ -42,8 +42,8 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """(anchor, doc_id), distinct within a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in slices(batches, 1):
+        hashes = WordHashes(100_000)
+        for b in slices(batches, 1, 1 << 21):
             found = [np.unique(anchors(hashes.of(words_of(x)), length, seed)) if x else np.empty(0, np.uint64) for x in b.column(1).to_pylist()]
             ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(ids)], names=["anchor", "doc_id"])
@@ -57,8 +57,8 @@ def windows(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, length: int, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, hot = held.value
-        hashes = WordHashes()
-        for b in slices(batches, 1, 1 << 21):
+        hashes = WordHashes(100_000)
+        for b in slices(batches, 1, 1 << 20):
             parts = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = hashes.of(words_of(text))
@@ -124,7 +124,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     # Texts without a repeat are done at once; the others travel to their starts. Either way the text is read once.
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text", *(x.split()[0] for x in kinds.split(", "))]
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1 << 21):
             may = b.column(0).is_valid().to_numpy(zero_copy_only=False) & in_bloom(ids.value, b.column(0).fill_null(0).to_numpy().view(np.uint64))
             texts = b.column(1).to_pylist()
             rows = [(None,) * (3 + with_text) if m else result(words_of(x), None) for x, m in zip(texts, may, strict=True)]
@@ -132,7 +132,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 2 + 3 + with_text
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1 << 21):
             rows = []
             for k, (text, starts) in enumerate(zip(b.column(1).to_pylist(), b.column(at), strict=True)):
                 if text is None:
@@ -142,5 +142,6 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
                     rows.append(result(words, covered(len(words), starts.values.to_numpy(), length) if starts.is_valid else None))
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays(rows)], names=["doc_id", *(x.split()[0] for x in kinds.split(", "))])
 
-    told = rows.mapInArrow(clean, f"doc_id long, text string, {kinds}").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # Starts compress so well that the size of their files says nothing of their size in memory: no broadcast.
+    told = rows.mapInArrow(clean, f"doc_id long, text string, {kinds}").join(found.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     return told.mapInArrow(cut, f"doc_id long, {kinds}")
