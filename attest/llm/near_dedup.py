@@ -3,10 +3,12 @@
 Sets are the distinct word shingles of a text. Texts with equal sets are one class, and one of each class goes on. Classes
 that agree in all rows of a band meet in a bucket. In a bucket of any size, candidates are never listed as all pairs:
 
-1. each member is held against the least member of its bucket (as many pairs as members);
+1. each member is held against one member of its bucket (as many pairs as members): the one that meets most others in all its
+   buckets together, which in a group of copies is the text that they were made from;
 2. links that are confirmed give components; buckets that lie within one component have nothing more to tell;
-3. members of the remaining buckets are compared block by block inside a task, across components only, which puts out at
-   most a spanning forest of the links of two blocks.
+3. in the remaining buckets, the members outside the bucket's largest component are held against that component and each other,
+   block by block inside a task, which puts out at most a spanning forest of the links of two blocks. Members of the largest
+   component are not held against each other.
 
 A comparison first reads the signatures in batches: after each, the pair is dropped if the posterior probability of a
 similarity of at least the threshold, given the matches so far and a uniform prior, is under MISS. What survives is decided
@@ -34,7 +36,7 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: Members of a bucket that one task holds against as many others.
-BLOCK = 256
+BLOCK = 1024
 SHINGLE, PERCENT = 5, 80
 
 _rng = np.random.RandomState(7)
@@ -165,10 +167,16 @@ def star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components within buckets: members (key, id, component) of buckets that hold several components."""
     least = least_matches(percent)
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block of a bucket goes once to each other block of it.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(F.col("key").alias("k")).agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("k", "major", blocks(F.col("m")).alias("of_major"), blocks(F.col("n") - F.col("m")).alias("of_rest"))
+    rows = members.join(sizes, F.col("key") == F.col("k"))
+    # Blocks of the largest component have numbers from 0, those of the rest go on after them.
+    in_major, place = F.col("component") == F.col("major"), F.xxhash64("id")
+    rows = rows.withColumn("own", F.when(in_major, F.pmod(place, F.col("of_major"))).otherwise(F.col("of_major") + F.pmod(place, F.col("of_rest"))).cast("int"))
+    met = F.sequence(F.when(in_major, F.col("of_major")).otherwise(F.lit(0)), F.col("of_major") + F.col("of_rest") - 1)
+    rows = rows.withColumn("other", F.explode(met))
     rows = rows.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     rows = rows.join(classes.select("id", "sig"), "id").join(sets, "id")
 
@@ -211,12 +219,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = written(sets.where(F.col("id").isNotNull()), "classes")
     heads = written(rows.join(classes.withColumn("doc_id", F.col("id")), ["f1", "f2", "doc_id"]).select("id", "f1", "f2", "sig").dropDuplicates(["id", "f1", "f2"]).select("id", "sig"), "heads")
     keys = band_keys(heads)
-    full = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most")).select(F.col("key").alias("k"), "least")
-    members = written(keys.join(full, F.col("key") == F.col("k")).select("key", "id", "least"), "members")
+    full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") < F.col("z")).select(F.col("key").alias("k"), "size")
+    members = written(keys.join(full, F.col("key") == F.col("k")).select("key", "id", "size"), "members")
+    central = members.groupBy("id").agg(F.sum("size").alias("met"))
+    pivots = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot")).withColumnRenamed("key", "k")
+    pairs = members.select("key", "id").join(pivots, F.col("key") == F.col("k")).where(F.col("id") != F.col("pivot")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
     ids = written(members.select("id").distinct(), "met")
     near = sieve(docs, "doc_id", bloom(ids, "id", ids.count())).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     grams_of = written(sets_of(near, shingle), "sets")
-    pairs = members.where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     links = written(star_links(pairs, heads, grams_of, percent), "links")
     first = components(links)
     placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))

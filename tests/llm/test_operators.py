@@ -87,7 +87,7 @@ def test_near_duplicates_are_brute_force(spark):
 
 
 def test_chains_and_big_groups_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)  # so that buckets have several blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)  # so that buckets have several blocks
     rows = []
     for g in range(4):
         words = prose(80, 100 + g).split()
