@@ -412,6 +412,44 @@ def test_lm_prefers_text_like_its_own(spark):
     assert max(got[i].bits_per_byte for i, _ in fresh) < min(got[i].bits_per_byte for i, _ in noise)
 
 
+def test_lm_contexts_are_counted_whole(spark):
+    r = np.random.RandomState(3)
+    made = sorted({b"\n", b"a\x01", b"a", b"a" * 3000, b"a" * 3000 + b"b", *(bytes(r.choice(list(b"abc\x02\xc3"), size=r.randint(1, 9)).tolist()) for _ in range(3000))})
+    rows = [(bytearray(w), int(k % 5 > 0)) for k, w in enumerate(made)]
+    parts = lm_scoring.written(lm_scoring.blocks(spark.createDataFrame(rows, "word binary, c long"), 100), "test-blocks")
+    assert parts.count() > 10
+    edge = lm_scoring.edges(parts)
+    v = sum(c for _, c in rows)
+    begun = Counter()
+    bits_of = lambda w: "".join(f"{x:08b}" for x in lm_scoring.spelled([w])[0])
+    for w, c in rows:
+        if c:
+            b = bits_of(bytes(w[:20]))
+            begun.update(b[:m] for m in range(len(b) + 1))
+    seen = 0
+    for batch in parts.select("words", "c").toArrow().to_batches():
+        for block in lm_scoring.read_blocks(iter([batch]), edge, v):
+            for w, first in zip(block.words, block.first.tolist(), strict=True):
+                seen += 1
+                if len(w) < 100:
+                    b = bits_of(w)
+                    want = [[begun[b[:m] + x] for m in range(len(b))] for x in "01"]
+                    assert block.whole[:, first : first + len(b)].tolist() == want
+    assert seen == len(rows)
+    counts, sizes = lm_scoring.tables(parts)
+    want = np.zeros_like(counts)
+    for k, bit, size in ((k, bit, sum(1 << x for x in sizes[:k])) for k in range(4) for bit in (0, 1)):
+        slots, bits, *_ = lm_scoring.bit_slots([bytes(w) for w, c in rows if c], sizes)
+        np.add.at(want[bit], slots[k][bits == bit], np.float32(1))
+        assert size <= slots[k].min()
+    assert (counts == want).all()
+
+
+def test_lm_tables_grow_with_what_is_counted():
+    for n in (100, 1 << 20, 1 << 25):
+        assert all(1 << x >= lm_scoring.SPARE * n for x in lm_scoring.table_sizes({1: n, 2: n, 3: n})[1:])
+
+
 def test_bits_make_a_distribution_over_next_bytes():
     counts = np.zeros((2, int(lm_scoring.FIRST[-1])), np.float32)
     words = [w.encode() for w in WORDS]
