@@ -450,6 +450,15 @@ def test_lm_tables_grow_with_what_is_counted():
         assert all(1 << x >= lm_scoring.SPARE * n for x in lm_scoring.table_sizes({1: n, 2: n, 3: n})[1:])
 
 
+def test_lm_mixer_learns_from_all_training_words(spark):
+    rows = [(bytearray(f"w{k * 7919 % 10007}".encode()), int(k % 5 > 0)) for k in range(1000)]
+    parts = lm_scoring.written(lm_scoring.blocks(spark.createDataFrame(rows, "word binary, c long"), 100), "test-blocks")
+    counts, sizes = lm_scoring.tables(parts)
+    got = lm_scoring.fit_parts(parts, counts, sizes, lm_scoring.edges(parts), 800)
+    assert sum(x[0] for x in got) == 800
+    assert sum(x[3].sum() for x in got) == pytest.approx(sum(8 * (len(w) + 1) for w, c in rows if c))
+
+
 def test_bits_make_a_distribution_over_next_bytes():
     counts = np.zeros((2, int(lm_scoring.FIRST[-1])), np.float32)
     words = [w.encode() for w in WORDS]
