@@ -4,8 +4,10 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,22 +387,210 @@ def test_pii_method(spark):
 # --- LM scoring ---
 
 
-def test_lm_scores(spark):
+def paths(code):
+    """symbol -> [(node, bit, depth)]"""
+    return [list(zip(code.node[f : f + n].tolist(), code.bit[f : f + n].tolist(), code.depth[f : f + n].tolist(), strict=True)) for f, n in zip(code.first, code.size, strict=True)]
+
+
+def stirred_by_hand(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    return x ^ x >> 32
+
+
+def slot_by_hand(k, context, node, bits):
+    return (((stirred_by_hand(context + (k + 1 << 56) & (1 << 64) - 1) + node * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 64 - bits) + (k << bits)
+
+
+def token_events(docs, places, d):
+    """For each token of each text: (symbol, contexts)."""
+    out = []
+    for words in docs:
+        place = [places.get(w, len(d.words)) for w in words]
+        symbols = [int(d.symbol[p]) for p in place]
+        start = len(d.weights)
+        own = []
+        for k, s in enumerate(symbols):
+            coded = [start, start, *(x for x in symbols[:k] if x < d.own)]
+            out.append((s, (place[k - 1] if k else len(d.words) + 1, (symbols[k - 1] if k else start) << 20 | (symbols[k - 2] if k > 1 else start), coded[-1] << 20 | coded[-2])))
+            own.append(s)
+    return out
+
+
+def letter_events(words):
+    out = []
+    for w in words:
+        said = w if w == b"\n" else w + b" "
+        for k, x in enumerate(said):
+            contexts, c = [], 0
+            for j in range(1, 5):
+                c = c << 9 | (said[k - j] + 1 if k >= j else 0)
+                contexts.append(c)
+            out.append((x, tuple(contexts)))
+    return out
+
+
+def counts_by_hand(events, code, bits):
+    n, path = defaultdict(lambda: [0, 0]), paths(code)
+    for s, contexts in events:
+        for node, bit, _ in path[s]:
+            for k, c in enumerate(contexts):
+                n[slot_by_hand(k, c, node, bits)][bit] += 1
+    return n
+
+
+def bit_inputs(code, bits, n, contexts, node, depth, own=None):
+    found = [n.get(slot_by_hand(k, c, node, bits), (0, 0)) for k, c in enumerate(contexts)]
+    if own is not None:
+        found = [(max(0, a - (own == 0)), max(0, b - (own == 1))) for a, b in found]
+    inputs = [float(code.logit[node]), *(math.log((b + 0.05) / (a + 0.05)) for a, b in found)]
+    return inputs, sum(a + b > 0 for a, b in found) * 8 + depth
+
+
+def cell_of(dot):
+    x = (min(max(dot, -7.99), 7.99) + 8) * 2
+    return int(x), x - int(x)
+
+
+def score_by_hand(model, n, events):
+    """log10 probability of each event, from counts by hand and the model's weights and map."""
+    path, sig = paths(model.code), lambda x: 1 / (1 + math.exp(-x))
+    out = []
+    for s, contexts in events:
+        said = 0.0
+        for node, bit, depth in path[s]:
+            inputs, gate = bit_inputs(model.code, model.bits, n, contexts, node, depth)
+            dot = sum(w * x for w, x in zip(model.weights[gate], inputs, strict=True))
+            low, part = cell_of(dot)
+            p = (sig(dot) + sig(model.refined[node][low] * (1 - part) + model.refined[node][low + 1] * part)) / 2
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            said += math.log10(p if bit else 1 - p)
+        out.append(said)
+    return out
+
+
+def test_lm_scores_are_brute_force(spark, monkeypatch):
+    models = []
+    learn = lm_scoring.learnt
+    monkeypatch.setattr(lm_scoring, "learnt", lambda *a: models.append(learn(*a)) or models[-1])
     df = clashing(documents(spark)).drop("held_out")
-    held = langid.remainder(F.col("doc_id"), 7) == 2
-    rows = lm_scoring.lm_score(df, held, fit_words=200, head_words=5).collect()
+    rows = lm_scoring.lm_score(df, langid.remainder(F.col("doc_id"), 7) == 2, coded=9, dictionary=40).collect()
     tokens = [(i, t.encode().lower().split() + [b"\n"]) for i, t in texts(df)]
-    train = Counter()
-    for i, w in tokens:
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
-            train.update(w)
+    learnt_from = [w for i, w in tokens if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    train = Counter(x for w in learnt_from for x in w)
     n, v = sum(train.values()), len(train)
-    want = sorted(((i is None, i or 0), len(w), sum(train[x] > 0 for x in w), round(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), 6)) for i, w in tokens)
-    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows)
-    assert [x[:3] for x in got] == [x[:3] for x in want]
-    assert all(a[3] == pytest.approx(b[3]) for a, b in zip(got, want, strict=True))
-    assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) and r.bits_per_byte > 0 for r in rows)
+    ranked = sorted(((w, c) for w, c in train.items() if c > 1 and len(w) <= 64), key=lambda x: (-x[1], x[0]))[:40]
+    d = lm_scoring.Dictionary.of(ranked, n, 9)
+    places = {w: k for k, (w, _) in enumerate(ranked)}
+    once = [w for w, c in train.items() if c == 1]
+    letters, coded = models
+    assert coded.code.logit.tolist() == lm_scoring.huffman(d.weights).logit.tolist()
+    assert letters.code.logit.tolist() == lm_scoring.huffman([1 + sum(e[0] == k for e in letter_events(once)) for k in range(256)]).logit.tolist()
+    of_letters, of_tokens = counts_by_hand(letter_events(once), letters.code, letters.bits), counts_by_hand(token_events(learnt_from, places, d), coded.code, coded.bits)
+    outside = n - sum(c for _, c in ranked)
+    middle = sum(c for _, c in ranked[9:])
+
+    @lru_cache(None)
+    def told(w):
+        if w in places:
+            return math.log10(train[w] / middle) if places[w] >= 9 else 0.0
+        if train[w] > 1:
+            return math.log10(train[w] / (outside + 1))
+        return math.log10((len(once) + 1) / (outside + 1)) + sum(score_by_hand(letters, of_letters, letter_events([w])))
+
+    want = []
+    for i, w in tokens:
+        score = sum(score_by_hand(coded, of_tokens, token_events([w], places, d))) + sum(map(told, w))
+        size = sum(map(len, w)) + len(w) - 1
+        base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)
+        want.append((i is None, i or 0, len(w), sum(train[x] > 0 for x in w), base, score, -score * math.log2(10) / size))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score, r.bits_per_byte) for r in rows)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-4)
+    assert {r.train_tokens for r in rows} == {n}
+
+
+def test_lm_mixer_learns_online(monkeypatch):
+    """Weights and map after several steps, against the same steps bit by bit."""
+    monkeypatch.setattr(lm_scoring, "STRIDE", 50)
+    words = prose(40, 3).encode().split()
+    events = letter_events(words)
+    code, bits = lm_scoring.huffman([1 + sum(e[0] == k for e in events) for k in range(256)]), 12
+    n = counts_by_hand(events, code, bits)
+    counts = np.zeros((4 << bits, 2), np.float32)
+    for slot, x in n.items():
+        counts[slot] = x
+    own = lm_scoring.Learner(lm_scoring.Model(code, bits, counts))
+    (_, _, _, symbols, contexts), = lm_scoring.letter_reader(pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"]))
+    weights, slope2 = np.full((40, 5), 0.3), np.full((40, 5), 1e-3)
+    hits, mass, path = Counter(), Counter(), paths(code)
+    for k, at in enumerate(range(0, len(events), 50)):
+        own.learn(symbols[at : at + 50], contexts[:, at : at + 50])
+        slope, seen = np.zeros((40, 5)), np.zeros(40)
+        for s, c in events[at : at + 50]:
+            for node, bit, depth in path[s]:
+                inputs, gate = bit_inputs(code, bits, n, c, node, depth, bit)
+                dot = sum(w * x for w, x in zip(weights[gate], inputs, strict=True))
+                low, part = cell_of(dot)
+                for cell, share in (((node, low), 1 - part), ((node, low + 1), part)):
+                    hits[cell] += share * bit
+                    mass[cell] += share
+                seen[gate] += 1
+                slope[gate] += (bit - 1 / (1 + math.exp(-dot))) * np.array(inputs)
+        slope /= np.maximum(seen, 32)[:, None]
+        slope2 = 0.95 * slope2 + 0.05 * slope**2
+        weights += 0.02 / (1 + (k + 1) / 200) * slope / np.sqrt(slope2 + 1e-8)
+    assert np.allclose(own.weights, weights, atol=1e-4)
+    for found, want in ((own.hits, hits), (own.mass, mass)):
+        assert np.allclose(found, [want[k // 33, k % 33] for k in range(len(found))], atol=1e-2)
+
+
+def test_lm_tables_and_weights_are_summed_over_tasks(spark):
+    words = sorted({w.encode() for k in range(30) for w in prose(50, k).split()} | {b"\n", b"x" * 3000})
+    code = lm_scoring.huffman([1 + sum(e[0] == k for e in letter_events(words)) for k in range(256)])
+    want = counts_by_hand(letter_events(words), code, 14)
+    rows = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").repartition(5)
+    model = lm_scoring.learnt(rows, lm_scoring.letter_reader, code, 4, 14)
+    found = {k: model.counts[k].tolist() for k in np.flatnonzero(model.counts.any(1)).tolist()}
+    assert found == {k: list(map(float, x)) for k, x in want.items()}
+    assert model.weights.shape == (40, 5) and np.isfinite(model.refined).all()
+    none = lm_scoring.learnt(rows.where("false"), lm_scoring.letter_reader, code, 4, 14)
+    assert (none.weights == lm_scoring.START_WEIGHT).all() and not none.counts.any()
+
+
+def test_lm_codes_are_prefix_codes_of_least_length():
+    r = np.random.RandomState(2)
+    for n in (1, 2, 3, 40):
+        weights = r.randint(1, 1000, n).tolist()
+        code = lm_scoring.huffman(weights)
+        bits = ["".join(str(b) for _, b, _ in p) for p in paths(code)]
+        assert n == 1 or sum(2.0 ** -len(b) for b in bits) == 1
+        assert all(not a.startswith(b) for k, a in enumerate(bits) for j, b in enumerate(bits) if j != k)
+        entropy = -sum(w / sum(weights) * math.log2(w / sum(weights)) for w in weights)
+        assert entropy - 1e-9 <= sum(w * len(b) for w, b in zip(weights, bits, strict=True)) / sum(weights) < entropy + 1
+
+
+def test_lm_is_a_distribution_over_words(spark, monkeypatch):
+    """After any text, the probabilities of all next symbols add up to one, and so do the shares of the words behind a symbol."""
+    d = lm_scoring.Dictionary.of([(b"a", 9), (b"b", 7), (b"c", 4), (b"d", 2)], 30, 2)
+    assert d.weights == [9, 7, 6, 9] and d.symbol.tolist() == [0, 1, 2, 2, 3] and 10 ** d.extra[2] + 10 ** d.extra[3] == pytest.approx(1)
+    rows = spark.createDataFrame([(bytearray(np.array([0, 1, 2, 4, 0, 3], "<i4").tobytes()),)] * 3, "places binary")
+    model = lm_scoring.learnt(rows, lm_scoring.token_reader(d), lm_scoring.huffman(d.weights), 3, 12)
+    for before in ([], [0], [4, 1], [2, 0, 1]):
+        total = 0.0
+        for symbol in range(4):
+            place = [*before, [0, 1, 2, 4][symbol]]
+            batch = pa.RecordBatch.from_arrays([pa.array([np.array(place, "<i4").tobytes()])], names=["places"])
+            (*_, symbols, contexts), = lm_scoring.token_reader(d)(batch)
+            total += 10 ** lm_scoring.symbol_scores(model, symbols, contexts)[-1]
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_edges(spark):
     assert lm_scoring.lm_score(empty(spark), F.lit(False)).count() == 0
+    rows = lm_scoring.lm_score(documents(spark), F.lit(True)).collect()
+    assert len(rows) == documents(spark).count()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and r.score < 0 for r in rows)
 
 
 def test_lm_prefers_text_like_its_own(spark):
@@ -412,65 +602,14 @@ def test_lm_prefers_text_like_its_own(spark):
     assert max(got[i].bits_per_byte for i, _ in fresh) < min(got[i].bits_per_byte for i, _ in noise)
 
 
-def test_lm_contexts_are_counted_whole(spark):
-    r = np.random.RandomState(3)
-    made = sorted({b"\n", b"a\x01", b"a", b"a" * 3000, b"a" * 3000 + b"b", *(bytes(r.choice(list(b"abc\x02\xc3"), size=r.randint(1, 9)).tolist()) for _ in range(3000))})
-    rows = [(bytearray(w), int(k % 5 > 0)) for k, w in enumerate(made)]
-    parts = lm_scoring.written(lm_scoring.blocks(spark.createDataFrame(rows, "word binary, c long"), 100), "test-blocks")
-    assert parts.count() > 10
-    edge = lm_scoring.edges(parts)
-    v = sum(c for _, c in rows)
-    begun = Counter()
-    bits_of = lambda w: "".join(f"{x:08b}" for x in lm_scoring.spelled([w])[0])
-    for w, c in rows:
-        if c:
-            b = bits_of(bytes(w[:20]))
-            begun.update(b[:m] for m in range(len(b) + 1))
-    seen = 0
-    for batch in parts.select("words", "c").toArrow().to_batches():
-        for block in lm_scoring.read_blocks(iter([batch]), edge, v):
-            for w, first in zip(block.words, block.first.tolist(), strict=True):
-                seen += 1
-                if len(w) < 100:
-                    b = bits_of(w)
-                    want = [[begun[b[:m] + x] for m in range(len(b))] for x in "01"]
-                    assert block.whole[:, first : first + len(b)].tolist() == want
-    assert seen == len(rows)
-    counts, sizes = lm_scoring.tables(parts)
-    want = np.zeros_like(counts)
-    for k, bit, size in ((k, bit, sum(1 << x for x in sizes[:k])) for k in range(4) for bit in (0, 1)):
-        slots, bits, *_ = lm_scoring.bit_slots([bytes(w) for w, c in rows if c], sizes)
-        np.add.at(want[bit], slots[k][bits == bit], np.float32(1))
-        assert size <= slots[k].min()
-    assert (counts == want).all()
-
-
-def test_lm_tables_grow_with_what_is_counted():
-    for n in (100, 1 << 20, 1 << 25):
-        assert all(1 << x >= lm_scoring.SPARE * n for x in lm_scoring.table_sizes({1: n, 2: n, 3: n})[1:])
-
-
-def test_lm_mixer_learns_from_all_training_words(spark):
-    rows = [(bytearray(f"w{k * 7919 % 10007}".encode()), int(k % 5 > 0)) for k in range(1000)]
-    parts = lm_scoring.written(lm_scoring.blocks(spark.createDataFrame(rows, "word binary, c long"), 100), "test-blocks")
-    counts, sizes = lm_scoring.tables(parts)
-    got = lm_scoring.fit_parts(parts, counts, sizes, lm_scoring.edges(parts), 800)
-    assert sum(x[0] for x in got) == 800
-    assert sum(x[3].sum() for x in got) == pytest.approx(sum(8 * (len(w) + 1) for w, c in rows if c))
-
-
-def test_bits_make_a_distribution_over_next_bytes():
-    counts = np.zeros((2, int(lm_scoring.FIRST[-1])), np.float32)
-    words = [w.encode() for w in WORDS]
-    lm_scoring.add_to(counts, words)
-    weights, refined = lm_scoring.averaged([(1.0, *[x.ravel() for x in lm_scoring.fitted(words, counts)])])
-    model = lm_scoring.Model(np.log((counts[1] + lm_scoring.PRIOR) / (counts[0] + lm_scoring.PRIOR)), counts.sum(0) > 0, weights, refined)
-    total = 0.0
-    for byte in range(1, 256):  # the eight bits of a first byte after no other
-        slots, bits, known, _ = lm_scoring.bit_slots([bytes([byte])])
-        p = lm_scoring.mixture(model, model.logits[slots], lm_scoring.gates(model.seen[slots], known), known)
-        total += np.where(bits == 1, p, 1 - p)[:8].prod()
-    assert total == pytest.approx(1, abs=0.01)
+def test_lm_contexts_that_cross_words_help(spark):
+    """Words that follow one another by a rule: with the order kept, the same words cost less."""
+    r = np.random.RandomState(4)
+    chain = lambda k: " ".join(f"w{(k + 7 * j) % 30}" for j in range(60))
+    mixed = lambda k: " ".join(r.permutation(chain(k).split()))
+    rows = [(k, chain(r.randint(30))) for k in range(200)] + [(1000 + k, chain(r.randint(30))) for k in range(10)] + [(2000 + k, mixed(r.randint(30))) for k in range(10)]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert min(s for i, s in got.items() if 1000 <= i < 2000) > 3 * max(s for i, s in got.items() if i >= 2000) / 4
 
 
 # --- quality ---
