@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, written
+from .common import SPACE_CLASS, free_name, written
 
 #: Tasks over which the copies of one text are spread.
 SALTS = 16
@@ -53,13 +53,20 @@ def marked(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     group, null where all are null. kept is doc_id = keep_id (nulls are equal here): a row repeated with its doc_id is kept as
     often as it comes, a row without doc_id goes unless its whole group has none. An empty table gives an empty table.
     """
-    found = written(classes(docs, salts), "copies")
-    rows = docs.drop(*ADDED).withColumn("_digest", digest(normalised(F.col("text"))))
-    return rows.join(found, "_digest", "left").withColumns({"kept": F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256": F.lower(F.hex("_digest"))}).drop("_digest")
+    rows, key = docs.drop(*ADDED), free_name(docs, "_digest")
+    found = written(classes(docs, salts), "copies").withColumnRenamed("_digest", key)
+    rows = rows.withColumn(key, digest(normalised(F.col("text")))).join(found, key, "left")
+    return rows.withColumns({"kept": F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256": F.lower(F.hex(key))}).drop(key)
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    found = written(classes(docs, salts), "copies")
-    rows = docs.withColumn("_digest", digest(normalised(F.col("text")))).join(found.select("_digest", F.col("keep_id").alias("_keep")), "_digest", "left")
-    return rows.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+    """The rows of docs that stay, with the columns of docs and their values, whatever the columns are called.
+
+    Of equal texts the row with the least doc_id stays; a null text is an empty one, and empty texts are equal. A row that is
+    repeated with that doc_id stays as often as it comes. Rows without a doc_id stay only if their whole group has none.
+    An empty table gives an empty table.
+    """
+    key, keep = free_name(docs, "_digest"), free_name(docs, "_keep")
+    found = written(classes(docs, salts).select(F.col("_digest").alias(key), F.col("keep_id").alias(keep)), "copies")
+    rows = docs.withColumn(key, digest(normalised(F.col("text")))).join(found, key, "left")
+    return rows.where(F.col("doc_id").eqNullSafe(F.col(keep))).select(*(F.col(f"`{c}`") for c in docs.columns))
