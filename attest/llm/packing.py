@@ -37,21 +37,24 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a byte-level BPE file whose ids follow the order of its merges; strings of special tokens are ordinary text."""
+def encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """The encoding of a byte-level BPE file whose ids follow the order of its merges, and its added tokens: their strings have ids of their own wherever they stand."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", ()) if x.get("special")}
+    added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+    if odd := [x["content"] for x in model.get("added_tokens", ()) if x.get("lstrip") or x.get("rstrip") or x.get("single_word")]:
+        raise ValueError(f"added tokens that take their surroundings are not supported: {odd}")
     of = byte_of_character()
-    ranks = {bytes(of[c] for c in piece): k for piece, k in model["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("attest", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(of[c] for c in piece): k for piece, k in model["model"]["vocab"].items() if piece not in added}
+    return tiktoken.Encoding("attest", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class Encoder:
     """text -> little-endian 32-bit ids as bytes.
 
-    The pattern always breaks before a single space between two other characters, so a text is the sum of its chunks there;
-    chunks recur, and their ids are remembered (up to `most`).
+    A text is first cut at the strings of added tokens (the leftmost, then the longest), which have their own ids; what lies
+    between is encoded by itself. The pattern always breaks before a single space between two other characters, so such a
+    part is the sum of its chunks there; chunks recur, and their ids are remembered (up to `most`).
     """
 
     #: Python's white space holds all that the pattern takes for white space.
@@ -59,12 +62,21 @@ class Encoder:
     BREAK = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str, pattern: str, most: int = 150_000) -> None:
-        self.of, self.most, self.known = encoder(path, pattern).encode_ordinary, most, {}
+        encoding, added = encoder(path, pattern)
+        self.of, self.most, self.known = encoding.encode_ordinary, most, {}
+        self.added = {x: array("I", [k]).tobytes() for x, k in added.items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
 
     def chunk(self, text: str) -> bytes:
         return array("I", self.of(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self.plain(text)
+        parts = self.cut.split(text)
+        return b"".join(self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
+
+    def plain(self, text: str) -> bytes:
         first, *rest = self.BREAK.split(text) if self.RUN.search(text) else text.split(" ")
         known = self.known
         out = list(map(known.get, rest))
