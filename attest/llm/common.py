@@ -96,48 +96,55 @@ def grams(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 
 # --- Bloom filters of a bounded size: only ever a first sieve before an exact join ---
 
+#: A value sets two bits of one block, so that each block is made by one task from its own values.
+BLOOM_BLOCK, BLOOM_BITS = 1 << 16, 1 << 29
 
-def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block of each value, and its two bits there."""
     h = stirred(h.astype(np.uint64))
-    mask = np.uint64(size - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+    low = np.uint64(BLOOM_BLOCK - 1)
+    return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), (h & low).astype(np.int64), ((h >> np.uint64(16)) & low).astype(np.int64)
 
 
-def bloom(df: DataFrame, column: str, count: int, most_bits: int = 1 << 29, block: int = 1 << 20) -> np.ndarray:
+def bloom(df: DataFrame, column: str, count: int, most_bits: int = BLOOM_BITS) -> np.ndarray:
     """A Bloom filter (packed bits) of a long column: about 16 bits a value up to most_bits (64 MB). Beyond that it lets more through, and never loses a value.
 
-    Each partition marks its own bits; blocks of bits are or-ed by executors, so that the driver gets the finished filter only.
+    Values are dealt out by block, a task holds the blocks of its own values, and the driver gets the finished blocks.
     """
-    size = 1 << 20
-    while size < min(16 * count, most_bits):
-        size *= 2
+    blocks = -(-min(max(16 * count, 1), most_bits) // BLOOM_BLOCK)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            block, one, two = _bits(h.view(np.uint64), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(one << 16 | two)], names=["block", "bits"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for at in _bits(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size):
-                bits[at] = True
-        for k in range(0, size, block):
-            if bits[k : k + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // block], pa.int32()), pa.array([np.packbits(bits[k : k + block]).tobytes()], pa.binary())], ["block", "bits"])
-
-    def both(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(min(block, size) // 8, np.uint8)
-        for x in table.column("bits"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    kind = "block int, bits binary"
-    parts = df.select(column).coalesce(64).mapInArrow(mark, kind).groupBy("block").applyInArrow(both, kind).collect()
-    out = np.zeros(size // 8, np.uint8)
-    for r in parts:
-        out[r["block"] * block // 8 :][: min(block, size) // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+            block, bits = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, bits = block[order], bits[order]
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for part, k in zip(np.split(bits, starts[1:]), block[starts].tolist()) if len(block) else ():
+                own = held.setdefault(k, np.zeros(BLOOM_BLOCK // 8, np.uint8))
+                for at in (part >> 16, part & BLOOM_BLOCK - 1):
+                    np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        for k, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
+
+    parts = df.select(column).mapInArrow(deal, "block long, bits long").repartition("block").mapInArrow(mark, "block long, bits binary")
+    out = np.zeros((blocks, BLOOM_BLOCK // 8), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bits(h, len(bits) * 8)
-    return ((bits[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+    block, one, two = _bits(h, len(bits) * 8 // BLOOM_BLOCK)
+    block *= BLOOM_BLOCK // 8
+    return ((bits[block + (one >> 3)] >> (7 - (one & 7)).astype(np.uint8)) & (bits[block + (two >> 3)] >> (7 - (two & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def sieve(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
@@ -166,4 +173,4 @@ def free_name(df: DataFrame, want: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["F", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "words_of", "written"]
+__all__ = ["BLOOM_BITS", "F", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "words_of", "written"]
