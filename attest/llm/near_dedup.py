@@ -5,14 +5,15 @@ that agree in all rows of a band meet in a bucket. In a bucket of any size, cand
 
 1. each member is held against one member of its bucket (as many pairs as members): the one that meets most others in all its
    buckets together, which in a group of copies is the text that they were made from;
-2. links that are confirmed give components; buckets that lie within one component have nothing more to tell;
+2. links that are confirmed give components; buckets that lie within one component have nothing more to tell. In large
+   buckets with several components, a member of the second largest one is the next pivot, for some rounds;
 3. in the remaining buckets, the members outside the bucket's largest component are held against that component and each other,
    block by block inside a task, which puts out at most a spanning forest of the links of two blocks. Members of the largest
    component are not held against each other.
 
 A comparison first reads the signatures in batches: after each, the pair is dropped if the posterior probability of a
 similarity of at least the threshold, given the matches so far and a uniform prior, is under MISS. What survives is decided
-on the full sets, in integers. A link is lost only where no band agrees, at most (1 - t^ROWS)^BANDS (5e-8 at 0.8), or where
+on the full sets (of 64-bit hashes of shingles), in integers. A link is lost only where no band agrees, at most (1 - t^ROWS)^BANDS (5e-8 at 0.8), or where
 MISS strikes.
 """
 
@@ -22,21 +23,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bloom, grams, sieve, slices, stirred, words_of, written
+from .common import WordHashes, bloom, free_name, grams, sieve, slices, stirred, words_of, written
 from .graph import components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
-#: Members of a bucket that one task holds against as many others.
-BLOCK = 1024
+#: Members of a bucket that one task holds against as many others, and the shingles that their sets have at most together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Rounds of pivots after the first, for buckets of more than BLOCK members.
+PIVOT_ROUNDS = 4
 SHINGLE, PERCENT = 5, 80
 
 _rng = np.random.RandomState(7)
@@ -96,7 +98,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (128 bits that stand for the set), sig; for an empty set the last three are null."""
+    """doc_id, n_shingles, text_hash, f1 and f2 (128 bits that stand for the set), sig; for an empty set the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
@@ -106,22 +108,29 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 found = shingles(words_of(text), k, hashes)
                 n.append(len(found))
                 if len(found):
-                    x = xxhash.xxh128_digest(found.tobytes())
-                    f1.append(int.from_bytes(x[:8], "little", signed=True)), f2.append(int.from_bytes(x[8:], "little", signed=True)), sig.append(signature(found).tobytes())
+                    x, y = digest(found)
+                    f1.append(x), f2.append(y), sig.append(signature(found).tobytes())
                 else:
                     f1.append(None), f2.append(None), sig.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "text_hash", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, text_hash long, f1 long, f2 long, sig binary")
+
+
+def digest(found: np.ndarray) -> tuple[int, int]:
+    x = xxhash.xxh128_digest(found.tobytes())
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(words_of(x), k, hashes).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
+            sets = [shingles(words_of(x), k, hashes) for x in b.column(1).to_pylist()]
+            f = [digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[j] for x in f], pa.int64()) for j in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "f1", "f2", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, grams binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -164,12 +173,59 @@ def star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return with_both(likely, sets, "grams").mapInArrow(confirm, "a long, b long")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of batches in the order of their first three columns: tables that hold every row of each of their groups."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        if held and all(held[-1].column(k)[-1].as_py() == keys[k, 0] for k in range(3)):
+            new = np.flatnonzero((keys != keys[:, :1]).any(0))
+            if not len(new):
+                held.append(b)
+                continue
+            yield pa.Table.from_batches([*held, b.slice(0, int(new[0]))])
+            b, keys, held = b.slice(int(new[0])), keys[:, int(new[0]) :], []
+        if held:
+            yield pa.Table.from_batches(held)
+        last = int(np.flatnonzero((keys == keys[:, -1:]).all(0))[0])
+        if last:
+            yield pa.Table.from_batches([b.slice(0, last)])
+        held = [b.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def across(group: np.ndarray, own: np.ndarray, other: np.ndarray, component: np.ndarray, sig: np.ndarray, least: list[int], most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, of different components and of the group's two blocks, whose signatures do not rule them out; a few at a time.
+
+    own: a row's block; other: the block that its group holds it against. Rows of a group stand together.
+    """
+    at, d, head = np.arange(len(group)), 1, np.ascontiguousarray(sig[:, :BATCH])
+    while len(at := at[at + d < len(group)]) and len(at := at[group[at] == group[at + d]]):
+        met = at[(component[at] != component[at + d]) & (own[at + d] == other[at])]
+        for k in range(0, len(met), most):
+            a = met[k : k + most]
+            a = a[(head[a] == head[a + d]).sum(1) >= least[0]]
+            ok = may_be_similar(sig[a], sig[a + d], least)
+            if ok.any():
+                yield a[ok], a[ok] + d
+        d += 1
+
+
 def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within buckets: members (key, id, component) of buckets that hold several components."""
+    """Links across components within buckets: members (key, id, component) of buckets that hold several components.
+
+    The signatures alone are compared first, and only members that some other may be similar to are joined with their sets. A
+    block has about BLOCK members, or fewer if their sets hold more than BLOCK_SHINGLES shingles together.
+    """
     least = least_matches(percent)
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy(F.col("key").alias("k")).agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("m"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    told = members.join(classes.select("id", "n_shingles"), "id")
+    parts = told.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    size = F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)
+    sizes = parts.withColumn("s", size).groupBy(F.col("key").alias("k")).agg(F.max_by("component", F.struct("s", "component")).alias("major"), F.max("s").alias("m"), F.sum("s").alias("n"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n)).cast("int")
     sizes = sizes.select("k", "major", blocks(F.col("m")).alias("of_major"), blocks(F.col("n") - F.col("m")).alias("of_rest"))
     rows = members.join(sizes, F.col("key") == F.col("k"))
     # Blocks of the largest component have numbers from 0, those of the rest go on after them.
@@ -177,70 +233,133 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     rows = rows.withColumn("own", F.when(in_major, F.pmod(place, F.col("of_major"))).otherwise(F.col("of_major") + F.pmod(place, F.col("of_rest"))).cast("int"))
     met = F.sequence(F.when(in_major, F.col("of_major")).otherwise(F.lit(0)), F.col("of_major") + F.col("of_rest") - 1)
     rows = rows.withColumn("other", F.explode(met))
-    rows = rows.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = rows.join(classes.select("id", "sig"), "id").join(sets, "id")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, own = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        found = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        up = {c: c for c in comp}
-
-        def root(c: int) -> int:
-            while up[c] != c:
-                up[c] = c = up[up[c]]
-            return c
-
-        i, j = key[1], key[2]
-        out = []
-        for x in np.flatnonzero(own == i):
-            others = np.flatnonzero((own == j) & (comp != comp[x]) & ((ids > ids[x]) if i == j else True))
-            if len(others):
-                for y in others[may_be_similar(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)]:
-                    if root(comp[x]) != root(comp[y]) and linked(found[x], found[y], percent):
-                        up[root(comp[x])] = root(comp[y])
-                        out.append((ids[x], ids[y]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "own").join(classes.select("id", "sig"), "id")
+
+    def read(table: pa.Table) -> tuple[np.ndarray, ...]:
+        key, i, j, ids, component, own = (table.column(k).to_numpy() for k in range(6))
+        sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        return np.cumsum(new), ids, component, own, np.where(own == i, j, i), sig
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            group, _, component, own, other, sig = read(table)
+            met = np.zeros(len(group), bool)
+            for a, b in across(group, own, other, component, sig, least):
+                met[a] = met[b] = True
+            yield from table.filter(pa.array(met)).to_batches()
 
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            group, ids, component, own, other, sig = read(table)
+            sets, up, out = table.column(7), {}, []
+
+            def root(c: tuple) -> tuple:
+                while c in up:
+                    if up[c] in up:
+                        up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            for x, y in across(group, own, other, component, sig, least):
+                for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                    one, two = root((group[a], component[a])), root((group[b], component[b]))
+                    if one != two and linked(np.frombuffer(sets[a].as_py(), np.uint64), np.frombuffer(sets[b].as_py(), np.uint64), percent):
+                        up[one] = two
+                        out.append((ids[a], ids[b]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    kind = "key long, i int, j int, id long, component long, own int, sig binary"
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = [x.split()[0] for x in kind.split(", ")]
+    near = written(dealt(rows.select(*names)).mapInArrow(possible, kind), "possible")
+    return dealt(near.join(sets, "id").select(*names, "grams")).mapInArrow(confirm, "a long, b long")
+
+
+def open_buckets(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links, and the members (key, id, component) of buckets that hold several."""
+    first = components(links)
+    placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") < F.col("d")).select(F.col("key").alias("k"))
+    return first, written(placed.join(mixed, F.col("key") == F.col("k"), "left_semi"), "open")
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row for each row given.
 
-    A text without words, or null, has no shingles and is linked with nothing; fewer words than a shingle has are one
-    shingle. doc_id names a document: rows that share it are one node, with the links of all their texts, and are kept or
-    dropped together. A row whose doc_id is null passes on no link: it takes the component of its class, if that has an id,
-    and is kept otherwise. Other columns are not read. An empty table gives an empty table.
-    """
+def next_pairs(members: DataFrame) -> DataFrame:
+    """For large buckets (key, id, component) of several components: a member of the second largest one, with all members of other components."""
+    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key")
+    rows = members.join(large, "key", "left_semi")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
+    two = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "component")).alias("major"))
+    second = parts.join(two, F.col("key") == F.col("k")).where(F.col("component") != F.col("major.component")).groupBy("k").agg(F.max_by(F.struct("pivot", "component"), F.struct("n", "component")).alias("p"))
+    met = rows.join(second, F.col("key") == F.col("k")).where(F.col("component") != F.col("p.component"))
+    return met.select(F.greatest("id", "p.pivot").alias("a"), F.least("id", "p.pivot").alias("b")).distinct()
+
+
+def classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash, component_id: one row for each row given."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(sketched(docs, shingle), "sketches")
-    sets = rows.where(F.col("f1").isNotNull()).groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
-    classes = written(sets.where(F.col("id").isNotNull()), "classes")
-    heads = written(rows.join(classes.withColumn("doc_id", F.col("id")), ["f1", "f2", "doc_id"]).select("id", "f1", "f2", "sig").dropDuplicates(["id", "f1", "f2"]).select("id", "sig"), "heads")
+    sets = rows.where(F.col("f1").isNotNull()).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"))
+    sets = written(sets.where(F.col("doc").isNotNull()), "classes")
+    # A class is named by its least doc_id; classes that share it, which takes a doc_id with several texts, by a hash, but for one.
+    twins = sets.groupBy(F.col("doc").alias("d")).agg(F.min(F.struct("f1", "f2")).alias("head"), F.count("*").alias("n")).where("n > 1").select("d", "head")
+    own = F.col("head").isNull() | (F.col("head") == F.struct("f1", "f2"))
+    classes = written(sets.join(twins, F.col("doc") == F.col("d"), "left").select("f1", "f2", "doc", "n_shingles", F.when(own, F.col("doc")).otherwise(F.xxhash64("f1", "f2", "doc")).alias("id")), "named")
+    heads = rows.select("f1", "f2", "doc_id", "sig").join(classes.withColumnRenamed("doc", "doc_id"), ["f1", "f2", "doc_id"])
+    heads = written(heads.dropDuplicates(["f1", "f2"]).select("id", "doc_id", "n_shingles", "sig", "f1", "f2"), "heads")
     keys = band_keys(heads)
     full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") < F.col("z")).select(F.col("key").alias("k"), "size")
     members = written(keys.join(full, F.col("key") == F.col("k")).select("key", "id", "size"), "members")
     central = members.groupBy("id").agg(F.sum("size").alias("met"))
     pivots = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot")).withColumnRenamed("key", "k")
     pairs = members.select("key", "id").join(pivots, F.col("key") == F.col("k")).where(F.col("id") != F.col("pivot")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-    ids = written(members.select("id").distinct(), "met")
-    near = sieve(docs, "doc_id", bloom(ids, "id", ids.count())).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    grams_of = written(sets_of(near, shingle), "sets")
+    ids = written(heads.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "f1", "f2"), "met")
+    near = sieve(docs, "doc_id", bloom(ids, "doc_id", ids.count()))
+    grams_of = written(sets_of(near, shingle).join(ids, ["doc_id", "f1", "f2"]).dropDuplicates(["id"]).select("id", "grams"), "sets")
     links = written(star_links(pairs, heads, grams_of, percent), "links")
-    first = components(links)
-    placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") < F.col("d")).select(F.col("key").alias("k"))
-    open_rows = written(placed.join(mixed, F.col("key") == F.col("k"), "left_semi"), "open")
-    more = written(block_links(open_rows, heads, grams_of, percent), "more-links")
-    last = components(links.unionByName(more)) if more.limit(1).count() else first
-    found = written(classes.join(last, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component")), "found")
+    last, still = open_buckets(members.select("key", "id"), links)
+    for _ in range(PIVOT_ROUNDS):
+        pairs = written(next_pairs(still), "next-pairs")
+        if not pairs.limit(1).count():
+            break
+        more = written(star_links(pairs, heads, grams_of, percent), "links")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        last, still = open_buckets(members.select("key", "id"), links)
+    more = written(block_links(still, heads, grams_of, percent), "more-links")
+    if more.limit(1).count():
+        last = components(links.unionByName(more))
+    # The least doc_id of a component: names of classes may be hashes.
+    placed = classes.join(last, "id", "left").select("f1", "f2", "doc", F.coalesce("component", "id").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+    found = written(placed.join(least, "component").select("f1", "f2", "least"), "found")
     out = rows.drop("sig").join(found, ["f1", "f2"], "left")
-    # What a class without ids, or an empty set, leaves open is the row's own id. Rows of one doc_id share the least component.
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # What a class without ids, or an empty set, leaves open is the row's own id.
+    return out.select("doc_id", "n_shingles", "text_hash", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row for each row given.
+
+    A text without words, or null, has no shingles and is linked with nothing; fewer words than a shingle has are one
+    shingle. Links are between texts, and component_id is the least doc_id of the texts that are reached: rows that share a
+    doc_id but not their text are judged each by its own text. A row whose doc_id is null passes on no link: it takes the component of its
+    class, if that has an id, and is kept otherwise. Repeated rows have equal results. Other columns are not read. An empty table gives an
+    empty table. Sets are held as sorted 64-bit hashes of their shingles.
+    """
+    return classed(docs, shingle, percent).drop("text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with the columns of docs; rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs that near_duplicates() keeps, with the columns of docs and their values, whatever the columns are called.
+
+    A row goes if its own text is linked with one of a smaller doc_id; other texts under the same doc_id stay. Rows without
+    doc_id go if their text is that of a row with one, and stay otherwise. Repeated rows stay or go together. Null and empty texts stay; an empty table gives an
+    empty table.
+    """
+    doc, text = free_name(docs, "_gone"), free_name(docs, "_gone_text")
+    found = classed(docs, shingle, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(gone, same, "left_anti")
