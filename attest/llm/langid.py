@@ -3,6 +3,9 @@
 The model is fitted on a bounded sample of the labelled documents (about PER_LANGUAGE of each language, chosen by a digest of
 doc_id, whole texts). It is a matrix of log probabilities, languages by ORDERS by BUCKETS, broadcast to the executors: 3 MB for
 four languages. Every n-gram of every whole text is then scored in numpy, a batch of texts at a time.
+
+Languages are taken A_PASS at a time, so that what the driver, a task and a broadcast hold is bounded (A_PASS times 0.8 MB) however
+many there are: more languages mean more passes, whose best languages and posterior masses are merged for each row.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 16
-#: Bounds of the training sample, in documents of a language and, for the matrix, in languages.
-PER_LANGUAGE, MOST_LANGUAGES = 4000, 512
+#: The bound of the training sample, in documents of a language; languages of one matrix.
+PER_LANGUAGE, A_PASS = 4000, 64
+SMOOTHING = 0.1
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -67,16 +71,23 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from rows with a text and a lang; no other column is read but doc_id, by which the sample is drawn."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(counts)
+def language_counts(docs: DataFrame) -> dict[str, int]:
+    """Documents of each language, among those with a text and a lang."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    return {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+
+def fit(docs: DataFrame, counts: dict[str, int], languages: list[str] | None = None, per_language: int = PER_LANGUAGE) -> Model:
+    """A model of some (at most A_PASS or so) of the languages counted, from rows with a text and a lang; doc_id draws the sample."""
+    languages = sorted(counts if languages is None else languages)
     if not languages:
         return Model([], np.zeros(0), np.zeros((0, len(ORDERS), BUCKETS), np.float32))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
     share = F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang])))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share * (1 << 30)
-    sample = rows.where(F.col("lang").isin(languages) & drawn).select("text", "lang").repartition(8)
+    # A table for each language and task is summed below: the sample goes to a number of tasks that its size sets.
+    tasks = max(1, sum(min(per_language, counts[x]) for x in languages) // 2000)
+    sample = rows.where(F.col("lang").isin(languages) & drawn).select("text", "lang").repartition(tasks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -90,52 +101,70 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                     np.add.at(inside, ends[::2], 1)
                     np.add.at(inside, ends[1::2], -1)
                     inside = np.cumsum(inside)[: len(points) - 2] > 0
-                    table = held.setdefault(lang, np.zeros((len(ORDERS), BUCKETS), np.int64))
+                    table = held.setdefault(lang, np.zeros((len(ORDERS), BUCKETS), np.int32))
                     for j, order in enumerate(ORDERS):
-                        table[j] += np.bincount(buckets(points, order)[inside], minlength=BUCKETS)
+                        table[j] += np.bincount(buckets(points, order)[inside], minlength=BUCKETS).astype(np.int32)
         for lang, table in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([table.tobytes()], pa.binary())], ["lang", "counts"])
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(len(ORDERS) * BUCKETS, np.int64)
         for x in table.column("counts"):
-            out += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    kind = "lang string, counts binary"
-    found = {r["lang"]: np.frombuffer(r["counts"], np.int64).reshape(len(ORDERS), BUCKETS) for r in sample.mapInArrow(count, kind).groupBy("lang").applyInArrow(total, kind).collect()}
-    languages = [x for x in languages if x in found]
-    table = np.stack([found[x] for x in languages]).astype(np.float64) + 0.1
-    prior = np.log(np.array([counts[x] for x in languages], float) / sum(counts[x] for x in languages))
-    return Model(languages, prior, np.log(table / table.sum(2, keepdims=True)).astype(np.float32))
+            out += np.frombuffer(x.as_buffer(), np.int32)
+        return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
+    found = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
+    weights = np.full((len(languages), len(ORDERS), BUCKETS), np.float32(SMOOTHING))
+    for r in found.toLocalIterator():
+        weights[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.float32).reshape(len(ORDERS), BUCKETS)
+    for table in weights:
+        table[:] = np.log(table / table.sum(1, dtype=np.float64, keepdims=True))
+    return Model(languages, np.log(np.array([counts[x] for x in languages], float) / sum(counts.values())), weights)
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (posterior probability of lang_pred), one row for each row given; doc_id and text alone are read.
 
-    A null text, one without a letter, and any text under a model without languages is `und` with score 0. Ties go to the
-    language that sorts first. Rows repeat as given; an empty table gives an empty table.
-    """
+def scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep`, and of the model's languages: lang (the likeliest), joint (its log probability with the text), mass (the sum over all, relative to it); null where nothing can be said."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in slices(batches, 1, 1 << 20):
-            texts = b.column(1).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for b in slices(batches, b_text, 1 << 20):
+            texts = b.column(b_text).to_pylist()
+            langs, joint, mass = [[None] * len(texts) for _ in range(3)]
             told = [k for k, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
             if told:
                 got = model.scores([texts[k] for k in told])
                 best = got.argmax(1)
-                sure = 1 / np.exp(got - got.max(1, keepdims=True)).sum(1)
-                for k, i, s in zip(told, best, sure, strict=True):
-                    langs[k], scores[k] = model.languages[i], float(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                top = got.max(1)
+                for k, i, s, m in zip(told, best.tolist(), top.tolist(), np.exp(got - top[:, None]).sum(1).tolist(), strict=True):
+                    langs[k], joint[k], mass[k] = model.languages[i], s, m
+            yield pa.RecordBatch.from_arrays([*b.columns[:b_text], pa.array(langs, pa.string()), pa.array(joint, pa.float64()), pa.array(mass, pa.float64())], names=[*keep, "lang", "joint", "mass"])
+
+    b_text = len(keep)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, lang string, joint double, mass double")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
+def language_id(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE, a_pass: int = A_PASS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (posterior probability of lang_pred), one row for each row given.
 
-def language_id(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """predict() over docs by a model of the rows where held_out is false, with held_out (told from doc_id) as a column."""
-    out = predict(docs, fit(docs.where(~held_out), per_language))
-    return out.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+    Learns from the rows where held_out (told from doc_id) is false and text and lang are not null; a prediction reads the text alone. A
+    null text, one without a letter, and any text if nothing was learnt, is `und` with score 0. Ties go to the
+    language that sorts first. Rows repeat as given, doc_id may be null; other columns are not read. An empty table gives an empty table.
+    """
+    train = docs.where(~held_out)
+    counts = language_counts(train)
+    names = sorted(counts)
+    passes = [names[k : k + a_pass] for k in range(0, len(names), a_pass)] or [[]]
+    if len(passes) == 1:
+        out = scored(docs, fit(train, counts, names, per_language), ("doc_id",))
+    else:
+        rows, told = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "langid-rows"), None
+        for k, part in enumerate(passes):
+            one = written(scored(rows, fit(train, counts, part, per_language), ("row", "doc_id")).withColumn("k", F.lit(-k)), "langid-pass")
+            told = one if told is None else told.unionByName(one)
+        best = F.max_by(F.struct("lang", "joint"), F.struct("joint", "k")).alias("best")
+        merged = told.groupBy("row").agg(F.first("doc_id").alias("doc_id"), best, F.collect_list(F.struct("joint", "mass")).alias("all"))
+        mass = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.coalesce(x["mass"] * F.exp(x["joint"] - F.col("best.joint")), F.lit(0.0)))
+        out = merged.select("doc_id", F.col("best.lang").alias("lang"), F.when(F.col("best.joint").isNotNull(), mass).alias("mass"))
+    return out.select("doc_id", held_out.alias("held_out"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / F.col("mass"), F.lit(0.0)).alias("score"))
