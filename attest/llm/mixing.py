@@ -1,13 +1,14 @@
 """Mixing sources to target weights, in DataFrame operations only: Pareto order sampling after certain whole copies.
 
-A source whose target is r times its words owes each of its documents r copies: floor(r) of them are certain, and the rest
-is an inclusion probability p. The documents of a source are ranked by random odds over inclusion odds,
-u/(1-u) : p/(1-p), and the first ones are taken until their words are as near as may be to what the target still lacks: a
-sample of fixed size (in words), whose inclusion probabilities differ from source to source. u is a function of doc_id and
-a seed, so that reruns agree.
-
-No source is ever ranked in one task. The ranks are first summed over BINS ranges of u for each source; whole ranges
-below the cut are taken, and only the documents in the one range where the cut falls are ordered.
+A source whose target is r times its words owes each of its documents floor(r) certain copies. The rest, a share p of its words, is
+sampled: a document of s words has inclusion odds p/(1-p) * s/m, m being the mean of its source, so that longer documents are
+likelier, and is ranked by random odds over inclusion odds, u/(1-u) over those. The first ones are taken until their
+words are as near as may be to what the target still lacks: a sample of fixed size (in words) with unequal probabilities. u is
+a function of doc_id and a seed, so that reruns agree.
+
+No source is ever ranked in one task. The rank's logarithm is cut into RANGES ranges; their words are summed for each source, the range
+where the cut falls is cut into RANGES ranges again, LEVELS times. Ranges below the cut are taken whole, and only the documents in the last
+range where it falls (one part in RANGES^LEVELS of the scale) are ordered.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, written
 
-BINS = 1 << 14
+RANGES, LEVELS = 256, 3
+#: The logarithm of u/(1-u)/s lies within these bounds: u has 52 bits, and a text fewer than 2^40 words.
+LOW, HIGH = -64.0, 64.0
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 
@@ -37,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Weights go round the sources in code-point order, null last. Sources reach `most` times their size in the order of
     size by weight; each is held there if the level of those not yet held exceeds it, which is what resharing ends in.
-    The table has a row for each source, and is ordered in one task.
+    The table has a row for each source and no more, and is ordered in one task.
     """
     ranked = sizes.withColumn("_k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_k") - 1) % len(weights) + 1).cast("int")).cast("long")
@@ -52,42 +55,67 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return level.select("source", "source_size", F.when(held, (most * F.col("source_size")).cast("double")).otherwise(F.col("_cut.l") * F.col("_w")).alias("target"))
 
 
-def mixed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, bins: int = BINS) -> DataFrame:
-    """The columns `keep` of docs, and size, source_size, target, taken, _copies, one row for each row given.
+def odds(size: Column, share: Column, mean: Column) -> Column:
+    """Inclusion odds of a document of a source of which `share` is to be sampled."""
+    return F.try_divide(share, 1 - share) * F.try_divide(size, mean)
+
+
+def mixed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, ranges: int = RANGES, levels: int = LEVELS) -> DataFrame:
+    """The columns `keep` of docs, and size, source_size, target, taken, inclusion_odds, _copies, one row for each row given.
 
     A null text has no words; rows without words are never taken. Null is a source of its own. Rows with the same doc_id
-    have the same rank; ties are broken by size, and rows equal in both are taken in any order, which gives the same rows. A
-    null doc_id ranks as an empty string. An empty table gives an empty table.
+    have the same u; ties are broken by size, and rows equal in both are taken in any order, which gives the same rows. A
+    null doc_id draws as an empty string. An empty table gives an empty table.
     """
-    u = F.col("_u")
-    rows = docs.select(*keep, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("_u"), F.col("doc_id").alias("_id"))
-    rows = rows.withColumn("_bin", F.floor(u * bins).cast("int"))
-    summed = written(rows.groupBy("_source", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
-    goals = targets(summed.groupBy("_source").agg(F.sum("_words").alias("source_size")).withColumnRenamed("_source", "source"), weights, most)
-    goals = goals.withColumns({"_sure": F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")})
-    goals = goals.withColumn("_lack", F.col("target") - F.col("_sure") * F.col("source_size")).withColumnRenamed("source", "_source")
-    # p is the same throughout a source, and u/(1-u) : p/(1-p) rises with u: ranges of u are ranges of the ranking.
-    at = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cut = summed.withColumn("_below", F.coalesce(F.sum("_words").over(at), F.lit(0))).join(goals, summed["_source"].eqNullSafe(goals["_source"])).drop(goals["_source"])
-    cut = cut.where((F.col("_below") <= F.col("_lack")) & (F.col("_lack") < F.col("_below") + F.col("_words")))
-    goals = written(goals.join(cut.select(F.col("_source").alias("_s"), F.col("_bin").alias("_cut_bin"), "_below"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-goals")
-    rows = rows.join(goals.withColumnRenamed("_source", "_goal"), F.col("_source").eqNullSafe(F.col("_goal")), "left").drop("_goal")
-    p = F.try_divide(F.col("_lack"), F.col("source_size"))
-    odds = F.try_divide(u / (1 - u), F.try_divide(p, 1 - p))
-    in_cut = F.col("_bin") == F.col("_cut_bin")
-    # Every range but the one of the cut is decided by its number. Only the latter's rows go to the window below.
-    sure = rows.where(~F.coalesce(in_cut, F.lit(False))).withColumn("_extra", F.when(F.coalesce(F.col("_bin") < F.col("_cut_bin"), F.col("_lack") > 0), F.lit(1)).otherwise(F.lit(0)))
-    order = Window.partitionBy("_source").orderBy("_odds", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.where(in_cut).withColumn("_odds", odds).withColumn("_before", F.col("_below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    near = near.withColumn("_extra", F.when(F.col("_lack") - F.col("_before") >= F.col("size") / 2, F.lit(1)).otherwise(F.lit(0))).drop("_odds", "_before")
+    u, size = F.col("_u"), F.col("size")
+    rows = docs.select(*keep, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("_u"))
+    # What orders the documents of a source: the odds of the source are the same for all of them.
+    rows = rows.withColumn("_rank", F.when(size > 0, u / ((1 - u) * size)))
+    rows = rows.withColumn("_log", F.greatest(F.lit(0.0), F.least(F.lit(1 - 1e-9), (F.log("_rank") - LOW) / (HIGH - LOW))))
+    # A path of ranges, one number a level: floor(ranges x), floor(ranges of what is left), and so on.
+    whole = F.floor(F.col("_log") * float(ranges**levels)).cast("long")
+    rows = rows.withColumn("_path", F.when(size > 0, whole)).drop("_log")
+    narrow = written(rows.select("_source", "_path", "size"), "mix-sizes")
+    told = written(narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("_path").alias("_n")), "mix-sources")
+    goals = targets(told.select(F.col("_source").alias("source"), "source_size"), weights, most)
+    goals = goals.withColumn("_sure", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long"))
+    goals = goals.withColumn("_lack", F.col("target") - F.col("_sure") * F.col("source_size")).withColumnRenamed("source", "_goal")
+    goals = goals.join(told.select(F.col("_source").alias("_s"), "_n"), F.col("_goal").eqNullSafe(F.col("_s"))).drop("_s")
+    cut = written(goals.withColumns({"_first": F.lit(0).cast("long"), "_last": F.lit(ranges**levels - 1).cast("long"), "_below": F.lit(0).cast("long")}), "mix-goals")
+    for level in range(levels - 1, -1, -1):
+        width = ranges**level
+        inside = narrow.join(cut.select("_goal", "_first", "_last"), F.col("_source").eqNullSafe(F.col("_goal")) & F.col("_path").between(F.col("_first"), F.col("_last")))
+        summed = inside.groupBy("_goal", F.expr(f"_path div {width}").alias("_part")).agg(F.sum("size").alias("_words"))  # at most `ranges` rows a source
+        at = Window.partitionBy("_goal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        summed = summed.withColumn("_sum", F.coalesce(F.sum("_words").over(at), F.lit(0))).withColumnRenamed("_goal", "_s")
+        here = (F.col("_below") + F.col("_sum") <= F.col("_lack")) & (F.col("_lack") < F.col("_below") + F.col("_sum") + F.col("_words"))
+        step = cut.join(summed, F.col("_goal").eqNullSafe(F.col("_s"))).where(here)
+        step = step.select(F.col("_goal").alias("_s"), (F.col("_part") * width).alias("_a"), (F.col("_part") * width + width - 1).alias("_z"), (F.col("_below") + F.col("_sum")).alias("_b"))
+        # A source without a cut (nothing to sample) keeps no range: it ends in one that lies below all.
+        cut = cut.join(step, F.col("_goal").eqNullSafe(F.col("_s")), "left").drop("_s")
+        cut = cut.withColumns({"_first": F.coalesce("_a", F.lit(-1)), "_last": F.coalesce("_z", F.lit(-1)), "_below": F.coalesce("_b", F.lit(0))}).drop("_a", "_z", "_b")
+        cut = written(cut, "mix-goals")
+    rows = rows.join(cut.drop("_last"), F.col("_source").eqNullSafe(F.col("_goal")), "left").drop("_goal")
+    share = F.try_divide(F.col("_lack"), F.col("source_size"))
+    mean = F.try_divide(F.col("source_size"), F.col("_n"))
+    rows = rows.withColumn("inclusion_odds", F.coalesce(odds(size, share, mean), F.lit(0.0)))
+    in_cut = F.coalesce(F.col("_path") == F.col("_first"), F.lit(False))
+    # Every range but that of the cut is decided by its number. Only the latter's rows go to the window below.
+    sure = rows.where(~in_cut).withColumn("_extra", F.when(F.col("_path") < F.col("_first"), F.lit(1)).otherwise(F.lit(0)))
+    order = Window.partitionBy("_source").orderBy("_pareto", "_rank", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.where(in_cut).withColumn("_pareto", F.try_divide(u / (1 - u), F.col("inclusion_odds"))).withColumn("_before", F.col("_below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    near = near.withColumn("_extra", F.when(F.col("_lack") - F.col("_before") >= size / 2, F.lit(1)).otherwise(F.lit(0))).drop("_pareto", "_before")
     both = sure.unionByName(near)
-    copies = F.when(F.col("size") > 0, F.col("_sure") + F.col("_extra")).otherwise(F.lit(0)).cast("long")
-    return both.withColumn("_copies", copies).select(*keep, "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"), "_copies")
+    copies = F.when(size > 0, F.col("_sure") + F.col("_extra")).otherwise(F.lit(0)).cast("long")
+    return both.withColumn("_copies", copies).select(*keep, "size", "source_size", "target", (size * F.col("_copies")).alias("taken"), "inclusion_odds", "_copies")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs."""
-    kept = [c for c in docs.columns]
-    held = docs.select(F.struct(*kept).alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
+    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs and their values, whatever the columns are called.
+
+    Rows without words (null or empty texts) are never taken; a repeated row is taken as often for each of its copies. An
+    empty table gives an empty table.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
     taken = mixed(held, keep=("_row",), **how).where(F.col("_copies") > 0)
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row.*")
