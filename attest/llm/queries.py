@@ -86,27 +86,36 @@ g AS (SELECT source, source_size,
              CASE WHEN first_free IS NULL OR place < first_free THEN (3 * source_size)::DOUBLE
                   ELSE (SELECT min(level) FROM f AS x WHERE x.place = f.first_free) * weight END AS target
       FROM f),
-h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM g),
-j AS (SELECT d.*, source_size, target, sure, target - sure * source_size AS lack,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+n AS (SELECT source, count(*) FILTER (WHERE size > 0) AS n FROM d GROUP BY source),
+h AS (SELECT g.*, n.n, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM g JOIN n ON g.source IS NOT DISTINCT FROM n.source),
+p AS (SELECT *, target - sure * source_size AS lack, CASE WHEN source_size > 0 THEN (target - sure * source_size) / source_size::DOUBLE END AS share FROM h),
+o AS (SELECT d.*, source_size, target, sure, lack,
+             CASE WHEN size > 0 THEN (share / (1 - share)) * (size::DOUBLE / (source_size::DOUBLE / n::DOUBLE)) ELSE 0 END AS inclusion_odds,
+             CASE WHEN size > 0 THEN u / ((1 - u) * size) END AS rank
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+j AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY size = 0, CASE WHEN inclusion_odds > 0 THEN u / (1 - u) / inclusion_odds END, rank, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 SELECT doc_id, size, source_size, target,
-       (size * CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN lack > 0 AND lack - before >= size / 2 THEN 1 ELSE 0 END END)::BIGINT AS taken
+       (size * CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN lack > 0 AND lack - before >= size / 2 THEN 1 ELSE 0 END END)::BIGINT AS taken, inclusion_odds
 FROM j
 """
 
 
 def _op7() -> str:
     known = ", ".join(f"({k}, {_quoted(name)}, {_quoted(notice)})" for k, (name, notice) in enumerate(licenses.TEMPLATES))
-    norm = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\pL\pN.]+', ' ', 'g'), '\.+( |$)|\.\.+', ' ', 'g'), ' +', ' ', 'g'))"
-    pairs = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    words = r"string_split(trim(regexp_replace(lower({0}), '[^\pL\pN]+', ' ', 'g')), ' ')"
+    pairs = "[w[i] || ' ' || w[i + 1] for i in range(1, len(w))]"
     return f"""
-WITH t AS (SELECT k, license_id, {pairs} AS b FROM (SELECT k, license_id, string_split({norm.format("notice")}, ' ') AS w FROM (VALUES {known}) AS v(k, license_id, notice))),
-d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE length(text) > 0),
-a AS (SELECT row_number() OVER () AS id, doc_id, {pairs} AS a FROM (SELECT doc_id, string_split({norm.format("line")}, ' ') AS w FROM d) WHERE len(w) BETWEEN 2 AND 200),
-s AS (SELECT a.id, a.doc_id, t.k, t.license_id, 2.0::DOUBLE * len(list_intersect(a.a, t.b)) / (len(a.a) + len(t.b)) AS dice FROM a JOIN t ON len(a.a) BETWEEN len(t.b) * 0.8 / 1.2 AND len(t.b) * 1.2 / 0.8),
-m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, k) AS place FROM s WHERE dice >= 0.8)
-SELECT doc_id, license_id, max(dice)::DOUBLE AS dice, count(*) AS n_lines FROM m WHERE place = 1 GROUP BY doc_id, license_id
+WITH t AS (SELECT *, list_distinct(seq) AS b, len(seq) AS n FROM (SELECT k, license_id, {pairs} AS seq FROM (SELECT k, license_id, {words.format("notice")} AS w FROM (VALUES {known}) AS v(k, license_id, notice)))),
+d AS (SELECT row_number() OVER () AS id, doc_id, {pairs} AS g FROM (SELECT doc_id, {words.format("text")} AS w FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT d.*, t.*, ceil(len(t.b) * 0.8 / 1.2 - 1e-9) AS need FROM d JOIN t ON list_has_any(d.g, t.b)),
+e AS (SELECT * FROM c WHERE len(list_intersect(list_distinct(g), b)) >= need),
+p AS (SELECT e.*, unnest(list_filter([CASE WHEN list_position(seq, g[i]) > 0 THEN greatest(i - list_position(seq, g[i]), 0) END for i in range(1, len(g) + 1)], lambda x: x IS NOT NULL)) AS s FROM e),
+s AS (SELECT id, doc_id, k, license_id, n, s, any_value(b) AS b, list_distinct(any_value(g)[s + 1 : s + n]) AS a FROM p GROUP BY id, doc_id, k, license_id, n, s HAVING count(*) >= ceil(len(any_value(b)) / 20)),
+m AS (SELECT id, doc_id, k, license_id, n, s, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM s WHERE len(a) BETWEEN len(b) * 0.8 / 1.2 AND len(b) * 1.2 / 0.8),
+h AS (SELECT * FROM m WHERE dice >= 0.8)
+SELECT doc_id, license_id, max(dice)::DOUBLE AS dice, count(*) AS n_matches FROM h AS x
+WHERE NOT EXISTS (SELECT 1 FROM h AS y WHERE y.id = x.id AND x.s < y.s + y.n AND y.s < x.s + x.n AND (y.dice, y.n, -y.k, -y.s) > (x.dice, x.n, -x.k, -x.s))
+GROUP BY doc_id, license_id
 """
 
 
