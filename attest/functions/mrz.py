@@ -196,14 +196,18 @@ def parsed(lines: Column, name: str, year: int) -> Column:
     return F.when(shape_error(lines, name).isNull(), let(once, told))
 
 
-def score(lines: Column, name: str) -> Column:
-    """Number of valid checks; 0 where the lines do not have the format, have an unweighable character or a date that is none."""
+def has_format(lines: Column, name: str) -> Column:
+    """Whether lines have the shape of a format and two dates that are some."""
     f = FORMATS[name]
     dates = [date_of(_cut(lines, s), kind, 2000).isNotNull() for s, kind in ((f.birth, "birth"), (f.expiry, "expiry"))]
-    fine = shape_error(lines, name).isNull() & dates[0] & dates[1]
+    return F.coalesce(shape_error(lines, name).isNull() & dates[0] & dates[1], F.lit(False))
+
+
+def score(lines: Column, name: str) -> Column:
+    """Number of valid checks; 0 where the lines do not have the format, have an unweighable character or a date that is none."""
     results = let(_read(lines, name), lambda x: F.array(*checks(x, name).values()))
     count = let(results, lambda x: F.when(F.forall(x, lambda v: v.isNotNull()), F.size(F.filter(x, lambda v: v))).otherwise(0))
-    return F.when(fine, count).otherwise(0)
+    return F.when(has_format(lines, name), count).otherwise(0)
 
 
 def two_line_score(lines: Column) -> Column:
@@ -223,16 +227,20 @@ def fully_valid(lines: Column) -> Column:
 
 
 def repaired_td3(lines: Column) -> Column:
-    """A short first line is filled up; into a short second line fillers go before its last two digits. Of the readings, the one with most valid checks, the plain one first."""
+    """A short first line is filled up; into a short second line fillers go before its last two digits. Of the readings that have the
+    format and dates, the one with most valid checks, the plain one first; the plain one if there is none."""
     n = F.transform(lines, lambda x: F.replace(F.upper(F.trim(x)), F.lit(" "), F.lit("<")))
     first, second = F.get(n, F.lit(0)), F.get(n, F.lit(1))
     first = F.when(first.startswith("P") & (F.length(first) < 44), F.rpad(first, 44, "<")).otherwise(first)
     short = F.length(second).between(30, 43) & second.rlike("[0-9]{2}$")
     filled = F.concat(F.substring(second, F.lit(1), F.length(second) - 2), F.repeat(F.lit("<"), F.lit(44) - F.length(second)), F.right(second, F.lit(2)))
-    plain = F.array(first, second)
-    other = F.array(first, filled)
-    fits = F.length(second) == 44
-    return F.when(F.size(n) != 2, n).when(short & (F.length(first) == 44) & ~fits, other).otherwise(plain)
+
+    def best(x: Column) -> Column:
+        scores = F.transform(x, lambda c: F.when(has_format(c, "TD3"), score(c, "TD3")).otherwise(-1))
+        return F.get(x, F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+
+    readings = F.concat(F.array(F.array(first, second)), F.when(short, F.array(F.array(first, filled))).otherwise(F.array().cast("array<array<string>>")))
+    return F.when(F.size(n) != 2, n).otherwise(let(readings, best))
 
 
 def td1_candidates(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, documents, evidence
+from . import biometrics, documents, evidence, zones
 
-QUERIES = {**biometrics.QUERIES, **evidence.QUERIES, **documents.QUERIES}
-ORACLES = {**biometrics.ORACLES, **evidence.ORACLES, **documents.ORACLES}
+QUERIES = {**biometrics.QUERIES, **evidence.QUERIES, **documents.QUERIES, **zones.QUERIES}
+ORACLES = {**biometrics.ORACLES, **evidence.ORACLES, **documents.ORACLES, **zones.ORACLES}

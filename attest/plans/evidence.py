@@ -5,123 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import barcodes, masks, mrz, national, text
-from ..functions.let import settled
+from ..functions import barcodes, masks, national, text
 from ..operators import fusion
 from ..sources import images, manifest
 from ..sources.tables import table
 
-YEAR = 2025
-
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer")
 
 
-def _number(key: Column) -> Column:
-    return F.concat(F.lit("L"), F.lpad(key.cast("string"), 8, "0"))
-
-
-def _day(key: Column, base: int) -> Column:
-    """YYMMDD of a day that depends on the key; every 50th key gives a month that is none."""
-    yy = (base + key % 40) % 100
-    return F.concat(F.lpad(yy.cast("string"), 2, "0"), F.when(key % 50 == 0, F.lit("13")).otherwise(F.lpad((key % 12 + 1).cast("string"), 2, "0")), F.lpad((key % 28 + 1).cast("string"), 2, "0"))
-
-
-def _name_zone(key: Column, name: Column, width: int) -> Column:
-    surname = F.upper(F.regexp_replace(name, "[^A-Za-z]", "<"))
-    return F.rpad(F.concat(F.substring(surname, 1, 8), F.when(key % 6 == 0, F.lit("<")).otherwise(F.lit("<<")), F.lit("ANNA<MARIA")), width, "<")
-
-
-def _checked(value: Column) -> Column:
-    return F.concat(value, mrz.check_digit(value).cast("string"))
-
-
-def td3_lines(customers: DataFrame) -> DataFrame:
-    """key, l1, l2: valid zones, but that every seventh has a wrong digit in its number."""
-    k = F.col("c_custkey")
-    body = settled(customers.select(k.alias("key"), F.concat(F.lit("P<UTO"), _name_zone(k, F.col("c_name"), 39)).alias("l1"), _checked(_number(k)).alias("number"), _checked(_day(k, 60)).alias("birth"), _checked(_day(k, 5)).alias("expiry"), F.when(k % 3 == 0, "<").when(k % 3 == 1, "F").otherwise("M").alias("sex"), _checked(F.rpad(k.cast("string"), 14, "<")).alias("personal")))
-    joined = F.concat("number", F.lit("UTO"), "birth", "sex", "expiry", "personal")
-    composite = mrz.check_digit(F.concat("number", "birth", "expiry", "personal")).cast("string")
-    l2 = F.concat(joined, composite)
-    return settled(body.select("key", "l1", F.when(F.col("key") % 7 == 0, F.concat(F.lit("M"), F.substring(l2, 2, 43))).otherwise(l2).alias("l2")))
-
-
-def td1_lines(customers: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    body = customers.select(k.alias("key"), F.rpad(F.concat(F.lit("I<UTO"), _checked(_number(k))), 30, "<").alias("l1"), F.concat(_checked(_day(k + k % 50 + 1, 60)), F.lit("F"), _checked(_day(F.lit(7), 5)), F.lit("UTO"), F.rpad(k.cast("string"), 11, "<")).alias("l2"), _name_zone(k, F.col("c_name"), 30).alias("l3"))
-    whole = F.concat(F.substring("l1", 6, 25), F.substring("l2", 1, 7), F.substring("l2", 9, 7), F.substring("l2", 19, 11))
-    return settled(settled(body).withColumn("l2", F.concat("l2", mrz.check_digit(whole).cast("string"))))
-
-
-def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("c_custkey", mrz.check_digit(_number(F.col("c_custkey"))).alias("digit"))
-
-
-def mrz_td3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = td3_lines(_customers(spark, sf_dir)).select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2")), "TD3", YEAR).alias("z"))
-    return rows.select("key", *(f"z.{c}" for c in ("document_number", "date_of_birth", "date_of_expiry", "sex", "surname", "given_names", "optional_data", "n_valid", "status", "error")))
-
-
-def mrz_td1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = td1_lines(_customers(spark, sf_dir)).select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2", "l3"), three=True), "TD1", YEAR).alias("z"))
-    return rows.select("key", *(f"z.{c}" for c in ("document_number", "date_of_birth", "surname", "n_valid", "status")))
-
-
-def mrz_two_line_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same record as TD2 and as both kinds of visa: how many checks hold in each reading, and the best."""
-    k = F.col("c_custkey")
-    c = _customers(spark, sf_dir)
-    core = F.concat(_checked(_number(k)), F.lit("UTO"), _checked(_day(k, 60)), F.lit("F"), _checked(_day(k, 5)))
-    rows = settled(c.select(k.alias("key"), _name_zone(k, F.col("c_name"), 31).alias("names"), core.alias("core")))
-    whole = F.concat(F.substring("core", 1, 10), F.substring("core", 14, 7), F.substring("core", 22, 7), F.lit("<<<<<<<"))
-    td2 = F.array(F.concat(F.lit("I<UTO"), "names"), F.concat("core", F.lit("<<<<<<<"), mrz.check_digit(whole).cast("string")))
-    visa = F.array(F.concat(F.lit("V<UTO"), "names"), F.rpad("core", 36, "<"))
-    wide = F.array(F.rpad(F.concat(F.lit("V<UTO"), "names"), 44, "<"), F.rpad("core", 44, "<"))
-    shape = lambda x: F.struct(mrz.two_line_score(x).alias("score"), mrz.fully_valid(x).alias("valid"))
-    made = rows.select("key", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("TD2", "MRV-B", "MRV-A"))), F.array(td2, visa, wide))).alias("format", "lines"))
-    return made.select("key", "format", F.explode(F.transform(F.array("lines"), shape)).alias("s")).select("key", "format", "s.score", "s.valid")
-
-
-def mrz_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TD3 lines whose second has lost fillers before its last digits, put right."""
-    t = td3_lines(_customers(spark, sf_dir))
-    short = F.concat(F.regexp_replace(F.substring("l2", 1, 42), "<+$", ""), F.substring("l2", 43, 2))
-    return t.select("key", F.explode(F.transform(F.array(mrz.repaired_td3(F.array(F.rtrim(F.regexp_replace("l1", "<+$", "")), short))), lambda x: F.struct(x[0].alias("l1"), x[1].alias("l2")))).alias("r")).select("key", "r.*")
-
-
-def mrz_td1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TD1 lines with a doubled character in the first."""
-    t = td1_lines(_customers(spark, sf_dir))
-    at = (F.col("key") % 13 + 1).cast("int")
-    longer = F.concat(F.substring("l1", F.lit(1), at), F.substring(F.col("l1"), at, F.lit(31)))
-    return t.select("key", F.explode(F.array(mrz.repaired_td1(F.array(longer, "l2", "l3")))).alias("r")).select("key", F.col("r")[0].alias("l1"), F.col("r")[1].alias("l2"), F.col("r")[2].alias("l3"))
-
-
-def mrz_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three readings of a zone the one with most valid checks, then the greatest confidence, then the first."""
-    t = td3_lines(_customers(spark, sf_dir))
-    k = F.col("key")
-    readings = F.array(F.struct(F.lit(0).alias("no"), F.array("l1", F.concat(F.lit("Z"), F.substring("l2", 2, 43))).alias("lines"), F.lit(1.9).alias("c")), F.struct(F.lit(1).alias("no"), F.array("l1", "l2").alias("lines"), (1.5 + k % 3 / 10.0).alias("c")), F.struct(F.lit(2).alias("no"), F.array("l1", "l2").alias("lines"), F.lit(1.6).alias("c")))
-    rows = t.select("key", F.explode(readings).alias("r")).select("key", "r.no", "r.c", mrz.score(mrz.normalised(F.col("r.lines")), "TD3").alias("checks"))
-    return rows.groupBy("key").agg(F.max_by(F.struct("no", "checks"), F.struct("checks", "c", -F.col("no"))).alias("b")).select("key", "b.no", "b.checks")
-
-
-_CUST = """
-c AS (SELECT c_custkey AS key, 'L' || lpad(c_custkey::VARCHAR, 8, '0') AS number FROM customer),
-w AS (SELECT key, unnest(range(1, 10)) AS i, number FROM c),
-d AS (SELECT key, any_value(number) AS number, sum((CASE WHEN substr(number, i, 1) BETWEEN '0' AND '9' THEN ascii(substr(number, i, 1)) - 48 ELSE ascii(substr(number, i, 1)) - 55 END) * [7, 3, 1][(i - 1) % 3 + 1])::INT % 10 AS digit FROM w GROUP BY key)"""
-
-
-def _iso(base: int, kind: str, key: str = "c_custkey") -> str:
-    yy = f"(({base} + {key} % 40) % 100)"
-    year = f"CASE WHEN 2000 + {yy} > {YEAR} THEN 1900 + {yy} ELSE 2000 + {yy} END" if kind == "birth" else f"CASE WHEN {yy} - 25 >= 50 THEN 1900 + {yy} WHEN {yy} - 25 < -50 THEN 2100 + {yy} ELSE 2000 + {yy} END"
-    return f"CASE WHEN {key} % 50 <> 0 THEN ({year})::VARCHAR || '-' || lpad(({key} % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad(({key} % 28 + 1)::VARCHAR, 2, '0') END"
-
-
-_SURNAME = "trim(regexp_replace(substr(upper(regexp_replace(c_name, '[^A-Za-z]', '<', 'g')), 1, 8), '<+', ' ', 'g'))"
-
-
 def curp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CURP-like numbers with every possible last digit's place filled by the key: which are valid."""
     k = F.col("c_custkey")
@@ -251,18 +144,10 @@ def base64_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(images.decoded_base64(given), 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (mrz_check_digits, mrz_td3, mrz_td1, mrz_two_line_formats, mrz_repair, mrz_td1_repair, mrz_best_candidate, curp_check, aamva_parse, verification_urls, barcode_dedup, barcode_merge, barcode_evidence, symbologies, pdf417_routing, pair_fuse, identity_keys, unicode_keys, mask_dates, mask_shapes, mask_scores, manifest_rows, manifest_mismatches, upload_checks, base64_images)}
+QUERIES = {f.__name__: f for f in (curp_check, aamva_parse, verification_urls, barcode_dedup, barcode_merge, barcode_evidence, symbologies, pdf417_routing, pair_fuse, identity_keys, unicode_keys, mask_dates, mask_shapes, mask_scores, manifest_rows, manifest_mismatches, upload_checks, base64_images)}
 
 _SYMBOL_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in barcodes.SYMBOLOGY.items())
 ORACLES = {
-    "mrz_check_digits": f"WITH {_CUST} SELECT key AS c_custkey, digit FROM d",
-    "mrz_td3": f"""WITH z AS (SELECT *, c_custkey % 7 = 0 AS bad, CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS odd FROM customer)
-        SELECT c_custkey AS key, CASE WHEN bad THEN 'M' ELSE 'L' END || lpad(c_custkey::VARCHAR, 8, '0') AS document_number, {_iso(60, 'birth')} AS date_of_birth, {_iso(5, 'expiry')} AS date_of_expiry,
-          CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'F' ELSE 'M' END AS sex,
-          CASE WHEN c_custkey % 6 = 0 THEN {_SURNAME} || CASE WHEN substr(c_name, 8, 1) BETWEEN 'A' AND 'z' THEN ' ' ELSE ' ' END || 'ANNA MARIA' ELSE {_SURNAME} END AS surname,
-          CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'ANNA MARIA' END AS given_names, c_custkey::VARCHAR AS optional_data, CASE WHEN bad THEN 3 ELSE 5 END AS n_valid, CASE WHEN bad THEN 0 ELSE 1 END AS status, CASE WHEN odd = 1 THEN 'date' END AS error FROM z""",
-    "mrz_td1": f"SELECT c_custkey AS key, 'L' || lpad(c_custkey::VARCHAR, 8, '0') AS document_number, {_iso(60, 'birth', '(c_custkey + c_custkey % 50 + 1)')} AS date_of_birth, CASE WHEN c_custkey % 6 = 0 THEN {_SURNAME} || ' ANNA MARIA' ELSE {_SURNAME} END AS surname, 4 AS n_valid, 1 AS status FROM customer",
-    "mrz_two_line_formats": "SELECT c_custkey AS key, unnest(['TD2', 'MRV-B', 'MRV-A']) AS format, unnest(CASE WHEN c_custkey % 50 = 0 THEN [0, 0, 0] ELSE [4, 3, 3] END) AS score, c_custkey % 50 <> 0 AS valid FROM customer",
     "aamva_parse": """SELECT c_custkey, true AS "headerValid", c_custkey::VARCHAR AS "documentNumber", c_name AS "familyName", 'JANE' AS "firstName", '1980-' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS "dateOfBirth",
         ['M', 'F', 'X'][c_custkey % 3 + 1] AS sex, '1 MAIN ST, TOWN, AZ, 12345' AS address, 'DAC,DAG,DAI,DAJ,DAK,DAQ,DBB,DBC,DCS' AS designators FROM customer""",
     "verification_urls": """SELECT o_orderkey, CASE WHEN ok THEN o_orderkey::VARCHAR END AS identifier, CASE WHEN ok THEN strftime(o_orderdate, '%Y-%m-%d') END AS issue_date, CASE WHEN ok THEN o_custkey::VARCHAR END AS query_identifier
