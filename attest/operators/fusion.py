@@ -1,7 +1,7 @@
 """Evidence of several sides and pages of a document: compatibility checks, fusion, page order, the fold over pages.
 
-Two sides are joined on their pair. Pages of a collection are folded from left to right, because only a page that matches what
-has been gathered so far replaces it; a collection has at most MOST_PAGES pages, so that a group is always small.
+Two sides are joined on their pair. A page that matches overlays some fields of what has been gathered, but never those that pages are
+compared by: each page is therefore held against the first one, and the fold is an aggregate over a collection's pages in their order.
 """
 
 from __future__ import annotations
@@ -9,29 +9,40 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType
 
 from ..functions.policy import capture_decision
-from ..functions.text import compatible_keys, date_key
+from ..functions.text import compatible, compatible_keys, date_key, icao_variants, variants
 
 MOST_PAGES = 10
-#: Compared fields with their kinds, and the fields that a matching back gives to the whole.
+#: Compared fields with their kinds, and the fields that a matching back or page gives to the whole (fixed values).
 COMPARED = {"country": "text", "name": "text", "surname": "text", "date_of_birth": "date", "sex": "text"}
-OVERLAID = ("document_number", "document_class", "issuing_state", "nationality", "nationality_code", "date_of_expiry", "personal_number", "optional_data", "mrz_code")
+OVERLAID = ("document_number", "document_class", "issuing_state", "nationality", "nationality_code", "date_of_expiry", "personal_number", "optional_data", "mrz_code", "mrz_strings", "checks", "machine_barcodes", "ine_qr")
+RECOGNISED = 0.65
 
 
-def full_name(row: Column | None = None, name: str = "name", both: str = "surname_and_given_names", surname: str = "surname", given: str = "given_names") -> Column:
-    """The first of: the name, the joint name, surname and given names; empty ones count as missing."""
-    some = lambda c: F.nullif(F.col(c), F.lit(""))
-    return F.coalesce(some(name), some(both), F.nullif(F.concat_ws(" ", some(surname), some(given)), F.lit("")))
+def full_name(side: str, have: list[str]) -> Column:
+    """The first of: the name, the joint name, surname and given names; empty ones count as missing. side: a struct column with the fields `have`."""
+    some = lambda c: F.nullif(F.col(f"{side}.{c}"), F.lit("")) if c in have else F.lit(None).cast("string")
+    return F.coalesce(some("name"), some("surname_and_given_names"), F.nullif(F.concat_ws(" ", some("surname"), some("given_names")), F.lit("")))
 
 
 def check(a: Column, b: Column, kind: str, key=None) -> Column:
-    """True, false, or null where one side has nothing to compare. key makes a text comparable."""
+    """True, false, or null where one side has nothing to compare. key makes a text comparable: a key, or an array of variants."""
     if kind == "date":
         return F.when((F.coalesce(F.length(a), F.lit(0)) > 0) & (F.coalesce(F.length(b), F.lit(0)) > 0), date_key(a) == date_key(b))
+    if key in (variants, icao_variants):
+        return compatible(key(a), key(b))
     return compatible_keys(key(a), key(b)) if key else compatible_keys(a, b)
 
 
+def filled(value: Column, kind: DataType) -> Column:
+    """Whether a value counts as there: not null, and not an empty text, list or map."""
+    if isinstance(kind, StringType):
+        return F.coalesce(F.length(value) > 0, F.lit(False))
+    return F.coalesce(F.size(value) > 0, F.lit(False)) if isinstance(kind, (ArrayType, MapType)) else value.isNotNull()
+
+
 def decision(checks: list[Column]) -> Column:
     """mismatch if one check is false, matched if at least two are true, else review."""
     false = F.greatest(*(F.coalesce(~c, F.lit(False)) for c in checks))
@@ -39,24 +50,71 @@ def decision(checks: list[Column]) -> Column:
     return F.when(false, "mismatch").when(true >= 2, "matched").otherwise("review")
 
 
+def side_summary(side: str, have: list[str]) -> Column:
+    """What a pairing tells of a side: whether it was recognised, as what, and its first known candidate if that is sure enough.
+
+    candidates: array of structs (identifier, name, confidence), name null for those that the catalog does not know.
+    """
+    field = lambda c, kind="string": F.col(f"{side}.{c}") if c in have else F.lit(None).cast(kind)
+    none = "array<struct<identifier:long,name:string,confidence:double>>"
+    first = F.get(F.filter(field("candidates", none), lambda c: c["name"].isNotNull()), F.lit(0))
+    sure = F.when(F.coalesce(first["confidence"], F.lit(0.0)) >= RECOGNISED, first)
+    recognised = ~field("profile").eqNullSafe(F.lit("UNSUPPORTED"))
+    return F.struct(F.lit(side).alias("side"), recognised.alias("recognized"), field("profile").alias("profile"), field("requested", "long").alias("layout_identifier"), field("source").alias("source"), sure.alias("classification"))
+
+
 def fused(pairs: DataFrame, key=None, compared: dict[str, str] = COMPARED, overlaid: tuple[str, ...] = OVERLAID) -> DataFrame:
-    """Pairs with columns front.* and back.* as structs: the front, overlaid by the back's fields where the sides match, the checks
-    and the decision. status is the greater of both, sources their union in order, where they match; the front's otherwise."""
-    have = pairs.schema["front"].dataType.names
-    front, back = (lambda c: F.col(f"front.{c}")), (lambda c: F.col(f"back.{c}"))
-    checks = {c: check(front(c), back(c), kind, key) for c, kind in compared.items() if c in have}
+    """Pairs with columns front and back as structs: result is the front, overlaid by the back's filled fields where the sides match; checks
+    and decision tell whether they do, sides what each is. Where they match, status is the greater of both, sources their union in order, and
+    source, profile and profile_status say that the document is a pair; machine_profile is the back's where it has a zone. key: what makes
+    texts comparable, text.variants for all spellings."""
+    kinds = {f.name: f.dataType for f in pairs.schema["front"].dataType}
+    have, of_back = list(kinds), pairs.schema["back"].dataType.names
+    front, back = (lambda c: F.col(f"front.{c}")), (lambda c: F.col(f"back.{c}") if c in of_back else F.lit(None).cast(kinds[c]))
+    one, two = {c: front(c) for c in compared if c in have}, {c: back(c) for c in compared if c in have}
+    if "name" in compared:
+        one["name"], two["name"] = full_name("front", have), full_name("back", of_back)
+    checks = {c: check(one[c], two[c], kind, key) for c, kind in compared.items() if c in one}
     out = pairs.withColumns({f"check_{c}": v for c, v in checks.items()})
     out = out.withColumn("decision", decision([F.col(f"check_{c}") for c in checks]))
     matched = F.col("decision") == "matched"
-    fields = {c: F.when(matched, F.coalesce(F.nullif(back(c), F.lit("")), front(c))).otherwise(front(c)) if c in overlaid else front(c) for c in have if c not in ("status", "sources", "capture")}
+    fields = {c: F.when(matched & filled(back(c), kinds[c]), back(c)).otherwise(front(c)) if c in overlaid else front(c) for c in have if c != "capture"}
     if "status" in have:
         fields["status"] = F.when(matched, F.greatest(F.coalesce(front("status"), F.lit(-1)), F.coalesce(back("status"), F.lit(-1)))).otherwise(front("status"))
     if "sources" in have:
         none = F.array().cast("array<string>")
         fields["sources"] = F.when(matched, F.array_distinct(F.concat(F.coalesce(front("sources"), none), F.coalesce(back("sources"), none)))).otherwise(front("sources"))
+    for c, told in (("source", "MULTI_SOURCE"), ("profile", "PAIRED-DOCUMENT"), ("profile_status", "front_back_identity_checks_passed")):
+        if c in have:
+            fields[c] = F.when(matched, told).otherwise(front(c))
+    if "machine_profile" in have and {"mrz_code", "profile"} <= set(of_back):
+        fields["machine_profile"] = F.when(matched & (F.length(back("mrz_code")) > 0), back("profile")).otherwise(front("machine_profile"))
     if "capture" in have:
         fields["capture"] = capture_decision(F.array(front("capture"), back("capture")))
-    return out.select(*(c for c in out.columns if c not in ("front", "back")), F.struct(*(v.alias(c) for c, v in fields.items())).alias("result"))
+    sides = F.array(side_summary("front", have), side_summary("back", of_back))
+    return out.select(*(c for c in out.columns if c not in ("front", "back")), sides.alias("sides"), F.struct(*(v.alias(c) for c, v in fields.items())).alias("result"))
+
+
+def paired(fronts: DataFrame, backs: DataFrame, layouts: DataFrame, guided: DataFrame | None = None, key=None) -> DataFrame:
+    """Sides of documents, joined on doc_id and fused; with the catalog's relation of the front.
+
+    fronts, backs: doc_id and a struct (front, back). guided: doc_id and barcodes, read in the regions of the related layouts: they join the
+    back's machine_barcodes (structs with format and text; one of each, the later reading), unless the back has a QR payload (ine_qr).
+    """
+    both = fronts.join(backs, "doc_id")
+    if guided is not None and "machine_barcodes" in backs.schema["back"].dataType.names:
+        both = both.join(guided.select("doc_id", F.col("barcodes").alias("_guided")), "doc_id", "left")
+        none = F.array().cast(backs.schema["back"].dataType["machine_barcodes"].dataType)
+        every = F.concat(F.coalesce("back.machine_barcodes", none), F.coalesce("_guided", none))
+        same = lambda x, y: (x["format"] == y["format"]) & (x["text"] == y["text"])
+        places = F.filter(F.transform(every, lambda x, i: F.when(~F.exists(F.slice(every, F.lit(1), i), lambda y: same(x, y)), F.element_at(F.filter(every, lambda y: same(x, y)), -1))), lambda x: x.isNotNull())
+        has_qr = F.col("back.ine_qr").isNotNull() if "ine_qr" in backs.schema["back"].dataType.names else F.lit(False)
+        both = both.withColumn("related_barcodes", F.when(has_qr, 0).otherwise(F.size(F.coalesce("_guided", none)))).withColumn("back", F.col("back").withField("machine_barcodes", F.when(has_qr, F.col("back.machine_barcodes")).otherwise(places))).drop("_guided")
+    told = fused(both, key)
+    candidates = fronts.select("doc_id", F.posexplode("front.candidates").alias("rank", "c")).select("doc_id", "rank", F.col("c.identifier").alias("identifier")) if "candidates" in fronts.schema["front"].dataType.names else None
+    if candidates is None:
+        return told
+    return told.join(catalog_relation(candidates, layouts), "doc_id", "left")
 
 
 def catalog_relation(candidates: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -104,32 +162,58 @@ def page_order(pages: DataFrame) -> DataFrame:
     return pages.select("collection_id", "position", "identifier", "ordinal", "related").groupBy("collection_id").applyInPandas(order, f"collection_id {kind}, indices array<int>, decision string, method string")
 
 
-def _compatible(a: str | None, b: str | None) -> bool | None:
-    return None if not a or not b else a.startswith(b) or b.startswith(a)
-
+def folded_pages(pages: DataFrame, compared: dict[str, str] = COMPARED, overlaid: tuple[str, ...] = OVERLAID) -> DataFrame:
+    """collection_id, error, decision, page_decisions, matched_pages, and the fields of what was gathered, a row for each collection.
 
-def folded_pages(pages: DataFrame, compared: tuple[str, ...] = tuple(COMPARED)) -> DataFrame:
-    """collection_id, decision, page_decisions, and the compared fields of what was gathered.
-
-    pages: collection_id, position and comparable keys of the compared fields (text.ascii_key or nfkc_key, dates by date_key). The first
-    page starts; each next one is checked against what has been gathered, and joins it only where it matches: its fields fill
-    those that are still missing. The whole is a mismatch if one page is, matched if all are, else for review.
+    pages: collection_id, position, comparable keys of the compared fields (strings by text.ascii_key, nfkc_key or date_key, or arrays of
+    text.variants), and any of the overlaid fields, status, sources and capture. The first page starts. Each next one is checked against what has been
+    gathered, whose compared fields stay those of the first page; where it matches, its filled overlaid fields replace what was there. The
+    whole is a mismatch if one page is, matched if all are, else for review. capture is told from all pages. A collection of fewer than two
+    or more than MOST_PAGES pages is an error, and nothing else is told of it.
     """
-    kind = pages.schema["collection_id"].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("position").to_dict("records")
-        held = {c: rows[0][c] or None for c in compared}
-        told = []
-        for row in rows[1:]:
-            results = [(held[c] == row[c]) if c == "date_of_birth" and held[c] and row[c] else _compatible(held[c], row[c]) if c != "date_of_birth" else None for c in compared]
-            told.append("mismatch" if False in results else "matched" if results.count(True) >= 2 else "review")
-            if told[-1] == "matched":
-                held = {c: held[c] or row[c] or None for c in compared}
-        whole = "mismatch" if "mismatch" in told else "matched" if told and all(t == "matched" for t in told) else "review"
-        return pd.DataFrame([{"collection_id": rows[0]["collection_id"], "decision": whole, "page_decisions": told, **held}])
-
-    return pages.select("collection_id", "position", *compared).groupBy("collection_id").applyInPandas(fold, f"collection_id {kind}, decision string, page_decisions array<string>, {', '.join(f'{c} string' for c in compared)}")
+    kinds = {f.name: f.dataType for f in pages.schema}
+    gathered = [c for c in (*compared, *overlaid, "status", "sources", "capture") if c in kinds]
+    counts = pages.groupBy("collection_id").agg(F.count("*").alias("_n"))
+    some = pages.select("collection_id", F.struct("position", *gathered).alias("_p")).join(counts.where(F.col("_n").between(2, MOST_PAGES)).select("collection_id"), "collection_id", "left_semi")
+    rows = some.groupBy("collection_id").agg(F.sort_array(F.collect_list("_p")).alias("_pages"))
+    first_of = {c: f"_first_{c}" for c in gathered}
+    rows = rows.select("collection_id", F.expr("slice(_pages, 2, size(_pages))").alias("_rest"), "_pages", *(F.col("_pages")[0][c].alias(x) for c, x in first_of.items()))
+
+    def against_first(page: Column) -> Column:
+        results = []
+        for c, kind in compared.items():
+            if c in kinds:
+                a, b = F.col(first_of[c]), page[c]
+                if isinstance(kinds[c], ArrayType):
+                    results.append(compatible(a, b))
+                elif kind == "date":
+                    results.append(F.when((F.length(a) > 0) & (F.length(b) > 0), a == b))
+                else:
+                    results.append(compatible_keys(a, b))
+        return decision(results)
+
+    told = rows.select("collection_id", *first_of.values(), "_rest", "_pages", F.explode(F.array(F.transform("_rest", against_first))).alias("page_decisions"))
+    matched = F.filter("_rest", lambda p, i: F.get("page_decisions", i) == "matched")
+    told = told.select("collection_id", *first_of.values(), "_pages", "page_decisions", F.explode(F.array(matched)).alias("_matched"))
+    all_matched = F.forall("page_decisions", lambda d: d == "matched")
+    whole = F.when(F.array_contains("page_decisions", "mismatch"), "mismatch").when(all_matched, "matched").otherwise("review")
+    fields = []
+    for c in gathered:
+        first, own = F.col(first_of[c]), F.transform("_matched", lambda p: p[c])  # noqa: B023
+        if c in overlaid:
+            fields.append(F.coalesce(F.try_element_at(F.filter(own, lambda v: filled(v, kinds[c])), F.lit(-1)), first).alias(c))  # noqa: B023
+        elif c == "status":
+            none = F.lit(-1).cast(kinds[c])
+            fields.append(F.when(F.size("_matched") > 0, F.array_max(F.concat(F.array(F.coalesce(first, none)), F.transform(own, lambda v: F.coalesce(v, none))))).otherwise(first).alias(c))
+        elif c == "sources":
+            none = F.array().cast(kinds[c])
+            fields.append(F.array_distinct(F.flatten(F.concat(F.array(F.coalesce(first, none)), F.transform(own, lambda v: F.coalesce(v, none))))).alias(c))
+        elif c == "capture":
+            fields.append(capture_decision(F.transform("_pages", lambda p: p["capture"])).alias(c))
+        else:
+            fields.append(first.alias(c))
+    told = told.select("collection_id", whole.alias("decision"), "page_decisions", (F.size("_matched") + 1).alias("matched_pages"), *fields)
+    return counts.select("collection_id", F.when(~F.col("_n").between(2, MOST_PAGES), "page_count").alias("error")).join(told, "collection_id", "left")
 
 
 def first_and_last(rows: DataFrame, group: list[str], key: list[str], seq: str, value: list[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import catalog, fusion, layouts
 from ..sources.tables import table
 from . import router
@@ -144,12 +143,23 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("collection_id", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), "decision", "method")
 
 
+#: Runs in both engines: turns as pages, whose evidence depends on a digest of conversation and turn.
+_PAGES = """
+SELECT CAST(conv_id AS STRING) || '/' || CAST(CAST(floor(turn / 10) AS INT) AS STRING) AS collection_id, turn AS position,
+       CASE WHEN h % 5 = 0 THEN '' WHEN h % 5 = 1 THEN 'UTOPIA' WHEN h % 25 = 2 THEN 'SWEDEN' ELSE 'UTO' END AS country,
+       CASE WHEN h % 7 = 0 THEN '' WHEN h % 29 = 1 THEN 'MARY' ELSE substr('JOHNDOE', 1, 4 + h % 4) END AS name,
+       CASE WHEN h % 3 = 0 THEN 'DOE' ELSE '' END AS surname,
+       CASE WHEN h % 4 = 0 THEN '' WHEN h % 23 = 3 THEN '19900101' ELSE '19800321' END AS date_of_birth,
+       CASE WHEN h % 6 = 0 THEN 'M' ELSE '' END AS sex,
+       CASE WHEN h % 2 = 0 THEN '' ELSE 'D' || CAST(turn AS STRING) END AS document_number, h % 2 AS status,
+       CASE WHEN h % 11 = 0 THEN 'review' WHEN h % 3 = 0 THEN 'pass' WHEN h % 3 = 1 THEN 'not_available' END AS capture
+FROM (SELECT conv_id, turn, ascii(substr(md5(CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)), 1, 1)) + ascii(substr(md5(CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)), 2, 1)) AS h FROM {conversations}) AS t
+"""
+
+
 def page_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations")
-    key = text.ascii_key(F.col("role"))
-    pages = t.select(_collection().alias("collection_id"), F.col("turn").alias("position"), F.lit("UTO").alias("country"), F.when(F.col("conv_id") % 3 == 0, key).otherwise(F.lit("SAME")).alias("name"), F.lit("").alias("surname"), F.when(F.col("turn") % 2 == 0, "19800321").alias("date_of_birth"), F.when(F.col("conv_id") % 5 == 0, F.substring(key, 1, 1)).alias("sex"))
-    rows = fusion.folded_pages(pages)
-    return rows.select("collection_id", "decision", F.array_join("page_decisions", ",").alias("page_decisions"), "name")
+    rows = fusion.folded_pages(spark.sql(_PAGES, conversations=table(spark, sf_dir, "conversations")))
+    return rows.withColumn("page_decisions", F.array_join("page_decisions", ","))
 
 
 def field_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +207,18 @@ def document_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, page_ordinals, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, field_values, read_windows, document_routes)}
 
 _KNOWN = "SELECT * FROM cand WHERE caption IS NOT NULL"
+_OK = "CASE WHEN length(f.{0}) > 0 AND length(p.{0}) > 0 THEN starts_with(f.{0}, p.{0}) OR starts_with(p.{0}, f.{0}) END"
 ORACLES = {
+    "page_fold": f"""WITH p AS ({_PAGES.format(conversations='conversations')}),
+        n AS (SELECT collection_id, count(*) AS n FROM p GROUP BY 1), q AS (SELECT p.* FROM p JOIN n USING (collection_id) WHERE n BETWEEN 2 AND 10),
+        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY position) AS place FROM q) WHERE place = 1),
+        c AS (SELECT p.*, [{_OK.format('country')}, {_OK.format('name')}, {_OK.format('surname')}, CASE WHEN length(f.date_of_birth) > 0 AND length(p.date_of_birth) > 0 THEN f.date_of_birth = p.date_of_birth END, {_OK.format('sex')}] AS r FROM q AS p JOIN f ON p.collection_id = f.collection_id WHERE p.position > f.position),
+        d AS (SELECT *, CASE WHEN list_contains(r, false) THEN 'mismatch' WHEN len(list_filter(r, lambda x: x)) >= 2 THEN 'matched' ELSE 'review' END AS decision FROM c),
+        g AS (SELECT collection_id, CASE WHEN bool_or(decision = 'mismatch') THEN 'mismatch' WHEN bool_and(decision = 'matched') THEN 'matched' ELSE 'review' END AS decision, string_agg(decision, ',' ORDER BY position) AS page_decisions, count(*) FILTER (decision = 'matched') + 1 AS matched_pages,
+          arg_max(document_number, position) FILTER (decision = 'matched' AND document_number <> '') AS number, max(status) FILTER (decision = 'matched') AS status FROM d GROUP BY collection_id),
+        k AS (SELECT collection_id, CASE WHEN bool_or(capture = 'review') THEN 'review' WHEN bool_or(capture = 'pass') THEN 'pass' ELSE 'not_available' END AS capture FROM q GROUP BY collection_id)
+        SELECT n.collection_id, CASE WHEN f.collection_id IS NULL THEN 'page_count' END AS error, g.decision, page_decisions, matched_pages, country, name, surname, date_of_birth, sex, coalesce(number, document_number) AS document_number, greatest(f.status, g.status) AS status, k.capture
+        FROM n LEFT JOIN f USING (collection_id) LEFT JOIN g USING (collection_id) LEFT JOIN k USING (collection_id)""",
     "catalog_search": f"WITH {_DOCS} SELECT identifier, caption, country FROM docs WHERE NOT deprecated AND list_contains(iso_codes, 'UTO') AND document_type = 'Passport' AND contains(lower(caption), 'page 2')",
     "catalog_page": f"WITH {_DOCS}, f AS (SELECT *, count(*) OVER () AS total FROM docs WHERE document_format = 'ID2') SELECT identifier, caption, total FROM f ORDER BY country, caption, year, identifier LIMIT 25 OFFSET 20",
     "catalog_facets": f"""WITH {_DOCS}, d AS (SELECT * FROM docs WHERE NOT deprecated), x AS (SELECT unnest(iso_codes) AS value, country, row_number() OVER (ORDER BY country, caption, year, identifier) AS k FROM d)

@@ -257,3 +257,16 @@ def test_today_is_never_read():
     for module in (mrz, national, masks):
         assert "current_date" not in inspect.getsource(module) and "date.today" not in inspect.getsource(module)
     assert date(2024, 2, 29)
+
+
+def test_scripts_are_told_by_icao(spark):
+    table = text.icao_table()
+    assert len(table) > 500
+    names = ["ИВАНОВ", "Иванов", "ΠΑΠΑΔΟΠΟΥΛΟΣ", "Παπαδόπουλος", "MÜLLER", "Łódź", "Щукарёв", "", None, "PETROV"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k int, x string")
+    got = [r.v for r in df.select(text.icao_variants(F.col("x")).alias("v"), "k").orderBy("k").collect()]
+    for k, want in enumerate(("IVANOV", "IVANOV", "PAPADOPOULOS", "PAPADOPOULOS", "MULLER", "LODZ", "SHCHUKAREV")):
+        assert want in got[k], (names[k], got[k])
+    assert "MUELLER" in got[4] and got[7] == got[8] == []
+    pairs = spark.createDataFrame([("ИВАНОВ", "IVANOV"), ("ИВАНОВ", "PETROV"), ("MÜLLER", "MULLER"), ("MÜLLER", None)], "a string, b string")
+    assert [r.c for r in pairs.select(text.compatible(text.icao_variants(F.col("a")), text.icao_variants(F.col("b"))).alias("c")).collect()] == [True, False, True, None]

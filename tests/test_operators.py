@@ -131,10 +131,35 @@ def test_page_order_and_fold(spark):
     rows = [(1, 0, 11, 2, [10]), (1, 1, 10, 1, [11]), (2, 0, 20, 1, []), (2, 1, 21, 2, []), (3, 0, 30, None, None), (3, 1, None, 2, None)]
     got = {r.collection_id: (r.indices, r.decision, r.method) for r in fusion.page_order(spark.createDataFrame(rows, kind)).collect()}
     assert got == {1: ([1, 0], "reordered", "catalog_relation_and_declared_page_ordinal"), 2: ([0, 1], "preserved", "caller_order"), 3: ([0, 1], "preserved", "caller_order")}
-    page = "collection_id int, position int, country string, name string, surname string, date_of_birth string, sex string"
-    pages = [(1, 0, "UTO", "JOHN", "", "19800321", ""), (1, 1, "UTO", "JOHNDOE", "", "", "M"), (1, 2, "UTO", "MARY", "", "", ""), (2, 0, "UTO", "A", "", "", ""), (2, 1, "UTO", "AB", "", "", "")]
-    folded = {r.collection_id: (r.decision, r.page_decisions, r.sex) for r in fusion.folded_pages(spark.createDataFrame(pages, page)).collect()}
-    assert folded == {1: ("mismatch", ["matched", "mismatch"], "M"), 2: ("matched", ["matched"], None)}
+    page = "collection_id int, position int, country string, name array<string>, surname string, date_of_birth string, sex string, document_number string, mrz_strings array<string>, status int, sources array<string>, capture string"
+    one = lambda c, k, name, born="", sex="", number="", mrz=(), status=0, source="VISUAL", capture=None: (c, k, "UTO", name.split(), "", born, sex, number, list(mrz), status, [source], capture)
+    pages = [one(1, 0, "JOHN"), one(1, 1, "JOHNDOE", "19800321", "M", "A1", ["L"], 1, "MRZ"), one(1, 2, "JOHN", "19900101", "F", "", [], 0), one(1, 3, "MARY"), one(2, 0, "A", number="N0"), one(2, 1, "AB X", number="", capture="review"), one(3, 0, "A"), *(one(4, k, "A") for k in range(11))]
+    folded = {r.collection_id: r for r in fusion.folded_pages(spark.createDataFrame(pages, page)).collect()}
+    # births and sexes of later pages are not taken over: the second and third page disagree with each other, but not with the first
+    assert (folded[1].decision, folded[1].page_decisions, folded[1].matched_pages) == ("mismatch", ["matched", "matched", "mismatch"], 3)
+    assert (folded[1].date_of_birth, folded[1].sex, folded[1].document_number, folded[1].mrz_strings, folded[1].status, folded[1].sources) == ("", "", "A1", ["L"], 1, ["VISUAL", "MRZ"])
+    assert (folded[2].decision, folded[2].document_number, folded[2].capture) == ("matched", "N0", "review")
+    assert (folded[3].error, folded[3].decision) == (folded[4].error, folded[4].decision) == ("page_count", None)
+
+
+def test_pairs_of_sides(spark):
+    side = "struct<country:string,name:string,surname:string,given_names:string,date_of_birth:string,mrz_code:string,machine_barcodes:array<struct<format:string,text:string>>,status:int,sources:array<string>,source:string,profile:string,machine_profile:string,requested:long,candidates:array<struct<identifier:long,name:string,confidence:double>>,ine_qr:string>"
+    front = ("Utopia", None, "MÜLLER", "ANNA", "21/03/1980", "", [], 0, ["VISUAL"], "VISUAL", "CATALOG-P7", None, 7, [(99, None, 0.9), (7, "Card front", 0.7)], None)
+    back = ("UTO", "MUELLER ANNA", "MUELLER", "ANNA", "1980-03-21", "P<UTO", [("QR", "a")], 1, ["MRZ", "VISUAL"], "MRZ", "TD1", None, None, [(8, "Card back", 0.5)], None)
+    other = ("UTO", "SOMEBODY", "ELSE", "", "", "P<X", [("QR", "z")], 1, ["MRZ"], "MRZ", "UNSUPPORTED", None, None, [], "payload")
+    fronts = spark.createDataFrame([(1, front), (2, front)], f"doc_id int, front {side}")
+    backs = spark.createDataFrame([(1, back), (2, other)], f"doc_id int, back {side}")
+    guided = spark.createDataFrame([(1, [("QR", "a"), ("Aztec", "b"), ("QR", "a")]), (2, [("Aztec", "b")])], "doc_id int, barcodes array<struct<format:string,text:string>>")
+    catalog = spark.createDataFrame([(7, "Card front", [8], []), (8, "Card back", [], [])], "identifier long, caption string, child_documents array<long>, paired_pages array<long>")
+    from attest.functions import text
+
+    got = {r.doc_id: r for r in fusion.paired(fronts, backs, catalog, guided, key=text.icao_variants).collect()}
+    one, two = got[1], got[2]
+    assert (one.decision, one.check_name, one.check_date_of_birth, one.relation, one.front) == ("matched", True, True, "related_document", 7)
+    assert [tuple(b) for b in one.result.machine_barcodes] == [("QR", "a"), ("Aztec", "b")] and one.related_barcodes == 3
+    assert (one.result.status, one.result.sources, one.result.source, one.result.profile, one.result.machine_profile, one.result.mrz_code) == (1, ["VISUAL", "MRZ"], "MULTI_SOURCE", "PAIRED-DOCUMENT", "TD1", "P<UTO")
+    assert [(s.side, s.recognized, s.classification and s.classification.name) for s in one.sides] == [("front", True, "Card front"), ("back", True, None)]
+    assert (two.decision, two.result.mrz_code, two.result.source, two.related_barcodes, two.sides[1].recognized) == ("mismatch", "", "VISUAL", 0, False)
 
 
 def test_router(spark):
