@@ -36,6 +36,7 @@ def documents(spark):
         (13, base.upper(), "en", "a"),
         (14, "tail ends in space \n\n and  gaps ", "en", "a"),
         (15, "<|endoftext|> it's 'tis don't 12 345", "en", "b"),
+        (16, "one <|endoftext|><|endoftext|> two  <|endoftext|>", "en", "b"),
     ]
     return spark.createDataFrame([(i, t, x, s, None if t is None else len(t)) for i, t, x, s in rows], DDL)
 
