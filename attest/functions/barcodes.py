@@ -92,7 +92,7 @@ def verification_url(url: Column, host: str = "qr.ine.mx") -> Column:
 def _verified(url: Column, parts: Column, host: str) -> Column:
     day = F.try_to_date(F.get(parts, F.lit(1)), "yyyyMMdd")
     p = lambda k: F.get(parts, F.lit(k))
-    shaped = F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & (F.try_parse_url(url, F.lit("HOST")) == host) & (F.size(parts) == 4) & p(0).rlike("^[0-9]+$") & p(1).rlike("^[0-9]{8}$") & day.isNotNull() & (F.length(p(2)) == 1) & p(3).rlike("^[0-9]+$")
+    shaped = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host) & (F.size(parts) == 4) & p(0).rlike("^[0-9]+$") & p(1).rlike("^[0-9]{8}$") & day.isNotNull() & (F.length(p(2)) == 1) & p(3).rlike("^[0-9]+$")
     return F.when(F.coalesce(shaped, F.lit(False)), F.struct(p(0).alias("identifier"), day.cast("string").alias("issueDate"), p(2).alias("type"), p(3).alias("queryIdentifier"), url.alias("url")))
 
 

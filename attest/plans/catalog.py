@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, documents, evidence, zones
+from . import biometrics, documents, evidence, payloads, zones
 
-QUERIES = {**biometrics.QUERIES, **evidence.QUERIES, **documents.QUERIES, **zones.QUERIES}
-ORACLES = {**biometrics.ORACLES, **evidence.ORACLES, **documents.ORACLES, **zones.ORACLES}
+QUERIES = {**biometrics.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
+ORACLES = {**biometrics.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}

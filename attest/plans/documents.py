@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, fusion, layouts
 from ..sources.tables import table
-from . import router
 
 TYPES = ("VotingCard", "IdentityCard", "Passport", "Visa", "DriverLicense")
 
@@ -117,10 +116,6 @@ def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("identifier", "role", "ordinal", "method", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
 
 
-def page_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_table(spark, sf_dir).select("identifier", layouts.declared_ordinal(F.col("caption")).alias("ordinal"))
-
-
 def layout_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.relations(layout_table(spark, sf_dir))
 
@@ -194,17 +189,7 @@ def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "place", F.round(F.col("w")[1], 5).alias("top"), F.round(F.col("w")[3], 5).alias("bottom"))
 
 
-def document_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which route each order's image takes, from what was observed of it."""
-    k = F.col("o_orderkey")
-    seen = table(spark, sf_dir, "orders").select(
-        k.alias("doc_id"), F.element_at(F.array(*map(F.lit, ("auto_research", "mex_ine", "aamva_pdf417", "icao_td1"))), (k % 4 + 1).cast("int")).alias("profile"), (k % 9 == 0).alias("aamva_valid"), (k % 5 == 0).alias("td1_shaped"),
-        (k % 4).cast("int").alias("mrv_checks"), (k % 5).cast("int").alias("td2_checks"), (k % 6).cast("int").alias("td3_checks"), F.when(k % 3 == 0, "mex_ine").alias("layout_hint"), (k % 7 == 0).alias("ine_accepted"), (k % 8 == 0).alias("swe_accepted"), (k % 11 == 0).alias("ine_qr"), (k % 13 == 0).alias("catalog_evidence"),
-    )
-    return seen.select("doc_id", router.route(seen).alias("route"))
-
-
-QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, page_ordinals, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, field_values, read_windows, document_routes)}
+QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, field_values, read_windows)}
 
 _KNOWN = "SELECT * FROM cand WHERE caption IS NOT NULL"
 _OK = "CASE WHEN length(f.{0}) > 0 AND length(p.{0}) > 0 THEN starts_with(f.{0}, p.{0}) OR starts_with(p.{0}, f.{0}) END"
@@ -239,7 +224,6 @@ ORACLES = {
         t AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) FILTER (kind = 'child' AND own IN ('back', 'back_cover')) AS backs, string_agg(dst::VARCHAR, ',' ORDER BY dst) FILTER (kind = 'page' AND own = 'numbered_page' AND ordinal > 1) AS pages FROM e JOIN lay ON dst = id GROUP BY src)
         SELECT id AS identifier, CASE WHEN own IS NOT NULL THEN own WHEN backs IS NOT NULL THEN 'front' WHEN pages IS NOT NULL THEN 'primary_page' ELSE 'unknown' END AS role, CASE WHEN own IS NOT NULL THEN ordinal WHEN backs IS NULL AND pages IS NOT NULL THEN 1 END AS ordinal,
           CASE WHEN own IS NOT NULL THEN 'caption_marker' WHEN backs IS NOT NULL THEN 'related_back_layout' WHEN pages IS NOT NULL THEN 'related_numbered_page' ELSE 'unavailable' END AS method, CASE WHEN own IS NULL THEN coalesce(backs, pages) END AS related FROM lay LEFT JOIN t ON id = src""",
-    "page_ordinals": "SELECT p_partkey AS identifier, [1, 2, 3, 1, 1, 1, 1, 3][p_partkey % 8 + 1] AS ordinal FROM part",
     "layout_relations": "SELECT p_partkey AS src, unnest([p_partkey + 1, p_partkey + 2]) AS dst, 'child' AS kind FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, unnest([p_partkey + 1, p_partkey + 4]), 'paired_page' FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, p_partkey - 1, 'parent' FROM part WHERE p_partkey % 3 = 2",
     "catalog_relation": f"""WITH e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'related_document' ELSE 'paired_page' END AS relation, unnest(CASE WHEN p_partkey % 3 = 0 THEN [p_partkey + 1, p_partkey + 2] ELSE [p_partkey + 1, p_partkey + 4] END) AS dst FROM part WHERE p_partkey % 3 < 2),
         r AS (SELECT id, relation, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS related FROM e WHERE dst IN (SELECT p_partkey FROM part) GROUP BY id, relation), m AS (SELECT l_orderkey AS doc_id, id AS front, relation, related, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_RANK}) AS k FROM lineitem JOIN r ON l_partkey = id)
@@ -248,7 +232,4 @@ ORACLES = {
     "field_assembly": """SELECT c_custkey AS doc_id, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', JANE' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN ' /  - ' || c_mktsegment ELSE ' - ' || c_mktsegment END AS value,
         round(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 0.6 WHEN c_custkey % 2 = 0 THEN 0.55 WHEN c_custkey % 3 <> 0 THEN 0.6 ELSE 0.5 END, 6)::DOUBLE AS confidence,
         'surname' || CASE WHEN c_custkey % 2 = 0 THEN ',given' ELSE '' END || CASE WHEN c_custkey % 3 <> 0 THEN ',place' ELSE '' END AS derived_from FROM customer WHERE c_custkey % 10 <> 0""",
-    "document_routes": """WITH s AS (SELECT o_orderkey AS k, ['auto_research', 'mex_ine', 'aamva_pdf417', 'icao_td1'][o_orderkey % 4 + 1] AS profile FROM orders)
-        SELECT k AS doc_id, CASE WHEN k % 9 = 0 AND profile = 'aamva_pdf417' THEN 'aamva' WHEN profile = 'aamva_pdf417' THEN 'rejected' WHEN k % 5 = 0 THEN 'td1' WHEN profile = 'icao_td1' THEN 'rejected' WHEN profile = 'mex_ine' THEN 'ine'
-          WHEN k % 4 = 3 THEN 'mrv' WHEN k % 5 = 4 THEN 'td2' WHEN k % 6 = 5 THEN 'td3' WHEN k % 3 = 0 AND k % 7 = 0 THEN 'ine' WHEN k % 8 = 0 THEN 'swe' WHEN k % 7 = 0 THEN 'ine' WHEN k % 11 = 0 THEN 'ine_qr' WHEN k % 13 = 0 THEN 'catalog' ELSE 'unsupported' END AS route FROM s""",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import barcodes, masks, national, text
+from ..functions import barcodes, text
 from ..operators import fusion
-from ..sources import images, manifest
+from ..sources import manifest
 from ..sources.tables import table
 
 
@@ -15,31 +15,6 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer")
 
 
-def curp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CURP-like numbers with every possible last digit's place filled by the key: which are valid."""
-    k = F.col("c_custkey")
-    body = F.concat(F.lit("GOMC"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lit("0215"), F.when(k % 2 == 0, "H").otherwise("M"), F.lit("DFRRR0"), (k % 10).cast("string"))
-    return _customers(spark, sf_dir).select("c_custkey", national.curp_valid(body).alias("valid"))
-
-
-def aamva_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records made from customers: lines in designator order, one field inside another's line, dates in either order."""
-    k = F.col("c_custkey")
-    day = F.concat(F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
-    born = F.when(k % 2 == 0, F.concat(day, F.lit("1980"))).otherwise(F.concat(F.lit("1980"), day))
-    payload = F.concat(F.lit("@\n\x1e\rANSI 636000090002DL00410278ZV03190008DLDAQ"), k.cast("string"), F.lit("\nDCS"), F.col("c_name"), F.lit("\nDACJANE\nDBB"), born, F.lit("\nDBC"), F.element_at(F.array(*map(F.lit, ("1", "2", "9"))), (k % 3 + 1).cast("int")), F.lit("\nDAG1 MAIN ST\nDAITOWN\nDAJ"), F.lit("AZ\nDAK12345  \n"))
-    rows = _customers(spark, sf_dir).select("c_custkey", F.explode(F.array(barcodes.parsed_aamva(payload))).alias("p"))
-    return rows.select("c_custkey", "p.headerValid", "p.documentNumber", "p.familyName", "p.firstName", "p.dateOfBirth", "p.sex", "p.address", F.array_join("p.availableDesignators", ",").alias("designators"))
-
-
-def verification_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    host = F.when(k % 5 == 0, "qr.example.org").otherwise("qr.ine.mx")
-    url = F.concat(F.when(k % 7 == 0, "ftp").otherwise("https"), F.lit("://"), host, F.lit("/"), k.cast("string"), F.lit("/"), F.when(k % 11 == 0, "20231345").otherwise(F.date_format("o_orderdate", "yyyyMMdd")), F.lit("/X/"), F.col("o_custkey").cast("string"))
-    told = barcodes.verification_url(url)
-    return table(spark, sf_dir, "orders").select("o_orderkey", told["identifier"].alias("identifier"), told["issueDate"].alias("issue_date"), told["queryIdentifier"].alias("query_identifier"))
-
-
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as decoded symbols, in the order of their ids."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("format"), F.col("props").alias("text"), "value")
@@ -53,24 +28,10 @@ def barcode_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.first_and_last(_symbols(spark, sf_dir), ["doc_id"], ["format", "text"], "seq", ["value"]).withColumn("value", F.round("value", 6))
 
 
-def barcode_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page titles as symbol texts: which count as evidence."""
-    said = F.when(F.col("page_id") % 4 == 0, F.concat(F.col("url"), F.lit("<NUL>"))).when(F.col("page_id") % 4 == 1, F.repeat(F.lit("x"), (F.col("page_id") % 700).cast("int"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("ab"), F.repeat(F.lit("\u0001"), (F.col("page_id") % 3).cast("int")))).otherwise(F.col("url"))
-    kind = F.when(F.col("page_id") % 3 == 0, "PDF417").otherwise("QRCode")
-    return table(spark, sf_dir, "pages").select("page_id", barcodes.is_evidence(said, F.col("page_id") % 5 != 0, kind, F.col("page_id") % 2 == 1, F.lit(2)).alias("evidence"))
-
-
 def symbologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(barcodes.symbology(F.col("p_size") % 20).alias("symbology")).agg(F.count("*").alias("n"))
 
 
-def pdf417_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    pick = lambda values, by: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.floor(k / by) % len(values) + 1).cast("int"))
-    profile, layout, zone = pick(("auto_research", "aamva_pdf417", "icao_td1"), 1), pick((None, "mex_ine", "other"), 3), pick((None, "td3", "x"), 9)
-    return table(spark, sf_dir, "orders").select("o_orderkey", barcodes.scan_pdf417(profile, layout, zone).alias("scan"))
-
-
 def pair_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fronts from customers, backs from their orders: names cut short, sometimes another, dates in the other order."""
     k = F.col("c_custkey")
@@ -82,38 +43,11 @@ def pair_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", *(F.col(c).cast("string").alias(c) for c in ("check_country", "check_name", "check_date_of_birth", "check_sex")), "decision", F.col("result.document_number").alias("document_number"), F.col("result.status").alias("status"), F.array_join("result.sources", ",").alias("sources"), F.col("result.capture").alias("capture"))
 
 
-def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("c_custkey", text.ascii_key(F.concat_ws(" - ", "c_name", "c_mktsegment")).alias("key"), text.date_key(F.when(F.col("c_custkey") % 2 == 0, "21/03/1980").otherwise("1980-03-21")).alias("date"))
-
-
 def unicode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NFKC keys of whole document texts, as digests, and how many letters lose a mark."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.nfkc_key(F.col("text")), 256).alias("key_sha256"), F.length(text.letters_nfkd(F.col("text"))).alias("letters"))
 
 
-def mask_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    shown = F.when(k % 6 == 0, "31/02/2024").when(k % 6 == 1, F.date_format("o_orderdate", "dd/MM/yy")).when(k % 6 == 2, "12 2024").when(k % 6 == 3, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    mask = F.when(k % 5 == 0, "{DAY} {MONTH} {YEAR}").otherwise("{DAY}/{MONTH_DD}/{YEAR}|{TEXT}")
-    return table(spark, sf_dir, "orders").select("o_orderkey", masks.date_valid(mask, shown).cast("string").alias("valid"))
-
-
-def mask_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    shown = F.element_at(F.array(*map(F.lit, ("{TEXT}\n{TEXT}", "{STRINGS}", "DDWC", '{8D"x"}-{2D}', "CC{3D}|DDDD", "{Sex_MF}"))), (k % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", masks.line_count(shown).alias("lines"), masks.expected_length(shown).alias("length"), F.array_join(masks.tokens(shown), ",").alias("tokens"))
-
-
-def mask_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How customers' values fit masks of several kinds."""
-    k = F.col("c_custkey")
-    cases = (("{8D}", F.lpad(k.cast("string"), 8, "0")), ("DDDDDDDD", F.concat(F.lit("A"), F.lpad(k.cast("string"), 7, "0"))), ("{Sex_MF}", F.when(k % 2 == 0, "M").otherwise("?")), ("{YEAR}", (1900 + k % 200).cast("string")), ("{POUNDS}", (k % 300).cast("string")), ("{Country_Code}", F.substring("c_mktsegment", 1, 3)), ("{MONTH_DD}", (k % 20).cast("string")))
-    chosen = lambda j: F.element_at(F.array(*(F.lit(c[0]) if j == 0 else c[1] for c in cases)), (k % len(cases) + 1).cast("int"))
-    rows = _customers(spark, sf_dir).select("c_custkey", chosen(0).alias("mask"), chosen(1).alias("value"))
-    rows = rows.withColumn("folded", F.upper(F.regexp_replace("value", "[^A-Za-z]", "")))
-    return rows.select("c_custkey", F.round(masks.compatibility(F.col("mask"), F.col("value"), F.col("folded")), 6).alias("score"))
-
-
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as files of an asset bundle: path, size, digest."""
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("texts/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
@@ -128,51 +62,19 @@ def manifest_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.mismatches(noted, manifest.described(now)).select("path", "problem")
 
 
-def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("page_id")
-    name = F.concat(F.lit("page"), F.element_at(F.array(*map(F.lit, (".png", ".JPEG", ".gif", "", ".heic"))), (p % 5 + 1).cast("int")))
-    content = F.when(p % 17 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
-    told = images.upload_error(content, name, most_bytes=2000)
-    return table(spark, sf_dir, "pages").select("page_id", images.suffix(name).alias("suffix"), told.alias("error"), images.http_status(told).alias("status"))
-
-
-def base64_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page sources as base64, plain or as data URLs, every ninth with a stray character."""
-    p = F.col("page_id")
-    b = F.base64(F.col("html").cast("binary"))
-    given = F.when(p % 9 == 0, F.concat(b, F.lit("*"))).when(p % 2 == 0, F.concat(F.lit("data:image/png;base64,"), b)).otherwise(b)
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(images.decoded_base64(given), 256).alias("sha256"))
-
-
-QUERIES = {f.__name__: f for f in (curp_check, aamva_parse, verification_urls, barcode_dedup, barcode_merge, barcode_evidence, symbologies, pdf417_routing, pair_fuse, identity_keys, unicode_keys, mask_dates, mask_shapes, mask_scores, manifest_rows, manifest_mismatches, upload_checks, base64_images)}
+QUERIES = {f.__name__: f for f in (barcode_dedup, barcode_merge, symbologies, pair_fuse, unicode_keys, manifest_rows, manifest_mismatches)}
 
 _SYMBOL_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in barcodes.SYMBOLOGY.items())
 ORACLES = {
-    "aamva_parse": """SELECT c_custkey, true AS "headerValid", c_custkey::VARCHAR AS "documentNumber", c_name AS "familyName", 'JANE' AS "firstName", '1980-' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS "dateOfBirth",
-        ['M', 'F', 'X'][c_custkey % 3 + 1] AS sex, '1 MAIN ST, TOWN, AZ, 12345' AS address, 'DAC,DAG,DAI,DAJ,DAK,DAQ,DBB,DBC,DCS' AS designators FROM customer""",
-    "verification_urls": """SELECT o_orderkey, CASE WHEN ok THEN o_orderkey::VARCHAR END AS identifier, CASE WHEN ok THEN strftime(o_orderdate, '%Y-%m-%d') END AS issue_date, CASE WHEN ok THEN o_custkey::VARCHAR END AS query_identifier
-        FROM (SELECT *, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS ok FROM orders)""",
     "barcode_dedup": "SELECT user_id AS doc_id, event_type AS format, props AS text, min(event_id) AS seq, round(arg_min(value, event_id), 6) AS value FROM events GROUP BY ALL",
     "barcode_merge": "SELECT user_id AS doc_id, event_type AS format, props AS text, min(event_id) AS seq, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL",
-    "barcode_evidence": """SELECT page_id, page_id % 5 <> 0 AND (page_id % 3 <> 0 OR page_id % 2 = 1) AND CASE page_id % 4 WHEN 0 THEN false WHEN 1 THEN page_id % 700 BETWEEN 1 AND 512 WHEN 2 THEN page_id % 3 = 0 ELSE length(url) BETWEEN 1 AND 512 END AS evidence FROM pages""",
     "symbologies": f"SELECT CASE p_size % 20 {_SYMBOL_CASES} END AS symbology, count(*) AS n FROM part GROUP BY 1",
-    "pdf417_routing": "SELECT o_orderkey, o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND (o_orderkey // 3) % 3 <> 1 AND (o_orderkey // 9) % 3 <> 1) AS scan FROM orders",
     "pair_fuse": """WITH p AS (SELECT o_orderkey AS o, c_custkey AS c, c_name FROM orders JOIN customer ON o_custkey = c_custkey),
         k AS (SELECT o, c, CASE WHEN o % 2 = 0 THEN false END AS check_country, CASE WHEN o % 5 = 0 THEN false ELSE true END AS check_name, CASE WHEN o % 7 <> 0 THEN true END AS check_date_of_birth, CASE WHEN c % 3 = 0 AND o % 11 = 0 THEN false END AS check_sex FROM p),
         q AS (SELECT *, CASE WHEN o % 2 = 0 THEN true END AS country_ok FROM k),
         d AS (SELECT *, CASE WHEN o % 5 = 0 OR check_sex = false THEN 'mismatch' WHEN (country_ok IS NOT NULL)::INT + check_name::INT + (check_date_of_birth IS NOT NULL)::INT >= 2 THEN 'matched' ELSE 'review' END AS decision FROM q)
         SELECT o AS o_orderkey, country_ok::VARCHAR AS check_country, check_name::VARCHAR AS check_name, check_date_of_birth::VARCHAR AS check_date_of_birth, check_sex::VARCHAR AS check_sex, decision, CASE WHEN decision = 'matched' THEN o::VARCHAR ELSE '' END AS document_number, CASE WHEN decision = 'matched' THEN 1 ELSE 0 END AS status,
           CASE WHEN decision = 'matched' THEN 'VISUAL,MRZ' ELSE 'VISUAL' END AS sources, CASE WHEN o % 4 = 0 THEN 'review' ELSE 'pass' END AS capture FROM d""",
-    "identity_keys": "SELECT c_custkey, upper(regexp_replace(c_name || ' - ' || c_mktsegment, '[^A-Za-z0-9]', '', 'g')) AS key, '19800321' AS date FROM customer",
-    "mask_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 6 NOT IN (0, 2))::VARCHAR END AS valid FROM orders",
-    "mask_shapes": "SELECT p_partkey, [2, NULL, NULL, NULL, NULL, NULL][p_partkey % 6 + 1]::INT AS lines, [NULL, NULL, 4, 10, 5, NULL][p_partkey % 6 + 1]::INT AS length, ['TEXT,TEXT', 'STRINGS', '', '8D,2D', '3D', 'Sex_MF'][p_partkey % 6 + 1] AS tokens FROM part",
-    "mask_scores": """SELECT c_custkey, round(CASE c_custkey % 7 WHEN 0 THEN 0.25 WHEN 1 THEN 0.15 - 0.2 WHEN 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 0.15 ELSE -0.15 END
-        WHEN 3 THEN CASE WHEN c_custkey % 200 < 200 THEN 0.2 END WHEN 4 THEN CASE WHEN c_custkey % 300 >= 20 THEN 0.2 ELSE -0.2 END WHEN 5 THEN 0.12
-        ELSE CASE WHEN c_custkey % 20 BETWEEN 10 AND 12 THEN 0.18 ELSE -0.18 END END, 6)::DOUBLE AS score FROM customer""",
     "manifest_rows": "SELECT 'texts/' || doc_id AS path, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "manifest_mismatches": "SELECT 'texts/' || doc_id AS path, CASE WHEN doc_id % 90 = 3 THEN 'missing' ELSE 'size' END AS problem FROM documents WHERE doc_id % 90 = 3 OR doc_id % 40 = 5",
-    "upload_checks": """WITH u AS (SELECT page_id, ['.png', '.jpeg', '.gif', '.jpg', '.heic'][page_id % 5 + 1] AS suffix, CASE WHEN page_id % 17 = 0 THEN 0 ELSE strlen(html) END AS n FROM pages),
-        e AS (SELECT page_id, suffix, CASE WHEN n = 0 THEN 'empty_file' WHEN n > 2000 THEN 'file_too_large' WHEN suffix = '.gif' THEN 'unsupported_media_type' END AS error FROM u)
-        SELECT *, CASE error WHEN 'empty_file' THEN 400 WHEN 'file_too_large' THEN 413 WHEN 'unsupported_media_type' THEN 415 ELSE 200 END AS status FROM e""",
-    "base64_images": "SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN sha256(html) END AS sha256 FROM pages",
 }
