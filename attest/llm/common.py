@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +59,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) ->
             at = to
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives memory that it no longer needs back to the system: workers are used again, and keep it otherwise."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembering up to `most` words."""
 
@@ -173,4 +189,4 @@ def free_name(df: DataFrame, want: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["BLOOM_BITS", "F", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "words_of", "written"]
+__all__ = ["BLOOM_BITS", "F", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]
