@@ -180,8 +180,8 @@ def assembled(readings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def field_values(readings: DataFrame) -> DataFrame:
-    """(doc_id, name, value, confidence): the surest non-empty reading of each name; of equal ones the later."""
-    return readings.where(F.length("value") > 0).groupBy("doc_id", "name").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "pos")).alias("b")).select("doc_id", "name", "b.*")
+    """(doc_id, name, value, confidence): the surest non-empty reading of each name; of equal ones the later, then the greater."""
+    return readings.where(F.length("value") > 0).groupBy("doc_id", "name").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "pos", "value")).alias("b")).select("doc_id", "name", "b.*")
 
 
 IDENTITY_FIELDS = ("documentNumber", "surnameAndGivenNames", "surname", "givenNames", "personalNumber", "dateOfBirth")

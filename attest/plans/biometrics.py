@@ -194,6 +194,15 @@ def capture_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANGLE = "round(embedding[{k}]::DOUBLE * 150, 3)"
 _CLIP = "least(greatest({x}, 0.0), 1.0)"
 
+_ANCHORS = """
+m AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS m, unnest({maps}) AS n),
+z AS (SELECT m, n, CASE WHEN m = 5 THEN 0.95 ELSE 0.2 + 0.15 * m END AS a, CASE WHEN m = 5 THEN 1.0 ELSE 0.35 + 0.15 * m END AS b FROM m),
+k AS (SELECT m, n, unnest(CASE WHEN m = 0 THEN [0, 1, 2] ELSE [0, 1, 2, 3, 4, 5] END) AS k,
+             unnest(CASE WHEN m = 0 THEN [0.1, 0.2 / sqrt(2), 0.2 * sqrt(2)] ELSE [a, sqrt(a * b), a / sqrt(2.0), a / sqrt(0.5), a / sqrt(3.0), a / sqrt(1.0::DOUBLE / 3)] END) AS h,
+             unnest(CASE WHEN m = 0 THEN [0.1, 0.2 * sqrt(2), 0.2 / sqrt(2)] ELSE [a, sqrt(a * b), a * sqrt(2.0), a * sqrt(0.5), a * sqrt(3.0), a * sqrt(1.0::DOUBLE / 3)] END) AS w FROM z),
+c AS (SELECT m, n, k, h, w, unnest(range(n)) AS y FROM k), g AS (SELECT m, n, k, h, w, y, unnest(range(n)) AS x FROM c),
+anchors AS (SELECT (row_number() OVER (ORDER BY m, y, x, k) - 1)::INT AS anchor, (y + 0.5::DOUBLE) / n AS cy, (x + 0.5::DOUBLE) / n AS cx, h, w FROM g)""".format(maps=list(faces.MAPS))
+
 QUERIES = {f.__name__: f for f in (operating_points, equal_error_rate, roc_auc, target_points, score_summary, template_compare, template_validate, template_wire, softmax_topk, ctc_decode, liveness_policy, verification_policy, box_nms, box_pixels, box_to_source, face_filter, face_quality, ssd_anchors, ssd_decode, detection_by_kind, document_geometry, liveness_contract, latency_percentiles, capture_decision)}
 
 ORACLES = {
@@ -221,6 +230,16 @@ ORACLES = {
         ['pass', 'real', 'review', 'spoof', 'not_available', NULL][(vec_id // 12) % 6 + 1] AS capture FROM embeddings)
         SELECT *, CASE WHEN identity = 'different_person' OR liveness = 'spoof' THEN 'fail' WHEN capture IN ('review', 'spoof') THEN 'review' WHEN liveness IS NULL THEN 'not_available'
           WHEN capture IS NULL OR capture = 'not_available' THEN 'review' WHEN identity = 'same_person' AND liveness = 'real' THEN 'pass' ELSE 'review' END AS decision FROM r""",
+    "ssd_anchors": f"WITH {_ANCHORS} SELECT anchor, round(cy, 7) AS cy, round(cx, 7) AS cx, round(h, 7) AS h, round(w, 7) AS w FROM anchors",
+    "ssd_decode": f"""WITH {_ANCHORS}, e AS (SELECT vec_id, (vec_id % 5118)::INT AS anchor, [x::DOUBLE * 10 for x in embedding[1:4]] AS c FROM embeddings),
+        b AS (SELECT vec_id, c[1] / 10 * h + cy AS y, c[2] / 10 * w + cx AS x, exp(c[3] / 5) * h AS bh, exp(c[4] / 5) * w AS bw FROM e JOIN anchors USING (anchor))
+        SELECT vec_id, round(x - bw / 2, 6) AS "left", round(y - bh / 2, 6) AS top, round(x + bw / 2, 6) AS "right", round(y + bh / 2, 6) AS bottom FROM b""",
+    "box_nms": f"""WITH RECURSIVE {_BOXES}, o AS (SELECT vec_id // 24 AS image, vec_id, score, l, t, r, d, row_number() OVER (PARTITION BY vec_id // 24 ORDER BY score DESC, vec_id) AS k FROM boxes),
+        s AS (SELECT image, 0::BIGINT AS k, []::STRUCT(vec_id BIGINT, score DOUBLE, l DOUBLE, t DOUBLE, r DOUBLE, d DOUBLE)[] AS kept FROM o GROUP BY image
+          UNION ALL SELECT s.image, o.k, CASE WHEN len(list_filter(kept, lambda q: greatest(least(q.r, o.r) - greatest(q.l, o.l), 0) * greatest(least(q.d, o.d) - greatest(q.t, o.t), 0)
+            > 0.3 * ((q.r - q.l) * (q.d - q.t) + (o.r - o.l) * (o.d - o.t) - greatest(least(q.r, o.r) - greatest(q.l, o.l), 0) * greatest(least(q.d, o.d) - greatest(q.t, o.t), 0)))) > 0 THEN kept
+            ELSE list_append(kept, {{'vec_id': o.vec_id, 'score': o.score, 'l': o.l, 't': o.t, 'r': o.r, 'd': o.d}}) END FROM s JOIN o ON s.image = o.image AND o.k = s.k + 1),
+        f AS (SELECT image, unnest(arg_max(kept, k)) AS x FROM s GROUP BY image) SELECT image, x.vec_id AS vec_id, x.score AS score FROM f""",
     "box_pixels": f"WITH {_BOXES} SELECT vec_id, {', '.join(f'least(greatest(round_even({x} * {s}, 0), 0), {s})::INT AS {n}' for x, s, n in (('l', 640, '\"left\"'), ('t', 480, 'top'), ('r', 640, '\"right\"'), ('d', 480, 'bottom')))} FROM boxes",
     "box_to_source": f"""WITH {_BOXES}, c AS (SELECT vec_id, vec_id % 4 AS q, {', '.join(f'{_CLIP.format(x=x)} AS {x}' for x in 'ltrd')} FROM boxes),
         q AS (SELECT vec_id, CASE q WHEN 0 THEN l WHEN 1 THEN 1 - d WHEN 2 THEN 1 - r ELSE t END AS l, CASE q WHEN 0 THEN t WHEN 1 THEN l WHEN 2 THEN 1 - d ELSE 1 - r END AS t,

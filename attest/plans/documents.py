@@ -126,15 +126,19 @@ def catalog_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "front", "relation", F.array_join(F.transform("related", lambda x: x["identifier"].cast("string")), ",").alias("related"))
 
 
-def _collection() -> Column:
-    return F.concat_ws("/", F.col("conv_id").cast("string"), F.floor(F.col("turn") / fusion.MOST_PAGES).cast("string"))
+#: Runs in both engines: turns as pages of layouts, whose ordinals and relations depend on a digest; some have none.
+_ORDERED = """
+SELECT CAST(conv_id AS STRING) || '/' || CAST(CAST(floor(turn / 10) AS INT) AS STRING) AS collection_id, turn AS position,
+       CASE WHEN h % 9 = 0 THEN NULL ELSE CAST(turn % 7 AS BIGINT) END AS identifier, CASE WHEN h % 8 = 1 THEN NULL ELSE h % 4 END AS ordinal,
+       CAST(h % 7 AS BIGINT) AS one, CAST(h * 3 % 7 AS BIGINT) AS two
+FROM (SELECT conv_id, turn, ascii(substr(md5(CAST(conv_id AS STRING) || '+' || CAST(turn AS STRING)), 1, 1)) + ascii(substr(md5(CAST(conv_id AS STRING) || '+' || CAST(turn AS STRING)), 2, 1)) AS h FROM {conversations}) AS t
+"""
 
 
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation, as many as a collection may have pages, with layouts that are given in reverse."""
-    t = table(spark, sf_dir, "conversations")
-    pages = t.select(_collection().alias("collection_id"), F.col("turn").alias("position"), (100 - F.col("turn")).alias("identifier"), (F.lit(20) - F.col("turn")).alias("ordinal"), F.array(F.lit(99) - F.col("turn"), F.lit(101) - F.col("turn")).alias("related"))
-    rows = fusion.page_order(pages)
+    """Turns of a conversation, as many as a collection may have pages."""
+    pages = spark.sql(_ORDERED, conversations=table(spark, sf_dir, "conversations")).withColumn("related", F.array("one", "two"))
+    rows = fusion.page_order(pages.withColumn("ordinal", F.col("ordinal").cast("int")))
     return rows.select("collection_id", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), "decision", "method")
 
 
@@ -164,21 +168,29 @@ def field_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.dependencies(p.select(F.col("k").alias("root"), F.col("k").alias("name")), edges)
 
 
+#: Runs in both engines: up to two readings of each of three parts of customers' names, and of the whole.
+_READINGS = """
+SELECT c_custkey AS doc_id, k AS pos, CASE WHEN k = 6 THEN 9 ELSE CAST(floor(k / 2) AS INT) + 1 END AS type, 'part' || CAST(k AS STRING) AS name,
+       CASE WHEN d % 3 = 0 THEN '' WHEN k = 6 AND d % 4 > 0 THEN '' WHEN d % 7 = 1 THEN ' ' || c_mktsegment || ',' ELSE substr(c_name, 1 + k, 9) || CAST(k AS STRING) END AS value, CAST(d % 5 AS DOUBLE) / 10 + 0.25 AS confidence
+FROM (SELECT c_custkey, c_name, c_mktsegment, k, ascii(substr(md5(CAST(c_custkey AS STRING) || '/' || CAST(k AS STRING)), 1, 1)) + ascii(substr(md5(CAST(c_custkey AS STRING) || '/' || CAST(k AS STRING)), 2, 1)) AS d
+      FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS seven) AS t
+"""
+
+
 def field_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surname, given names and place of customers put together by a rule with literals; some parts are missing."""
-    k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer")
-    one = lambda pos, kind, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit(name).alias("name"), value.alias("value"), (F.lit(0.5) + pos / 10.0).alias("confidence"), F.lit(None).cast("int").alias("locale"), F.array(*(F.lit(float(x)) for x in (pos, 0, pos + 1, 1))).alias("bounds"))
-    readings = c.select(k.alias("doc_id"), F.explode(F.array(one(0, 1, "surname", F.col("c_name")), one(1, 2, "given", F.when(k % 2 == 0, F.lit("JANE"))), one(2, 3, "place", F.when(k % 3 != 0, F.col("c_mktsegment"))), one(3, 9, "full", F.when(k % 10 == 0, F.lit("THERE"))))).alias("r")).select("doc_id", "r.*")
+    """Three parts of customers' names put together by a rule with literals; some parts are missing, some were read twice."""
+    readings = spark.sql(_READINGS, customer=table(spark, sf_dir, "customer"))
+    pos = F.col("pos").cast("double")
+    readings = readings.withColumns({"locale": F.lit(None).cast("int"), "bounds": F.array(pos, F.lit(0.0), pos + 1, F.lit(1.0))})
     part = lambda kind, t=None, value=None: (kind, t, None, value)
     rules = spark.createDataFrame([(1, (9, "full", None), [part("field", 1), part("literal", value=", "), part("field", 2), part("literal", value=" / "), part("literal", value=" - "), part("field", 3)])], "rule int, target struct<type:int,name:string,locale:int>, parts array<struct<kind:string,type:int,locale:int,value:string>>")
-    return layouts.assembled(readings, rules).select("doc_id", "value", F.round("confidence", 6).alias("confidence"), F.array_join("derived_from", ",").alias("derived_from"))
+    return layouts.assembled(readings, rules).select("doc_id", "value", F.round("confidence", 6).alias("confidence"), F.array_join("derived_from", ",").alias("derived_from"), F.element_at("bounds", 1).alias("left"), F.element_at("bounds", 3).alias("right"))
 
 
 def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of readings of one field the surest, the later of equal ones: line items of a supplier, by return flag."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("name"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("value"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10).alias("pos"))
-    return layouts.field_values(rows.dropDuplicates(["doc_id", "name", "confidence", "pos"]))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("name"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("value"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10).alias("pos"))
+    return layouts.field_values(rows)
 
 
 def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +198,7 @@ def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.round(k % 50 / 100.0, 4)
     bounds = F.array(F.lit(0.1), top, F.lit(0.9), top + F.round((k % 7 + 1) / 20.0, 4))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(layouts.candidate_windows(bounds, F.lit(0.05))).alias("place", "w"))
-    return rows.select("p_partkey", "place", F.round(F.col("w")[1], 5).alias("top"), F.round(F.col("w")[3], 5).alias("bottom"))
+    return rows.select("p_partkey", "place", F.round(F.col("w")[1], 8).alias("top"), F.round(F.col("w")[3], 8).alias("bottom"))
 
 
 QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, field_values, read_windows)}
@@ -229,7 +241,24 @@ ORACLES = {
         r AS (SELECT id, relation, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS related FROM e WHERE dst IN (SELECT p_partkey FROM part) GROUP BY id, relation), m AS (SELECT l_orderkey AS doc_id, id AS front, relation, related, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_RANK}) AS k FROM lineitem JOIN r ON l_partkey = id)
         SELECT doc_id, front, relation, related FROM m WHERE k = 1""",
     "field_closure": """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS name, unnest([k // 2, k // 3, CASE WHEN k = 6 THEN 12 ELSE k END]) AS needs FROM p), c AS (SELECT k AS root, k AS name FROM p UNION SELECT root, needs FROM c JOIN e USING (name) WHERE needs > 0) SELECT root, name FROM c""",
-    "field_assembly": """SELECT c_custkey AS doc_id, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', JANE' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN ' /  - ' || c_mktsegment ELSE ' - ' || c_mktsegment END AS value,
-        round(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 0.6 WHEN c_custkey % 2 = 0 THEN 0.55 WHEN c_custkey % 3 <> 0 THEN 0.6 ELSE 0.5 END, 6)::DOUBLE AS confidence,
-        'surname' || CASE WHEN c_custkey % 2 = 0 THEN ',given' ELSE '' END || CASE WHEN c_custkey % 3 <> 0 THEN ',place' ELSE '' END AS derived_from FROM customer WHERE c_custkey % 10 <> 0""",
+    "field_assembly": f"""WITH r AS ({_READINGS.format(customer='customer')}), x AS (SELECT * FROM r WHERE value <> ''),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY confidence DESC, pos) AS place FROM x WHERE type < 9) WHERE place = 1),
+        j AS (SELECT doc_id, max(value) FILTER (type = 1) AS a, max(value) FILTER (type = 2) AS b, max(value) FILTER (type = 3) AS c, round(avg(confidence), 6) AS confidence, string_agg(name, ',' ORDER BY type) AS derived_from, min(pos)::DOUBLE AS "left", max(pos)::DOUBLE + 1 AS "right" FROM b GROUP BY doc_id),
+        v AS (SELECT *, trim(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || ', ' || b WHEN a IS NOT NULL AND c IS NOT NULL THEN a || ' - ' ELSE coalesce(a, b, '') END || CASE WHEN c IS NULL THEN '' WHEN b IS NOT NULL THEN ' /  - ' || c ELSE c END, ' ,/') AS value FROM j)
+        SELECT doc_id, value, confidence, derived_from, "left", "right" FROM v WHERE value <> '' AND doc_id NOT IN (SELECT doc_id FROM x WHERE type = 9)""",
+    "field_values": """WITH r AS (SELECT l_suppkey AS doc_id, l_returnflag AS name, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS value, l_quantity AS confidence, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS pos FROM lineitem),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, pos DESC, value DESC) AS k FROM r) SELECT doc_id, name, value, confidence FROM b WHERE k = 1""",
+    "read_windows": """WITH p AS (SELECT p_partkey, round(p_partkey % 50 / 100.0, 4)::DOUBLE AS top, round(p_partkey % 50 / 100.0, 4)::DOUBLE + round((p_partkey % 7 + 1) / 20.0, 4)::DOUBLE AS bottom, 0.05::DOUBLE AS text FROM part),
+        h AS (SELECT *, least(bottom - top, greatest(text * 1.5, (bottom - top) / 8)) AS height FROM p), e AS (SELECT *, CASE WHEN bottom - top <= height * 1.8 THEN top - text * 0.5 ELSE top END AS a, CASE WHEN bottom - top <= height * 1.8 THEN bottom + text * 0.5 ELSE bottom END AS z FROM h),
+        n AS (SELECT *, greatest(3, least(10, round_even((z - a) / greatest(text * 0.55, 0.001), 0)))::INT AS n FROM e), w AS (SELECT *, unnest(range(n)) AS i FROM n), y AS (SELECT *, a + (z - a - height) * i / (n - 1) AS y FROM w)
+        SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY abs((y + y + height) / 2 - (top + bottom) / 2), i) - 1)::INT AS place, round(y, 8) AS top, round(y + height, 8) AS bottom FROM y""",
+    "page_order": f"""WITH RECURSIVE p AS ({_ORDERED.format(conversations='conversations')}), g AS (SELECT *, (row_number() OVER (PARTITION BY collection_id ORDER BY position) - 1)::INT AS k FROM p),
+        e AS (SELECT a.collection_id, CASE WHEN a.ordinal < b.ordinal THEN a.k ELSE b.k END AS f, CASE WHEN a.ordinal < b.ordinal THEN b.k ELSE a.k END AS l FROM g AS a JOIN g AS b ON a.collection_id = b.collection_id AND a.k < b.k AND a.ordinal <> b.ordinal AND (b.identifier IN (a.one, a.two) OR a.identifier IN (b.one, b.two)) WHERE a.identifier IS NOT NULL AND b.identifier IS NOT NULL),
+        c AS (SELECT collection_id, list(k ORDER BY k) AS every FROM g GROUP BY 1), x AS (SELECT c.collection_id, every, (SELECT list({{'f': f, 'l': l}}) FROM e WHERE e.collection_id = c.collection_id) AS edges FROM c),
+        s AS (SELECT collection_id, every, edges, []::INT[] AS told, every AS remaining FROM x
+          UNION ALL SELECT collection_id, every, edges, list_append(told, nxt), list_filter(remaining, lambda q: q <> nxt) FROM (
+            SELECT *, list_filter(remaining, lambda q: len(list_filter(coalesce(edges, []), lambda d: d.l = q AND list_contains(remaining, d.f))) = 0)[1] AS nxt FROM s WHERE len(remaining) > 0) WHERE nxt IS NOT NULL),
+        d AS (SELECT collection_id, every, edges, arg_max(told, len(told)) AS told FROM s GROUP BY collection_id, every, edges)
+        SELECT collection_id, array_to_string(CASE WHEN len(told) = len(every) THEN told ELSE every END, ',') AS indices, CASE WHEN len(told) = len(every) AND told <> every THEN 'reordered' ELSE 'preserved' END AS decision,
+          CASE WHEN edges IS NOT NULL AND len(told) = len(every) THEN 'catalog_relation_and_declared_page_ordinal' ELSE 'caller_order' END AS method FROM d""",
 }
