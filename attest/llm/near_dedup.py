@@ -5,8 +5,8 @@ that agree in all rows of a band meet in a bucket. In a bucket of any size, cand
 
 1. each member is held against one member of its bucket (as many pairs as members): the one that meets most others in all its
    buckets together, which in a group of copies is the text that they were made from;
-2. links that are confirmed give components; buckets that lie within one component have nothing more to tell. In large
-   buckets with several components, a member of the second largest one is the next pivot, for some rounds;
+2. links that are confirmed give components; buckets that lie within one component have nothing more to tell. Where
+   more than BLOCK members lie outside a bucket's largest component, one of the second largest is the next pivot, for some rounds;
 3. in the remaining buckets, the members outside the bucket's largest component are held against that component and each other,
    block by block inside a task, which puts out at most a spanning forest of the links of two blocks. Members of the largest
    component are not held against each other.
@@ -37,7 +37,7 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a bucket that one task holds against as many others, and the shingles that their sets have at most together.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
-#: Rounds of pivots after the first, for buckets of more than BLOCK members.
+#: Rounds of pivots after the first, for buckets with more than BLOCK members outside their largest component.
 PIVOT_ROUNDS = 4
 SHINGLE, PERCENT = 5, 80
 
@@ -285,13 +285,12 @@ def open_buckets(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 
 def next_pairs(members: DataFrame) -> DataFrame:
-    """For large buckets (key, id, component) of several components: a member of the second largest one, with all members of other components."""
-    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key")
-    rows = members.join(large, "key", "left_semi")
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
-    two = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "component")).alias("major"))
+    """For buckets (key, id, component) with more than BLOCK members outside their largest component: a member of the second largest one, with all members of other components."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
+    two = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("all"))
+    two = written(two.where(F.col("all") - F.col("major.n") > BLOCK).select("k", "major"), "wide")
     second = parts.join(two, F.col("key") == F.col("k")).where(F.col("component") != F.col("major.component")).groupBy("k").agg(F.max_by(F.struct("pivot", "component"), F.struct("n", "component")).alias("p"))
-    met = rows.join(second, F.col("key") == F.col("k")).where(F.col("component") != F.col("p.component"))
+    met = members.join(second, F.col("key") == F.col("k")).where(F.col("component") != F.col("p.component"))
     return met.select(F.greatest("id", "p.pivot").alias("a"), F.least("id", "p.pivot").alias("b")).distinct()
 
 
@@ -320,15 +319,15 @@ def classed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     last, still = open_buckets(members.select("key", "id"), links)
     for _ in range(PIVOT_ROUNDS):
         pairs = written(next_pairs(still), "next-pairs")
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             break
         more = written(star_links(pairs, heads, grams_of, percent), "links")
-        if not more.limit(1).count():
+        if more.isEmpty():
             break
         links = links.unionByName(more)
         last, still = open_buckets(members.select("key", "id"), links)
     more = written(block_links(still, heads, grams_of, percent), "more-links")
-    if more.limit(1).count():
+    if not more.isEmpty():
         last = components(links.unionByName(more))
     # The least doc_id of a component: names of classes may be hashes.
     placed = classes.join(last, "id", "left").select("f1", "f2", "doc", F.coalesce("component", "id").alias("component"))
