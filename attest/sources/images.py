@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 MOST_BYTES = 20 * 1024 * 1024
 SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif")
@@ -45,6 +48,14 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "content", upload_error(F.col("content"), F.col("path")).alias("error"))
 
 
+@F.pandas_udf(BinaryType())
+def _red_first(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Bytes of pixels whose first three channels are turned around; gray ones as they are."""
+    turn = lambda d, n: np.frombuffer(d, np.uint8).reshape(-1, n)[:, [2, 1, 0, *range(3, n)]].tobytes() if n >= 3 else bytes(d)
+    return pd.Series([None if d is None else turn(d, int(n)) for d, n in zip(data, channels, strict=True)], dtype=object)
+
+
 def pixels(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, channels, data (rows of blue-green-red bytes) by Spark's image source; files that are no image have height -1 and are left out by it if asked."""
-    return spark.read.format("image").option("dropInvalid", "false").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """path, height, width, channels, data (rows of red-green-blue bytes, as operators.imaging takes them) by Spark's image source, which gives blue first; files that are no image have height -1 and no data."""
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    return raw.withColumn("data", F.when(F.col("height") > 0, _red_first("data", "channels")))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attest.functions import mrz
 from attest.operators import catalog, evaluation, fusion, imaging, layouts, observe
 from attest.plans import responses, router
 from attest.sources import catalogs, images, manifest
@@ -214,8 +215,63 @@ def test_alignment_and_rectification():
     corners = np.array([[0, 0], [80, 0], [80, 50], [0, 50]], float)
     assert np.abs(imaging.rectified(image, corners, 50, 80) - image).max() < 1e-6
     assert imaging.standardised(image).shape == (3, 256, 256) and imaging.line_tensor(image).shape[2] == 48
-    with pytest.raises(ValueError, match="unknown preprocessing step: blur"):
-        imaging.preprocessed(image, [{"op": "to_float"}, {"op": "blur"}])
+    tensors = imaging.liveness_tensors(image, [0.25, 0.2, 0.5, 0.6], side=32)
+    assert len(tensors) == 7 and all(t.shape == (1, 3, 32, 32) for t in tensors) and 0 <= tensors[3].min() <= tensors[3].max() <= 1
+    assert imaging.face_crop(image, [0.25, 0.2, 0.5, 0.6], 1.1, False).shape == (23, 23, 3) and imaging.face_crop(image, [0.0, 0.0, 1.0, 1.0], 1.45, True).shape == (50, 73, 3)
+
+
+def test_configured_preprocessing(spark):
+    image = np.zeros((100, 200, 3), np.uint8)
+    image[20:80, 50:150] = [127, 64, 32]
+    found = [{"kind": "kGenericDocument", "score": 0.9, "box": [50, 20, 150, 80]}, {"kind": "kGenericDocument", "score": 0.1, "box": [0, 0, 9, 9]}, {"kind": "kPhoto", "box": [60, 30, 100, 70]}]
+    steps = [{"type": "align_document_by_bbox", "detection_to_use": "kGenericDocument", "pad_percentage": 0}, {"type": "resize", "target_width": 20, "target_height": 10, "interpolation_mode": "INTER_NEAREST"}, {"type": "normalize", "mean": [127, 64, 32], "std": [1, 2, 4]}]
+    out = imaging.preprocessed(image, steps, found)
+    assert out.shape == (10, 20, 3) and out.dtype == np.float32 and not out.any()
+    stack = {"type": "stack_detections_by_bbox", "target_width": 16, "target_height": 12, "interpolation_mode": "INTER_NEAREST", "detections_to_align_by_bbox": [{"detection_to_use": "kGhostPhoto", "pad_percentage": 50}, {"detection_to_use": "kPhoto", "pad_percentage": 0}], "detections_required": False}
+    both = imaging.preprocessed(image, [stack, {"type": "convert_to_float"}], found)
+    assert both.shape == (12, 16, 2) and not both[..., 0].any() and np.allclose(both[..., 1], (127 + 64 + 32) / 3)
+    assert imaging.preprocessed(image, [{"type": "align_document_by_bbox", "detection_to_use": "kPhoto", "pad_percentage": 50}], found).shape == (80, 80, 3)
+    turned = imaging.preprocessed(image, [{"type": "lead_to_orientation"}], orientation="k90")
+    assert turned.shape == (200, 100, 3)
+    for steps, told in (([{"type": "blur"}], "blur"), ([{"type": "align_document_by_bbox", "detection_to_use": "kGhost"}], "kGhost"), ([stack | {"detections_required": True}], "kGhostPhoto"), ([{"type": "resize", "target_width": 1, "target_height": 1, "interpolation_mode": "X"}], "X")):
+        with pytest.raises(ValueError, match=told):
+            imaging.preprocessed(image, steps, found)
+    calls = []
+    config = {"model_name": "m", "nnet_input_name": "in", "nnet_output_name": "out", "preprocessors": [{"type": "convert_to_float"}], "output_thresholds": [0.2, 0.3]}
+    got = imaging.configured(image, config, lambda *x: calls.append(x[:3]) or [[0.25, 0.25]])
+    assert calls == [("m", "in", "out")] and got["input_shape"] == [100, 200, 3] and got["output_shape"] == [1, 2]
+    with pytest.raises(ValueError, match="nnet_input_name"):
+        imaging.configured(image, {"model_name": "m", "nnet_output_name": "o"}, None)
+    df = spark.createDataFrame([(1, got["raw"], [0.2, 0.3]), (2, [0.5], [0.1, 0.2]), (3, [0.3], [0.3])], "k int, v array<double>, t array<double>")
+    told = {r.k: r.x for r in df.select("k", imaging.threshold_results(F.col("v"), F.col("t")).alias("x")).collect()}
+    assert [x.above for x in told[1]] == [True, False] and told[1][0].margin == pytest.approx(0.05) and told[2] is None and told[3][0].above
+
+
+def test_zones_are_found(spark):
+    page = np.full((650, 1000, 3), 255, np.uint8)
+    for top in (500, 555):
+        for left in range(60, 950, 20):
+            page[top : top + 29, left : left + 11] = 0
+    small = np.full((19, 60, 3), 255, np.uint8)
+    rows = [(1, 650, 1000, bytearray(page.tobytes()), None, None), (2, 19, 60, bytearray(small.tobytes()), None, None), (3, 0, 0, None, None, None), (4, 650, 1000, bytearray(page.tobytes()), 0.9, 0.13)]
+    df = spark.createDataFrame(rows, "k int, height int, width int, data binary, wr double, hr double")
+    boxes = imaging.zone_boxes("height", "width", "data", F.lit(2), mrz.search_ratios(F.col("hr"), 2), "wr", "hr")
+    got = {r.k: r.b for r in df.select("k", boxes.alias("b")).collect()}
+    left, top, right, bottom = got[1][0]
+    assert left < 0.08 and right > 0.94 and 0.72 < top < 0.79 and 0.88 < bottom < 0.94 and len(got[1]) <= 2
+    assert got[2] == [] and got[3] is None and got[4][0][1] > 0.7
+    lines = spark.createDataFrame([(got[1][0],)], "z array<double>").select(mrz.line_bounds(F.col("z"), 2).alias("b")).first().b
+    assert lines[0][1] < lines[0][3] and lines[1][1] < lines[0][3] + 0.05 and lines[0][1] < lines[1][1]
+
+
+def test_pixels_are_read_red_first(spark, tmp_path):
+    image = picture(7, 5, 1)
+    (tmp_path / "a.png").write_bytes(imaging.png(image))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in images.pixels(spark, str(tmp_path)).collect()}
+    a = rows["a.png"]
+    assert (imaging.as_image(a.height, a.width, a.data) == image).all()
+    assert "b.png" not in rows or rows["b.png"].data is None
 
 
 def test_metadata(spark):
