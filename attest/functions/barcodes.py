@@ -100,3 +100,31 @@ def scan_pdf417(profile: Column, layout_hint: Column, mrz_hint: Column) -> Colum
     """Whether the expensive symbol scan is worth while: always for its own profile; for automatic ones unless a hint says that there is none."""
     hinted = F.coalesce(layout_hint.isin("mex_ine", "swe_id_2021"), F.lit(False)) | F.coalesce(mrz_hint.isin("td1", "td2", "td3", "mrv"), F.lit(False))
     return (profile == "aamva_pdf417") | ((profile == "auto_research") & ~hinted)
+
+
+def qr_evidence(symbols: Column, host: str = "qr.ine.mx") -> Column:
+    """From structs (format, text, decoder), in order: the first QRCode with a verification URL, with the digits of the first Code128 that is digits only ("" without one); null if there is no such QRCode."""
+    urls = F.filter(F.transform(F.filter(symbols, lambda s: s["format"] == "QRCode"), lambda s: F.struct(verification_url(s["text"], host).alias("u"), s["decoder"].alias("decoder"))), lambda s: s["u"].isNotNull())
+    numbers = F.filter(symbols, lambda s: (s["format"] == "Code128") & s["text"].rlike("^[0-9]+$"))
+
+    def told(first: Column) -> Column:
+        u = first["u"]
+        fields = {"credential_identifier": u["identifier"], "issue_date": u["issueDate"], "credential_type": u["type"], "query_identifier": u["queryIdentifier"], "verification_url": u["url"]}
+        fields |= {"barcode_number": F.coalesce(F.get(numbers, F.lit(0))["text"], F.lit("")), "format": F.lit("QRCode"), "decoder": first["decoder"]}
+        return F.when(first.isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))
+
+    return let(F.get(urls, F.lit(0)), told)
+
+
+def qr_result(evidence: Column) -> Column:
+    """The document that a verification QR alone stands for; null without evidence."""
+    fields = {"document_name": F.lit("Voter Credential"), "country": F.lit("Mexico"), "document_number": evidence["credential_identifier"], "date_of_issue": evidence["issue_date"], "credential_type": evidence["credential_type"], "query_identifier": evidence["query_identifier"], "barcode_number": evidence["barcode_number"], "source": F.lit("BARCODE"), "sources": F.array(F.lit("BARCODE")), "status": F.lit(1), "profile": F.lit("MEX-INE-QR"), "profile_status": F.lit("selected_by_public_verification_qr_structure"), "engine": evidence["decoder"], "barcode_format": evidence["format"]}
+    return F.when(evidence.isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def aamva_result(record: Column) -> Column:
+    """The document that a parsed AAMVA record stands for: valid if its header is; the country is the United States unless it is stated."""
+    some = lambda *names: F.array_join(F.filter(F.array(*(record[n] for n in names)), lambda x: x != ""), " ")
+    country = F.coalesce(F.nullif(record["countryCode"], F.lit("")), F.lit("USA"))
+    fields = {"document_name": F.lit("Driver License"), "country": country, "document_number": record["documentNumber"], "surname": record["familyName"], "given_names": some("firstName", "middleName"), "surname_and_given_names": some("familyName", "firstName", "middleName"), "date_of_birth": record["dateOfBirth"], "date_of_expiry": record["dateOfExpiry"], "sex": record["sex"], "address": record["address"], "source": F.lit("BARCODE"), "sources": F.array(F.lit("BARCODE")), "status": F.when(record["headerValid"], 1).otherwise(-1), "profile": F.lit("AAMVA-PDF417"), "profile_status": F.lit("selected_by_valid_barcode"), "designators": record["availableDesignators"]}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))

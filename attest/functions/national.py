@@ -9,6 +9,13 @@ from .mrz import belarus_number  # noqa: F401  (belongs to this family, used by
 
 CURP_ALPHABET = "0123456789ABCDEFGHIJKLMNÑOPQRSTUVWXYZ"
 CURP_PATTERN = "^[A-Z][AEIOUX][A-Z]{2}[0-9]{6}[HM][A-Z]{5}[A-Z0-9][0-9]$"
+#: Names of issuers, the authority that a code stands for, and the keys of visual fields.
+COUNTRY_NAMES = {"BLR": "Belarus", "MEX": "Mexico", "SWE": "Sweden"}
+BLR_AUTHORITIES = {"709": "УВД АДМИНИСТРАЦИИ ФРУНЗЕНСКОГО РАЙОНА Г.МИНСКА"}
+VISUAL_KEYS = {"surname1": "firstSurname", "surname2": "secondSurname", "address1": "addressLine1", "address2": "addressLine2", "address3": "addressLine3"}
+SAME_KEYS = ("givenNames", "dateOfBirth", "electorKey", "curp", "sex", "registrationYear", "state", "municipality", "section", "locality", "issueYear", "validity")
+#: Where the two Mexican passport profiles have their nationality, by which they are told apart.
+MEX_NATIONALITY = ((0.294, 0.402, 0.500, 0.446), (0.294, 0.375, 0.520, 0.425))
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
 
@@ -102,3 +109,49 @@ def swedish_card_score(number: Column, birth: Column, *other: Column) -> Column:
     """Two points for each of the first two fields that were read, one for each other; from 5 on the card is accepted."""
     has = lambda c: (F.coalesce(F.length(c), F.lit(0)) > 0).cast("int")
     return sum((has(c) for c in other), 2 * has(number) + 2 * has(birth))
+
+
+def looked_up(code: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), code)
+
+
+def country_name(code: Column) -> Column:
+    """Null for an issuer without a name."""
+    return looked_up(code, COUNTRY_NAMES)
+
+
+def visual_key(key: Column) -> Column:
+    """The output key of a visual field; null for one that is not given out."""
+    return looked_up(key, VISUAL_KEYS | {k: k for k in SAME_KEYS})
+
+
+def belarus_visual(authority: Column, place: Column, issued: Column, status_text: Column, status: Column) -> Column:
+    """What the visual texts of a Belarusian passport add to its zone: eight digits of the issue date as a date (the text itself if
+    they are none), the authority that a code names, and specimens, whose text begins with SAMI, as not valid."""
+    digits = F.regexp_replace(F.coalesce(issued, F.lit("")), "[^0-9]", "")
+    day = F.when(F.length(digits) == 8, F.try_to_date(digits, "ddMMyyyy").cast("string"))
+    letters = F.regexp_replace(F.upper(F.coalesce(status_text, F.lit(""))), r"[^\p{L}]", "")
+    specimen = letters.startswith("SAMI")
+    fields = {"document_name": F.lit("Belarus - ePassport (2021)"), "country": F.lit("Belarus"), "nationality": F.lit("Belarus"), "authority": F.trim(authority), "authority_name": F.coalesce(looked_up(F.trim(authority), BLR_AUTHORITIES), F.lit("")), "place_of_birth": F.trim(place), "date_of_issue": F.coalesce(day, F.trim(issued)), "document_status": F.when(specimen, "SPECIMEN").otherwise(""), "status": F.when(specimen, 0).otherwise(status)}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+def mexican_profile(nationalities: Column) -> Column:
+    """From structs (text, confidence), one for each profile: the place of the one that reads MEXICANA (0 as O), then of the surest, the first of equal ones."""
+    keyed = F.transform(nationalities, lambda n, i: F.struct((F.translate(F.upper(F.trim(n["text"])), "0", "O") == "MEXICANA").alias("own"), n["confidence"].alias("c"), (-i).alias("k")))
+    return -F.array_max(keyed)["k"]
+
+
+def mexican_visual(values: Column, first_line: Column) -> Column:
+    """What the visual texts (structs of text and confidence: surname, givenNames, nationality, personalNumber, placeOfBirth, folioNumber, dateOfIssue) of
+    a Mexican passport add to its zone. Words of names are mended by the zone's names; where both were read with 0.85, they make the zone's first line anew."""
+    zone = F.translate(F.translate(F.substring(first_line, 6, 39), "0158", "OISB"), "<", "")
+    mended = lambda c: F.array_join(F.transform(F.filter(F.split(F.trim(values[c]["text"]), r"\s+"), lambda w: w != ""), lambda w: nearest_in_zone(w, zone)), " ")
+    upper = lambda c: F.translate(F.upper(F.trim(values[c]["text"])), "0", "O")
+    surname, given = mended("surname"), mended("givenNames")
+    sure = (values["surname"]["confidence"] >= 0.85) & (values["givenNames"]["confidence"] >= 0.85)
+    line = F.rpad(F.concat(F.substring(first_line, 1, 5), F.translate(surname, " ", "<"), F.lit("<<"), F.translate(given, " ", "<")), 44, "<")
+    folio = F.trim(values["folioNumber"]["text"])
+    joined = F.array_join(F.filter(F.array(surname, given), lambda x: x != ""), " ")
+    fields = {"document_name": F.lit("Mexico - ePassport (2021)"), "surname": surname, "given_names": given, "name": joined, "nationality": upper("nationality"), "personal_number": mexican_number(values["personalNumber"]["text"]), "place_of_birth": upper("placeOfBirth"), "date_of_issue": visual_date(values["dateOfIssue"]["text"]), "folio_number": F.when(folio.rlike("^[0-9]+$"), folio).otherwise(""), "first_line": F.when(sure, line).otherwise(first_line)}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))

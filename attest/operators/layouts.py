@@ -137,8 +137,10 @@ def candidate_windows(bounds: Column, text_height: Column) -> Column:
 
 def selected_lines(readings: Column, text_height: Column, limit: Column, least: float = 0.18) -> Column:
     """From structs (score, seq, text, centre, confidence): the best line first, others if they lie 0.7 text heights from all
-    taken, up to the limit; joined top to bottom, with their mean confidence. Null if no reading is sure enough."""
-    ordered = F.array_sort(F.transform(F.filter(readings, lambda r: (r["confidence"] >= least) & (r["text"] != "")), lambda r: F.struct((-r["score"]).alias("neg"), r["seq"].alias("seq"), r["text"].alias("text"), r["centre"].alias("centre"), r["confidence"].alias("confidence"))))
+    taken, up to the limit; joined top to bottom, with their mean confidence. If no reading is sure enough, the best one alone; null without readings."""
+    every = F.array_sort(F.transform(F.filter(readings, lambda r: r["text"] != ""), lambda r: F.struct((-r["score"]).alias("neg"), r["seq"].alias("seq"), r["text"].alias("text"), r["centre"].alias("centre"), r["confidence"].alias("confidence"))))
+    sure = F.filter(every, lambda r: r["confidence"] >= least)
+    ordered = F.when(F.size(sure) > 0, sure).otherwise(F.slice(every, 1, 1))
     taken = F.aggregate(ordered, F.filter(ordered, lambda r: F.lit(False)), lambda acc, r: F.when((F.size(acc) >= limit) | F.exists(acc, lambda k: F.abs(k["centre"] - r["centre"]) < 0.7 * text_height), acc).otherwise(F.concat(acc, F.array(r))))
     down = F.array_sort(F.transform(taken, lambda r: F.struct(r["centre"].alias("centre"), r["text"].alias("text"))))
     mean = F.aggregate(taken, F.lit(0.0), lambda s, r: s + r["confidence"]) / F.size(taken)
@@ -194,3 +196,65 @@ def has_identity_evidence(readings: DataFrame, names: tuple[str, ...] = IDENTITY
 
 def profile_name(identifier: Column) -> Column:
     return F.concat(F.lit("CATALOG-"), F.when(identifier < 0, F.concat(F.lit("N"), F.abs(identifier).cast("string"))).otherwise(F.concat(F.lit("P"), identifier.cast("string"))))
+
+
+#: Fields that hold persons' names, regional models of Latin script, and how sure a reading is that ends a search.
+PERSON_NAMES = ("surnameAndGivenNames", "surname", "firstSurname", "secondSurname", "givenNames", "fathersName", "mothersName")
+REGIONAL_MODELS, SURE = (1034, 1050, 1055, 1061, 1066), 0.995
+
+
+def reading_score(name: Column, mask_score: Column, value: Column, confidence: Column, wanted_model: Column, model: Column) -> Column:
+    """What a reading is worth: its confidence, how well it fits the field's mask (masks.compatibility), that a name has no digit, and, for
+    fields of a regional model, which model read it: the general one, or the regional one that found letters beyond ASCII."""
+    named = F.when(name.isin(*PERSON_NAMES), F.when(value.rlike(r"\p{Nd}"), -0.4).otherwise(0.05)).otherwise(F.lit(0.0))
+    regional = F.when(F.coalesce(model, F.lit(0)) == 0, 0.2).when(value.rlike(r"^[\x00-\x7f]*$"), -0.2).otherwise(0.05)
+    return confidence + mask_score + named + F.when(F.coalesce(wanted_model.isin(*REGIONAL_MODELS), F.lit(False)), regional).otherwise(F.lit(0.0))
+
+
+def line_limit(mask_lines: Column, height: Column, text_height: Column) -> Column:
+    """How many lines a field may have: as its mask says, else as many as its region holds, one to six."""
+    fits = F.bround(height / F.greatest(text_height * 1.8, F.lit(0.001))).cast("int")
+    return F.coalesce(mask_lines, F.greatest(F.lit(1), F.least(F.lit(6), fits)))
+
+
+def recognised_fields(readings: DataFrame) -> DataFrame:
+    """doc_id, field, value, confidence: what was read of each field.
+
+    readings: doc_id, field, limit, text_height, window (in the order that they are tried), seq, text, centre, confidence, score, mask_score. A
+    field of one line ends with the first window whose best reading is as sure as SURE and fits its mask: that reading counts. Others
+    take their lines from all windows.
+    """
+    r = readings.withColumn("text", F.regexp_replace("text", "^[ <]+|[ <]+$", "")).where(F.col("text") != "")
+    best = r.groupBy("doc_id", "field", "window").agg(F.max("limit").alias("limit"), F.max_by(F.struct("text", "confidence", "score", "mask_score"), F.struct("score", -F.col("seq"))).alias("b"))
+    ends = best.where((F.col("limit") == 1) & (F.col("b.confidence") >= SURE) & (F.col("b.score") >= SURE) & (F.col("b.mask_score") >= 0))
+    early = ends.groupBy("doc_id", "field").agg(F.min_by("b", "window").alias("early"))
+    lines = r.groupBy("doc_id", "field").agg(F.max("limit").alias("limit"), F.max("text_height").alias("height"), F.collect_list(F.struct("score", "seq", "text", "centre", "confidence")).alias("all"))  # a field has some hundred readings at most
+    told = lines.join(early, ["doc_id", "field"], "left").select("doc_id", "field", "early", F.explode(F.array(selected_lines(F.col("all"), F.col("height"), F.col("limit")))).alias("s"))
+    return told.select("doc_id", "field", F.coalesce("early.text", "s.value").alias("value"), F.coalesce("early.confidence", "s.confidence").alias("confidence"))
+
+
+#: Parts of an address, in order.
+ADDRESS = ("addressStreet", "addressHouse", "addressBuilding", "addressFlat", "addressCity", "addressState", "addressPostalCode")
+
+
+def visual_result(values: Column, voter: Column) -> Column:
+    """A struct of a holder's data from a map of field values: name, surnames, given names, address lines, and for a Mexican voter
+    card (voter) names of three lines or more, compacted numbers, a four-digit section and a registration year."""
+    get = lambda k: F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(""))
+    trimmed = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda v: F.trim(v)), lambda v: v != "")
+    both, lines = get("surnameAndGivenNames"), trimmed(get("surnameAndGivenNames"))
+    three = voter & (F.size(lines) >= 3)
+    parts = F.filter(F.array(*map(get, ADDRESS)), lambda x: x != "")
+    address = F.when(F.size(trimmed(get("address"))) > 0, trimmed(get("address"))).otherwise(parts)
+    address = F.when(voter, F.transform(address, lambda x: F.regexp_replace(x, r"\bSN\b", "S/N"))).otherwise(address)
+    surname = F.when(three, F.array_join(F.slice(lines, 1, 2), " ")).otherwise(get("surname"))
+    given = F.when(three, F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), " ")).otherwise(get("givenNames"))
+    plain = lambda k: F.regexp_replace(F.upper(get(k)), r"[^\p{L}\p{N}]", "")
+    digits = F.regexp_replace(get("section"), "[^0-9]", "")
+    name = F.coalesce(F.nullif(F.regexp_replace(both, "\n", " "), F.lit("")), F.array_join(F.filter(F.array(surname, given), lambda x: x != ""), " "))
+    fields = {
+        "name": name, "surname": surname, "given_names": given, "first_surname": F.when(three, F.get(lines, F.lit(0))).otherwise(F.try_element_at(values, F.lit("firstSurname"))), "second_surname": F.when(three, F.get(lines, F.lit(1))).otherwise(F.try_element_at(values, F.lit("secondSurname"))),
+        "address": F.array_join(address, ", "), "address_lines": address, "personal_number": F.when(voter, plain("personalNumber")).otherwise(F.try_element_at(values, F.lit("personalNumber"))), "elector_key": F.when(voter, plain("voterKey")), "curp": F.when(voter, plain("personalNumber")),
+        "registration_year": F.when(voter, F.nullif(F.regexp_extract(get("dateOfRegistration"), "((?:19|20)[0-9]{2})", 1), F.lit(""))), "section": F.when(voter & (F.length(digits) == 4), digits).when(~voter, F.try_element_at(values, F.lit("section"))),
+    }
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
