@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, cards, documents, evidence, payloads, zones
+from . import biometrics, cards, documents, evidence, payloads, projections, zones
 
-QUERIES = {**biometrics.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
-ORACLES = {**biometrics.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}
+QUERIES = {**biometrics.QUERIES, **projections.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
+ORACLES = {**biometrics.ORACLES, **projections.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}

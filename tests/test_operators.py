@@ -328,3 +328,25 @@ def test_streams(spark, tmp_path, sf_dir):
     ingest.write(stream, str(out), str(tmp_path / "check")).awaitTermination()
     want = spark.read.parquet(str(source)).dropDuplicates(["doc_id", "format", "text"]).count()
     assert spark.read.parquet(str(out)).count() == want
+
+
+def test_document_response(spark):
+    from attest.plans import projections
+
+    barcodes_type = "array<struct<format:string,text:string>>"
+    qr = "struct<credential_identifier:string,issue_date:string,credential_type:string,query_identifier:string,verification_url:string,barcode_number:string>"
+    kind = f"doc_id int, document_name string, country string, document_number string, surname string, given_names string, date_of_birth string, source string, profile string, status int, mrz_code string, checks map<string,boolean>, engine string, capture string, machine_barcodes {barcodes_type}, ine_qr {qr}, visual_regions map<string,struct<box:array<double>,side:string>>, page_role struct<role:string,ordinal:int>"
+    rows = [
+        (1, "Passport", "Belarus", "AB123", "DOE", "JANE", "1990-01-01", "MRZ", "ICAO-TD3", 1, "LINE1\nLINE2", {"documentNumber": True}, "internal-model.onnx", "real", [], None, {}, ("primary_page", 1)),
+        (2, "Voter Credential", "Mexico", "", "", "", "", "BARCODE", "MEX-INE-QR", 1, "", None, "x", None, [("QRCode", "https://u"), ("Code128", "77")], ("9", "2020-01-01", "X", "5", "https://u", "77"), {"portrait": ([0.0, 0.0, 1.0, 1.0], "front"), "barcode": ([0.0], None)}, None),
+        (3, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    got = {r.doc_id: json.loads(r.response) for r in projections.answered(projections.document_response(spark.createDataFrame(rows, kind))).collect()}
+    one, two, three = (got[k]["data"] for k in (1, 2, 3))
+    assert got[1]["status"] == "ok" and one["document"]["number"] == "AB123" and one["document"]["pageRole"]["role"] == "primary_page"
+    assert one["holder"] == {"name": "DOE JANE", "surname": "DOE", "givenNames": "JANE"} and one["dates"] == {"birth": "1990-01-01"}
+    assert one["machineReadable"] == {"type": "TD3", "code": "LINE1\nLINE2", "checks": {"documentNumber": True}} and one["validation"] == {"structural": "valid", "spoofingDecision": "real"}
+    assert not {"address", "identifiers", "details", "regions", "pairing"} & set(one) and "internal-model" not in json.dumps(got)
+    assert two["machineReadable"]["type"] == "PDF417" and two["machineReadable"]["barcodes"] == [{"format": "Code128", "value": "77"}] and two["machineReadable"]["verification"]["verificationUrl"] == "https://u"
+    assert two["identifiers"] == {"credentialIdentifier": "9", "queryIdentifier": "5", "barcodeNumber": "77"} and two["regions"] == {"portrait": {"box": [0.0, 0.0, 1.0, 1.0], "side": "front"}}
+    assert three == {"document": {"recognized": False, "source": "NOT_AVAILABLE", "profile": "UNSUPPORTED"}, "validation": {"structural": "not_available"}}
