@@ -169,7 +169,7 @@ def star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
         one = pairs.join(side.select(F.col("id").alias("a"), F.col(what).alias("x")), "a")
         return one.join(side.select(F.col("id").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
 
-    likely = written(with_both(pairs, classes, "sig").mapInArrow(prune, "a long, b long"), "likely")
+    likely = written(with_both(pairs, classes, "sig").mapInArrow(prune, "a long, b long"), "likely")  # read once more, by what is returned
     return with_both(likely, sets, "grams").mapInArrow(confirm, "a long, b long")
 
 
