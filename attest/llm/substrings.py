@@ -29,7 +29,7 @@ from .common import BLOOM_BITS, WordHashes, bloom, grams, in_bloom, slices, stir
 
 LENGTH, SEED = 13, 5
 #: Anchors of more than 2^HOT[k] documents are dealt over 2^(4 (k + 1)) salts.
-HOT = (11, 15, 19, 23, 27)
+HOT = (9, 13, 17, 21, 25)
 #: Windows that one row brings at most.
 MOST_WINDOWS = 32
 
