@@ -43,7 +43,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attest-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attest_path = path
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return out
+
+
+#: Tables that written() has made and nobody has deleted, by application.
+_made: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, held = spark._jvm, _made.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in held:
+            held.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t._attest_path])
+
+
+class Scratch:
+    """with Scratch(spark): every table that written() makes inside is deleted at the end. What is built on them must have been written by then."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = set(_made.get(self.spark.sparkContext.applicationId, []))
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, [p for p in _made.get(self.spark.sparkContext.applicationId, []) if p not in self.before])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -189,4 +224,4 @@ def free_name(df: DataFrame, want: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["BLOOM_BITS", "F", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]
+__all__ = ["BLOOM_BITS", "F", "Scratch", "forget", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _towards_least(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,8 +28,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark["n"]:
             break
-        now = written(_towards_least(_towards_least(now, small=False), small=True), "edges")
+        last, now = now, written(_towards_least(_towards_least(now, small=False), small=True), "edges")
         before, mark = mark, told(now)
+        forget(last)
         if before == mark:
             break
     else:

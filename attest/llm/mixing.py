@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, written
+from .common import WORD_PATTERN, forget, written
 
 RANGES, LEVELS = 256, 3
 #: The logarithm of u/(1-u)/s lies within these bounds: u has 52 bits, and a text fewer than 2^40 words.
@@ -89,12 +89,14 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[i
         at = Window.partitionBy("_goal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         summed = summed.withColumn("_sum", F.coalesce(F.sum("_words").over(at), F.lit(0))).withColumnRenamed("_goal", "_s")
         here = (F.col("_below") + F.col("_sum") <= F.col("_lack")) & (F.col("_lack") < F.col("_below") + F.col("_sum") + F.col("_words"))
+        last = cut
         step = cut.join(summed, F.col("_goal").eqNullSafe(F.col("_s"))).where(here)
         step = step.select(F.col("_goal").alias("_s"), (F.col("_part") * width).alias("_a"), (F.col("_part") * width + width - 1).alias("_z"), (F.col("_below") + F.col("_sum")).alias("_b"))
         # A source without a cut (nothing to sample) keeps no range: it ends in one that lies below all.
         cut = cut.join(step, F.col("_goal").eqNullSafe(F.col("_s")), "left").drop("_s")
         cut = cut.withColumns({"_first": F.coalesce("_a", F.lit(-1)), "_last": F.coalesce("_z", F.lit(-1)), "_below": F.coalesce("_b", F.lit(0))}).drop("_a", "_z", "_b")
         cut = written(cut, "mix-goals")
+        forget(last)
     rows = rows.join(cut.drop("_last"), F.col("_source").eqNullSafe(F.col("_goal")), "left").drop("_goal")
     share = F.try_divide(F.col("_lack"), F.col("source_size"))
     mean = F.try_divide(F.col("source_size"), F.col("_n"))
