@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import faces, policy, vectors
-from ..operators import evaluation
+from ..operators import detection, evaluation
 from ..sources.tables import table
 
 #: Each vector is paired with those of the next so many ids: a list of pairs that grows with the table, not with its square.
@@ -160,6 +160,29 @@ def ssd_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("vec_id", *(F.round(box[k], 6).alias(n) for k, n in enumerate(("left", "top", "right", "bottom"))))
 
 
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as outputs of a detector at anchors of the coarser maps, eight to an image."""
+    at = lambda k, by: F.round(F.col("embedding")[k].cast("double") * by, 6)
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("image"), (5017 + F.col("vec_id") * 7 % 101).cast("int").alias("anchor"), F.round(F.abs(at(4, 5.0)), 6).alias("score"), F.array(at(0, 5.0), at(1, 5.0), at(2, 5.0), at(3, 5.0)).alias("code"))
+
+
+def face_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw outputs to faces with their quality: an image's faces, the surest first; every third has no pose."""
+    found = detection.found_faces(_outputs(spark, sf_dir).dropDuplicates(["image", "anchor"]))
+    poses = found.where((F.col("image") + F.col("place")) % 3 > 0).select("image", "place", (F.col("image") % 50).cast("double").alias("yaw"), F.lit(0.0).alias("pitch"), F.lit(0.0).alias("roll"), F.lit(0.1).alias("covered"))
+    rows = detection.analysed_faces(found, poses, F.lit(400), F.lit(300))
+    b = F.col("box")
+    return rows.select("image", "place", "faces", "score", *(F.round(b[k], 6).alias(n) for k, n in enumerate(("left", "top", "right", "bottom"))), F.array_join("warnings", ",").alias("warnings"), "status", F.col("eligible").cast("int").alias("eligible"))
+
+
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as measurements of images: some without the screen models."""
+    e = F.col("embedding")
+    at = lambda k: F.round(e[k].cast("double"), 4)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), at(3).alias("focus"), F.when(F.col("vec_id") % 3 > 0, F.array(at(0), at(1), at(2))).alias("electronic"), F.when(F.col("vec_id") % 5 > 0, F.round(F.abs(e[4].cast("double")) * 5, 4)).alias("moire"))
+    return detection.analysed_quality(rows).withColumn("document_pad", F.col("document_pad").cast("int"))
+
+
 def detection_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surest detection of each kind."""
     b = _boxes(spark, sf_dir)
@@ -203,7 +226,7 @@ k AS (SELECT m, n, unnest(CASE WHEN m = 0 THEN [0, 1, 2] ELSE [0, 1, 2, 3, 4, 5]
 c AS (SELECT m, n, k, h, w, unnest(range(n)) AS y FROM k), g AS (SELECT m, n, k, h, w, y, unnest(range(n)) AS x FROM c),
 anchors AS (SELECT (row_number() OVER (ORDER BY m, y, x, k) - 1)::INT AS anchor, (y + 0.5::DOUBLE) / n AS cy, (x + 0.5::DOUBLE) / n AS cx, h, w FROM g)""".format(maps=list(faces.MAPS))
 
-QUERIES = {f.__name__: f for f in (operating_points, equal_error_rate, roc_auc, target_points, score_summary, template_compare, template_validate, template_wire, softmax_topk, ctc_decode, liveness_policy, verification_policy, box_nms, box_pixels, box_to_source, face_filter, face_quality, ssd_anchors, ssd_decode, detection_by_kind, document_geometry, liveness_contract, latency_percentiles, capture_decision)}
+QUERIES = {f.__name__: f for f in (operating_points, equal_error_rate, roc_auc, target_points, score_summary, template_compare, template_validate, template_wire, softmax_topk, ctc_decode, liveness_policy, verification_policy, box_nms, box_pixels, box_to_source, face_filter, face_quality, ssd_anchors, ssd_decode, face_detections, image_quality, detection_by_kind, document_geometry, liveness_contract, latency_percentiles, capture_decision)}
 
 ORACLES = {
     "operating_points": f"WITH {_CURVE} SELECT round(threshold, 7) AS threshold, true_accept, false_accept, false_reject, true_reject, round(far, 7) AS far, round(frr, 7) AS frr, round(tar, 7) AS tar, round(trr, 7) AS trr FROM curve",
@@ -230,6 +253,20 @@ ORACLES = {
         ['pass', 'real', 'review', 'spoof', 'not_available', NULL][(vec_id // 12) % 6 + 1] AS capture FROM embeddings)
         SELECT *, CASE WHEN identity = 'different_person' OR liveness = 'spoof' THEN 'fail' WHEN capture IN ('review', 'spoof') THEN 'review' WHEN liveness IS NULL THEN 'not_available'
           WHEN capture IS NULL OR capture = 'not_available' THEN 'review' WHEN identity = 'same_person' AND liveness = 'real' THEN 'pass' ELSE 'review' END AS decision FROM r""",
+    "face_detections": f"""WITH RECURSIVE {_ANCHORS}, e AS (SELECT vec_id // 8 AS image, (5017 + vec_id * 7 % 101)::INT AS anchor, round(abs(round(embedding[5]::DOUBLE * 5, 6)), 6) AS score, [round(x::DOUBLE * 5, 6) for x in embedding[1:4]] AS c FROM embeddings),
+        d AS (SELECT image, anchor, score, c[1] / 10 * h + cy AS y, c[2] / 10 * w + cx AS x, exp(c[3] / 5) * h AS bh, exp(c[4] / 5) * w AS bw FROM e JOIN anchors USING (anchor) WHERE score >= 0.5),
+        b AS (SELECT image, anchor, score, least(greatest(x - bw / 2, 0), 1) AS l, least(greatest(y - bh / 2, 0), 1) AS t, least(greatest(x + bw / 2, 0), 1) AS r, least(greatest(y + bh / 2, 0), 1) AS d FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, anchor) AS k FROM b WHERE r - l >= 0.08 AND d - t >= 0.08 AND (r - l) / (d - t) BETWEEN 0.5 AND 1.5),
+        s AS (SELECT image, 0::BIGINT AS k, []::STRUCT(n BIGINT, score DOUBLE, l DOUBLE, t DOUBLE, r DOUBLE, d DOUBLE)[] AS kept FROM o GROUP BY image
+          UNION ALL SELECT s.image, o.k, CASE WHEN len(list_filter(kept, lambda q: greatest(least(q.r, o.r) - greatest(q.l, o.l), 0) * greatest(least(q.d, o.d) - greatest(q.t, o.t), 0)
+            > 0.3 * ((q.r - q.l) * (q.d - q.t) + (o.r - o.l) * (o.d - o.t) - greatest(least(q.r, o.r) - greatest(q.l, o.l), 0) * greatest(least(q.d, o.d) - greatest(q.t, o.t), 0)))) > 0 THEN kept
+            ELSE list_append(kept, {{'n': len(kept), 'score': o.score, 'l': o.l, 't': o.t, 'r': o.r, 'd': o.d}}) END FROM s JOIN o ON s.image = o.image AND o.k = s.k + 1),
+        fin AS (SELECT image, arg_max(kept, k) AS kept FROM s GROUP BY image), f AS (SELECT image, len(kept) AS faces, unnest(kept) AS x FROM fin),
+        q AS (SELECT image, x.n::INT AS place, faces, x.*, (image + x.n) % 3 > 0 AS posed, image % 50 > 35 AS turned FROM f),
+        w AS (SELECT *, list_filter([CASE WHEN faces > 1 THEN 'MULTIPLE_FACES' END, CASE WHEN least((r - l) * 400, (d - t) * 300) < 80 OR least(r - l, d - t) < 0.12 THEN 'FACE_TOO_SMALL' END, CASE WHEN l <= 0.01 OR t <= 0.01 OR r >= 0.99 OR d >= 0.99 THEN 'FACE_CUTOFF' END, CASE WHEN turned THEN 'EXCESSIVE_POSE' END], lambda v: v IS NOT NULL) AS w FROM q)
+        SELECT image, place, faces, score, round(l, 6) AS "left", round(t, 6) AS top, round(r, 6) AS "right", round(d, 6) AS bottom, CASE WHEN posed THEN array_to_string(w, ',') END AS warnings, CASE WHEN posed THEN CASE WHEN len(w) > 0 THEN 'review' ELSE 'pass' END END AS status, CASE WHEN posed THEN (NOT list_has_any(w, ['MULTIPLE_FACES', 'FACE_TOO_SMALL', 'FACE_CUTOFF']))::INT END AS eligible FROM w""",
+    "image_quality": """WITH m AS (SELECT vec_id AS image, round(embedding[4]::DOUBLE, 4) AS focus, CASE WHEN vec_id % 3 > 0 THEN [round(x::DOUBLE, 4) for x in embedding[1:3]] END AS e, CASE WHEN vec_id % 5 > 0 THEN round(abs(embedding[5]::DOUBLE) * 5, 4) END AS moire FROM embeddings), r AS (SELECT *, e IS NOT NULL AND moire IS NOT NULL AS ran FROM m)
+        SELECT image, focus, CASE WHEN NOT ran THEN 'not_available' WHEN e[1] >= e[2] AND e[1] >= e[3] AND moire <= 0.529 THEN 'pass' ELSE 'review' END AS spoofing_decision, 'not_available' AS liveness_decision, ran::INT AS document_pad, CASE WHEN NOT ran THEN 'document-capture models were not run' END AS reason FROM r""",
     "ssd_anchors": f"WITH {_ANCHORS} SELECT anchor, round(cy, 7) AS cy, round(cx, 7) AS cx, round(h, 7) AS h, round(w, 7) AS w FROM anchors",
     "ssd_decode": f"""WITH {_ANCHORS}, e AS (SELECT vec_id, (vec_id % 5118)::INT AS anchor, [x::DOUBLE * 10 for x in embedding[1:4]] AS c FROM embeddings),
         b AS (SELECT vec_id, c[1] / 10 * h + cy AS y, c[2] / 10 * w + cx AS x, exp(c[3] / 5) * h AS bh, exp(c[4] / 5) * w AS bw FROM e JOIN anchors USING (anchor))
