@@ -1,6 +1,7 @@
 """Evaluation of verification scores: exact ROC, AUC, equal error rate and operating points.
 
-A record is (same_person boolean, score double in [0, 1]); a pair is accepted if its score is strictly above the threshold.
+A record is (same_person boolean, score double in [0, 1]), and optionally n, how many pairs it stands for; a pair is accepted if its
+score is strictly above the threshold.
 Records are first counted by score. Running counts over the distinct scores, highest first, then give every operating point at
 once. Nothing is ordered in one task: scores fall into BUCKETS ranges, whose few totals are summed first, and the distinct
 scores of one range are ordered within it.
@@ -30,7 +31,9 @@ def problems(records: DataFrame) -> DataFrame:
 
 def by_score(records: DataFrame) -> DataFrame:
     """score, genuine, impostor; and of the records at or above the score: up_genuine, up_impostor, up_all; and the next lower score, below."""
-    counted = records.groupBy("score").agg(F.count_if("same_person").alias("genuine"), F.count_if(~F.col("same_person")).alias("impostor")).withColumn("bucket", F.least(F.floor(F.col("score") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    n = F.col("n") if "n" in records.columns else F.lit(1)
+    own = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0)).cast("long")
+    counted = records.groupBy("score").agg(own(F.col("same_person")).alias("genuine"), own(~F.col("same_person")).alias("impostor")).withColumn("bucket", F.least(F.floor(F.col("score") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     down = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = counted.groupBy("bucket").agg(F.sum("genuine").alias("g"), F.sum("impostor").alias("i"), F.max("score").alias("top"))
     totals = totals.select(F.col("bucket").alias("b"), F.coalesce(F.sum("g").over(down), F.lit(0)).alias("g"), F.coalesce(F.sum("i").over(down), F.lit(0)).alias("i"), F.lead("top").over(Window.orderBy(F.desc("bucket"))).alias("next_top"))  # at most BUCKETS rows
@@ -93,14 +96,30 @@ def report(records: DataFrame, targets: list[float]) -> DataFrame:
     return e.crossJoin(auc(records)).crossJoin(t).crossJoin(m)  # one row each
 
 
+#: Ranges of a group's values that places are first sought in.
+RANKS = 256
+
+
 def nearest_rank(values: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """Count, median, and the value at place round-half-even(share (n - 1)) from 0, for each group: a latency table.
+    """n, median, and the value at place round-half-even(share (n - 1)) from 0 (p95), for each group: a latency table.
 
-    Values are counted first; ordering a group's distinct values is left to as many tasks as there are groups.
+    Values are cut into about RANKS ranges by approximate quantiles, which merge; the ranges are counted, which is exact, and only
+    the values of the ranges that hold a place are ordered. Nulls are left out.
     """
-    counted = values.groupBy(*group, value).agg(F.count("*").alias("k"))
-    order = Window.partitionBy(*group).orderBy(value)
-    ranked = counted.select("*", F.sum("k").over(order).alias("upto"), F.sum("k").over(Window.partitionBy(*group)).alias("n"))
-    at = lambda place: F.max(F.when((F.col("upto") - F.col("k") <= place) & (place < F.col("upto")), F.col(value)))
+    some = values.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    borders = some.groupBy(*group).agg(F.percentile_approx("_v", F.array(*(F.lit(k / RANKS) for k in range(1, RANKS))), 2000).alias("_borders"))
+    keys = [F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]
+    same = lambda: [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
+    placed = some.join(borders.select(*keys, "_borders"), same()).select(*group, "_v", F.size(F.filter("_borders", lambda x: x < F.col("_v"))).alias("_range"))
+    counts = placed.groupBy(*group, "_range", "_v").agg(F.count("*").alias("_n"))
+    ranges = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"))  # at most RANKS rows a group
+    along, whole = Window.partitionBy(*group).orderBy("_range"), Window.partitionBy(*group)
+    ranges = ranges.select(*group, "_range", (F.sum("_m").over(along) - F.col("_m")).alias("_before"), "_m", F.sum("_m").over(whole).alias("n"))
+    places = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.bround(share * (F.col("n") - 1)).cast("long"))
+    ranges = ranges.select("*", F.filter(places, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_m"))).alias("_own")).where(F.size("_own") > 0)
+    near = counts.join(ranges.select(*keys, F.col("_range").alias("_r"), "_before", "n"), [*same(), F.col("_range") == F.col("_r")])
+    within = Window.partitionBy(*group, "_range").orderBy("_v")
+    ranked = near.select(*group, "n", "_v", (F.sum("_n").over(within) + F.col("_before")).alias("_upto"), "_n")
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col("_v")))
     n = F.col("n")
     return ranked.groupBy(*group, "n").agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.bround(share * (n - 1))).alias("p95"))

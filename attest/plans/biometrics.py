@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import faces, policy, vectors
-from ..operators import detection, evaluation
+from ..operators import detection, evaluation, search
 from ..sources.tables import table
 
-#: Each vector is paired with those of the next so many ids: a list of pairs that grows with the table, not with its square.
-NEIGHBOURS = 16
+#: Queries are the vectors whose id this divides; each is held against all vectors.
+EVERY = 20
 TARGETS = [0.0, 0.01, 0.1, 0.25, 0.5]
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").withColumn("norm", vectors.norm(F.col("embedding")))
-    left = e.select("*", F.explode(F.sequence(F.lit(1), F.lit(NEIGHBOURS))).alias("d")).withColumn("other", F.col("vec_id") + F.col("d"))
-    right = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("embedding2"), F.col("label").alias("label2"), F.col("norm").alias("norm2"))
-    met = left.join(right, "other")
-    score = F.round(vectors.similarity(F.col("embedding"), F.col("embedding2"), F.col("norm"), F.col("norm2")), 6)
-    return met.select("vec_id", "other", (F.col("label") == F.col("label2")).alias("same_person"), score.alias("score"))
+    return search.pair_scores(table(spark, sf_dir, "embeddings"), EVERY)
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, counted by score."""
+    return search.score_counts(table(spark, sf_dir, "embeddings"), EVERY)
 
 
 _PAIRS = f"""
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 pairs AS (SELECT a.vec_id, b.vec_id AS other, a.label = b.label AS same_person,
                  round((list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) + 1) / 2, 6) AS score
-          FROM v a JOIN v b ON b.vec_id - a.vec_id BETWEEN 1 AND {NEIGHBOURS})"""
+          FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % {EVERY} <> 0 OR a.vec_id < b.vec_id))"""
 _CURVE = f"""{_PAIRS},
 t AS (SELECT count(*) FILTER (same_person) AS g, count(*) FILTER (NOT same_person) AS i FROM pairs),
 s AS (SELECT score, count(*) FILTER (same_person) AS g, count(*) FILTER (NOT same_person) AS i FROM pairs GROUP BY score),
@@ -44,23 +44,23 @@ def _rounded(df: DataFrame, *columns: str, places: int = 7) -> DataFrame:
 
 
 def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.curve(pairs(spark, sf_dir)), "threshold", "far", "frr", "tar", "trr")
+    return _rounded(evaluation.curve(counts(spark, sf_dir)), "threshold", "far", "frr", "tar", "trr")
 
 
 def equal_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.equal_error(evaluation.curve(pairs(spark, sf_dir))), "eer", "threshold", "far", "frr")
+    return _rounded(evaluation.equal_error(evaluation.curve(counts(spark, sf_dir))), "eer", "threshold", "far", "frr")
 
 
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.auc(pairs(spark, sf_dir)), "auc")
+    return _rounded(evaluation.auc(counts(spark, sf_dir)), "auc")
 
 
 def target_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.at_targets(evaluation.curve(pairs(spark, sf_dir)), TARGETS), "threshold", "far", "tar", "frr")
+    return _rounded(evaluation.at_targets(evaluation.curve(counts(spark, sf_dir)), TARGETS), "threshold", "far", "tar", "frr")
 
 
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.summary(pairs(spark, sf_dir)), "min", "max", "mean", "median", places=5)
+    return _rounded(evaluation.summary(counts(spark, sf_dir)), "min", "max", "mean", "median", places=5)
 
 
 def template_compare(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,3 +350,37 @@ def test_document_response(spark):
     assert two["machineReadable"]["type"] == "PDF417" and two["machineReadable"]["barcodes"] == [{"format": "Code128", "value": "77"}] and two["machineReadable"]["verification"]["verificationUrl"] == "https://u"
     assert two["identifiers"] == {"credentialIdentifier": "9", "queryIdentifier": "5", "barcodeNumber": "77"} and two["regions"] == {"portrait": {"box": [0.0, 0.0, 1.0, 1.0], "side": "front"}}
     assert three == {"document": {"recognized": False, "source": "NOT_AVAILABLE", "profile": "UNSUPPORTED"}, "validation": {"structural": "not_available"}}
+
+
+def test_queries_against_all(spark):
+    from attest.operators import search
+
+    r = np.random.RandomState(1)
+    vectors = [(k, [float(x) for x in r.randn(8).astype(np.float32)], int(r.randint(3))) for k in range(90)]
+    vectors[5], vectors[20], vectors[7] = (5, None, 0), (20, [0.0] * 8, 1), (7, [1.0], 1)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    want = {}
+    for a, x, p in vectors:
+        for b, y, q in vectors:
+            if a % 20 == 0 and a != b and (b % 20 or a < b) and x and y and len(y) == 8 and any(x) and any(y):
+                x64, y64 = np.array(x, np.float32).astype(float), np.array(y, np.float32).astype(float)
+                want[a, b] = (p == q, round((x64 @ y64 / np.sqrt((x64 @ x64) * (y64 @ y64)) + 1) / 2, 6))
+    for block in (2, 1000):
+        got = {(x.vec_id, x.other): (x.same_person, x.score) for x in search.pair_scores(df, block=block).collect()}
+        assert got == want
+        counted = {(x.same_person, x.score): x.n for x in search.score_counts(df, block=block).collect()}
+        assert sum(counted.values()) == len(want) and set(counted) == set(want.values())
+    records = spark.createDataFrame([*want.values()], "same_person boolean, score double")
+    points = lambda d: sorted(tuple(r) for r in evaluation.curve(d).collect())
+    assert points(records) == points(search.score_counts(df))
+    assert search.pair_scores(df.where("false")).count() == 0
+
+
+def test_places_of_groups(spark):
+    r = np.random.RandomState(2)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 4999), (None, 700)) for v in (r.randint(0, 40, n) if g is None else r.rand(n) ** 9)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: (x.n, x.median, x.p95) for x in evaluation.nearest_rank(df, ["g"], "v").collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == (len(own), pytest.approx(float(np.median(own))), own[round(0.95 * (len(own) - 1))])
