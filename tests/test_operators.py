@@ -364,13 +364,13 @@ def test_queries_against_all(spark):
         for b, y, q in vectors:
             if a % 20 == 0 and a != b and (b % 20 or a < b) and x and y and len(y) == 8 and any(x) and any(y):
                 x64, y64 = np.array(x, np.float32).astype(float), np.array(y, np.float32).astype(float)
-                want[a, b] = (p == q, round((x64 @ y64 / np.sqrt((x64 @ x64) * (y64 @ y64)) + 1) / 2, 6))
+                want[a, b] = (p == q, round(float(x64 @ y64 / np.sqrt((x64 @ x64) * (y64 @ y64)) + 1) / 2, 6))
     for block in (2, 1000):
         got = {(x.vec_id, x.other): (x.same_person, x.score) for x in search.pair_scores(df, block=block).collect()}
         assert got == want
         counted = {(x.same_person, x.score): x.n for x in search.score_counts(df, block=block).collect()}
         assert sum(counted.values()) == len(want) and set(counted) == set(want.values())
-    records = spark.createDataFrame([*want.values()], "same_person boolean, score double")
+    records = spark.createDataFrame([(bool(a), float(s)) for a, s in want.values()], "same_person boolean, score double")
     points = lambda d: sorted(tuple(r) for r in evaluation.curve(d).collect())
     assert points(records) == points(search.score_counts(df))
     assert search.pair_scores(df.where("false")).count() == 0
