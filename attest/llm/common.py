@@ -185,7 +185,7 @@ def bloom(df: DataFrame, column: str, count: int, most_bits: int = BLOOM_BITS) -
         for k, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
 
-    parts = df.select(column).mapInArrow(deal, "block long, bits long").repartition("block").mapInArrow(mark, "block long, bits binary")
+    parts = df.select(column).mapInArrow(tidy(deal), "block long, bits long").repartition("block").mapInArrow(tidy(mark), "block long, bits binary")
     out = np.zeros((blocks, BLOOM_BLOCK // 8), np.uint8)
     for r in parts.toLocalIterator():
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
@@ -208,7 +208,7 @@ def sieve(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
             ids = b.column(at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             yield b.filter(pa.array(in_bloom(held.value, ids)))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(tidy(keep), df.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, tidy, written
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 16
 #: The bound of the training sample, in documents of a language; languages of one matrix.
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, counts: dict[str, int], languages: list[str] | None = N
             out += np.frombuffer(x.as_buffer(), np.int32)
         return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
-    found = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
+    found = sample.mapInArrow(tidy(count), "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
     weights = np.full((len(languages), len(ORDERS), BUCKETS), np.float32(SMOOTHING))
     for r in found.toLocalIterator():
         weights[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.float32).reshape(len(ORDERS), BUCKETS)
@@ -142,7 +142,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     b_text = len(keep)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, lang string, joint double, mass double")
+    return docs.select(*keep, "text").mapInArrow(tidy(run), f"{kinds}, lang string, joint double, mass double")
 
 
 def language_id(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE, a_pass: int = A_PASS) -> DataFrame:

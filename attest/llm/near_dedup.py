@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bloom, free_name, grams, sieve, slices, stirred, words_of, written
+from .common import WordHashes, bloom, free_name, grams, sieve, slices, stirred, tidy, words_of, written
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -114,7 +114,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                     f1.append(None), f2.append(None), sig.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "text_hash", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, text_hash long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, text_hash long, f1 long, f2 long, sig binary")
 
 
 def digest(found: np.ndarray) -> tuple[int, int]:
@@ -130,7 +130,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             f = [digest(x) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[j] for x in f], pa.int64()) for j in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "f1", "f2", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, f1 long, f2 long, grams binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(tidy(run), "key long, id long")
 
 
 def star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,8 +169,8 @@ def star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
         one = pairs.join(side.select(F.col("id").alias("a"), F.col(what).alias("x")), "a")
         return one.join(side.select(F.col("id").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
 
-    likely = written(with_both(pairs, classes, "sig").mapInArrow(prune, "a long, b long"), "likely")  # read once more, by what is returned
-    return with_both(likely, sets, "grams").mapInArrow(confirm, "a long, b long")
+    likely = written(with_both(pairs, classes, "sig").mapInArrow(tidy(prune), "a long, b long"), "likely")  # read once more, by what is returned
+    return with_both(likely, sets, "grams").mapInArrow(tidy(confirm), "a long, b long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -272,8 +272,8 @@ def block_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     kind = "key long, i int, j int, id long, component long, own int, sig binary"
     dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     names = [x.split()[0] for x in kind.split(", ")]
-    near = written(dealt(rows.select(*names)).mapInArrow(possible, kind), "possible")
-    return dealt(near.join(sets, "id").select(*names, "grams")).mapInArrow(confirm, "a long, b long")
+    near = written(dealt(rows.select(*names)).mapInArrow(tidy(possible), kind), "possible")
+    return dealt(near.join(sets, "id").select(*names, "grams")).mapInArrow(tidy(confirm), "a long, b long")
 
 
 def open_buckets(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, tidy, written
 
 WIDTH, STEP, END_ID = 2048, 64, 1
 
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, step: i
                     at += x
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 # --- patterns ---
@@ -241,4 +241,4 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, step: int
             at = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 3] + at // row[:, 2]), pa.array(row[:, 4] + at % row[:, 2] * length)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, F.col("_rank").cast("long")).mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{x} long' for x in [*names[1:], 'sequence_id', 'offset'])}")
+    return ranked.select(*names, F.col("_rank").cast("long")).mapInArrow(tidy(place), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{x} long' for x in [*names[1:], 'sequence_id', 'offset'])}")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -124,7 +124,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {COLUMNS}")
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:

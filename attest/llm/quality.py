@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -94,7 +94,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             got = [measured(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in got], pa.int64()) for k in MEASURES), pa.array(map(failed, got), pa.int64())], names=["doc_id", *MEASURES, "fail_bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in MEASURES)}, fail_bits long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {', '.join(f'{k} long' for k in MEASURES)}, fail_bits long")
 
 
 def mask(version: str) -> int:
@@ -130,4 +130,4 @@ def quality_filter(docs: DataFrame, version: str = LATEST) -> DataFrame:
         for b in slices(batches, at):
             yield b.filter(pa.array([not failed(measured(x)) & m for x in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

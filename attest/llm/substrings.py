@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOOM_BITS, WordHashes, bloom, grams, in_bloom, slices, stirred, words_of, written
+from .common import BLOOM_BITS, WordHashes, bloom, grams, in_bloom, slices, stirred, tidy, words_of, written
 
 LENGTH, SEED = 13, 5
 #: Anchors of more than 2^HOT[k] documents are dealt over 2^(4 (k + 1)) salts.
@@ -51,7 +51,7 @@ def seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
             ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(ids)], names=["anchor", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(tidy(run), "anchor long, doc_id long")
 
 
 def occurrences(docs: DataFrame, shared: np.ndarray | None, hot: list[np.ndarray], length: int, seed: int) -> DataFrame:
@@ -93,7 +93,7 @@ def occurrences(docs: DataFrame, shared: np.ndarray | None, hot: list[np.ndarray
                 salt = (stirred(doc.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64) + (salts > 1)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(version), pa.array(start), pa.array(said, pa.binary())], names=["anchor", "salt", "doc_id", "version", "start", "words"])
 
-    return docs.mapInArrow(run, "anchor long, salt long, doc_id long, version int, start long, words binary")
+    return docs.mapInArrow(tidy(run), "anchor long, salt long, doc_id long, version int, start long, words binary")
 
 
 def extended(rows: DataFrame, length: int) -> DataFrame:
@@ -139,7 +139,7 @@ def extended(rows: DataFrame, length: int) -> DataFrame:
         yield given()
 
     ordered = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "start")
-    return ordered.mapInArrow(run, "doc_id long, version int, start long, n long, words binary")
+    return ordered.mapInArrow(tidy(run), "doc_id long, version int, start long, n long, words binary")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -177,7 +177,7 @@ def maximal_repeats(found: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows += [(doc, s, e - s) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "start", "n_words"])
 
-    return found.select("doc_id", "starts", "counts").mapInArrow(run, "doc_id long, start long, n_words long")
+    return found.select("doc_id", "starts", "counts").mapInArrow(tidy(run), "doc_id long, start long, n_words long")
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -232,5 +232,5 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
 
     # Starts compress so well that the size of their files says nothing of their size in memory: no broadcast.
     found = found.withColumnsRenamed({"doc_id": "_id", "version": "_version"}).hint("merge")
-    told = rows.mapInArrow(clean, f"doc_id long, text string, version int, {kinds}").join(found, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
-    return told.mapInArrow(cut, f"doc_id long, {kinds}")
+    told = rows.mapInArrow(tidy(clean), f"doc_id long, text string, version int, {kinds}").join(found, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
+    return told.mapInArrow(tidy(cut), f"doc_id long, {kinds}")
