@@ -163,7 +163,18 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, KEYS).select("key", text.ascii_key(F.col("name")).alias("name"), text.date_key(F.col("day")).alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (verification_urls, aamva_parse, barcode_evidence, pdf417_routing, document_routes, curp_check, mask_dates, mask_shapes, mask_scores, page_ordinals, upload_checks, base64_images, identity_keys)}
+_LATIN, _CYRILLIC = "ABCDEFGHIKLMNOPRSTUVYZ", "АБЦДЕФГХИКЛМНОПРСТУВЫЗ"
+_TOLD = "replace(replace({x}, 'C', 'TS'), 'H', 'KH')"
+SCRIPTS = f"""SELECT c_custkey AS key, {pick(["translate(c_mktsegment, '" + _LATIN + "', '" + _CYRILLIC + "')", "lower(translate(c_mktsegment, '" + _LATIN + "', '" + _CYRILLIC + "'))", "c_mktsegment", "''"], _C, 'a')} AS a, {pick(["c_mktsegment", _TOLD.format(x='c_mktsegment'), "substr(" + _TOLD.format(x='c_mktsegment') + ", 1, 4)", "'ANOTHER'", "NULL", "lower(" + _TOLD.format(x='c_mktsegment') + ") || ' X'"], _C, 'b')} AS b FROM {{customer}}"""
+
+
+def cross_script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two names can be the same, of which one may be written in Cyrillic."""
+    rows = made(spark, sf_dir, SCRIPTS).select("key", text.icao_variants(F.col("a")).alias("x"), text.icao_variants(F.col("b")).alias("y"))
+    return rows.select("key", text.compatible(F.col("x"), F.col("y")).cast("int").alias("compatible"))
+
+
+QUERIES = {f.__name__: f for f in (cross_script_names, verification_urls, aamva_parse, barcode_evidence, pdf417_routing, document_routes, curp_check, mask_dates, mask_shapes, mask_scores, page_ordinals, upload_checks, base64_images, identity_keys)}
 
 
 # --- the oracles ---
@@ -185,7 +196,10 @@ def _mask_lists(m: str) -> str:
 #: Any token of a language is read with the words of all languages.
 _WORDS = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in words)}) THEN {k}" for k, words in enumerate((("JAN", "ENE"), ("FEB",), ("MAR",), ("APR", "ABR"), ("MAY",), ("JUN",), ("JUL",), ("AUG", "AGO"), ("SEP", "SEPT"), ("OCT",), ("NOV",), ("DEC", "DIC")), 1)) + " END"
 _PLAIN = "regexp_replace(value, '[^\\pL\\pN]', '', 'g')"
+_FOLD = "replace(replace(translate({x}, '" + _CYRILLIC.replace("Ц", "").replace("Х", "") + "', '" + _LATIN.replace("C", "").replace("H", "") + "'), 'Ц', 'TS'), 'Х', 'KH')"
 ORACLES = {
+    "cross_script_names": f"""WITH s AS ({view(SCRIPTS)}), k AS (SELECT key, upper(regexp_replace(a, '[^\\pL\\pN]', '', 'g')) AS a, upper(regexp_replace(coalesce(b, ''), '[^\\pL\\pN]', '', 'g')) AS b FROM s), v AS (SELECT key, a, {_FOLD.format(x='a')} AS t, b FROM k)
+        SELECT key, CASE WHEN a <> '' AND b <> '' THEN (starts_with(a, b) OR starts_with(b, a) OR starts_with(t, b) OR starts_with(b, t))::INT END AS compatible FROM v""",
     "verification_urls": f"""WITH u AS ({view(URLS)}), p AS (SELECT key, regexp_extract(url, '^([A-Za-z]+)://([^/:]+)(?::[0-9]+)?/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?$', ['scheme', 'host', 'a', 'b', 'c', 'd']) AS x FROM u),
         o AS (SELECT *, lower(x.scheme) IN ('http', 'https') AND lower(x.host) = 'qr.ine.mx' AND regexp_full_match(x.a, '[0-9]+') AND regexp_full_match(x.b, '[0-9]{{8}}') AND length(x.c) = 1 AND regexp_full_match(x.d, '[0-9]+') AND TRY_CAST(substr(x.b, 1, 4) || '-' || substr(x.b, 5, 2) || '-' || substr(x.b, 7, 2) AS DATE) IS NOT NULL AS ok FROM p)
         SELECT key, CASE WHEN ok THEN x.a END AS identifier, CASE WHEN ok THEN substr(x.b, 1, 4) || '-' || substr(x.b, 5, 2) || '-' || substr(x.b, 7, 2) END AS issue_date, CASE WHEN ok THEN x.c END AS type, CASE WHEN ok THEN x.d END AS query_identifier FROM o""",

@@ -270,3 +270,18 @@ def test_scripts_are_told_by_icao(spark):
     assert "MUELLER" in got[4] and got[7] == got[8] == []
     pairs = spark.createDataFrame([("ИВАНОВ", "IVANOV"), ("ИВАНОВ", "PETROV"), ("MÜLLER", "MULLER"), ("MÜLLER", None)], "a string, b string")
     assert [r.c for r in pairs.select(text.compatible(text.icao_variants(F.col("a")), text.icao_variants(F.col("b"))).alias("c")).collect()] == [True, False, True, None]
+
+
+def test_month_words_have_their_numbers():
+    numbers = masks.month_numbers()
+    assert [numbers[w] for w in ("IANUAR", "MARTS", "EYL", "SEN", "МАЙ", "ENE", "DEZEMBRO", "ГРУДНЯ")] == [1, 4, 8, 9, 5, 1, 12, 12]
+
+
+def test_measured_structures(spark):
+    told = {
+        ("{FOOTS}{INCHES}", "5' 11\""): True, ("{FOOTS}{INCHES}", "5-12"): False, ("{Foot}", " 6 ft "): True, ("{Foot}", "0'"): False, ("{INCHES}", "70 in"): True, ("{INCHES}", "7"): False,
+        ("{METRE}.{CMS}", "1, 82 m"): True, ("{METRE}.{CMS}", "0.30"): False, ("{METRE}.{CMS}", "4.10"): False, ("{KGS}", "80Kgs"): True, ("{KGS}", "9"): False,
+        ("{POSTAL_CODE_USA_9}", "AZ 12345-6789."): True, ("{POSTAL_CODE_USA_9}", "123456"): False, ("{POSTAL_CODE_CAN_P1} {POSTAL_CODE_CAN_P2}", "k1a 0b1"): True, ("{POSTAL_CODE_CAN_P1} {POSTAL_CODE_CAN_P2}", "W1A 0B1"): False, ("{TEXT}", "x"): None,
+    }
+    df = spark.createDataFrame([(m, v) for m, v in told], "m string, v string")
+    assert {(r.m, r.v): r.ok for r in df.select("m", "v", masks.structure_valid(F.col("m"), F.col("v")).alias("ok")).collect()} == told
