@@ -54,6 +54,32 @@ def relations(layouts: DataFrame) -> DataFrame:
     return one("child_documents", "child").unionByName(one("paired_pages", "paired_page")).unionByName(layouts.where(F.col("parent_identifier").isNotNull()).select(F.col("identifier").alias("src"), F.col("parent_identifier").alias("dst"), F.lit("parent").alias("kind")))
 
 
+#: What a catalog's hints ask for, by group: output key=key of the hints (fixed values).
+REQUIREMENTS = {
+    "capture": "requiredLightMask=dNecessaryLights uvExposure=dUVExp opticallyVariableExposure=dOVIExp hologramTiltType=hologramTiltType backgroundDeltaExpectation=dBackgroundDeltaExpectation backgroundDeltaThreshold=dBackgroundDeltaST backgroundLightExpectation=dBackgroundLightExpectation backgroundLightThreshold=dBackgroundLightST",
+    "recognition": "ocrSearchToleranceX=dOCRSTX ocrSearchToleranceY=dOCRSTY ocrExpectationX=dOCRExpectationX ocrExpectationY=dOCRExpectationY tag=recognTag barcodeType=dBarcode mrzType=dMRZ mrzHeight=dMRZHeight mrzHeightTolerance=dMRZHeightDiff mrzWidth=dMRZWidth mrzWidthTolerance=dMRZWidthDiff mrzSymbolPosition=dMRZSymbolPos mrzSymbolPositionTolerance=dMRZSymbolPosDiff mrzLineDistance=dMRZDistanceBetweenLines mrzFontIdentifier=dMRZFontID mrzFormat=dMRZFormat filterMask=recognFilterMask cyrillicConversion=dCyrilicConvert handwrittenOption=dHandwrittenOption textIdentifier=textID",
+    "electronicDocument": "chipPage=chipPage dataSetIdentifiers=dFDSID certificateValidityPeriodDisabled=dDisableDSCertificateValidityPeriod",
+    "sourceReferences": "authenticationSourceType=AuthSourceType authenticationDocumentIdentifier=AuthSourceDocumentID hologramDocumentIdentifier=HoloSourceDocumentID",
+    "authenticityConfiguration": "checkMask=dAuthenticity",
+    "authenticityConfiguration.authenticity": "uvDullPaper=uvDullPaper photoEmbedType=photoEmbedType checkPhotoEmbedType=checkPhotoEmbedType photoReplacementCheck=photoReplacementCheck wholePageLuminescence=dWholePageLuminescense checkFalseLuminescence=dCheckFalseLuminescense hasDynamicObjects=dHaveDynamicObjects checkFalseWatermarks=dCheckFalseWatermarks checkBlankCaptions=dCheckBlankCaptions checkPhotoHalo=dCheckPhotoHalo checkFaceCount=dCheckFaceCount kinegramModelType=kinegramModelType fibers=fibers",
+}
+
+
+def requirements(hints: Column) -> Column:
+    """From a layout's hints, a JSON text: a map of groups to maps of what they ask for, in the words of JSON. What is not stated is left out."""
+    groups = []
+    for path, names in REQUIREMENTS.items():
+        entries = [F.struct(F.lit(k).alias("k"), F.get_json_object(hints, f"$.{path}.{source}").alias("v")) for k, _, source in (x.partition("=") for x in names.split())]
+        groups.append(F.struct(F.lit("parameters" if "." in path else path).alias("g"), F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())).alias("m")))
+    return F.map_from_entries(F.array(*groups))
+
+
+def descriptor(layouts: DataFrame) -> DataFrame:
+    """identifier and what a layout says of itself, under the names of responses; flags that are not stated are false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return layouts.select("identifier", F.col("caption").alias("name"), "country", F.coalesce("iso_codes", F.array().cast("array<string>")).alias("countryCodes"), F.col("document_type").alias("type"), F.col("document_format").alias("format"), F.col("year").alias("edition"), "orientation", flag("two_sided").alias("twoSided"), flag("main_document").alias("mainDocument"))
+
+
 def _ordinal(token: Column) -> Column:
     t = F.upper(token)
     return F.when(t.rlike("^[0-9]+$"), t.try_cast("int")).when(t != "", F.ascii(t) - 64)

@@ -94,10 +94,25 @@ def threshold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.explode_outer("r").alias("x")).select("key", "x.index", "x.value", F.round("x.margin", 6).alias("margin"), F.col("x.above").cast("int").alias("above"))
 
 
-QUERIES = {f.__name__: f for f in (symbol_correlation, aamva_results, belarus_supplement, mexican_supplement, field_recognition, visual_results, threshold_checks)}
+_PART = lambda name, values, salt: f"""'"{name}":' || {pick(values, 'p_partkey', salt)}"""
+HINTS = f"""SELECT p_partkey AS key, '{{{{"capture":{{{{' || {_PART('dUVExp', quoted(['3', 'null', '0']), 'a')} || ',"other":1}}}},"recognition":{{{{' || {_PART('recognTag', quoted(['"x y"', 'null']), 'b')} || ',' || {_PART('dMRZHeight', quoted(['55', 'false']), 'c')} || '}}}}' || {pick(quoted(['', ',"authenticityConfiguration":{"dAuthenticity":7,"authenticity":{"fibers":[1,2]}}']), 'p_partkey', 'd')} || '}}}}' AS hints FROM {{part}}"""
+
+
+def layout_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What layouts ask for, from hints of which some parts are null or missing."""
+    r = F.col("r")
+    rows = made(spark, sf_dir, HINTS).select("key", layouts.requirements(F.col("hints")).alias("r"))
+    get = lambda g, k: F.try_element_at(r[g], F.lit(k))
+    return rows.select("key", get("capture", "uvExposure").alias("uv"), get("recognition", "tag").alias("tag"), get("recognition", "mrzHeight").alias("height"), get("authenticityConfiguration", "checkMask").alias("mask"), get("parameters", "fibers").alias("fibers"), F.size(r["capture"]).alias("n_capture"), F.size(r["recognition"]).alias("n_recognition"))
+
+
+QUERIES = {f.__name__: f for f in (layout_requirements, symbol_correlation, aamva_results, belarus_supplement, mexican_supplement, field_recognition, visual_results, threshold_checks)}
 
 _MEND = "CASE WHEN contains(zone, {x}) THEN {x} ELSE coalesce((SELECT min(substr(zone, i, length({x}))) FROM range(1, greatest(length(zone) - length({x}) + 2, 1)) AS r(i) WHERE length({x}) > 0 AND hamming(substr(zone, i, length({x})), {x}) = 1), {x}) END"
+_JSON = "nullif(json_extract(hints, '$.{0}')::VARCHAR, 'null')"
 ORACLES = {
+    "layout_requirements": f"""WITH h AS ({view(HINTS)}), v AS (SELECT key, {_JSON.format('capture.dUVExp')} AS uv, json_extract_string(hints, '$.recognition.recognTag') AS tag, {_JSON.format('recognition.dMRZHeight')} AS height, {_JSON.format('authenticityConfiguration.dAuthenticity')} AS mask, {_JSON.format('authenticityConfiguration.authenticity.fibers')} AS fibers FROM h)
+        SELECT *, (uv IS NOT NULL)::INT AS n_capture, (tag IS NOT NULL)::INT + (height IS NOT NULL)::INT AS n_recognition FROM v""",
     "symbol_correlation": f"""WITH s AS ({view(SYMBOLS)}), p AS (SELECT *, regexp_extract(text, '^([A-Za-z]+)://([^/:]+)(?::[0-9]+)?/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?$', ['scheme', 'host', 'a', 'b', 'c', 'd']) AS x FROM s),
         o AS (SELECT *, lower(x.scheme) IN ('http', 'https') AND lower(x.host) = 'qr.ine.mx' AND regexp_full_match(x.a, '[0-9]+') AND regexp_full_match(x.b, '[0-9]{{8}}') AND length(x.c) = 1 AND regexp_full_match(x.d, '[0-9]+') AND TRY_CAST(substr(x.b, 1, 4) || '-' || substr(x.b, 5, 2) || '-' || substr(x.b, 7, 2) AS DATE) IS NOT NULL AS ok FROM p),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM o WHERE ok AND format = 'QRCode') WHERE k = 1),

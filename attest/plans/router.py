@@ -20,6 +20,14 @@ OBSERVED = {"aamva_valid": False, "td1_shaped": False, "mrv_checks": 0, "td2_che
 STAGES = ("barcodes", "td1", "two_line", "visual", "catalog")
 
 
+#: Stated profiles that a TD1 zone is not looked for with.
+NO_TD1 = ("mex_passport", "icao_td2", "icao_td3", "icao_mrv", "swe_id_2021")
+
+
+def td1_wanted(profile: Column) -> Column:
+    return ~profile.isin(*NO_TD1)
+
+
 def route(seen: DataFrame) -> Column:
     """aamva, td1, mrv, td2, td3, ine, swe, ine_qr, catalog, unsupported; rejected where a stated profile is not met.
 

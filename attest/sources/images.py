@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +61,22 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, channels, data (rows of red-green-blue bytes, as operators.imaging takes them) by Spark's image source, which gives blue first; files that are no image have height -1 and no data."""
     raw = spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
     return raw.withColumn("data", F.when(F.col("height") > 0, _red_first("data", "channels")))
+
+
+def upright_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """pixels() of files below a path, turned as their EXIF orientation says. Files are read whole for their headers, and their bytes go no further."""
+    from ..operators import imaging
+
+    tags = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("_file"), imaging.metadata("content")["orientation"].alias("_turn"))
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, r in pdf[(pdf["_turn"] > 1) & pdf["data"].notna()].iterrows():
+                image = imaging.upright(imaging.as_image(r["height"], r["width"], r["data"]), int(r["_turn"]))
+                pdf.at[k, "height"], pdf.at[k, "width"], pdf.at[k, "data"] = image.shape[0], image.shape[1], image.tobytes()
+            yield pdf.drop(columns="_turn")
+
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")  # noqa: E731  (the two sources write schemes differently)
+    rows = pixels(spark, path).alias("p")
+    met = rows.join(tags, plain(F.col("path")) == plain(F.col("_file")), "left").select("path", "height", "width", "channels", "data", F.coalesce("_turn", F.lit(1)).alias("_turn"))
+    return met.mapInPandas(turned, "path string, height int, width int, channels int, data binary")

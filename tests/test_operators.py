@@ -1,6 +1,7 @@
 import base64
 import gzip
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -384,3 +385,31 @@ def test_places_of_groups(spark):
     for g in ("a", "b", "c", None):
         own = sorted(v for k, v in rows if k == g and v is not None)
         assert got[g] == (len(own), pytest.approx(float(np.median(own))), own[round(0.95 * (len(own) - 1))])
+
+
+def test_headers_of_files(spark, tmp_path):
+    def tags(orientation, software=b"GIMP 2\0"):
+        entries = [(274, 3, 1, orientation), (305, 2, len(software), 38)]
+        body = b"II*\0" + (8).to_bytes(4, "little") + len(entries).to_bytes(2, "little")
+        for tag, kind, count, value in entries:
+            body += tag.to_bytes(2, "little") + kind.to_bytes(2, "little") + count.to_bytes(4, "little") + value.to_bytes(4, "little")
+        return body + (0).to_bytes(4, "little") + software
+
+    def chunk(kind, body):
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    image = picture(4, 6, 2)
+    plain = imaging.png(image)
+    for turn in range(1, 9):
+        marked = plain[:33] + chunk(b"iCCP", b"x\0\0" + zlib.compress(b"y")) * (turn == 2) + chunk(b"eXIf", tags(turn)) + plain[33:]
+        (tmp_path / f"{turn}.png").write_bytes(marked)
+    (tmp_path / "plain.png").write_bytes(plain)
+    jpeg = b"\xff\xd8" + b"\xff\xe1" + (2 + 6 + len(tags(6))).to_bytes(2, "big") + b"Exif\0\0" + tags(6) + b"\xff\xe2" + (14).to_bytes(2, "big") + b"ICC_PROFILE\0" + b"\xff\xc0" + (9).to_bytes(2, "big") + b"\x08\x00\x10\x00\x20\x03\x00"
+    df = spark.createDataFrame([("p", bytearray((tmp_path / "2.png").read_bytes())), ("j", bytearray(jpeg)), ("n", None), ("t", bytearray(b"text"))], "k string, content binary")
+    got = {r.k: r.m for r in df.select("k", imaging.metadata("content").alias("m")).collect()}
+    assert tuple(got["p"]) == ("PNG", 6, 4, True, True, "GIMP 2", 2) and tuple(got["j"]) == ("JPEG", 32, 16, True, True, "GIMP 2", 6)
+    assert tuple(got["n"]) == tuple(got["t"]) == (None, None, None, False, False, None, 1)
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in images.upright_pixels(spark, str(tmp_path)).collect()}
+    seen = {k: imaging.as_image(r.height, r.width, r.data) for k, r in rows.items()}
+    turned = {1: image, 2: image[:, ::-1], 3: image[::-1, ::-1], 4: image[::-1], 5: image.transpose(1, 0, 2), 6: np.rot90(image, -1), 7: image.transpose(1, 0, 2)[::-1, ::-1], 8: np.rot90(image)}
+    assert all((seen[f"{k}.png"] == v).all() for k, v in turned.items()) and (seen["plain.png"] == image).all()
