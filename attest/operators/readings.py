@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import mrz, vectors
+from ..functions import mrz, national, vectors
 from ..functions.policy import same_person, verification_decision
 
 
@@ -70,6 +70,51 @@ def crop_grid(spark: SparkSession, **axes: list[float]) -> DataFrame:
     return out.drop("_").withColumn("no", F.row_number().over(Window.orderBy(*axes)) - 1)  # as many rows as the product of the axes
 
 
+#: Where a voter card's CURP and its three lines of names are looked for (fixed values): grids of edges, and bands with the shifts of their edges.
+CURP_GRID = {"left": [0.31, 0.33, 0.35], "right": [0.62, 0.68, 0.74], "top": [0.79, 0.805, 0.82], "bottom": [0.855, 0.875, 0.895], "contrast": [0.0, 1.0]}
+NAME_BANDS = [[0.34, 0.345, 0.58, 0.397], [0.34, 0.388, 0.58, 0.438], [0.34, 0.425, 0.62, 0.48]]
+NAME_SHIFTS = {"left": [-0.03, -0.015, 0.0, 0.015], "right": [0.0, 0.025, 0.05], "down": [-0.012, 0.0, 0.012]}
+#: A line of a name, and the places of the initials that a personal number tells (fixed values).
+NAME_LINE, INITIALS = "^[A-ZÁÉÍÓÚÜÑ ]{2,40}$", (1, 3, 4)
+
+
+def curp_crops(spark: SparkSession) -> DataFrame:
+    """no, left, right, top, bottom, contrast (1 for a crop of stretched grays): 162 rows."""
+    return crop_grid(spark, **CURP_GRID)
+
+
+def name_crops(spark: SparkSession, shifted: bool = True) -> DataFrame:
+    """line (0 to 2), no, left, top, right, bottom: the bands of names, each as it is, or with its edges shifted in 36 ways."""
+    bands = spark.createDataFrame([(k, *b) for k, b in enumerate(NAME_BANDS)], "line int, l double, t double, r double, b double")
+    shifts = crop_grid(spark, **NAME_SHIFTS) if shifted else crop_grid(spark, left=[0.0], right=[0.0], down=[0.0])
+    met = bands.crossJoin(shifts)  # three rows by at most 36
+    return met.select("line", "no", (F.col("l") + F.col("left")).alias("left"), (F.col("t") + F.col("down")).alias("top"), (F.col("r") + F.col("right")).alias("right"), (F.col("b") + F.col("down")).alias("bottom"))
+
+
+def curp_of_grid(readings: DataFrame, least: float = 0.9) -> DataFrame:
+    """doc_id, curp, confidence: of readings (doc_id, no, text, confidence, voter_key) the valid CURP that was read surest, the one read first of equal ones; its birth date must be that of an elector key of 18 characters."""
+    value = national.compact(F.col("text"))
+    agrees = (F.coalesce(F.length("voter_key"), F.lit(0)) != 18) | (F.substring("value", 5, 6) == F.substring("voter_key", 7, 6))
+    some = readings.withColumn("value", value).where((F.col("confidence") >= least) & national.curp_valid(F.col("value")) & agrees)
+    values = some.groupBy("doc_id", "value").agg(F.max("confidence").alias("c"), F.min("no").alias("first"))
+    best = values.groupBy("doc_id").agg(F.max_by(F.struct("value", "c"), F.struct("c", -F.col("first"))).alias("b"))
+    return best.select("doc_id", F.col("b.value").alias("curp"), F.col("b.c").alias("confidence"))
+
+
+def names_of_grid(readings: DataFrame, least: float = 0.9) -> DataFrame:
+    """doc_id, names (three, empty where none fits), confidences: of readings (doc_id, line, no, text, confidence, personal_number) of a line those that are a
+    name with the initial that the number tells; the longest (without spaces), then the surest, then the first read."""
+    value = F.trim(F.regexp_replace(F.upper("text"), r"\s+", " "))
+    initial = F.element_at(F.transform(F.array(*map(F.lit, INITIALS)), lambda k: F.substring(F.col("personal_number"), k, F.lit(1))), F.col("line") + 1)
+    some = readings.withColumn("value", value).where((F.col("confidence") >= least) & F.col("value").startswith(initial) & F.col("value").rlike(NAME_LINE))
+    values = some.groupBy("doc_id", "line", "value").agg(F.max("confidence").alias("c"), F.min("no").alias("first"))
+    best = values.groupBy("doc_id", "line").agg(F.max_by(F.struct("value", "c"), F.struct(F.length(F.replace("value", F.lit(" "), F.lit(""))), "c", -F.col("first"))).alias("b"))
+    lines = best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "b"))).alias("m"))
+    docs = readings.select("doc_id").distinct().join(lines, "doc_id", "left")
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return docs.select("doc_id", F.array(*(F.coalesce(at(k)["value"], F.lit("")) for k in range(3))).alias("names"), F.array(*(F.coalesce(at(k)["c"], F.lit(0.0)) for k in range(3))).alias("confidences"))
+
+
 def by_value(readings: DataFrame, least: float = 0.9) -> DataFrame:
     """Of a document's readings of one field, as text: the value that was read surest, the lexicographically first of equal ones, if sure enough."""
     values = readings.where(F.length("text") > 0).groupBy("doc_id", "text").agg(F.max("confidence").alias("c"), F.count("*").alias("n"))

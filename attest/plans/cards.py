@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import barcodes, masks, national
-from ..operators import imaging, layouts
+from ..operators import imaging, layouts, readings
 from .payloads import AAMVA, URLS, dice, made, pick, quoted, view
 
 _O, _C = "o_orderkey", "c_custkey"
@@ -106,11 +106,32 @@ def layout_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", get("capture", "uvExposure").alias("uv"), get("recognition", "tag").alias("tag"), get("recognition", "mrzHeight").alias("height"), get("authenticityConfiguration", "checkMask").alias("mask"), get("parameters", "fibers").alias("fibers"), F.size(r["capture"]).alias("n_capture"), F.size(r["recognition"]).alias("n_recognition"))
 
 
-QUERIES = {f.__name__: f for f in (layout_requirements, symbol_correlation, aamva_results, belarus_supplement, mexican_supplement, field_recognition, visual_results, threshold_checks)}
+_R = "CAST(c_custkey AS STRING) || '.' || CAST(n AS STRING)"
+#: Twelve readings of a CURP, and of lines of names, of each card.
+GRID = f"""SELECT c_custkey AS doc_id, n AS no, n % 3 AS line, {pick(quoted(['GOMC800215HDFRRR0', 'gomc-800215-HDFRRR0', 'GOMC810215MDFRRRA', 'X']), _R, 'a')} || CAST({dice(_R, 'e', 10)} AS STRING) AS curp, {pick(["0.95", "0.9", "0.89", "0.99"], _R, 'b')} AS confidence, {pick(quoted(['ABCDEF800215XXXXXX', 'ABCDEF810215XXXXXX', 'short', None]), 'c_custkey', 'c')} AS voter_key,
+  {pick(quoted(['GOMEZ', 'GOMEZ  DIAZ', 'gomez', 'MORA', 'MORALES', 'CARLA', 'CARLA M', 'G0MEZ', 'C']), _R, 'd')} AS name FROM {{customer}} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) AS twelve"""
+
+
+def voter_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card's CURP and names from readings of their grids."""
+    rows = made(spark, sf_dir, GRID).withColumn("confidence", F.col("confidence").cast("double"))
+    curp = readings.curp_of_grid(rows.select("doc_id", "no", F.col("curp").alias("text"), "confidence", "voter_key"))
+    names = readings.names_of_grid(rows.select("doc_id", "line", "no", F.col("name").alias("text"), "confidence", F.lit("GOMC800215HDFRRR05").alias("personal_number")))
+    return names.join(curp, "doc_id", "left").select("doc_id", F.array_join("names", "/").alias("names"), F.round(F.aggregate("confidences", F.lit(0.0), lambda s, x: s + x), 6).alias("sure"), "curp", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (voter_grids, layout_requirements, symbol_correlation, aamva_results, belarus_supplement, mexican_supplement, field_recognition, visual_results, threshold_checks)}
 
 _MEND = "CASE WHEN contains(zone, {x}) THEN {x} ELSE coalesce((SELECT min(substr(zone, i, length({x}))) FROM range(1, greatest(length(zone) - length({x}) + 2, 1)) AS r(i) WHERE length({x}) > 0 AND hamming(substr(zone, i, length({x})), {x}) = 1), {x}) END"
 _JSON = "nullif(json_extract(hints, '$.{0}')::VARCHAR, 'null')"
 ORACLES = {
+    "voter_grids": f"""WITH g AS ({view(GRID)}), c AS (SELECT doc_id, no, confidence::DOUBLE AS confidence, voter_key, line, upper(regexp_replace(curp, '[^A-Za-z0-9]', '', 'g')) AS x, trim(regexp_replace(upper(name), '\\s+', ' ', 'g')) AS v FROM g),
+        s AS (SELECT *, list_sum([(instr('0123456789ABCDEFGHIJKLMNÑOPQRSTUVWXYZ', substr(x, i, 1)) - 1) * (19 - i) for i in range(1, 18)])::INT AS s FROM c),
+        k AS (SELECT * FROM s WHERE confidence >= 0.9 AND regexp_full_match(x, '[A-Z][AEIOUX][A-Z]{{2}}[0-9]{{6}}[HM][A-Z]{{5}}[A-Z0-9][0-9]') AND (10 - s % 10) % 10 = TRY_CAST(substr(x, 18, 1) AS INT) AND (coalesce(length(voter_key), 0) <> 18 OR substr(x, 5, 6) = substr(voter_key, 7, 6))),
+        u AS (SELECT doc_id, x, max(confidence) AS c, min(no) AS f FROM k GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS p FROM u),
+        n AS (SELECT doc_id, line, v, max(confidence) AS c, min(no) AS f FROM c WHERE confidence >= 0.9 AND regexp_full_match(v, '[A-ZÁÉÍÓÚÜÑ ]{{2,40}}') AND starts_with(v, substr('GMC', line + 1, 1)) GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY length(replace(v, ' ', '')) DESC, c DESC, f) AS p FROM n),
+        j AS (SELECT doc_id, coalesce(max(v) FILTER (line = 0), '') || '/' || coalesce(max(v) FILTER (line = 1), '') || '/' || coalesce(max(v) FILTER (line = 2), '') AS names, sum(c) AS sure FROM o WHERE p = 1 GROUP BY doc_id), d AS (SELECT DISTINCT doc_id FROM g)
+        SELECT d.doc_id, coalesce(names, '//') AS names, round(coalesce(sure, 0), 6)::DOUBLE AS sure, w.x AS curp, w.c AS confidence FROM d LEFT JOIN j ON d.doc_id = j.doc_id LEFT JOIN w ON d.doc_id = w.doc_id AND w.p = 1""",
     "layout_requirements": f"""WITH h AS ({view(HINTS)}), v AS (SELECT key, {_JSON.format('capture.dUVExp')} AS uv, json_extract_string(hints, '$.recognition.recognTag') AS tag, {_JSON.format('recognition.dMRZHeight')} AS height, {_JSON.format('authenticityConfiguration.dAuthenticity')} AS mask, {_JSON.format('authenticityConfiguration.authenticity.fibers')} AS fibers FROM h)
         SELECT *, (uv IS NOT NULL)::INT AS n_capture, (tag IS NOT NULL)::INT + (height IS NOT NULL)::INT AS n_recognition FROM v""",
     "symbol_correlation": f"""WITH s AS ({view(SYMBOLS)}), p AS (SELECT *, regexp_extract(text, '^([A-Za-z]+)://([^/:]+)(?::[0-9]+)?/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?$', ['scheme', 'host', 'a', 'b', 'c', 'd']) AS x FROM s),

@@ -413,3 +413,23 @@ def test_headers_of_files(spark, tmp_path):
     seen = {k: imaging.as_image(r.height, r.width, r.data) for k, r in rows.items()}
     turned = {1: image, 2: image[:, ::-1], 3: image[::-1, ::-1], 4: image[::-1], 5: image.transpose(1, 0, 2), 6: np.rot90(image, -1), 7: image.transpose(1, 0, 2)[::-1, ::-1], 8: np.rot90(image)}
     assert all((seen[f"{k}.png"] == v).all() for k, v in turned.items()) and (seen["plain.png"] == image).all()
+
+
+def test_images_of_regions(spark):
+    image = picture(20, 30, 4)
+    sides = spark.createDataFrame([(1, "front", 20, 30, bytearray(image.tobytes()))], "doc_id int, side string, height int, width int, data binary")
+    rows = [(1, "portrait", None, [0.1, 0.1, 0.5, 0.6]), (1, "signature", "front", [0.2, 0.2, 0.2, 0.9]), (1, "ghostPortrait", "back", [0.0, 0.0, 1.0, 1.0]), (1, "other", "front", [0.0, 0.0, 1.0, 1.0]), (1, "barcode", "front", [0.5]), (2, "portrait", "front", [0.0, 0.0, 1.0, 1.0])]
+    got = imaging.extracted_images(spark.createDataFrame(rows, "doc_id int, name string, side string, box array<double>"), sides).collect()
+    assert [(r.doc_id, r.type, r.side, r.width, r.height) for r in got] == [(1, "portrait", "front", 12, 10)]
+    assert base64.b64decode(got[0].imageBase64) == imaging.png(image[2:12, 3:15])
+
+
+def test_variants_of_a_text():
+    image = picture(6, 9, 5) // 2 + 20
+    assert (imaging.text_variant(image, 90, "original") == np.rot90(image)).all()
+    hard = imaging.text_variant(image, 0, "catalog_contrast_normalization")
+    assert hard.shape == image.shape and hard.min() == 0 and hard.max() == 255
+    flat = np.full((3, 3, 3), 7, np.uint8)
+    assert (imaging.text_variant(flat, 0, "catalog_contrast_normalization") == 7).all()
+    with pytest.raises(ValueError, match="blur"):
+        imaging.text_variant(image, 0, "blur")

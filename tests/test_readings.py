@@ -62,3 +62,10 @@ def test_portraits(spark):
     assert {r.doc_id: (r.decision, r.verification) for r in readings.portrait_comparison(portraits, selfies, 0.67).collect()} == {1: ("same_person", "pass"), 2: ("different_person", "fail")}
     points = spark.createDataFrame([([[float(k), float(2 * k)] for k in range(68)],)], "p array<array<double>>").select(readings.five_points(F.col("p")).alias("f")).first()["f"]
     assert points == [38.5, 77.0, 44.5, 89.0, 30.0, 60.0, 48.0, 96.0, 54.0, 108.0]
+
+
+def test_grids_of_a_voter_card(spark):
+    assert readings.curp_crops(spark).count() == 162
+    names = readings.name_crops(spark).collect()
+    assert len(names) == 108 and {r.line for r in names} == {0, 1, 2} and all(r.left < r.right and r.top < r.bottom for r in names)
+    assert [(r.left, r.top, r.right, r.bottom) for r in readings.name_crops(spark, shifted=False).orderBy("line").collect()] == [tuple(b) for b in readings.NAME_BANDS]
