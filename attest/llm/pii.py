@@ -128,7 +128,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
-    """docs with each span of its text replaced by its kind; overlapping spans are replaced as one, by the kind that starts first. Null stays null."""
+    """docs with each span of its text replaced by its kind; overlapping spans are replaced as one, by the kind that starts first, of ties the one first in KINDS.
+
+    Null and empty texts stay as they are; other columns keep their values, whatever they are called; repeated rows give equal
+    rows; an empty table gives an empty table.
+    """
 
     @F.pandas_udf("string")
     def run(texts):

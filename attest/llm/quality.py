@@ -123,7 +123,11 @@ def ablations(rows: DataFrame, version: str = LATEST) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, version: str = LATEST) -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs; judged in the pass that reads them, so nothing is joined."""
+    """The rows of docs that the policy keeps, with the columns of docs and their values, whatever they are called; judged in the pass that reads them, so nothing is joined.
+
+    A null or empty text has no words and goes under every policy; repeated rows stay or go together; doc_id is not read; an empty table
+    gives an empty table.
+    """
     at, m = docs.columns.index("text"), mask(version)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -458,6 +458,7 @@ def test_mixing_edges(spark):
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     assert mixed.count() == sum(r.taken // r.size for r in rows if r.size)
+    assert set(map(tuple, mixed.collect())) <= set(map(tuple, df.collect()))
     assert mixing.mixed(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r.target, r.taken) for r in mixing.mixed(blank).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
@@ -578,6 +579,91 @@ def test_pii_base_is_the_plain_patterns(spark, sf_dir):
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == j for _, k, _ in spans) for j in range(4)]
 
 
+def iban_by_hand(text):
+    """(start, end) of account numbers, tried character by character: groups of four as many as fit, then up to three more."""
+    plain = lambda c: c.isascii() and c.isalnum()
+    free = lambda k: k < 0 or k >= len(text) or not plain(text[k])
+    run = lambda at, n: at + n <= len(text) and all(plain(c) and not c.islower() for c in text[at : at + n])
+
+    def end(at, groups):
+        steps = [at + 1, at] if text[at : at + 1] == " " else [at]
+        if groups < 7:
+            for k in steps:
+                if run(k, 4) and (found := end(k + 4, groups + 1)):
+                    return found
+        if groups >= 2:
+            for k in steps:
+                for n in (3, 2, 1):
+                    if run(k, n) and free(k + n):
+                        return k + n
+            if free(at):
+                return at
+        return None
+
+    out, at = [], 0
+    while at < len(text):
+        head = text[at : at + 4]
+        if free(at - 1) and len(head) == 4 and head.isascii() and head[:2].isalpha() and head[:2].isupper() and head[2:].isdigit() and (to := end(at + 4, 0)):
+            number = text[at:to].replace(" ", "")
+            value = "".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in number[4:] + number[:4])
+            if 15 <= len(number) <= 34 and int(value) % 97 == 1:
+                out.append((at, to))
+            at = to
+        else:
+            at += 1
+    return out
+
+
+def ssn_by_hand(text):
+    out = []
+    for at in range(len(text) - 10):
+        part = text[at : at + 11]
+        a, b, c = part[:3], part[4:6], part[7:]
+        shaped = part[3] == part[6] == "-" and all(x.isascii() and x.isdigit() for x in a + b + c) and a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000"
+        alone = (at == 0 or text[at - 1] not in "0123456789-") and (at + 11 >= len(text) or text[at + 11] not in "0123456789-")
+        near = f"{text[max(0, at - 60) : at]} {text[at + 11 : at + 71]}".lower()
+        if shaped and alone and (re.search(r"\bssn\b", near) or "social security" in near):
+            out.append((at, at + 11))
+    return out
+
+
+def test_pii_added_kinds_are_brute_force(spark):
+    r = np.random.RandomState(8)
+
+    def account(country, body):
+        for check in range(2, 99):
+            number = f"{country}{check:02d}{body}"
+            if pii.mod97(number):
+                return number
+        raise AssertionError(body)
+
+    made = []
+    for k in range(400):
+        body = "".join(r.choice(list("0123456789ABCXYZ"), r.randint(11, 31)))
+        number = account("".join(r.choice(list("DEFRGB"), 2)), body)
+        spaced = " ".join(number[j : j + 4] for j in range(0, len(number), 4))
+        wrong = number[:5] + ("1" if number[5] != "1" else "2") + number[6:]
+        social = f"{r.randint(0, 1000):03d}-{r.randint(0, 100):02d}-{r.randint(0, 10000):04d}"
+        parts = [number, spaced, wrong, f"x{number}", f"{number}x", social, f"SSN {social}", f"({social})", "social security", prose(12, k), f"{social}-1", "DE12 3456"]
+        made.append(" ".join(parts[j] for j in r.permutation(len(parts))[: r.randint(1, 6)]))
+    made += ["".join(r.choice(list("DE12 -9a"), 80)) for _ in range(400)] + ["", "123-45-6789 ssn", "ssn " + "y" * 60 + " 123-45-6789", "ssn " + "y" * 57 + " 123-45-6789"]
+    got = {x.doc_id: x.spans for x in pii.find_pii(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    seen = Counter()
+    for k, text in enumerate(made):
+        own = [x for x in got[k].split(",") if x.startswith(("iban", "ssn"))]
+        assert own == [f"{kind}:{a}:{b}" for a, kind, b in sorted([(a, "iban", b) for a, b in iban_by_hand(text)] + [(a, "ssn", b) for a, b in ssn_by_hand(text)])], text
+        seen.update(x.split(":")[0] for x in own)
+    assert seen["iban"] > 100 and seen["ssn"] > 30
+
+
+def test_redaction_keeps_other_columns(spark):
+    rows = [(1, "mail a@b.cc or SSN 123-45-6789"), (1, "mail a@b.cc or SSN 123-45-6789"), (2, None), (None, "")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = pii.redact(df)
+    assert got.columns == df.columns and Counter(r.text for r in got.collect()) == Counter(["mail <EMAIL> or SSN <SSN>"] * 2 + [None, ""])
+    assert {tuple(r)[2:] for r in got.collect()} == {tuple(r)[2:] for r in df.collect()} and pii.redact(df.where("false")).count() == 0
+
+
 def test_pii_method(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE89 3704 0044 0532 0130 01 no"), (3, "SSN: 123-45-6789"), (4, "part 123-45-6789"), (5, None), (None, "mail a@b.cc"), (6, "9" * 50_000), (7, "a" * 50_000 + "@"), (8, "é a@b.cc")]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -860,4 +946,5 @@ def test_quality_filter_keeps_columns(spark):
     df = clashing(documents(spark))
     kept = quality.quality_filter(df)
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in df.collect() if not quality.failed(quality.measured(r.text)) & quality.mask(quality.LATEST))
     assert quality.quality_filter(empty(spark)).count() == 0

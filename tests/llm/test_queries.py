@@ -125,6 +125,7 @@ def test_pipeline_is_brute_force(spark, tmp_path, extra):
     taken = mixed_by_force(want)
     docs = stage["mixing"](spark, docs, str(tmp_path))
     assert told(docs) == +taken and docs.columns == df.columns
+    assert {tuple(r) for r in docs.collect()} <= {tuple(r) for r in df.collect()}
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     flat = [(i, t) for (i, t), n in taken.items() for _ in range(n)]
