@@ -212,7 +212,7 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 # --- the operator ---
 
 
-def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, step: int = STEP, rows_a_rank_task: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, step: int = STEP, rows_a_rank_task: int = 20_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone. A row that is repeated is packed as often as it comes; ties of rank are
