@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import forget, written
 
 
 def visible(light: Column, layer: Column) -> Column:
@@ -126,13 +126,16 @@ def declared_ordinal(caption: Column) -> Column:
 def dependencies(requested: DataFrame, edges: DataFrame, most_depth: int = 64) -> DataFrame:
     """(root, name): what each requested name needs, itself included, over edges (name, needs). Rounds go on until one finds nothing new, so that cycles end."""
     found = written(requested.select("root", "name").distinct(), "needs")
-    new = found
+    new = written(found, "needs")
     for _ in range(most_depth):
         step = new.join(edges, "name").select("root", F.col("needs").alias("name")).distinct().join(found, ["root", "name"], "left_anti")
-        new = written(step, "needs")
+        last, new = new, written(step, "needs")
+        forget(last)
         if new.isEmpty():
+            forget(new)
             return found
-        found = written(found.unionByName(new), "needs")
+        last, found = found, written(found.unionByName(new), "needs")
+        forget(last)
     raise ValueError(f"field rules are nested deeper than {most_depth}")
 
 
