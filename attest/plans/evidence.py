@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import barcodes, text
 from ..operators import fusion
 from ..sources import manifest
 from ..sources.tables import table
+from .payloads import dice, made, pick, quoted, view
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +33,26 @@ def symbologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(barcodes.symbology(F.col("p_size") % 20).alias("symbology")).agg(F.count("*").alias("n"))
 
 
+_O = "o_orderkey"
+#: Runs in both engines: an order as two sides of a document, whose evidence differs by a digest of its key.
+SIDES = f"""SELECT o_orderkey AS key, {pick(quoted(['Utopia', 'Utopia', 'UTO', '', None]), _O, 'a')} AS f_country, {pick(quoted(['UTO', 'Utopia', 'Sweden', '']), _O, 'b')} AS b_country, {pick(["'Clerk#' || CAST(o_custkey AS STRING)", "''", "NULL"], _O, 'c')} AS f_name, {pick(["'Clerk#' || CAST(o_custkey AS STRING)", "substr('Clerk#' || CAST(o_custkey AS STRING), 1, 7)", "'Somebody Else'", "''", "upper('Clerk ' || CAST(o_custkey AS STRING))"], _O, 'd')} AS b_name,
+  {pick(quoted(['DOE', 'DOE', '']), _O, 'e')} AS f_surname, {pick(quoted(['DOE', 'DOERR', 'ROE', '']), _O, 'f')} AS b_surname, {pick(quoted(['JANE', '']), _O, 'g')} AS f_given, {pick(quoted(['JANE', 'J']), _O, 'h')} AS b_given, {pick(quoted(['1980-03-21', '21/03/1980', '']), _O, 'i')} AS f_born, {pick(quoted(['21.03.1980', '1980-03-21', '1990-01-01', '']), _O, 'j')} AS b_born,
+  {pick(quoted(['F', 'M', '', '']), _O, 'k')} AS f_sex, {pick(quoted(['F', '', '']), _O, 'l')} AS b_sex, {pick(quoted(['', 'A1']), _O, 'm')} AS f_number, {pick(quoted(['', 'B2', 'B3']), _O, 'n')} AS b_number, {pick(quoted(['', 'old']), _O, 'o')} AS f_zone, {pick(quoted(['', 'P<UTO']), _O, 'p')} AS b_zone, {pick(quoted(['', 'a', 'a,b']), _O, 'q')} AS f_list, {pick(quoted(['', 'c']), _O, 'r')} AS b_list,
+  CAST({dice(_O, 's', 3)} - 1 AS INT) AS f_status, CAST({dice(_O, 't', 3)} - 1 AS INT) AS b_status, {pick(quoted(['pass', 'review', None]), _O, 'u')} AS f_capture, {pick(quoted(['pass', 'not_available', 'spoof']), _O, 'v')} AS b_capture FROM {{orders}}"""
+
+
 def pair_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fronts from customers, backs from their orders: names cut short, sometimes another, dates in the other order."""
-    k = F.col("c_custkey")
-    born = F.lit("1980-03-21")
-    front = _customers(spark, sf_dir).select(k, F.struct(F.lit("Utopia").alias("country"), F.col("c_name").alias("name"), born.alias("date_of_birth"), F.when(k % 3 == 0, "F").alias("sex"), F.lit("").alias("document_number"), F.lit(0).alias("status"), F.array(F.lit("VISUAL")).alias("sources"), F.lit("pass").alias("capture")).alias("front"))
-    o = F.col("o_orderkey")
-    back = table(spark, sf_dir, "orders").join(_customers(spark, sf_dir).select("c_custkey", "c_name"), F.col("o_custkey") == k).select("o_orderkey", k.alias("b"), F.struct(F.when(o % 2 == 0, "UTO").alias("country"), F.when(o % 5 == 0, F.lit("Somebody Else")).otherwise(F.substring("c_name", 1, 15)).alias("name"), F.when(o % 7 == 0, "").otherwise("21/03/1980").alias("date_of_birth"), F.when(o % 11 == 0, "M").alias("sex"), o.cast("string").alias("document_number"), F.lit(1).alias("status"), F.array(F.lit("MRZ"), F.lit("VISUAL")).alias("sources"), F.when(o % 4 == 0, "review").alias("capture")).alias("back"))
-    out = fusion.fused(back.join(front, F.col("b") == k), key=text.ascii_key)
-    return out.select("o_orderkey", *(F.col(c).cast("string").alias(c) for c in ("check_country", "check_name", "check_date_of_birth", "check_sex")), "decision", F.col("result.document_number").alias("document_number"), F.col("result.status").alias("status"), F.array_join("result.sources", ",").alias("sources"), F.col("result.capture").alias("capture"))
+    """Fronts and backs of documents: names cut short, parted or missing, dates in either order."""
+    rows = made(spark, sf_dir, SIDES)
+    pages = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+
+    def side(s: str) -> Column:
+        of = {"country": "country", "name": "name", "surname": "surname", "given_names": "given", "date_of_birth": "born", "sex": "sex", "document_number": "number", "mrz_code": "zone", "status": "status", "capture": "capture"}
+        return F.struct(*(F.col(f"{s}_{c}").alias(k) for k, c in of.items()), pages(F.col(f"{s}_list")).alias("mrz_strings"), F.array(F.lit("VISUAL"), F.lit("MRZ" if s == "b" else "BARCODE")).alias("sources"), F.lit("VISUAL").alias("source"), F.lit("CATALOG-P1").alias("profile"))
+
+    out = fusion.fused(rows.select("key", side("f").alias("front"), side("b").alias("back")), key=text.ascii_key)
+    r = "result."
+    return out.select("key", *(F.col(c).cast("int").alias(c) for c in ("check_country", "check_name", "check_surname", "check_date_of_birth", "check_sex")), "decision", *(F.col(r + c).alias(c) for c in ("name", "document_number", "mrz_code", "status", "capture", "source", "profile")), F.array_join(r + "mrz_strings", ",").alias("mrz_strings"), F.array_join(r + "sources", ",").alias("sources"))
 
 
 def unicode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +77,20 @@ def manifest_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (barcode_dedup, barcode_merge, symbologies, pair_fuse, unicode_keys, manifest_rows, manifest_mismatches)}
 
 _SYMBOL_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in barcodes.SYMBOLOGY.items())
+_KEY = "upper(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
+_MEETS = "CASE WHEN coalesce({0}, '') <> '' AND coalesce({1}, '') <> '' THEN (starts_with(" + _KEY.format("{0}") + ", " + _KEY.format("{1}") + ") OR starts_with(" + _KEY.format("{1}") + ", " + _KEY.format("{0}") + "))::INT END"
+_DAY = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}') THEN regexp_replace({0}, '[^0-9]', '', 'g') ELSE substr(regexp_replace({0}, '[^0-9]', '', 'g'), 5, 4) || substr(regexp_replace({0}, '[^0-9]', '', 'g'), 3, 2) || substr(regexp_replace({0}, '[^0-9]', '', 'g'), 1, 2) END"
 ORACLES = {
     "barcode_dedup": "SELECT user_id AS doc_id, event_type AS format, props AS text, min(event_id) AS seq, round(arg_min(value, event_id), 6) AS value FROM events GROUP BY ALL",
     "barcode_merge": "SELECT user_id AS doc_id, event_type AS format, props AS text, min(event_id) AS seq, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL",
     "symbologies": f"SELECT CASE p_size % 20 {_SYMBOL_CASES} END AS symbology, count(*) AS n FROM part GROUP BY 1",
-    "pair_fuse": """WITH p AS (SELECT o_orderkey AS o, c_custkey AS c, c_name FROM orders JOIN customer ON o_custkey = c_custkey),
-        k AS (SELECT o, c, CASE WHEN o % 2 = 0 THEN false END AS check_country, CASE WHEN o % 5 = 0 THEN false ELSE true END AS check_name, CASE WHEN o % 7 <> 0 THEN true END AS check_date_of_birth, CASE WHEN c % 3 = 0 AND o % 11 = 0 THEN false END AS check_sex FROM p),
-        q AS (SELECT *, CASE WHEN o % 2 = 0 THEN true END AS country_ok FROM k),
-        d AS (SELECT *, CASE WHEN o % 5 = 0 OR check_sex = false THEN 'mismatch' WHEN (country_ok IS NOT NULL)::INT + check_name::INT + (check_date_of_birth IS NOT NULL)::INT >= 2 THEN 'matched' ELSE 'review' END AS decision FROM q)
-        SELECT o AS o_orderkey, country_ok::VARCHAR AS check_country, check_name::VARCHAR AS check_name, check_date_of_birth::VARCHAR AS check_date_of_birth, check_sex::VARCHAR AS check_sex, decision, CASE WHEN decision = 'matched' THEN o::VARCHAR ELSE '' END AS document_number, CASE WHEN decision = 'matched' THEN 1 ELSE 0 END AS status,
-          CASE WHEN decision = 'matched' THEN 'VISUAL,MRZ' ELSE 'VISUAL' END AS sources, CASE WHEN o % 4 = 0 THEN 'review' ELSE 'pass' END AS capture FROM d""",
+    "pair_fuse": f"""WITH s AS ({view(SIDES)}), n AS (SELECT *, coalesce(nullif(f_name, ''), nullif(trim(f_surname || ' ' || f_given), '')) AS f_whole, coalesce(nullif(b_name, ''), nullif(trim(b_surname || ' ' || b_given), '')) AS b_whole FROM s),
+        d AS (SELECT *, {_DAY.format('f_born')} AS f_day, {_DAY.format('b_born')} AS b_day FROM n),
+        c AS (SELECT *, {_MEETS.format('f_country', 'b_country')} AS check_country, {_MEETS.format('f_whole', 'b_whole')} AS check_name, {_MEETS.format('f_surname', 'b_surname')} AS check_surname, CASE WHEN f_born <> '' AND b_born <> '' THEN (f_day = b_day)::INT END AS check_date_of_birth, {_MEETS.format('f_sex', 'b_sex')} AS check_sex FROM d),
+        e AS (SELECT *, [check_country, check_name, check_surname, check_date_of_birth, check_sex] AS k FROM c), g AS (SELECT *, CASE WHEN list_contains(k, 0) THEN 'mismatch' WHEN coalesce(list_sum(k), 0) >= 2 THEN 'matched' ELSE 'review' END AS decision FROM e)
+        SELECT key, check_country, check_name, check_surname, check_date_of_birth, check_sex, decision, f_name AS name, CASE WHEN decision = 'matched' AND b_number <> '' THEN b_number ELSE f_number END AS document_number, CASE WHEN decision = 'matched' AND b_zone <> '' THEN b_zone ELSE f_zone END AS mrz_code,
+          CASE WHEN decision = 'matched' THEN greatest(f_status, b_status) ELSE f_status END AS status, CASE WHEN f_capture = 'review' OR b_capture = 'spoof' THEN 'review' WHEN f_capture = 'pass' OR b_capture = 'pass' THEN 'pass' ELSE 'not_available' END AS capture,
+          CASE WHEN decision = 'matched' THEN 'MULTI_SOURCE' ELSE 'VISUAL' END AS source, CASE WHEN decision = 'matched' THEN 'PAIRED-DOCUMENT' ELSE 'CATALOG-P1' END AS profile, CASE WHEN decision = 'matched' AND b_list <> '' THEN b_list ELSE f_list END AS mrz_strings, CASE WHEN decision = 'matched' THEN 'VISUAL,BARCODE,MRZ' ELSE 'VISUAL,BARCODE' END AS sources FROM g""",
     "manifest_rows": "SELECT 'texts/' || doc_id AS path, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "manifest_mismatches": "SELECT 'texts/' || doc_id AS path, CASE WHEN doc_id % 90 = 3 THEN 'missing' ELSE 'size' END AS problem FROM documents WHERE doc_id % 90 = 3 OR doc_id % 40 = 5",
 }
