@@ -210,6 +210,23 @@ def assembled(readings: DataFrame, rules: DataFrame) -> DataFrame:
     return out.where(F.col("value") != "").join(docs, "doc_id", "left_semi")
 
 
+def recognised_layout(readings: DataFrame, rules: DataFrame, edges: DataFrame, requested: list[str] | None = None) -> DataFrame:
+    """doc_id, name, type, value, confidence, derived: what a layout's fields gave, read and put together; of requested names only, if any are.
+
+    readings as for assembled(), edges (name, needs) as of field_edges(). With names requested, only the fields that they need are
+    taken into account, through the rules that put them together; a field that was read is not put together. Empty readings give nothing.
+    """
+    spark, some = readings.sparkSession, readings.where(F.length("value") > 0)
+    if requested is not None:
+        wanted = spark.createDataFrame([(x, x) for x in requested], "root string, name string")
+        needed = dependencies(wanted, edges).select("name").distinct()  # names of one layout
+        some = some.join(F.broadcast(needed), "name", "left_semi")
+    made = assembled(some, rules)
+    shown = ("doc_id", "name", "type", "value", "confidence")
+    out = some.select(*shown, F.lit(False).alias("derived")).unionByName(made.select(*shown, F.lit(True).alias("derived")))
+    return out if requested is None else out.where(F.col("name").isin(*requested))
+
+
 def field_values(readings: DataFrame) -> DataFrame:
     """(doc_id, name, value, confidence): the surest non-empty reading of each name; of equal ones the later, then the greater."""
     return readings.where(F.length("value") > 0).groupBy("doc_id", "name").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "pos", "value")).alias("b")).select("doc_id", "name", "b.*")

@@ -177,14 +177,28 @@ FROM (SELECT c_custkey, c_name, c_mktsegment, k, ascii(substr(md5(CAST(c_custkey
 """
 
 
-def field_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three parts of customers' names put together by a rule with literals; some parts are missing, some were read twice."""
+def _assembly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Readings of customers' cards, and the rule that puts three of their fields together."""
     readings = spark.sql(_READINGS, customer=table(spark, sf_dir, "customer"))
     pos = F.col("pos").cast("double")
     readings = readings.withColumns({"locale": F.lit(None).cast("int"), "bounds": F.array(pos, F.lit(0.0), pos + 1, F.lit(1.0))})
     part = lambda kind, t=None, value=None: (kind, t, None, value)
     rules = spark.createDataFrame([(1, (9, "full", None), [part("field", 1), part("literal", value=", "), part("field", 2), part("literal", value=" / "), part("literal", value=" - "), part("field", 3)])], "rule int, target struct<type:int,name:string,locale:int>, parts array<struct<kind:string,type:int,locale:int,value:string>>")
-    return layouts.assembled(readings, rules).select("doc_id", "value", F.round("confidence", 6).alias("confidence"), F.array_join("derived_from", ",").alias("derived_from"), F.element_at("bounds", 1).alias("left"), F.element_at("bounds", 3).alias("right"))
+    return readings, rules
+
+
+def field_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of customers' names put together by a rule with literals; some parts are missing, some were read twice."""
+    rows = layouts.assembled(*_assembly(spark, sf_dir))
+    return rows.select("doc_id", "value", F.round("confidence", 6).alias("confidence"), F.array_join("derived_from", ",").alias("derived_from"), F.element_at("bounds", 1).alias("left"), F.element_at("bounds", 3).alias("right"))
+
+
+def layout_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requested fields of each card: one is put together from four of the fields that were read, the other is read."""
+    readings, rules = _assembly(spark, sf_dir)
+    edges = spark.createDataFrame([("full", f"part{k}") for k in (0, 1, 3, 5)], "name string, needs string")
+    rows = layouts.recognised_layout(readings, rules, edges, ["full", "part3"])
+    return rows.select("doc_id", "name", "value", F.round("confidence", 6).alias("confidence"), F.col("derived").cast("int").alias("derived"))
 
 
 def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +215,7 @@ def read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "place", F.round(F.col("w")[1], 8).alias("top"), F.round(F.col("w")[3], 8).alias("bottom"))
 
 
-QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, field_values, read_windows)}
+QUERIES = {f.__name__: f for f in (catalog_search, catalog_page, catalog_facets, catalog_item, classifier_margin, classifier_layout_hint, classifier_voter_card, classifier_orientation, classifier_mrz_hint, classifier_confirms, effective_identifier, page_roles, layout_relations, catalog_relation, page_order, page_fold, field_closure, field_assembly, layout_recognition, field_values, read_windows)}
 
 _KNOWN = "SELECT * FROM cand WHERE caption IS NOT NULL"
 _OK = "CASE WHEN length(f.{0}) > 0 AND length(p.{0}) > 0 THEN starts_with(f.{0}, p.{0}) OR starts_with(p.{0}, f.{0}) END"
@@ -246,6 +260,11 @@ ORACLES = {
         j AS (SELECT doc_id, max(value) FILTER (type = 1) AS a, max(value) FILTER (type = 2) AS b, max(value) FILTER (type = 3) AS c, round(avg(confidence), 6) AS confidence, string_agg(name, ',' ORDER BY type) AS derived_from, min(pos)::DOUBLE AS "left", max(pos)::DOUBLE + 1 AS "right" FROM b GROUP BY doc_id),
         v AS (SELECT *, trim(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || ', ' || b WHEN a IS NOT NULL AND c IS NOT NULL THEN a || ' - ' ELSE coalesce(a, b, '') END || CASE WHEN c IS NULL THEN '' WHEN b IS NOT NULL THEN ' /  - ' || c ELSE c END, ' ,/') AS value FROM j)
         SELECT doc_id, value, confidence, derived_from, "left", "right" FROM v WHERE value <> '' AND doc_id NOT IN (SELECT doc_id FROM x WHERE type = 9)""",
+    "layout_recognition": f"""WITH r AS ({_READINGS.format(customer='customer')}), x AS (SELECT * FROM r WHERE value <> '' AND name IN ('part0', 'part1', 'part3', 'part5')),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY confidence DESC, pos) AS place FROM x) WHERE place = 1),
+        j AS (SELECT doc_id, max(value) FILTER (type = 1) AS a, max(value) FILTER (type = 2) AS b, max(value) FILTER (type = 3) AS c, round(avg(confidence), 6) AS confidence FROM b GROUP BY doc_id),
+        v AS (SELECT *, trim(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || ', ' || b WHEN a IS NOT NULL AND c IS NOT NULL THEN a || ' - ' ELSE coalesce(a, b, '') END || CASE WHEN c IS NULL THEN '' WHEN b IS NOT NULL THEN ' /  - ' || c ELSE c END, ' ,/') AS value FROM j)
+        SELECT doc_id, 'full' AS name, value, confidence, 1 AS derived FROM v WHERE value <> '' UNION ALL SELECT doc_id, name, value, round(confidence, 6), 0 FROM x WHERE name = 'part3'""",
     "field_values": """WITH r AS (SELECT l_suppkey AS doc_id, l_returnflag AS name, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS value, l_quantity AS confidence, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS pos FROM lineitem),
         b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, pos DESC, value DESC) AS k FROM r) SELECT doc_id, name, value, confidence FROM b WHERE k = 1""",
     "read_windows": """WITH p AS (SELECT p_partkey, round(p_partkey % 50 / 100.0, 4)::DOUBLE AS top, round(p_partkey % 50 / 100.0, 4)::DOUBLE + round((p_partkey % 7 + 1) / 20.0, 4)::DOUBLE AS bottom, 0.05::DOUBLE AS text FROM part),
