@@ -71,7 +71,7 @@ class Encoder:
         return array("I", self.of(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or not self.cut.search(text):
+        if not any(x in text for x in self.added):
             return self.plain(text)
         parts = self.cut.split(text)
         return b"".join(self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
