@@ -69,3 +69,10 @@ def test_grids_of_a_voter_card(spark):
     names = readings.name_crops(spark).collect()
     assert len(names) == 108 and {r.line for r in names} == {0, 1, 2} and all(r.left < r.right and r.top < r.bottom for r in names)
     assert [(r.left, r.top, r.right, r.bottom) for r in readings.name_crops(spark, shifted=False).orderBy("line").collect()] == [tuple(b) for b in readings.NAME_BANDS]
+
+
+def test_profiles_that_td1_is_looked_for_with(spark):
+    from attest.plans import router
+
+    df = spark.createDataFrame([(p,) for p in router.PROFILES], "p string")
+    assert {r.p for r in df.where(router.td1_wanted(F.col("p"))).collect()} == {"auto_research", "aamva_pdf417", "mex_ine", "icao_td1"}
