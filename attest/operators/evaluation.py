@@ -96,22 +96,25 @@ def report(records: DataFrame, targets: list[float]) -> DataFrame:
     return e.crossJoin(auc(records)).crossJoin(t).crossJoin(m)  # one row each
 
 
-#: Ranges of a group's values that places are first sought in.
-RANKS = 256
+#: Ranges of a group's distinct values that places are first sought in, and how many of them are passed over at a time.
+RANKS, STEP = 256, 16
 
 
 def nearest_rank(values: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
     """n, median, and the value at place round-half-even(share (n - 1)) from 0 (p95), for each group: a latency table.
 
-    Values are cut into about RANKS ranges by approximate quantiles, which merge; the ranges are counted, which is exact, and only
-    the values of the ranges that hold a place are ordered. Nulls are left out.
+    Values are counted, and the distinct ones cut into about RANKS ranges by approximate quantiles, which merge; the ranges' counts are
+    exact, and only the values of the ranges that hold a place are ordered. Nulls are left out.
     """
-    some = values.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    borders = some.groupBy(*group).agg(F.percentile_approx("_v", F.array(*(F.lit(k / RANKS) for k in range(1, RANKS))), 2000).alias("_borders"))
+    some = values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    borders = some.groupBy(*group).agg(F.percentile_approx("_v", F.array(*(F.lit(k / RANKS) for k in range(1, RANKS))), F.lit(2000)).alias("_borders"))
     keys = [F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]
     same = lambda: [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
-    placed = some.join(borders.select(*keys, "_borders"), same()).select(*group, "_v", F.size(F.filter("_borders", lambda x: x < F.col("_v"))).alias("_range"))
-    counts = placed.groupBy(*group, "_range", "_v").agg(F.count("*").alias("_n"))
+    # The range of a value is the number of borders below it: first among every STEP-th border, then among those up to the next of them.
+    borders = borders.select(*keys, "_borders", F.filter("_borders", lambda x, i: (i + 1) % STEP == 0).alias("_coarse"))
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("_v")))
+    placed = some.join(borders, same()).withColumn("_far", below("_coarse"))
+    counts = placed.select(*group, "_v", "_n", (F.col("_far") * STEP + below(F.slice("_borders", F.col("_far") * STEP + 1, F.lit(STEP - 1)))).alias("_range"))
     ranges = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"))  # at most RANKS rows a group
     along, whole = Window.partitionBy(*group).orderBy("_range"), Window.partitionBy(*group)
     ranges = ranges.select(*group, "_range", (F.sum("_m").over(along) - F.col("_m")).alias("_before"), "_m", F.sum("_m").over(whole).alias("n"))

@@ -106,7 +106,7 @@ def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def voter_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backs of cards, read in two images and two turns each: taken only with a fully valid zone of the issuer."""
-    z = zones(spark, sf_dir).where("format = 'TD1'")
+    z = zones(spark, sf_dir, "TD1")
     one = lambda image, turn, lines, sure: F.struct(F.lit(image).alias("image"), F.lit(turn).alias("rotation"), lines.alias("lines"), F.array(sure, sure, sure).alias("confidences"))
     plain, bad = F.array("l1", "l2", "l3"), F.array("l1", F.concat(F.lit("Z"), F.substring("l2", 2, 29)), F.col("l3"))
     k = F.col("key")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mrz
+from ..functions.let import settled
 from ..sources.tables import table
 
 YEAR = 2025
@@ -33,8 +34,8 @@ def _noisy(line: str, width: int, salt: str) -> str:
 
 _DAY = "lpad(CAST(({base} + key * 17) % 100 AS STRING), 2, '0') || lpad(CAST(key % 13 AS STRING), 2, '0') || lpad(CAST(key * 5 % 31 + 1 AS STRING), 2, '0')"
 _GIVEN = "translate(substr(md5(CAST(key AS STRING)), 1, CAST(key % 7 AS INT)), '0123456789abcdef', 'ABCDE<GHIJKLMNOP')"
-#: Runs in both engines, with {customer} for the table.
-ZONES = f"""
+#: Run in both engines: PIECES from {customer}, and the lines from {pieces}.
+PIECES = f"""
 WITH r AS (
   SELECT c_custkey AS key, translate(upper(c_name), '#0123456789', '<ABCDEFGHIJ') AS surname FROM {{customer}}),
 p AS (
@@ -43,11 +44,14 @@ p AS (
          substr(surname, 1, CAST(8 + key % 9 AS INT)) || CASE WHEN key % 6 = 0 THEN '<' ELSE '<<' END || {_GIVEN} AS names,
          rpad(CASE WHEN key % 5 = 0 THEN '' ELSE CAST(key * 31 AS STRING) END, 14, '<') AS personal FROM r),
 c AS (
-  SELECT key, names, {_with('number', 9)} AS number, {_with('birth', 6)} AS birth, {_with('expiry', 6)} AS expiry, sex, {_with('personal', 14)} AS personal, substr(personal, 1, 11) AS short FROM p),
-b AS (
+  SELECT key, names, {_with('number', 9)} AS number, {_with('birth', 6)} AS birth, {_with('expiry', 6)} AS expiry, sex, {_with('personal', 14)} AS personal, substr(personal, 1, 11) AS short FROM p)
+SELECT * FROM c
+"""
+LINES = f"""
+WITH b AS (
   SELECT key, names, number || 'UTO' || birth || sex || expiry AS core, number, birth, expiry, sex, personal, short,
          number || birth || expiry || personal AS whole3, number || birth || expiry || '<<<<<<<' AS whole2,
-         rpad(number, 25, '<') || birth || expiry || short AS whole1 FROM c),
+         rpad(number, 25, '<') || birth || expiry || short AS whole1 FROM {{pieces}} AS t),
 z AS (
   SELECT key, 'TD3' AS format, rpad('P<UTO' || names, 44, '<') AS l1, core || personal || CAST({digit('whole3', 39)} AS STRING) AS l2, '' AS l3 FROM b
   UNION ALL SELECT key, 'TD2', rpad('I<UTO' || names, 36, '<'), core || '<<<<<<<' || CAST({digit('whole2', 31)} AS STRING), '' FROM b
@@ -58,32 +62,35 @@ SELECT key, format, {_noisy('l1', 30, 'a')} AS l1, {_noisy('l2', 28, 'b')} AS l2
 """
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, format, l1, l2, l3 (empty but in TD1)."""
-    return spark.sql(ZONES, customer=table(spark, sf_dir, "customer"))
+def zones(spark: SparkSession, sf_dir: str, *formats: str) -> DataFrame:
+    """key, format, l1, l2, l3 (empty but in TD1), of the formats named. Each step is computed once, though several columns are made of it."""
+    pieces = settled(spark.sql(PIECES, customer=table(spark, sf_dir, "customer")))
+    return settled(spark.sql(LINES, pieces=pieces).where(F.col("format").isin(*formats)))
 
 
+#: Both in one text, for an engine without such steps.
+ZONES = LINES.replace("{pieces}", f"({PIECES})")
 FIELDS = ("document_class", "issuing_state", "document_number", "date_of_birth", "date_of_expiry", "sex", "nationality", "surname", "given_names", "name", "optional_data", "n_valid", "status", "error")
 
 
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = zones(spark, sf_dir).where("format = 'TD3'")
+    z = zones(spark, sf_dir, "TD3")
     return z.select("key", mrz.check_digit(F.substring("l2", 1, 9)).alias("digit"), mrz.check_valid(F.substring("l2", 14, 6), F.substring("l2", 20, 1)).alias("birth_valid"))
 
 
 def mrz_td3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = zones(spark, sf_dir).where("format = 'TD3'").select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2")), "TD3", YEAR).alias("z"))
+    rows = zones(spark, sf_dir, "TD3").select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2")), "TD3", YEAR).alias("z"))
     return rows.select("key", *(f"z.{c}" for c in FIELDS))
 
 
 def mrz_td1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = zones(spark, sf_dir).where("format = 'TD1'").select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2", "l3"), three=True), "TD1", YEAR).alias("z"))
+    rows = zones(spark, sf_dir, "TD1").select("key", mrz.parsed(mrz.normalised(F.array("l1", "l2", "l3"), three=True), "TD1", YEAR).alias("z"))
     return rows.select("key", *(f"z.{c}" for c in FIELDS))
 
 
 def mrz_two_line_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TD2 and both kinds of visa, field by field."""
-    z = zones(spark, sf_dir).where("format IN ('TD2', 'MRV-A', 'MRV-B')")
+    z = zones(spark, sf_dir, "TD2", "MRV-A", "MRV-B")
     lines = mrz.normalised(F.array("l1", "l2"))
     by = F.when(F.col("format") == "TD2", mrz.parsed(lines, "TD2", YEAR)).when(F.col("format") == "MRV-A", mrz.parsed(lines, "MRV-A", YEAR)).otherwise(mrz.parsed(lines, "MRV-B", YEAR))
     return z.select("key", "format", by.alias("z")).select("key", "format", *(f"z.{c}" for c in FIELDS))
@@ -91,7 +98,7 @@ def mrz_two_line_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mrz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-line zones of all formats: how many checks hold in the best reading, and whether the zone's own format holds in full."""
-    z = zones(spark, sf_dir).where("format <> 'TD1'")
+    z = zones(spark, sf_dir, "TD3", "TD2", "MRV-A", "MRV-B")
     shape = lambda x: F.struct(mrz.two_line_score(x).alias("score"), mrz.fully_valid(x).alias("valid"))
     return z.select("key", "format", F.explode(F.transform(F.array(mrz.normalised(F.array("l1", "l2"))), shape)).alias("s")).select("key", "format", "s.*")
 
@@ -104,13 +111,13 @@ def _short(z: DataFrame) -> DataFrame:
 
 def mrz_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TD3 lines that have lost fillers, put right where that gives lines with dates."""
-    t = _short(zones(spark, sf_dir).where("format = 'TD3'"))
+    t = _short(zones(spark, sf_dir, "TD3"))
     return t.select("key", F.explode(F.array(mrz.repaired_td3(F.array("l1", "l2")))).alias("r")).select("key", F.col("r")[0].alias("l1"), F.col("r")[1].alias("l2"))
 
 
 def mrz_td1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TD1 lines with a doubled character in the first or second, a lost filler and digit, or a filler too many."""
-    t = zones(spark, sf_dir).where("format = 'TD1'")
+    t = zones(spark, sf_dir, "TD1")
     at = (F.col("key") % 13 + 1).cast("int")
     longer = lambda c: F.concat(F.substring(c, F.lit(1), at), F.substring(F.col(c), at, F.lit(31)))
     how = F.col("key") % 5
@@ -122,7 +129,7 @@ def mrz_td1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mrz_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of three readings of a zone the one with most valid checks, then the greatest confidence, then the first."""
-    t = zones(spark, sf_dir).where("format = 'TD3'")
+    t = zones(spark, sf_dir, "TD3")
     k = F.col("key")
     readings = F.array(F.struct(F.lit(0).alias("no"), F.array("l1", F.concat(F.lit("Z"), F.substring("l2", 2, 43))).alias("lines"), F.lit(1.9).alias("c")), F.struct(F.lit(1).alias("no"), F.array("l1", "l2").alias("lines"), (1.5 + k % 3 / 10.0).alias("c")), F.struct(F.lit(2).alias("no"), F.array("l1", "l2").alias("lines"), F.lit(1.6).alias("c")))
     rows = t.select("key", F.explode(readings).alias("r")).select("key", "r.no", "r.c", mrz.score(mrz.normalised(F.col("r.lines")), "TD3").alias("checks"))
