@@ -159,6 +159,11 @@ def checks(lines: Column, name: str) -> dict[str, Column]:
 
 
 def parsed(lines: Column, name: str, year: int) -> Column:
+    """_parsed() of lines that are computed once, however they are made."""
+    return let(lines, lambda x: _parsed(x, name, year))
+
+
+def _parsed(lines: Column, name: str, year: int) -> Column:
     """A struct of the fields of normalised lines; null where they do not have the format.
 
     error is date if a date is none, alphabet if a check has characters that it cannot weigh; checks that are unknown count as
@@ -205,6 +210,10 @@ def has_format(lines: Column, name: str) -> Column:
 
 def score(lines: Column, name: str) -> Column:
     """Number of valid checks; 0 where the lines do not have the format, have an unweighable character or a date that is none."""
+    return let(lines, lambda x: _score(x, name))
+
+
+def _score(lines: Column, name: str) -> Column:
     results = let(_read(lines, name), lambda x: F.array(*checks(x, name).values()))
     count = let(results, lambda x: F.when(F.forall(x, lambda v: v.isNotNull()), F.size(F.filter(x, lambda v: v))).otherwise(0))
     return F.when(has_format(lines, name), count).otherwise(0)
