@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
+_SPACE = re.compile(SPACE_CLASS.encode())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,6 +29,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def pieces(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut where white space is (which goes with the piece before it): words are whole, and a longer word stays in one piece."""
+    at = 0
+    while len(raw) - at > most:
+        cut = _SPACE.search(raw, at + most)
+        if cut is None:
+            break
+        yield raw[at : cut.end()]
+        at = cut.end()
+    yield raw[at:] if at else raw
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -224,4 +238,4 @@ def free_name(df: DataFrame, want: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["BLOOM_BITS", "F", "Scratch", "forget", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]
+__all__ = ["BLOOM_BITS", "F", "Scratch", "forget", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "pieces", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]

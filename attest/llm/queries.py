@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, lm_scoring, mixing, near_dedup, packing, pii, quality, substrings
+from . import exact_dedup, fill_middle, langid, licenses, lm_scoring, mixing, near_dedup, packing, pii, quality, quality_trees, substrings, vector_codes
 from .common import table
 
 
@@ -52,7 +52,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_substring_dedup, op6_mixing, op7_license_scan, op8_pii, op9_lm_scoring, op10_quality_rules)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.label_errors(coded.withColumn("code", F.lower(F.hex("code"))))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), langid.remainder(F.col("doc_id"), 3) == 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_substring_dedup, op6_mixing, op7_license_scan, op8_pii, op9_lm_scoring, op10_quality_rules, op11_fill_middle, op12_vector_codes, op13_quality_classifier)}
 
 
 def _quoted(text: str) -> str:
@@ -119,4 +135,38 @@ GROUP BY doc_id, license_id
 """
 
 
-ORACLES = {"op1_exact_dedup": _OP1, "op6_mixing": _OP6, "op7_license_scan": _op7()}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+h AS (SELECT *, len(w)::BIGINT AS n, [('0x' || substr(digest, 8 * k + 1, 8))::BIGINT for k in range(0, 4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS one, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS two,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(w[1:one], '') AS p, array_to_string(w[one + 1:two], '') AS m, array_to_string(w[two + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _op12(rounds: int = 2) -> str:
+    """Each round as tables: parts held against all entries of their place, and means of what each entry won."""
+    near = """a{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, away * 64 + entry) AS entry, min(away) AS away FROM (
+  SELECT p.r, p.part, b.entry, list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) for i in range(1, len(p.x) + 1)])::BIGINT AS away FROM p JOIN b{k} AS b USING (part)) GROUP BY r, part)"""
+    mean = """b{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{j} AS b LEFT JOIN (
+  SELECT part, entry, list(x ORDER BY i) AS x FROM (
+    SELECT part, entry, i, (sum(x) // count(*) - CASE WHEN sum(x) < 0 AND sum(x) % count(*) != 0 THEN 1 ELSE 0 END)::BIGINT AS x FROM (SELECT p.part, a.entry, unnest(p.x) AS x, unnest(range(0, len(p.x))) AS i FROM p JOIN a{j} AS a USING (r, part)) GROUP BY part, entry, i)
+  GROUP BY part, entry) AS m USING (part, entry))"""
+    steps = ",\n".join(near.format(k=k) + (",\n" + mean.format(k=k + 1, j=k) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(0, 16)) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 64),
+{steps},
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(away)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f USING (r), s
+"""
+
+
+ORACLES = {"op1_exact_dedup": _OP1, "op6_mixing": _OP6, "op7_license_scan": _op7(), "op11_fill_middle": _OP11, "op12_vector_codes": _op12()}
