@@ -29,16 +29,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def pieces(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """A text in pieces of about `most` bytes, cut where white space is (which goes with the piece before it): words are whole, and a longer word stays in one piece."""
+def pieces(raw: bytes, most: int = 1 << 20, most_word: int | None = None) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut where white space is (which goes with the piece before it), so that words are whole; a word that goes on for more than most_word bytes there is cut."""
     at = 0
     while len(raw) - at > most:
-        cut = _SPACE.search(raw, at + most)
-        if cut is None:
-            break
-        yield raw[at : cut.end()]
-        at = cut.end()
-    yield raw[at:] if at else raw
+        cut = _SPACE.search(raw, at + most, at + most + most_word if most_word else len(raw))
+        end = cut.end() if cut else at + most + most_word if most_word else len(raw)
+        yield raw[at:end]
+        at = end
+    if at < len(raw):
+        yield raw[at:]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -147,6 +147,29 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Powers of an odd number, and of its inverse, modulo 2^64, for places within a chunk.
+_BASE, _CHUNK = 0xD1342543DE82EF95, 1 << 16
+_POWERS, _INVERSES = (np.cumprod(np.append(np.uint64(1), np.full(_CHUNK - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, from sums over the bytes before its ends: for statistics, not where a collision would change a result that must be exact."""
+    before = []
+    for places in (starts, ends):
+        out, total = np.empty(len(places), np.uint64), np.uint64(0)
+        for k, at in enumerate(range(0, len(data) + 1, _CHUNK)):
+            part = data[at : at + _CHUNK]
+            sums = np.append(np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)]))
+            a, b = np.searchsorted(places, (at, at + _CHUNK))
+            scale = np.uint64(pow(_BASE, k * _CHUNK, 1 << 64))
+            out[a:b] = total + scale * sums[places[a:b] - at]
+            total = np.uint64((int(total) + int(scale) * int(sums[-1])) & MASK)
+        before.append(out)
+    chunk = starts >> 16
+    back = np.array([pow(_BASE, -int(k) * _CHUNK, 1 << 64) for k in range(int(chunk.max(initial=0)) + 1)], np.uint64)
+    return stirred((before[1] - before[0]) * _INVERSES[starts & (_CHUNK - 1)] * back[chunk] + (ends - starts).astype(np.uint64))
+
+
 def grams(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash for each k consecutive entries of h (fewer than k: none)."""
     n = len(h) - k + 1
@@ -238,4 +261,4 @@ def free_name(df: DataFrame, want: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["BLOOM_BITS", "F", "Scratch", "forget", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "pieces", "shared_folder", "sieve", "slices", "stirred", "table", "tidy", "words_of", "written"]
+__all__ = ["BLOOM_BITS", "F", "Scratch", "forget", "Query", "WORD_PATTERN", "SPACE_CLASS", "WordHashes", "bloom", "free_name", "grams", "in_bloom", "pieces", "shared_folder", "sieve", "slices", "span_hashes", "stirred", "table", "tidy", "words_of", "written"]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pieces, slices, tidy
+from .common import pieces, slices, span_hashes, tidy
 
 #: The bound of the training sample: labelled documents of each class, drawn by a digest of doc_id.
 A_CLASS = 10_000
@@ -57,55 +57,67 @@ def _longest_run(same: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def statistics(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """FEATURES of a whole text in UTF-8. Beyond a piece, only 8 bytes for each distinct word and line are held."""
+def statistics(text: bytes) -> np.ndarray:
+    """FEATURES of a whole text in UTF-8. Beyond a piece, only 8 bytes for each distinct word and line are held; of a word of megabytes each piece counts as a word."""
     words = chars = short = long = bare = capital = stutters = echoes = longest = run = lines = 0
     squares = 0.0
     kinds = np.zeros(len(_CLASSES) + 1, np.int64)
     seen, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     seen_lines: set[int] = set()
+    line, told_line = xxhash.xxh64(), False  # the line that goes on in the next piece
     worst = np.zeros(len(WORST))
-    for piece in pieces(text):
+    for piece in pieces(text, most_word=1 << 20):
         data = np.frombuffer(piece, np.uint8)
         kind = _KIND[data]
         kinds += np.bincount(kind, minlength=len(kinds))
-        for line in piece.split(b"\n"):
-            if line and not line.isspace():
-                lines += 1
-                seen_lines.add(xxhash.xxh64_intdigest(line))
-        edges = np.flatnonzero(np.diff(np.concatenate([[1], _SPACE[data].view(np.int8), [1]])))
+        begun, *others = piece.split(b"\n")
+        line.update(begun)
+        told_line |= bool(begun.strip())
+        if others:
+            own_lines = [x for x in others[:-1] if x and not x.isspace()]
+            lines += len(own_lines) + told_line
+            seen_lines.update(map(xxhash.xxh64_intdigest, own_lines), [line.intdigest()] if told_line else [])
+            line, told_line = xxhash.xxh64(others[-1]), bool(others[-1].strip())
+        space = np.ones(len(data) + 2, bool)
+        space[1:-1] = _SPACE[data]
+        edges = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = edges[::2], edges[1::2]
         n = len(starts)
         if not n:
             continue
-        h = hashes.of(piece.split())
+        h = span_hashes(data, starts, ends)
         size = ends - starts
         words, chars, squares = words + n, chars + int(size.sum()), squares + float((size.astype(np.float64) ** 2).sum())
         short, long, longest = short + int((size <= 2).sum()), long + int((size >= 12).sum()), max(longest, int(size.max()))
-        told = np.zeros((len(_CLASSES), n), np.int64)
-        for c in range(len(_CLASSES)):
-            at = np.flatnonzero(kind == c)
-            if len(at):
-                told[c] = np.searchsorted(at, ends) - np.searchsorted(at, starts)
-        empty = told[_UPPER] + told[_LOWER] + told[_WIDE] == 0
+        word = np.zeros(len(data) + 1, np.int32)
+        word[starts] = 1
+        word = np.cumsum(word[:-1], dtype=np.int32) - 1  # white space counts with the word before it; its class is none
+        at = np.flatnonzero(kind != _LOWER)
+        told = np.bincount(word[at].clip(0) * (len(_CLASSES) + 1) + kind[at], minlength=n * (len(_CLASSES) + 1)).reshape(n, -1).T
+        low = np.bincount(word[kind == _LOWER], minlength=n)
+        empty = told[_UPPER] + low + told[_WIDE] == 0
         bare, capital = bare + int(empty.sum()), capital + int((kind[starts] == _UPPER).sum())
         same = np.concatenate([[False], h[1:] == h[:-1]])
         stutters, echoes, run = stutters + int(same.sum()), echoes + int((h[2:] == h[:-2]).sum()), max(run, _longest_run(same))
         own, often = np.unique(h, return_counts=True)
-        both = np.concatenate([seen, own])
-        seen, back = np.unique(both, return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, often])).astype(np.int64)
+        if len(seen):
+            own, back = np.unique(np.concatenate([seen, own]), return_inverse=True)
+            often = np.bincount(back, np.concatenate([counts, often])).astype(np.int64)
+        seen, counts = own, often
         if n >= BLOCK // 2:
             whole = max(n // BLOCK, 1)
             width = min(n, BLOCK)
             cut = lambda x: x[: whole * width].reshape(whole, width)
             block = np.sort(cut(h), 1)
-            letters = np.maximum(cut(told[_UPPER] + told[_LOWER] + told[_WIDE]).sum(1), 1)
+            letters = np.maximum(cut(told[_UPPER] + low + told[_WIDE]).sum(1), 1)
             shares = [
                 cut(same).mean(1), 1 - ((block[:, 1:] != block[:, :-1]).sum(1) + 1) / width, cut(told[_UPPER]).sum(1) / letters, cut(told[_SYMBOL]).sum(1) / width,
                 cut(told[_DIGIT]).sum(1) / width, cut(told[_SHOUT]).sum(1) / width, cut(empty).mean(1), cut(told[_STOP]).sum(1) / width,
             ]
             worst = np.maximum(worst, [x.max() for x in shares])
+    if told_line:
+        lines += 1
+        seen_lines.add(line.intdigest())
     per, letters = max(words, 1), max(int(kinds[[_UPPER, _LOWER, _WIDE]].sum()), 1)
     mean = chars / per
     out = [
@@ -116,9 +128,9 @@ def statistics(text: bytes, hashes: WordHashes) -> np.ndarray:
     return np.array(out, np.float32)
 
 
-def _features(column: pa.Array, hashes: WordHashes) -> np.ndarray:
+def _features(column: pa.Array) -> np.ndarray:
     texts = column.cast(pa.binary()).to_pylist()
-    return np.array([statistics(t or b"", hashes) for t in texts], np.float32).reshape(len(texts), len(FEATURES))
+    return np.array([statistics(t or b"") for t in texts], np.float32).reshape(len(texts), len(FEATURES))
 
 
 @dataclass
@@ -212,9 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, a_class: int = A_C
     drawn, counts = sample(labels, held_out, a_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in slices(batches, 1):
-            rows = _features(b.column(1), hashes)
+            rows = _features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows.tolist(), pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -232,9 +243,8 @@ def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-held.value.margins(_features(b.column(1), hashes)))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-held.value.margins(_features(b.column(1))))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
