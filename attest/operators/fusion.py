@@ -6,13 +6,13 @@ compared by: each page is therefore held against the first one, and the fold is
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType
 
 from ..functions.policy import capture_decision
 from ..functions.text import compatible, compatible_keys, date_key, icao_variants, variants
+from .recursion import recursive
 
 MOST_PAGES = 10
 #: Compared fields with their kinds, and the fields that a matching back or page gives to the whole (fixed values).
@@ -133,33 +133,35 @@ def page_order(pages: DataFrame) -> DataFrame:
 
     pages: collection_id, position, identifier, ordinal, related array. Two related pages with different ordinals stand in their
     order; of the pages that may come next the earliest given does; a cycle leaves the given order.
-    """
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("position").reset_index(drop=True)
-        n = len(rows)
-        number = [None if pd.isna(x) else int(x) for x in rows["ordinal"]]
-        after: dict[int, set[int]] = {k: set() for k in range(n)}
-        of = [None if pd.isna(x) else int(x) for x in rows["identifier"]]
-        near = [set() if x is None else set(map(int, x)) for x in rows["related"]]
-        for a in range(n):
-            for b in range(a + 1, n):
-                if None not in (number[a], number[b], of[a], of[b]) and number[a] != number[b] and (of[b] in near[a] or of[a] in near[b]):
-                    first, last = (a, b) if number[a] < number[b] else (b, a)
-                    after[last].add(first)
-        told, left = [], list(range(n))
-        while left:
-            free = next((k for k in left if not after[k] & set(left)), None)
-            if free is None:
-                told = list(range(n))
-                return pd.DataFrame({"collection_id": [rows["collection_id"][0]], "indices": [told], "decision": ["preserved"], "method": ["caller_order"]})
-            told.append(free)
-            left.remove(free)
-        ruled = any(after.values())
-        return pd.DataFrame({"collection_id": [rows["collection_id"][0]], "indices": [told], "decision": ["reordered" if told != list(range(n)) else "preserved"], "method": ["catalog_relation_and_declared_page_ordinal" if ruled else "caller_order"]})
-
-    kind = pages.schema["collection_id"].dataType.simpleString()
-    return pages.select("collection_id", "position", "identifier", "ordinal", "related").groupBy("collection_id").applyInPandas(order, f"collection_id {kind}, indices array<int>, decision string, method string")
+    Related pages meet by a join on the layout that one of them names. The order is a recursion: a row holds how many pages each page of
+    its collection still waits for, and a step takes the first that waits for none; a collection is done when no page is left, or, on a cycle, when all wait.
+    """
+    numbered = pages.select("collection_id", "identifier", "ordinal", "related", (F.row_number().over(Window.partitionBy("collection_id").orderBy("position")) - 1).alias("k"))
+    told = numbered.where(F.col("identifier").isNotNull() & F.col("ordinal").isNotNull())
+    one = told.select("collection_id", "k", "ordinal", F.explode(F.array_distinct("related")).alias("identifier"))
+    two = told.select("collection_id", "identifier", F.col("k").alias("k2"), F.col("ordinal").alias("ordinal2"))
+    met = one.join(two, ["collection_id", "identifier"]).where(F.col("ordinal") != F.col("ordinal2"))
+    forward = F.col("ordinal") < F.col("ordinal2")
+    edges = met.select("collection_id", F.when(forward, F.col("k")).otherwise(F.col("k2")).alias("first"), F.when(forward, F.col("k2")).otherwise(F.col("k")).alias("last")).distinct()
+    after = edges.groupBy("collection_id", F.col("first").alias("k")).agg(F.collect_list("last").alias("after"))
+    waits = edges.groupBy("collection_id", F.col("last").alias("k")).agg(F.count("*").cast("int").alias("open"))
+    rows = numbered.select("collection_id", "k").join(waits, ["collection_id", "k"], "left").join(after, ["collection_id", "k"], "left")
+    each = F.array_sort(F.collect_list(F.struct("k", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("after", F.array().cast("array<int>")).alias("after"))))
+    start = rows.groupBy("collection_id").agg(each.alias("p")).select("collection_id", F.col("p.open").alias("open"), F.col("p.after").alias("after"))
+    return recursive(
+        pages.sparkSession,
+        "SELECT collection_id, 0 AS step, -1 AS page, open, after FROM {begun}",
+        """SELECT collection_id, step + 1, next, transform(open, (n, i) -> CASE WHEN i = next THEN -1 WHEN array_contains(after[next], i) THEN n - 1 ELSE n END), after
+           FROM (SELECT *, CAST(array_position(open, 0) AS INT) - 1 AS next FROM walk) WHERE next >= 0""",
+        """, whole AS (
+             SELECT collection_id, transform(filter(array_sort(collect_list(struct(step, page))), x -> x.step > 0), x -> x.page) AS told,
+                    max_by(size(open), step) AS n, max_by(exists(after, x -> size(x) > 0), step) AS ruled FROM walk GROUP BY collection_id),
+           settled AS (SELECT collection_id, size(told) = n AS done, ruled, sequence(0, n - 1) AS given, told FROM whole)
+           SELECT collection_id, if(done, told, given) AS indices, if(done AND told <> given, 'reordered', 'preserved') AS decision,
+                  if(done AND ruled, 'catalog_relation_and_declared_page_ordinal', 'caller_order') AS method FROM settled""",
+        begun=start,
+    )
 
 
 def folded_pages(pages: DataFrame, compared: dict[str, str] = COMPARED, overlaid: tuple[str, ...] = OVERLAID) -> DataFrame:

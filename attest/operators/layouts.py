@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import forget, written
+from .recursion import recursive
 
 
 def visible(light: Column, layer: Column) -> Column:
@@ -123,20 +123,26 @@ def declared_ordinal(caption: Column) -> Column:
     return F.when(token == "", 1).when(n > 0, n)
 
 
-def dependencies(requested: DataFrame, edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(root, name): what each requested name needs, itself included, over edges (name, needs). Rounds go on until one finds nothing new, so that cycles end."""
-    found = written(requested.select("root", "name").distinct(), "needs")
-    new = written(found, "needs")
-    for _ in range(most_depth):
-        step = new.join(edges, "name").select("root", F.col("needs").alias("name")).distinct().join(found, ["root", "name"], "left_anti")
-        last, new = new, written(step, "needs")
-        forget(last)
-        if new.isEmpty():
-            forget(new)
-            return found
-        last, found = found, written(found.unionByName(new), "needs")
-        forget(last)
-    raise ValueError(f"field rules are nested deeper than {most_depth}")
+def dependencies(requested: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, name): what each requested name needs, itself included, over edges (name, needs); with an identifier in both tables, within each layout, and the identifier is told too.
+
+    A recursion over rows of a layout and root: a step finds what the names found last need and have not been found yet, so that cycles end when
+    nothing is new, and each name comes once. What a row carries is bounded by the rules of its layout.
+    """
+    scope = "identifier" if "identifier" in requested.columns and "identifier" in edges.columns else None
+    of = F.col(scope) if scope else F.lit(0)
+    needs = edges.where(F.col("name") != F.col("needs")).groupBy(of.alias("_of"), "name").agg(F.collect_set("needs").alias("needs"))
+    needs = needs.groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("name", "needs"))).alias("needs"))
+    start = requested.groupBy(of.alias("_of"), "root").agg(F.collect_set("name").alias("found")).join(needs, "_of", "left")
+    found = recursive(
+        requested.sparkSession,
+        "SELECT _of, root, found, found AS fresh, needs FROM {begun}",
+        """SELECT _of, root, concat(found, next) AS found, next AS fresh, needs FROM (
+             SELECT *, array_except(flatten(transform(fresh, f -> coalesce(try_element_at(needs, f), slice(found, 1, 0)))), found) AS next FROM walk) WHERE size(next) > 0""",
+        "SELECT _of, root, explode(fresh) AS name FROM walk",
+        begun=start,
+    )
+    return found.select(*([F.col("_of").alias(scope)] if scope else []), "root", "name")
 
 
 def field_edges(layouts: DataFrame) -> DataFrame:

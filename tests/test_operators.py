@@ -1,6 +1,8 @@
 import base64
 import gzip
+import itertools
 import json
+import random
 import zlib
 
 import numpy as np
@@ -122,6 +124,37 @@ def test_lines_are_chosen_apart(spark):
     assert v["value"] == "TOP\nBELOW" and v["confidence"] == pytest.approx(0.7)
 
 
+def ordered_by_force(pages):
+    """(position, identifier, ordinal, related) of one collection -> indices, decision, method."""
+    n = len(pages)
+    before = {k: set() for k in range(n)}
+    for a, b in itertools.permutations(range(n), 2):
+        (_, i, x, near), (_, j, y, other) = pages[a], pages[b]
+        if None not in (i, j, x, y) and x < y and (j in (near or []) or i in (other or [])):
+            before[b].add(a)
+    told = []
+    while len(told) < n:
+        free = [k for k in range(n) if k not in told and before[k] <= set(told)]
+        if not free:
+            return list(range(n)), "preserved", "caller_order"
+        told.append(free[0])
+    return told, "preserved" if told == list(range(n)) else "reordered", "catalog_relation_and_declared_page_ordinal" if any(before.values()) else "caller_order"
+
+
+def test_page_order_of_long_collections_and_cycles(spark):
+    r = random.Random(5)
+    sets = {1: [(k, k, 50 - k, [k + 1]) for k in range(50)], 2: [(k, k % 3, [1, 2, 3, 4][k % 4], [(k + 1) % 3]) for k in range(12)], 3: [(0, 5, 1, [5])], 4: [(k, 7, k % 5, [7, 7, None]) for k in range(30)]}
+    for c in range(5, 60):
+        sets[c] = [(k, r.choice([None, 0, 1, 2, 3]), r.choice([None, 1, 2, 3]), r.choice([None, [], [0, 1], [2], [3, 3]])) for k in range(r.randrange(1, 14))]
+    rows = [(c, *p) for c, pages in sets.items() for p in pages]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "collection_id long, position int, identifier long, ordinal int, related array<long>")
+    got = {x.collection_id: (x.indices, x.decision, x.method) for x in fusion.page_order(df).collect()}
+    assert got == {c: ordered_by_force(pages) for c, pages in sets.items()}
+    assert got[1][0] == list(range(49, -1, -1))
+    assert fusion.page_order(df.where("false")).count() == 0
+
+
 def test_windows(spark):
     w = spark.range(1).select(layouts.candidate_windows(F.array(*map(F.lit, (0.0, 0.4, 1.0, 0.8))), F.lit(0.05)).alias("w")).first()["w"]
     far = [abs((b[1] + b[3]) / 2 - 0.6) for b in w]
