@@ -137,8 +137,12 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple
 
     none = F.array().cast("array<struct<d:double,n:int,k:int,s:int>>")
     every_match = F.flatten(F.array(*(F.when(F.array_contains("_able", i), matches(i)).otherwise(none) for i in range(len(found)))))
-    told = texts.select("doc_id", F.explode(F.array(F.filter(every_match, lambda m: m["d"] >= threshold))).alias("_m"))
-    meet = lambda x, y: (-x["s"] < -y["s"] + y["n"]) & (-y["s"] < -x["s"] + x["n"])
-    best = F.filter("_m", lambda x: ~F.exists("_m", lambda y: (y > x) & meet(x, y)))
+    told = texts.select("doc_id", F.explode(F.array(F.filter(every_match, lambda m: m["d"] >= threshold))).alias("_m")).where(F.size("_m") > 0)
+    # A match stays if it is the best at each of its places: places and matches are sorted, so that the time is that of a sort however many overlap.
+    # There are at most VOTES times as many places as votes, hence as bigrams for each template.
+    places = F.flatten(F.transform("_m", lambda m: F.transform(F.sequence(F.lit(0), m["n"] - 1), lambda j: F.struct((j - m["s"]).alias("p"), m.alias("m")))))
+    told = told.select("doc_id", F.explode(F.array(F.sort_array(places))).alias("_p"))
+    told = told.select("doc_id", F.explode(F.array(F.sort_array(F.transform(F.filter("_p", lambda x, i: ~F.coalesce(F.get("_p", i + 1)["p"] == x["p"], F.lit(False))), lambda x: x["m"])))).alias("_won"))
+    best = F.filter("_won", lambda x, i: F.get("_won", i + x["n"] - 1).eqNullSafe(x) & ~F.get("_won", i - 1).eqNullSafe(x))
     name = F.element_at(F.split(F.lit("|".join(name for _, name, _ in found)), r"\|"), 1 - F.col("_x.k"))
     return told.select("doc_id", F.explode(best).alias("_x")).groupBy("doc_id", name.alias("license_id")).agg(F.max("_x.d").alias("dice"), F.count("*").alias("n_matches"))
