@@ -29,6 +29,11 @@ LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def lettered(text: str) -> bool:
+    """Whether a text holds a letter (a category L of Unicode): the class of LETTER has numbers like the half and the superscript two besides."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of doc_id as text, by a modulus; a null doc_id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(by))
@@ -131,7 +136,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
         for b in slices(batches, b_text, 1 << 20):
             texts = b.column(b_text).to_pylist()
             langs, joint, mass = [[None] * len(texts) for _ in range(3)]
-            told = [k for k, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
+            told = [k for k, t in enumerate(texts) if t and model.languages and lettered(t)]
             if told:
                 got = model.scores([texts[k] for k in told])
                 best = got.argmax(1)
