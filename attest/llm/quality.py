@@ -7,15 +7,15 @@ read again.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from operator import eq
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import WordHashes, grams, pieces, slices, tidy
 
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -43,37 +43,57 @@ LATEST = "v3"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stutters")
 
 
-def measured(text: str | None) -> dict[str, int]:
-    """Counts over the whole text. Words are split at six ASCII white-space characters, lines at \\n."""
+def line_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each line (split at \\n) that has a word, in order."""
+    out, line, told = [], xxhash.xxh64(), False
+    for piece in pieces(raw):
+        first, *others = piece.split(b"\n")
+        line.update(first)
+        told |= bool(first.strip(SPACES))
+        if others:
+            own = [xxhash.xxh64_intdigest(x) for x in others[:-1] if x.strip(SPACES)]
+            out.append(np.array([line.intdigest()] * told + own, np.uint64))
+            line, told = xxhash.xxh64(others[-1]), bool(others[-1].strip(SPACES))
+    out.append(np.array([line.intdigest()] * told, np.uint64))
+    return np.concatenate(out)
+
+
+def repeated_words(h: np.ndarray) -> int:
+    """For hashes of words: how many lie in a window of WINDOW words that is found again."""
+    windows = grams(h, WINDOW)
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    if not same.any():
+        return 0
+    edge = np.zeros(len(h) + 1, np.int32)
+    for at in (order[1:][same], order[:-1][same]):
+        edge[at] = 1  # a window that is found again begins here
+    begun = np.cumsum(edge)
+    return int((begun[:-1] > np.concatenate([np.zeros(WINDOW, np.int32), begun])[: len(h)]).sum())
+
+
+def measured(text: str | None, hashes: WordHashes | None = None) -> dict[str, int]:
+    """Counts over the whole text. Words are split at six ASCII white-space characters, lines at \\n; equal words, lines and windows are told by 64-bit hashes, so that a long text takes some 50 bytes a word."""
     if not text:
         return dict.fromkeys(MEASURES, 0)
+    hashes = WordHashes() if hashes is None else hashes
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
-    lines = [x for x in text.split("\n") if x.encode("utf-8", "surrogatepass").strip(SPACES)] if "\n" in text else [text] * bool(n)
-    repeat = 0
-    if n > WINDOW:
-        windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
-        if len(set(windows)) < len(windows):
-            seen, end = Counter(windows), 0
-            for at, w in enumerate(windows):
-                if seen[w] > 1:
-                    repeat += at + WINDOW - max(at, end)
-                    end = at + WINDOW
+    h = np.concatenate([np.empty(0, np.uint64), *(hashes.of(p.split()) for p in pieces(raw))])
+    lines = line_hashes(raw)
     if raw.isascii():
         letters, upper = len(raw.translate(None, NO_LETTERS)), len(raw) - len(raw.translate(None, CAPITALS))
     else:
         letters, upper = sum(map(str.isalpha, text)), sum(map(str.isupper, text))
     return {
-        "n_words": n,
+        "n_words": len(h),
         "word_chars": len(text) - (len(raw) - len(raw.translate(None, SPACES))),
         "n_symbols": len(raw) - len(raw.translate(None, SYMBOLS)),
-        "n_dup_lines": len(lines) - len(set(lines)),
-        "n_repeat_words": repeat,
+        "n_dup_lines": len(lines) - len(np.unique(lines)),
+        "n_repeat_words": repeated_words(h),
         "n_lines": len(lines),
         "n_letters": letters,
         "n_upper": upper,
-        "n_stutters": sum(map(eq, words, words[1:])),
+        "n_stutters": int((h[1:] == h[:-1]).sum()),
     }
 
 
@@ -90,8 +110,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in slices(batches, 1):
-            got = [measured(x) for x in b.column(1).to_pylist()]
+            got = [measured(x, hashes) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in got], pa.int64()) for k in MEASURES), pa.array(map(failed, got), pa.int64())], names=["doc_id", *MEASURES, "fail_bits"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {', '.join(f'{k} long' for k in MEASURES)}, fail_bits long")
@@ -131,7 +152,8 @@ def quality_filter(docs: DataFrame, version: str = LATEST) -> DataFrame:
     at, m = docs.columns.index("text"), mask(version)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in slices(batches, at):
-            yield b.filter(pa.array([not failed(measured(x)) & m for x in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not failed(measured(x, hashes)) & m for x in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
