@@ -83,7 +83,7 @@ def occurrences(docs: DataFrame, shared: np.ndarray | None, hot: list[np.ndarray
                     size = np.minimum(np.repeat(size, times) - nth * MOST_WINDOWS, MOST_WINDOWS)
                     first = np.repeat(first, times) + nth * MOST_WINDOWS
                 if len(first):
-                    found.append((a[first], np.full(len(first), doc, np.int64), np.full(len(first), version, np.int32), first))
+                    found.append((a[first], np.full(len(first), doc, np.int64), np.full(len(first), version, np.int64), first))
                     said += [b" ".join(words[s:e]) for s, e in zip(first.tolist(), (first + size + (length - 1)).tolist(), strict=True)]
             if found:
                 anchor, doc, version, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -93,7 +93,7 @@ def occurrences(docs: DataFrame, shared: np.ndarray | None, hot: list[np.ndarray
                 salt = (stirred(doc.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64) + (salts > 1)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(version), pa.array(start), pa.array(said, pa.binary())], names=["anchor", "salt", "doc_id", "version", "start", "words"])
 
-    return docs.mapInArrow(tidy(run), "anchor long, salt long, doc_id long, version int, start long, words binary")
+    return docs.mapInArrow(tidy(run), "anchor long, salt long, doc_id long, version long, start long, words binary")
 
 
 def extended(rows: DataFrame, length: int) -> DataFrame:
@@ -104,7 +104,7 @@ def extended(rows: DataFrame, length: int) -> DataFrame:
         key, earlier, whole = None, {}, {}
 
         def given() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "version", "start", "n", "words"])
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "version", "start", "n", "words"])
             for x in out:
                 x.clear()
             return made
@@ -139,7 +139,7 @@ def extended(rows: DataFrame, length: int) -> DataFrame:
         yield given()
 
     ordered = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "start")
-    return ordered.mapInArrow(tidy(run), "doc_id long, version int, start long, n long, words binary")
+    return ordered.mapInArrow(tidy(run), "doc_id long, version long, start long, n long, words binary")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -147,7 +147,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
 
     version is a hash of the text: the documents of one doc_id with several texts are told apart by it.
     """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("version"))
+    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     every = seeds(docs.select("doc_id", "text"), length, seed).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
     shared = written(every.where(F.col("a") < F.col("z")).select("anchor", "n"), "anchors")
     levels = [F.count_if(F.col("n") > (1 << k)).alias(str(k)) for k in HOT]
@@ -198,7 +198,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     found = written(repeats(docs, length, seed), "starts")
     ids = docs.sparkSession.sparkContext.broadcast(bloom(found, "doc_id", found.count()))
     kinds = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("version"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
 
     def result(words: list[bytes], gone: np.ndarray | None) -> tuple:
         kept = words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
@@ -232,5 +232,5 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
 
     # Starts compress so well that the size of their files says nothing of their size in memory: no broadcast.
     found = found.withColumnsRenamed({"doc_id": "_id", "version": "_version"}).hint("merge")
-    told = rows.mapInArrow(tidy(clean), f"doc_id long, text string, version int, {kinds}").join(found, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
+    told = rows.mapInArrow(tidy(clean), f"doc_id long, text string, version long, {kinds}").join(found, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
     return told.mapInArrow(tidy(cut), f"doc_id long, {kinds}")
