@@ -2,6 +2,9 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -11,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attest.llm import exact_dedup, langid, licenses, lm_scoring, mixing, near_dedup, packing, pii, quality, substrings
+from attest.llm import common, exact_dedup, langid, licenses, lm_scoring, mixing, near_dedup, packing, pii, quality, substrings
 from attest.llm.graph import components
 
 from .cases import WORDS, clashing, documents, empty, prose, texts
@@ -207,6 +210,8 @@ def naive_bayes_by_hand(rows):
 def test_language_id_is_brute_force(spark, sf_dir, a_pass):
     some = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 1500").orderBy("doc_id").limit(60).select("doc_id", "text", "lang", "source")
     df = clashing(documents(spark).select(F.col("doc_id") + 100_000, F.substring("text", 1, 3000), "lang", "source").toDF(*some.columns).unionByName(some))
+    odd = ["½ ²", "① Ⅷ 12", "\u0301\u0300", "ª", "3 ʰ", "_ ٣", "²½x"]
+    df = df.unionByName(spark.createDataFrame([(200_000 + k, t, None, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
     rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
     told = naive_bayes_by_hand([(t, x) for i, t, x in rows if t is not None and x is not None and not held(i)])
@@ -540,6 +545,25 @@ def test_license_scan_is_brute_force(spark):
     assert scanned(df.where("false")) == {} and scanned(df, templates=()) == {}
 
 
+def test_overlapping_licenses_are_brute_force(spark):
+    """Templates that overlap, repeat, hold one another and tie."""
+    templates = (("A", "one two three"), ("B", "two three four"), ("C", "one two three four five"), ("D", "one two three"), ("E", "four five six one two"))
+    r = np.random.RandomState(9)
+    rows = [(k, " ".join(r.choice(["one", "two", "three", "four", "five", "six", "x"], 60, p=[0.2, 0.2, 0.2, 0.15, 0.1, 0.1, 0.05]))) for k in range(60)]
+    rows += [(100, "one two three four five six " * 30), (101, "one two three " * 50), (102, "two three four " * 9), (103, "one two three four five " * 7 + "one")]
+    got = scanned(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates)
+    want = licenses_by_hand(rows, templates)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_notice_repeated_very_often(spark):
+    df = spark.createDataFrame([(1, "All rights reserved. " * 100_000), (2, "Licensed under CC BY 4.0. " * 40_000)], "doc_id long, text string")
+    scanned(df.where("false"))
+    begun = time.perf_counter()
+    assert scanned(df) == {(1, "Proprietary"): (1.0, 100_000), (2, "CC-BY-4.0"): (1.0, 40_000)}
+    assert time.perf_counter() - begun < 20  # 10 s on a machine that does nothing else; before, it grew with the square
+
+
 def test_licenses_are_found_however_they_are_wrapped(spark):
     rows, names = license_texts()
     got = scanned(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -922,6 +946,31 @@ def test_quality_is_brute_force(spark, sf_dir):
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in rows)
 
 
+def test_quality_of_long_texts_by_pieces(monkeypatch):
+    r = np.random.RandomState(8)
+    text = " \n".join(" ".join(r.choice(WORDS, 30)) + "\t" for _ in range(60)) + "\n\nsame line\n \nsame line\nend"
+    for most in (5, 64, 700, 1 << 20):
+        monkeypatch.setattr(quality, "pieces", lambda raw, most=most: common.pieces(raw, most))
+        m = quality.measured(text)
+        words = WORD.findall(text)
+        assert tuple(m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == measured_by_force(text)
+        assert (m["n_lines"], m["n_stutters"]) == (63, sum(a == b for a, b in zip(words, words[1:])))
+
+
+def test_quality_of_a_long_text_takes_little_memory():
+    """A text of 30 MB, in a process of its own: its growth is what a task must hold."""
+    code = """
+import resource, random
+from attest.llm import quality
+text = " ".join(random.Random(1).choices([f"w{k}" for k in range(50_000)], k=4_600_000)) + "\\n" * 1_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m = quality.measured(text)
+print(m["n_words"], len(text) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split()
+    assert said[0] == "4600000" and int(said[1]) >= 28 and int(said[2]) < 400
+
+
 def test_policies_and_ablations(spark, sf_dir):
     rows = quality.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     bits = [r.fail_bits for r in rows.collect()]
