@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, cards, documents, evidence, payloads, projections, rules, zones
+from . import biometrics, cards, documents, evidence, payloads, portraits, projections, rules, zones
 
-QUERIES = {**biometrics.QUERIES, **rules.QUERIES, **projections.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
-ORACLES = {**biometrics.ORACLES, **rules.ORACLES, **projections.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}
+QUERIES = {**biometrics.QUERIES, **portraits.QUERIES, **rules.QUERIES, **projections.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
+ORACLES = {**biometrics.ORACLES, **portraits.ORACLES, **rules.ORACLES, **projections.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}
