@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType
 
+from ..functions.barcodes import verification_url
 from ..functions.policy import capture_decision
 from ..functions.text import compatible, compatible_keys, date_key, icao_variants, variants
+from ..sources.tables import written
+from .layouts import barcode_regions
+from .readings import guided_regions
 from .recursion import recursive
 
 MOST_PAGES = 10
@@ -117,6 +121,29 @@ def paired(fronts: DataFrame, backs: DataFrame, layouts: DataFrame, guided: Data
     return told.join(catalog_relation(candidates, layouts), "doc_id", "left")
 
 
+def guided_pairs(fronts: DataFrame, backs: DataFrame, layouts: DataFrame, decode, key=None) -> DataFrame:
+    """paired(), with symbols of the back sought where the layouts that the front's catalog relation names have barcodes; regions counts where it was looked.
+
+    What is looked at depends on what the front was taken for: its relation is joined to the layouts' barcode regions, for backs that have no QR
+    payload yet. decode: a function of (doc_id, identifier, bounds and a region's other columns) to (doc_id, format, text), run once. What it finds joins the
+    back's symbols, and a verification URL among it is the back's ine_qr, the least of several.
+    """
+    if "candidates" not in fronts.schema["front"].dataType.names:
+        raise ValueError("fronts need candidates: their relation says where to look")
+    candidates = fronts.select("doc_id", F.posexplode("front.candidates").alias("rank", "c")).select("doc_id", "rank", F.col("c.identifier").alias("identifier"))
+    told = "ine_qr" in backs.schema["back"].dataType.names
+    unread = backs.where(F.col("back.ine_qr").isNull()) if told else backs
+    regions = guided_regions(catalog_relation(candidates, layouts).join(unread.select("doc_id"), "doc_id", "left_semi"), barcode_regions(layouts))
+    found = written(decode(regions).select("doc_id", "format", "text"), "guided")
+    url = F.when(F.col("format") == "QRCode", F.when(verification_url(F.col("text")).isNotNull(), F.col("text")))
+    symbols = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("format", "text"))).alias("barcodes"), F.min(url).alias("_qr"))
+    out = paired(fronts, backs, layouts, symbols, key).join(regions.groupBy("doc_id").agg(F.count("*").alias("_n")), "doc_id", "left")
+    if told:
+        out = out.join(symbols.select("doc_id", "_qr"), "doc_id", "left")
+        out = out.withColumn("result", F.col("result").withField("ine_qr", F.when(F.col("decision") == "matched", F.coalesce("_qr", "result.ine_qr")).otherwise(F.col("result.ine_qr")))).drop("_qr")
+    return out.withColumn("regions", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def catalog_relation(candidates: DataFrame, layouts: DataFrame) -> DataFrame:
     """doc_id, front, relation, related: the first candidate whose layout has paired pages, or else children, that the catalog knows."""
     known = layouts.select(F.col("identifier").alias("dst"), F.col("caption").alias("related_name"))

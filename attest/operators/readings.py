@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mrz, national, vectors
 from ..functions.policy import same_person, verification_decision
+from ..sources.tables import written
 
 
 def total(confidences: Column) -> Column:
@@ -47,19 +48,56 @@ def staged(documents: DataFrame, stages: list, best) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("checks", -F.col("stage"))).alias("b")).select("doc_id", "b.*")
 
 
+#: Where a passport's lines are looked for down the page (fixed values): tops and heights of the first, how far below it and how high the second is, and where a band must end.
+FIRST_TOPS, FIRST_HEIGHTS = (0.72, 0.75, 0.78, 0.81, 0.84, 0.87, 0.90), (0.045, 0.055, 0.065)
+SECOND_OFFSETS, SECOND_HEIGHTS, SECOND_END = (0.055, 0.065, 0.075, 0.085), (0.055, 0.065), 0.995
+
+
+def first_line_specs(documents: DataFrame, tops: tuple[float, ...] = FIRST_TOPS, heights: tuple[float, ...] = FIRST_HEIGHTS) -> DataFrame:
+    """doc_id, no, top, height: the bands that a document's first line is looked for in."""
+    every = [(float(t), float(h)) for t in tops for h in heights]
+    bands = F.array(*(F.struct(F.lit(k).alias("no"), F.lit(t).alias("top"), F.lit(h).alias("height")) for k, (t, h) in enumerate(every)))
+    return documents.select("doc_id", F.inline(bands))
+
+
 def first_line_bands(readings: DataFrame, keep: int = 4) -> DataFrame:
-    """The likeliest first lines of a passport zone: one that begins with P, of a length near 44, with most fillers, read surest."""
+    """The likeliest first lines of a passport zone: one that begins with P, of a length near 44, with most fillers, read surest, of the lowest and then the highest band."""
     x = F.replace(F.upper("text"), F.lit(" "), F.lit("<"))
     fillers = F.length(x) - F.length(F.replace(x, F.lit("<"), F.lit("")))
-    w = Window.partitionBy("doc_id").orderBy(F.desc(x.startswith("P").cast("int")), F.abs(F.length(x) - 44), F.desc(fillers), F.desc("confidence"), "no")
+    w = Window.partitionBy("doc_id").orderBy(F.desc(x.startswith("P").cast("int")), F.abs(F.length(x) - 44), F.desc(fillers), F.desc("confidence"), F.desc("top"), F.desc("height"), "no")
     return readings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
-def second_line_specs(first: DataFrame, offsets: tuple[float, ...] = (0.055, 0.065, 0.075, 0.085), heights: tuple[float, ...] = (0.055, 0.065), end: float = 0.995) -> DataFrame:
+def second_line_specs(first: DataFrame, offsets: tuple[float, ...] = SECOND_OFFSETS, heights: tuple[float, ...] = SECOND_HEIGHTS, end: float = SECOND_END) -> DataFrame:
     """Bands to read a second line in, below each first line (doc_id, place, top, height): four offsets by its own and two other heights, within the page."""
     rows = first.select("doc_id", "place", "top", F.col("height").alias("own"), F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
-    rows = rows.select("doc_id", "place", (F.col("top") + F.col("offset")).alias("top"), F.explode(F.array(F.col("own"), *map(F.lit, heights))).alias("height"))
-    return rows.where(F.col("top") + F.col("height") <= end)
+    rows = rows.select("doc_id", "place", F.round(F.col("top") + F.col("offset"), 6).alias("top"), F.explode(F.array(F.col("own"), *map(F.lit, heights))).alias("height"))
+    return rows.where(F.round(F.col("top") + F.col("height"), 6) <= end)
+
+
+def adaptive_lines(documents: DataFrame, read, keep: int = 4, mend=None) -> DataFrame:
+    """doc_id, lines, confidences, checks, top, second_top, bands: the passport zone that a search in two stages reads best.
+
+    read: a function of bands (doc_id, top, height, and columns that it keeps) to the same with text and confidence. The likeliest first lines make the bands
+    that second lines are read in; a band that several of them ask for is read once. Of the pairs the one with most valid checks counts, then of exact lengths, then read
+    surest, then of the likelier first line, then of the upper second band; equal lines are checked once. mend: what repairs a pair (a column of two lines) before it is
+    checked. bands: how many second bands were read. A document whose first lines leave no band has no row.
+    """
+    first = written(first_line_bands(read(first_line_specs(documents)), keep).select("doc_id", "place", "top", "height", "text", "confidence"), "first-lines")
+    specs = second_line_specs(first)
+    second = read(specs.select("doc_id", "top", "height").distinct())
+    met = specs.distinct().join(second.withColumnsRenamed({"text": "_text", "confidence": "_confidence"}), ["doc_id", "top", "height"]).withColumnRenamed("top", "second_top").drop("height")
+    pairs = met.join(first.select("doc_id", "place", "top", "text", "confidence"), ["doc_id", "place"])
+    lines = F.array("text", "_text")
+    pairs = pairs.select("doc_id", "place", "top", "second_top", (mend(lines) if mend else lines).alias("lines"), F.array("confidence", "_confidence").alias("confidences"))
+    surest = F.struct(total(F.col("confidences")), -F.col("place"), -F.col("second_top"))
+    one = pairs.groupBy("doc_id", "lines").agg(F.max_by(F.struct("confidences", "top", "second_top", "place"), surest).alias("b"), F.max(surest).alias("sure"))
+    shown = mrz.normalised(F.col("lines"))
+    exact = F.forall(shown, lambda x: F.length(x) == 44).cast("int")
+    one = one.select("doc_id", "lines", "b", F.struct(mrz.score(shown, "TD3").alias("checks"), exact.alias("exact"), "sure").alias("key"))
+    best = one.groupBy("doc_id").agg(F.max_by(F.struct("lines", "b", "key"), "key").alias("r"))
+    bands = specs.select("doc_id", "top", "height").distinct().groupBy("doc_id").agg(F.count("*").alias("bands"))
+    return best.join(bands, "doc_id").select("doc_id", "r.lines", "r.b.confidences", "r.key.checks", "r.b.top", "r.b.second_top", "bands")
 
 
 def crop_grid(spark: SparkSession, **axes: list[float]) -> DataFrame:

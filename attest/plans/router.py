@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.barcodes import scan_pdf417
+from ..sources.tables import forget, written
 
 PROFILES = ("auto_research", "aamva_pdf417", "mex_ine", "mex_passport", "swe_id_2021", "icao_td1", "icao_td2", "icao_td3", "icao_mrv")
 #: What each two-line profile takes; the automatic one takes all, in this order.
@@ -70,11 +71,28 @@ def pending(seen: DataFrame, stage: str) -> DataFrame:
 
 
 def observe_in_stages(documents: DataFrame, observers: dict) -> DataFrame:
-    """documents with all observations and their route. observers: stage -> function of the pending documents to (doc_id, columns of OBSERVED). A stage without an observer is skipped; each stage sees only what is still open."""
-    seen = documents
+    """documents with all observations, the stages that each was observed in (`stages`, in order) and their route.
+
+    observers: stage -> function of the pending documents to (doc_id, columns of OBSERVED). A stage without an observer is skipped; each stage
+    sees only what is still open. What is known after a stage is written, so that a stage's observer runs once for each document, whatever is
+    asked of the result; the table of the stage before is deleted then.
+    """
+    seen, last = documents.withColumn("stages", F.array().cast("array<string>")), None
     for stage in STAGES:
         if stage in observers:
-            found = observers[stage](pending(seen, stage))
+            asked = pending(seen, stage)
+            found = observers[stage](asked.drop("stages"))
             new = [c for c in found.columns if c != "doc_id"]
-            seen = seen.drop(*new).join(found, "doc_id", "left")
+            looked = asked.select("doc_id", F.lit(True).alias("_looked"))
+            joined = seen.drop(*new).join(found, "doc_id", "left").join(looked, "doc_id", "left")
+            joined = joined.withColumn("stages", F.when(F.col("_looked"), F.concat("stages", F.array(F.lit(stage)))).otherwise(F.col("stages"))).drop("_looked")
+            seen = written(joined, f"stage-{stage}")
+            if last is not None:
+                forget(last)
+            last = seen
     return seen.withColumn("route", route(seen))
+
+
+def stage_counts(routed: DataFrame) -> DataFrame:
+    """stage, documents: how many documents each stage of observation was asked about."""
+    return routed.select(F.explode("stages").alias("stage")).groupBy("stage").agg(F.count("*").alias("documents"))

@@ -197,6 +197,30 @@ def test_pairs_of_sides(spark):
     assert (two.decision, two.result.mrz_code, two.result.source, two.related_barcodes, two.sides[1].recognized) == ("mismatch", "", "VISUAL", 0, False)
 
 
+def test_guided_pairs(spark):
+    side = "struct<name:string,date_of_birth:string,sex:string,machine_barcodes:array<struct<format:string,text:string>>,ine_qr:string,candidates:array<struct<identifier:long,name:string,confidence:double>>>"
+    one = lambda symbols, qr=None, candidates=(): ("A B", "1980-03-21", "M", symbols, qr, [(c, "card", 0.5) for c in candidates])
+    fronts = spark.createDataFrame([(k, one([], candidates=c)) for k, c in ((1, [7]), (2, [7]), (3, [9, 8]), (4, []), (5, [99]))], f"doc_id int, front {side}")
+    backs = spark.createDataFrame([(k, one([("Aztec", "own")], qr)) for k, qr in ((1, None), (2, "known"), (3, None), (4, None), (5, None))], f"doc_id int, back {side}")
+    region = "array<struct<name:string,bounds:array<double>,lightType:int,layer:int>>"
+    box = lambda x, light=6: ("b", [x, 0.1, x + 0.1, 0.2], light, 0)
+    layouts_ = spark.createDataFrame([(7, "front", [8], [], []), (8, "back", [], [7], [box(0.1), box(0.1), box(0.3, 1), box(0.5)]), (9, "lone", [], [], [box(0.7)])], f"identifier long, caption string, child_documents array<long>, paired_pages array<long>, barcodes {region}")
+    asked = []
+
+    def decode(regions):
+        asked.extend((r.doc_id, r.identifier, r.bounds[0]) for r in regions.collect())
+        text = F.when(F.col("bounds")[0] == 0.1, F.lit("https://qr.ine.mx/1/20240101/a/2")).otherwise("other")
+        return regions.select("doc_id", F.lit("QRCode").alias("format"), text.alias("text"))
+
+    got = {r.doc_id: r for r in fusion.guided_pairs(fronts, backs, layouts_, decode).collect()}
+    assert sorted(asked) == [(1, 8, 0.1), (1, 8, 0.5)]  # 2 is read already, 3 is led by its second candidate to a layout without regions, 4 and 5 to none
+    assert [(got[k].regions, got[k].related_barcodes, got[k].relation) for k in range(1, 6)] == [(2, 2, "related_document"), (0, 0, "related_document"), (0, 0, "paired_page"), (0, 0, None), (0, 0, None)]
+    assert [got[k].result.ine_qr for k in range(1, 4)] == ["https://qr.ine.mx/1/20240101/a/2", "known", None]
+    assert [(s.format, s.text) for s in got[1].result.machine_barcodes] == [("Aztec", "own"), ("QRCode", "https://qr.ine.mx/1/20240101/a/2"), ("QRCode", "other")]
+    with pytest.raises(ValueError, match="candidates"):
+        fusion.guided_pairs(fronts.select("doc_id", F.struct("front.name").alias("front")), backs, layouts_, decode)
+
+
 def test_router(spark):
     seen = spark.createDataFrame([(1, "auto_research", True, True, 3), (2, "auto_research", False, True, 3), (3, "auto_research", False, False, 3), (4, "icao_td3", False, False, 3), (5, "mex_ine", True, False, 0)], "doc_id int, profile string, aamva_valid boolean, td1_shaped boolean, mrv_checks int")
     assert [r.r for r in seen.select(router.route(seen).alias("r")).collect()] == ["aamva", "td1", "mrv", "rejected", "ine"]
@@ -210,9 +234,28 @@ def test_router(spark):
         return run
 
     docs = seen.select("doc_id", "profile")
+    times = []
+
+    def counted(stage, columns):
+        """An observer whose work is counted where it is done: each row adds one."""
+        done = spark.sparkContext.accumulator(0)
+        times.append((stage, done))
+
+        def look(batches):
+            for b in batches:
+                done.add(b.num_rows)
+                yield b
+
+        return lambda asked: asked.select("doc_id", *columns).mapInArrow(look, asked.select("doc_id", *columns).schema)
+
+    told = router.observe_in_stages(docs, {"barcodes": counted("barcodes", [(F.col("doc_id") == 1).alias("aamva_valid")]), "td1": counted("td1", [(F.col("doc_id") == 2).alias("td1_shaped")]), "two_line": counted("two_line", [F.lit(3).alias("mrv_checks")])})
+    assert {r.doc_id: (r.route, r.stages) for r in told.collect()} == {1: ("aamva", ["barcodes"]), 2: ("td1", ["barcodes", "td1"]), 3: ("mrv", ["barcodes", "td1", "two_line"]), 4: ("rejected", ["two_line"]), 5: ("ine", ["barcodes", "td1"])}
+    assert {r.stage: r.documents for r in router.stage_counts(told).collect()} == {"barcodes": 4, "td1": 3, "two_line": 2}
+    assert told.count() == 5 and {stage: n.value for stage, n in times} == {"barcodes": 4, "td1": 3, "two_line": 2}  # whatever is asked of the result, nothing is observed twice
     out = router.observe_in_stages(docs, {"td1": observer("td1", [(F.col("doc_id") <= 2).alias("td1_shaped")]), "two_line": observer("two_line", [F.lit(3).alias("mrv_checks")])})
     assert {r.doc_id: r.route for r in out.collect()} == {1: "td1", 2: "td1", 3: "mrv", 4: "rejected", 5: "ine"}
     assert calls["td1"] == {1, 2, 3, 5} and calls["two_line"] == {3, 4}
+    assert router.observe_in_stages(docs.where("false"), {"td1": observer("td1", [F.lit(True).alias("td1_shaped")])}).count() == 0
 
 
 def picture(h=40, w=60, seed=0):

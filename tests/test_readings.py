@@ -38,6 +38,29 @@ def test_specs(spark):
     assert [r.o for r in o] == [[0], [270, 90], [180], [0]]
 
 
+def test_adaptive_lines(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    asked = []
+
+    def read(bands):
+        rows = bands.collect()
+        asked.append([(r.doc_id, round(r.top, 6), round(r.height, 6)) for r in rows])
+        out = []
+        for r in rows:
+            first = len(asked) == 1
+            near = (round(r.top, 3), round(r.height, 3)) == ((0.78, 0.055) if first else (0.845, 0.055))
+            text = (SPECIMEN_TD3[0] if near else "P" + "<" * 20) if first else SPECIMEN_TD3[1] if near else "M" + SPECIMEN_TD3[1][1:]
+            out.append((*r, text if r.doc_id != 3 else "", 0.5 + (r.height if r.doc_id == 1 else 0)))
+        return spark.createDataFrame(out, bands.schema.add("text", "string").add("confidence", "double"))
+
+    got = {r.doc_id: r for r in readings.adaptive_lines(docs, read).collect()}
+    assert len(asked) == 2 and len(asked[0]) == 63 and len(set(asked[1])) == len(asked[1])
+    assert [(got[k].lines, got[k].checks, got[k].top, got[k].second_top) for k in (1, 2)] == [(SPECIMEN_TD3, 5, 0.78, 0.845)] * 2
+    assert got[3].checks == 0 and got[3].bands == len([x for x in asked[1] if x[0] == 3])
+    low = readings.first_line_bands(spark.createDataFrame([(1, 0, "P", 0.5, 0.7, 0.05), (1, 1, "P", 0.5, 0.9, 0.05), (1, 2, "P", 0.5, 0.9, 0.06)], "doc_id int, no int, text string, confidence double, top double, height double"))
+    assert [r.no for r in low.orderBy("place").collect()] == [2, 1, 0]
+
+
 def test_values_templates_and_locales(spark):
     rows = spark.createDataFrame([(1, "B", 0.95), (1, "A", 0.95), (1, "A", 0.2), (2, "C", 0.5)], "doc_id int, text string, confidence double")
     assert [(r.doc_id, r.text, r.readings) for r in readings.by_value(rows).collect()] == [(1, "A", 2)]
