@@ -270,10 +270,21 @@ def td1_candidates(lines: Column) -> Column:
 
 
 def repaired_td1(lines: Column) -> Column:
-    """The first candidate with all four checks, else the normalised lines; lines that are not three come back as they are."""
-    n = normalised(lines, three=True)
-    good = F.filter(td1_candidates(n), lambda x: score(x, "TD1") == 4)
-    return F.when(F.size(lines) != 3, lines).otherwise(F.coalesce(F.get(good, F.lit(0)), n))
+    """The first candidate with all four checks, else the normalised lines; lines that are not three come back as they are.
+
+    A candidate is held against the check of its number first, then against those of its dates, each a sum over a few characters: only those that
+    meet all three are scored as a whole.
+    """
+    f = FORMATS["TD1"]
+
+    def good(x: Column) -> Column:
+        quick = [F.coalesce(check_valid(_cut(x, s), _at(x, s.line, s.check)), F.lit(False)) for s in (f.document_number, f.birth, f.expiry)]
+        return quick[0] & quick[1] & quick[2] & (score(x, "TD1") == 4)
+
+    def repaired(n: Column) -> Column:
+        return F.coalesce(F.get(F.filter(td1_candidates(n), good), F.lit(0)), n)
+
+    return F.when(F.size(lines) != 3, lines).otherwise(let(normalised(lines, three=True), repaired))
 
 
 def search_ratios(expected: Column, lines: int) -> Column:
