@@ -3,7 +3,7 @@
     spark-submit attest/jobs.py zones --input lines.parquet --output out.parquet --set format=TD3 --set year=2025
     spark-submit attest/jobs.py requests --input requests.jsonl --output specs.parquet
 
-A job's settings are read and checked before anything runs. `requests` reads a file of request bodies (JSON, one a line, with
+With --timings each job adds its time and its rows to a table, whose medians and 95th places the job `latencies` tells. A job's settings are read and checked before anything runs. `requests` reads a file of request bodies (JSON, one a line, with
 endpoint, body and query) into checked settings, a row each, with the error of those that are not well formed.
 """
 
@@ -13,14 +13,16 @@ import argparse
 import json
 import os
 import sys
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 if __package__ in (None, ""):  # run as a script
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from attest.functions import barcodes, mrz, vectors
@@ -183,9 +185,21 @@ JOBS: dict[str, tuple[Callable[[DataFrame, dict], DataFrame], dict[str, Setting]
     "roc": (errors, {}),
     "responses": (documents, {"key": text_setting("doc_id")}),
     "requests": (lambda rows, settings: read_requests(rows), {}),
+    "latencies": (lambda rows, settings: evaluation.nearest_rank(rows, ["job"], "milliseconds", settings["share"]), {"share": limit(0.95)}),
 }
 
 
+def timed(job: str, rows: DataFrame, output: str, timings: str | None) -> None:
+    """Writes rows; where timings names a table, adds a row to it: job, started, milliseconds, rows (counted while they are written), output."""
+    seen = Observation()
+    started, begun = datetime.now(UTC), time.perf_counter()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(output)
+    if timings:
+        took = round((time.perf_counter() - begun) * 1000, 3)
+        row = [(job, started, took, seen.get["rows"], output)]
+        rows.sparkSession.createDataFrame(row, "job string, started timestamp, milliseconds double, rows long, output string").coalesce(1).write.mode("append").parquet(timings)
+
+
 def settings_of(job: str, stated: list[str]) -> dict:
     given = dict(x.split("=", 1) for x in stated if "=" in x)
     if lost := [x for x in stated if "=" not in x] + sorted(given.keys() - JOBS[job][1].keys()):
@@ -216,6 +230,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("job", choices=[*JOBS, "capabilities"])
     parser.add_argument("--input")
     parser.add_argument("--output")
+    parser.add_argument("--timings", help="a table that the time of this job is added to; the job latencies reads it")
     parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     told = parser.parse_args(arguments)
     if told.job == "capabilities":
@@ -229,7 +244,7 @@ def main(arguments: list[str] | None = None) -> int:
         parser.error(str(e))
     spark = SparkSession.builder.appName(f"attest {told.job}").getOrCreate()
     read = spark.read.json if told.input.endswith((".json", ".jsonl", ".json.gz")) else spark.read.parquet
-    JOBS[told.job][0](read(told.input), settings).write.parquet(told.output)
+    timed(told.job, JOBS[told.job][0](read(told.input), settings), told.output, told.timings)
     return 0
 
 

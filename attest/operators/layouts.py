@@ -193,13 +193,13 @@ def assembled(readings: DataFrame, rules: DataFrame) -> DataFrame:
     some = readings.where(F.length("value") > 0)
     docs = readings.select("doc_id").distinct()
     targets = rules.select("rule", F.col("target.type").alias("tt"), F.col("target.locale").alias("tl"))
-    done = some.join(F.broadcast(targets), (F.col("type") == F.col("tt")) & (F.col("tl").isNull() | F.col("locale").eqNullSafe(F.col("tl")))).select("doc_id", "rule").distinct()
+    done = some.join(targets, (F.col("type") == F.col("tt")) & (F.col("tl").isNull() | F.col("locale").eqNullSafe(F.col("tl")))).select("doc_id", "rule").distinct()
     parts = rules.select("rule", F.posexplode("parts").alias("part", "p"))
     fields = parts.where(F.col("p.kind") == "field").select("rule", "part", F.col("p.type").alias("pt"), F.col("p.locale").alias("pl"))
-    found = some.join(F.broadcast(fields), (F.col("type") == F.col("pt")) & (F.col("pl").isNull() | F.col("locale").eqNullSafe(F.col("pl"))))
+    found = some.join(fields, (F.col("type") == F.col("pt")) & (F.col("pl").isNull() | F.col("locale").eqNullSafe(F.col("pl"))))
     best = found.groupBy("doc_id", "rule", "part").agg(F.max_by(F.struct("name", "value", "confidence", "bounds"), F.struct("confidence", -F.col("pos"))).alias("s"))
     by_rule = best.groupBy("doc_id", "rule").agg(F.array_sort(F.collect_list(F.struct("part", "s"))).alias("found"))
-    out = by_rule.join(F.broadcast(rules), "rule").join(done, ["doc_id", "rule"], "left_anti")
+    out = by_rule.join(rules, "rule").join(done, ["doc_id", "rule"], "left_anti")
 
     def between(a: Column, b: Column) -> Column:
         gap = F.slice(F.col("parts"), a + 2, b - a - 1)
@@ -226,7 +226,7 @@ def recognised_layout(readings: DataFrame, rules: DataFrame, edges: DataFrame, r
     if requested is not None:
         wanted = spark.createDataFrame([(x, x) for x in requested], "root string, name string")
         needed = dependencies(wanted, edges).select("name").distinct()  # names of one layout
-        some = some.join(F.broadcast(needed), "name", "left_semi")
+        some = some.join(needed, "name", "left_semi")
     made = assembled(some, rules)
     shown = ("doc_id", "name", "type", "value", "confidence")
     out = some.select(*shown, F.lit(False).alias("derived")).unionByName(made.select(*shown, F.lit(True).alias("derived")))

@@ -182,7 +182,7 @@ def td1_backs(readings: DataFrame, issuer: str = "MEX") -> DataFrame:
 
 def model_locale(fields: DataFrame, models: DataFrame) -> DataFrame:
     """fields (with locale) and the model that reads each: models (locale, model), 0 for a locale that none names."""
-    return fields.join(F.broadcast(models.select(F.col("locale").alias("_l"), "model")), F.col("locale") == F.col("_l"), "left").drop("_l").withColumn("model", F.coalesce("model", F.lit(0)))
+    return fields.join(models.select(F.col("locale").alias("_l"), "model"), F.col("locale") == F.col("_l"), "left").drop("_l").withColumn("model", F.coalesce("model", F.lit(0)))
 
 
 def text_orientations(orientation: Column) -> Column:

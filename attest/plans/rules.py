@@ -5,6 +5,8 @@ Inputs are SQL texts that both engines run (see payloads); the oracles apply the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +117,28 @@ def voter_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.td1_backs(rows, "UTO").select("doc_id", "image", "rotation", F.array_join("lines", "/").alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (national_rules, zone_geometry, mrz_normalised, mask_tokens, evaluation_labels, evaluation_problems, evaluation_report, layout_regions, voter_backs)}
+#: Runs in both engines: a line of a record file for each part, some of which are wrong.
+RECORDS = f"""SELECT p_partkey AS key, p_partkey % 4 AS bucket, {pick(quoted(['pair', '', '"a ""b"""']), _P, 'i')} AS pair, {pick(quoted(['same', 'different', '1', 'perhaps', ' TRUE ', '']), _P, 's')} AS label, {pick(quoted(['0.5', '1', '0', '1.5', '-0.25', 'x', '0.75', '"0.25"', '']), _P, 'v')} AS score, {dice(_P, 'm', 9)} AS odd FROM {{part}}"""
+
+
+def quarantined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of record files that are wrong, with their line and problem; and how many of each file are right. The files, four with a header each, are made from parts."""
+    from ..sources import catalogs
+    from ..sources.tables import shared_folder
+
+    rows = made(spark, sf_dir, RECORDS)
+    text = F.when(F.col("odd") == 0, F.concat_ws(",", "pair", "label")).when(F.col("odd") == 1, F.concat_ws(",", "pair", "label", "score", F.lit("more"))).otherwise(F.concat_ws(",", "pair", "label", "score"))
+    heads = rows.select(F.col("bucket"), F.lit(-1).cast("long").alias("key"), F.lit("pairIdentifier,samePerson,score").alias("value")).distinct()
+    lines = rows.select("bucket", F.col("key").cast("long").alias("key"), text.alias("value")).unionByName(heads)
+    folder = f"{shared_folder(spark)}/attest-records-{uuid.uuid4().hex}"
+    lines.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "value").write.partitionBy("bucket").text(f"{folder}/files")
+    good, bad = catalogs.quarantined(catalogs.checked_records(spark, f"{folder}/files/*"), f"{folder}/rows")
+    bucket = F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("int").alias("bucket")
+    fine = good.groupBy(bucket).agg(F.count("*").alias("line"), F.round(F.sum("score"), 6).cast("string").alias("value"), F.count("pair_id").cast("string").alias("problem"))
+    return bad.select(bucket, "line", "problem", "value", F.lit("bad").alias("kind")).unionByName(fine.select("bucket", "line", "problem", "value", F.lit("good").alias("kind")))
+
+
+QUERIES = {f.__name__: f for f in (quarantined_records, national_rules, zone_geometry, mrz_normalised, mask_tokens, evaluation_labels, evaluation_problems, evaluation_report, layout_regions, voter_backs)}
 
 _DIGITS, _LETTERS = "translate({0}, 'OQIL', '0011')", "translate({0}, '801', 'BOI')"
 _FITS = "length({0}) > 0 AND (length(curp) <> 18 OR starts_with(upper({0}), substr(curp, {1}, 1)))"
@@ -129,7 +152,14 @@ def _merged(k: int, place: int) -> str:
 
 _LABEL = "CASE WHEN lower(trim(label)) IN ('1', 'true', 'yes', 'same', 'same_person', 'genuine') THEN 1 WHEN lower(trim(label)) IN ('0', 'false', 'no', 'different', 'different_person', 'impostor') THEN 0 END"
 _MON = "CASE upper(substr(swedish, 4, 3)) " + " ".join(f"WHEN '{m}' THEN '{k:02d}'" for k, m in enumerate(national.MONTHS, 1)) + " END"
+_RECORDS = f"""WITH r AS (SELECT *, CASE odd WHEN 0 THEN pair || ',' || label WHEN 1 THEN pair || ',' || label || ',' || score || ',more' ELSE pair || ',' || label || ',' || score END AS value, row_number() OVER (PARTITION BY bucket ORDER BY key) + 1 AS line FROM ({view(RECORDS)})),
+t AS (SELECT *, lower(trim(label)) AS l, TRY_CAST(replace(score, '"', '') AS DOUBLE) AS v FROM r),
+p AS (SELECT *, CASE WHEN odd < 2 THEN 'fields' WHEN l NOT IN ('same', 'different', '1', 'true') THEN 'label' WHEN v IS NULL OR v NOT BETWEEN 0 AND 1 THEN 'score' END AS problem FROM t)
+SELECT bucket::INT AS bucket, line, problem, value, 'bad' AS kind FROM p WHERE problem IS NOT NULL
+UNION ALL SELECT bucket::INT, count(*), count(*) FILTER (pair <> '')::VARCHAR, round(sum(v), 6)::VARCHAR, 'good' FROM p WHERE problem IS NULL GROUP BY bucket"""
+
 ORACLES = {
+    "quarantined_records": _RECORDS,
     "national_rules": f"""WITH p AS ({view(PERSONS)}), d AS (SELECT *, regexp_replace(seen, '[^0-9]', '', 'g') AS n, substr(curp, 5, 6) AS y, substr(voter_key, 7, 6) AS v FROM p), b AS (SELECT *, length(curp) = 18 AND length(voter_key) = 18 AND y = v AND length(n) = 8 AND regexp_full_match(y, '[0-9]{{6}}') AS fine, CASE WHEN length(n) = 8 AND length(y) = 6 THEN hamming(y, substr(n, 7, 2) || substr(n, 3, 2) || substr(n, 1, 2)) END AS apart FROM d)
         SELECT key, CASE WHEN length(number) = 14 THEN {_DIGITS.format('substr(number, 1, 7)')} || {_LETTERS.format('substr(number, 8, 1)')} || substr(number, 9, 3) || {_LETTERS.format('substr(number, 12, 2)')} || {_DIGITS.format('substr(number, 14, 1)')} ELSE number END AS belarus,
           CASE WHEN fine AND apart <= 1 THEN strftime(TRY_CAST(substr(n, 5, 2) || substr(y, 1, 2) || '-' || substr(y, 3, 2) || '-' || substr(y, 5, 2) AS DATE), '%d/%m/%Y') END AS birth, {_merged(1, 1)}, {_merged(2, 3)}, {_merged(3, 4)},

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.evaluation import label
 
@@ -89,6 +90,47 @@ def evaluation_records(spark: SparkSession, path: str, scored=None) -> DataFrame
     return out.select("pair_id", "same_person", "score", error.alias("error"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value: the lines of text files with their numbers in each file, whatever the splits that files are read in.
+
+    A split's lines are counted first: a sum over the splits before it tells where its own begin. A file is numbered by nobody alone.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def checked_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, pair_id, same_person, score, problem, value: the rows of CSV files of scores, each with its line in its file (the header is line 1) and what is wrong with it, or null.
+
+    Each file begins with its own header, in any order of names; a record is a line. problem: fields (more or fewer than the header has), label, score (no number of
+    0 to 1). A file whose header lacks samePerson or score fails the query. Blank lines are left out. Nothing is dropped: bad rows keep their text, in value.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.where(F.col("line") == 1).select("file", F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', ""))).alias("_names"))
+    whole = F.array_contains("_names", "samePerson") & F.array_contains("_names", "score")
+    heads = heads.withColumn("_names", F.when(whole, F.col("_names")).otherwise(F.raise_error(F.concat(F.lit("no samePerson and score in "), F.col("file")))))
+    rows = lines.where((F.col("line") > 1) & (F.trim("value") != "")).join(heads, "file")
+    # A field is text without commas, or text in quotes in which quotes are doubled.
+    fields = F.transform(F.regexp_extract_all(F.concat(F.lit(","), F.col("value")), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    rows = rows.withColumn("_fields", fields)
+    rows = rows.withColumn("_map", F.when(F.size("_fields") == F.size("_names"), F.map_from_arrays("_names", "_fields")))
+    get = lambda name: F.try_element_at("_map", F.lit(name))
+    score = get("score").try_cast("double")
+    same = label(get("samePerson"))
+    problem = F.when(F.col("_map").isNull(), "fields").when(same.isNull(), "label").when(score.isNull() | F.isnan(score) | ~score.between(0, 1), "score")
+    return rows.select("file", "line", F.nullif(get("pairIdentifier"), F.lit("")).alias("pair_id"), same.alias("same_person"), score.alias("score"), problem.alias("problem"), "value")
+
+
+def quarantined(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a problem, and the others, told apart in one pass that writes both below a folder."""
+    rows.withColumn("bad", F.col("problem").isNotNull()).write.partitionBy("bad").parquet(folder)
+    both = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("bad", BooleanType())])).parquet(folder)
+    return both.where(~F.col("bad")).drop("bad", "problem", "value"), both.where("bad").select("file", "line", "problem", "value")
+
+
 def distinct_once(paths: DataFrame, columns: list[str], embed) -> DataFrame:
     """paths (pair_id, two path columns) with an embedding for each: every distinct path is embedded once, then joined back."""
     one = paths.select(F.explode(F.array(*columns)).alias("path")).where(F.col("path").isNotNull()).distinct()

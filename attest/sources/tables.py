@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder is set here only where there is none, as in tests."""
+    """spark.checkpoint.dir of the session; a folder is set here only in local mode where there is none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="attest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

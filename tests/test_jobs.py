@@ -31,6 +31,15 @@ def test_jobs_run(spark, tmp_path, capsys):
     spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.1])], "pair long, first array<float>, second array<float>").write.parquet(f"{tmp_path}/pairs")
     assert jobs.main(["templates", "--input", f"{tmp_path}/pairs", "--output", f"{tmp_path}/told", "--set", "threshold=0.5"]) == 0
     assert spark.read.parquet(f"{tmp_path}/told").first()["comparison"]["decision"] == "same_person"
+    for k in range(3):
+        assert jobs.main(["zones", "--input", f"{tmp_path}/lines", "--output", f"{tmp_path}/again{k}", "--timings", f"{tmp_path}/times"]) == 0
+    assert jobs.main(["templates", "--input", f"{tmp_path}/pairs", "--output", f"{tmp_path}/again", "--timings", f"{tmp_path}/times"]) == 0
+    times = spark.read.parquet(f"{tmp_path}/times").collect()
+    assert sorted((r.job, r.rows) for r in times) == [("templates", 1), *[("zones", 1)] * 3] and all(r.milliseconds > 0 and r.started and r.output.startswith(str(tmp_path)) for r in times)
+    assert jobs.main(["latencies", "--input", f"{tmp_path}/times", "--output", f"{tmp_path}/latencies", "--set", "share=0.95"]) == 0
+    told = {r.job: (r.n, r.median, r.p95) for r in spark.read.parquet(f"{tmp_path}/latencies").collect()}
+    zones = sorted(r.milliseconds for r in times if r.job == "zones")
+    assert told["zones"] == (3, zones[1], zones[2]) and told["templates"][0] == 1
     assert jobs.main(["capabilities"]) == 0 and "families" in capsys.readouterr().out
     for bad in (["zones"], ["zones", "--input", "a", "--output", "b", "--set", "format=X"], ["zones", "--input", "a", "--output", "b", "--set", "colour=1"]):
         with pytest.raises(SystemExit):
