@@ -42,11 +42,13 @@ def pieces(raw: bytes, most: int = 1 << 20, most_word: int | None = None) -> Ite
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
+    """The folder that driver and executors share; set here only in local mode, where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="attest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
