@@ -102,16 +102,17 @@ g AS (SELECT source, source_size,
              CASE WHEN first_free IS NULL OR place < first_free THEN (3 * source_size)::DOUBLE
                   ELSE (SELECT min(level) FROM f AS x WHERE x.place = f.first_free) * weight END AS target
       FROM f),
-n AS (SELECT source, count(*) FILTER (WHERE size > 0) AS n FROM d GROUP BY source),
-h AS (SELECT g.*, n.n, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM g JOIN n ON g.source IS NOT DISTINCT FROM n.source),
-p AS (SELECT *, target - sure * source_size AS lack, CASE WHEN source_size > 0 THEN (target - sure * source_size) / source_size::DOUBLE END AS share FROM h),
-o AS (SELECT d.*, source_size, target, sure, lack,
-             CASE WHEN size > 0 THEN (share / (1 - share)) * (size::DOUBLE / (source_size::DOUBLE / n::DOUBLE)) ELSE 0 END AS inclusion_odds,
-             CASE WHEN size > 0 THEN u / ((1 - u) * size) END AS rank
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-j AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY size = 0, CASE WHEN inclusion_odds > 0 THEN u / (1 - u) / inclusion_odds END, rank, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+p AS (SELECT *, target - sure * source_size AS lack FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM g)),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size),
+q AS (SELECT z.source, size, lack, sum(n * size * size) OVER w AS squares, source_size - sum(n * size) OVER w AS larger, lead(size) OVER (PARTITION BY z.source ORDER BY size) AS next
+      FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source WHERE lack > 0 WINDOW w AS (PARTITION BY z.source ORDER BY size)),
+t AS (SELECT source, arg_min(squares / (lack - larger), size) AS t FROM q WHERE lack > larger AND (next IS NULL OR squares / (lack - larger) < next) GROUP BY source),
+o AS (SELECT d.*, source_size, target, sure, lack, CASE WHEN size > 0 THEN coalesce(least(1, size / t), 0) ELSE 0 END::DOUBLE AS inclusion
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r2 AS (SELECT *, CASE WHEN inclusion >= 1 THEN 0 WHEN inclusion > 0 THEN u / (1 - u) * ((1 - inclusion) / inclusion) END AS rank FROM o),
+j AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY size = 0, rank, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r2)
 SELECT doc_id, size, source_size, target,
-       (size * CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN lack > 0 AND lack - before >= size / 2 THEN 1 ELSE 0 END END)::BIGINT AS taken, inclusion_odds
+       (size * CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN lack > 0 AND lack - before >= size / 2 THEN 1 ELSE 0 END END)::BIGINT AS taken, inclusion
 FROM j
 """
 

@@ -421,33 +421,80 @@ def test_mixing(spark, sf_dir, ranges, levels):
     assert again == Counter((r.doc_id, r.taken) for r in rows)
 
 
+def inclusions_by_force(sizes, lack):
+    """Inclusion of each of some documents, in proportion to size but for those that are certain, so that the words expected are those that lack."""
+    if lack <= 0:
+        return [0.0] * len(sizes)
+    certain = set()
+    while True:
+        rest = [k for k in range(len(sizes)) if k not in certain]
+        left = lack - sum(sizes[k] for k in certain)
+        t = sum(sizes[k] ** 2 for k in rest) / left if left > 0 else math.inf
+        more = {k for k in rest if sizes[k] >= t}
+        if not more:
+            return [1.0 if k in certain else sizes[k] / t for k in range(len(sizes))]
+        certain |= more
+
+
+def ranks_by_force(rows, lack, seed=0):
+    """(id, text, size) -> (rank, size) and inclusion, of the documents of one source."""
+    out = []
+    for (i, text, size), p in zip(rows, inclusions_by_force([r[2] for r in rows], lack), strict=True):
+        said = hashlib.md5(text.encode()).hexdigest() if i is None else i
+        u = (int(hashlib.md5(f"{seed}:{said}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        out.append(((0.0 if p >= 1 else u / (1 - u) * ((1 - p) / p) if p else math.inf, size), p))
+    return out
+
+
 def test_mixing_is_pareto_sampling(spark, sf_dir):
-    """Ranked by hand: random odds over inclusion odds that differ within a source."""
+    """Ranked by hand: random odds over inclusion odds that differ within a source, and certain documents."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.createDataFrame([(10_000 + k, "w " * n, source) for k, (n, source) in enumerate([(5000, "new"), (900, "new"), *[(10 + j, "new") for j in range(40)], (3000, "src1")])], "doc_id long, text string, source string")
+    df = df.select("doc_id", "text", "source").unionByName(long)
     got = {r.doc_id: r for r in mixing.mixed(df, keep=("doc_id", "source")).collect()}
     by = defaultdict(list)
     for r in got.values():
         if r.size:
             by[r.source].append(r)
-    differ = 0
+    differ, certain = 0, 0
     for source, rows in by.items():
         sure = int(rows[0].target // rows[0].source_size)
         lack = rows[0].target - sure * rows[0].source_size
-        p, mean = lack / rows[0].source_size, rows[0].source_size / len(rows)
-        ranked, plain = [], []
-        for r in rows:
-            u = (int(hashlib.md5(f"0:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            odds = p / (1 - p) * r.size / mean
-            assert r.inclusion_odds == pytest.approx(odds)
-            ranked.append((u / (1 - u) / odds if odds else 0, r.doc_id)), plain.append((u, r.doc_id))
+        told = ranks_by_force([(r.doc_id, "", r.size) for r in rows], lack)
+        for r, (_, p) in zip(rows, told, strict=True):
+            assert r.inclusion == pytest.approx(p)
+            certain += r.inclusion == 1
+        assert sum(r.size * r.inclusion for r in rows) == pytest.approx(max(lack, 0), abs=1e-6)
+        ranked = sorted((key, r.doc_id) for r, (key, _) in zip(rows, told, strict=True))
         taken, words = set(), 0
-        for _, i in sorted(ranked):
+        for _, i in ranked:
             if lack - words >= got[i].size / 2 and lack > 0:
                 taken.add(i)
             words += got[i].size
-        differ += [i for _, i in sorted(ranked)] != [i for _, i in sorted(plain)]
+        differ += [i for _, i in ranked] != sorted(i for _, i in ranked)
         assert {r.doc_id for r in rows if r.taken > sure * r.size} == taken, source
-    assert differ
+        assert {r.doc_id for r in rows if r.inclusion == 1} <= taken
+    assert differ and certain
+
+
+def test_many_sources_are_placed_in_ranges(spark):
+    """Sources by the thousand: placed in ranges of their order, with the sums before them."""
+    r = np.random.RandomState(3)
+    sizes = {f"s{k:05d}": int(r.randint(0, 50)) for k in range(3000)} | {None: 17, "é": 400_000, "\U00010000": 3}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    want = targets_by_force(sizes)
+    assert {x.source: x.target for x in mixing.targets(df).collect()} == pytest.approx(want)
+    told = mixing.placed(df, [F.col("source_size"), F.col("source")], {"before": "source_size"}, "place").collect()
+    words = 0
+    for k, x in enumerate(sorted(told, key=lambda x: (x.source_size, x.source is not None, (x.source or "").encode())), 1):
+        assert (x.place, x.before) == (k, words)
+        words += x.source_size
+
+
+def test_rows_without_a_doc_id_draw_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"some words of text {k} " * 3, "a") for k in range(60)] + [(1, "big " * 900, "b")], "doc_id long, text string, source string")
+    u = {r.u for r in df.where("doc_id is null").select(mixing.uniform(F.col("doc_id"), 0, F.col("text")).alias("u")).collect()}
+    assert len(u) == 60
 
 
 def test_ranges_do_not_change_the_sample(spark, sf_dir):

@@ -10,7 +10,7 @@ import pytest
 from attest.llm import queries
 
 from .cases import clashing, prose
-from .test_operators import check_packing, components_by_force, targets_by_force
+from .test_operators import check_packing, components_by_force, ranks_by_force, targets_by_force
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -54,14 +54,9 @@ def mixed_by_force(rows):
             continue
         sure = math.floor(target[s] / sizes[s])
         lack = target[s] - sure * sizes[s]
-        p, mean = lack / sizes[s], sizes[s] / len(own)
-        ranked = []
-        for i, t in own:
-            u = (int(hashlib.md5(f"0:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            odds = p / (1 - p) * size(t) / mean
-            ranked.append((u / (1 - u) / odds if odds else 0, size(t), i, t))
+        told = ranks_by_force([(i, t, size(t)) for i, t in own], lack)
         words = 0
-        for _, n, i, t in sorted(ranked, key=lambda r: r[:2]):
+        for (_, n), i, t in sorted(((key, i, t) for (i, t), (key, _) in zip(own, told, strict=True)), key=lambda r: r[0]):
             out[i, t] += sure + (lack > 0 and lack - words >= n / 2)
             words += n
     return out
