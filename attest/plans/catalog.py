@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import biometrics, cards, documents, evidence, journeys, payloads, pixel_tables, portraits, projections, rules, zones
+from . import biometrics, cards, documents, evidence, identity_cards, journeys, payloads, pixel_tables, portraits, projections, rules, zones
 
-QUERIES = {**biometrics.QUERIES, **journeys.QUERIES, **portraits.QUERIES, **pixel_tables.QUERIES, **rules.QUERIES, **projections.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
-ORACLES = {**biometrics.ORACLES, **journeys.ORACLES, **portraits.ORACLES, **pixel_tables.ORACLES, **rules.ORACLES, **projections.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}
+QUERIES = {**biometrics.QUERIES, **identity_cards.QUERIES, **journeys.QUERIES, **portraits.QUERIES, **pixel_tables.QUERIES, **rules.QUERIES, **projections.QUERIES, **cards.QUERIES, **evidence.QUERIES, **documents.QUERIES, **payloads.QUERIES, **zones.QUERIES}
+ORACLES = {**biometrics.ORACLES, **identity_cards.ORACLES, **journeys.ORACLES, **portraits.ORACLES, **pixel_tables.ORACLES, **rules.ORACLES, **projections.ORACLES, **cards.ORACLES, **evidence.ORACLES, **documents.ORACLES, **payloads.ORACLES, **zones.ORACLES}
