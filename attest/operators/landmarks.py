@@ -28,17 +28,18 @@ def crop_box(box: Column, width: Column, height: Column, padding: float = PADDIN
     )
 
 
-def landmarks(faces: DataFrame, key: str, points: int = POINTS, padding: float = PADDING) -> DataFrame:
-    """key, index, crop_x, crop_y, image_x, image_y (fractions of the crop and of the image), pixel_x, pixel_y (whole pixels, halves to even).
+def landmarks(faces: DataFrame, key: str, keep: tuple[str, ...] = (), points: int = POINTS, padding: float = PADDING) -> DataFrame:
+    """key, the columns `keep` of faces, index, crop_x, crop_y, image_x, image_y (fractions of the crop and of the image), pixel_x, pixel_y (whole pixels, halves to even).
 
     faces: key, values (what a detector tells: the x of all points, then their y, as fractions of the crop), box, width, height. A face
     whose values are missing or not twice as many as there are points gives no rows; a null value gives a point without that coordinate.
     """
-    whole = faces.where(F.size("values") == 2 * points).select(key, "values", "width", "height", crop_box(F.col("box"), F.col("width"), F.col("height"), padding).alias("_crop"))
-    each = whole.select(key, "width", "height", "_crop", F.posexplode(F.slice("values", 1, points)).alias("index", "crop_x"), F.slice("values", points + 1, points).alias("_ys")).withColumn("crop_y", F.get("_ys", F.col("index")))
+    whole = faces.where(F.size("values") == 2 * points).select(key, *(F.col(c).alias(f"_keep_{c}") for c in keep), "values", "width", "height", crop_box(F.col("box"), F.col("width"), F.col("height"), padding).alias("_crop"))
+    kept = [f"_keep_{c}" for c in keep]
+    each = whole.select(key, *kept, "width", "height", "_crop", F.posexplode(F.slice("values", 1, points)).alias("index", "crop_x"), F.slice("values", points + 1, points).alias("_ys")).withColumn("crop_y", F.get("_ys", F.col("index")))
     at = lambda k, c: F.col("_crop")[k] + F.col(c) * (F.col("_crop")[k + 2] - F.col("_crop")[k])
     each = each.withColumns({"_x": at(0, "crop_x"), "_y": at(1, "crop_y")})
-    return each.select(key, "index", "crop_x", "crop_y", (F.col("_x") / F.col("width")).alias("image_x"), (F.col("_y") / F.col("height")).alias("image_y"), F.bround("_x").cast("int").alias("pixel_x"), F.bround("_y").cast("int").alias("pixel_y"))
+    return each.select(key, *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), "index", "crop_x", "crop_y", (F.col("_x") / F.col("width")).alias("image_x"), (F.col("_y") / F.col("height")).alias("image_y"), F.bround("_x").cast("int").alias("pixel_x"), F.bround("_y").cast("int").alias("pixel_y"))
 
 
 def back_in_crop(x: Column, y: Column, box: Column, width: Column, height: Column, padding: float = PADDING) -> tuple[Column, Column]:

@@ -26,10 +26,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def face_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """68 points of each face in the crop, the image and whole pixels, and back in the crop."""
-    f = faces(spark, sf_dir)
-    rows = landmarks.landmarks(f, "vec_id").join(f.select("vec_id", "box", "width", "height"), "vec_id")
+    rows = landmarks.landmarks(faces(spark, sf_dir), "vec_id", ("box", "width", "height"))
     x, y = landmarks.back_in_crop(F.col("image_x"), F.col("image_y"), F.col("box"), F.col("width"), F.col("height"))
-    return rows.select("vec_id", F.col("index").cast("int").alias("index"), *(F.round(c, 7).alias(c) for c in ("crop_x", "crop_y", "image_x", "image_y")), "pixel_x", "pixel_y", F.round(x, 7).alias("back_x"), F.round(y, 7).alias("back_y"))
+    return rows.select("vec_id", F.col("index").cast("int").alias("index"), *(F.round(c, 7).alias(c) for c in ("crop_x", "crop_y", "image_x", "image_y")), "pixel_x", "pixel_y", F.round(x + 2e-10, 6).alias("back_x"), F.round(y + 2e-10, 6).alias("back_y"))  # what is exactly between two roundings goes up on both ways
 
 
 def head_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,7 @@ SELECT f.id AS vec_id, coalesce(n, 0) AS n, round(a, 6) AS a, round(b, 6) AS b,
 FROM f LEFT JOIN m ON m.id = f.id"""
 
 ORACLES = {
-    "face_landmarks": f"""WITH {_POINTS} SELECT id AS vec_id, i::INT AS "index", round(cx, 7) AS crop_x, round(cy, 7) AS crop_y, round(x / w, 7) AS image_x, round(y / h, 7) AS image_y, round_even(x, 0)::INT AS pixel_x, round_even(y, 0)::INT AS pixel_y, round(cx, 7) AS back_x, round(cy, 7) AS back_y FROM p""",
+    "face_landmarks": f"""WITH {_POINTS} SELECT id AS vec_id, i::INT AS "index", round(cx, 7) AS crop_x, round(cy, 7) AS crop_y, round(x / w, 7) AS image_x, round(y / h, 7) AS image_y, round_even(x, 0)::INT AS pixel_x, round_even(y, 0)::INT AS pixel_y, round(cx + 2e-10::DOUBLE, 6) AS back_x, round(cy + 2e-10::DOUBLE, 6) AS back_y FROM p""",
     "head_poses": _POSE,
     "face_alignments": _ALIGN,
 }

@@ -74,7 +74,7 @@ def test_landmarks_in_three_systems_and_back(spark):
     box = [0.1, 0.2, 0.5, 0.9]
     rows = [(1, values, box, 640, 480), (2, values[:-1], box, 640, 480), (3, None, box, 640, 480), (4, [None, *values[1:]], [0.0, 0.0, 1.0, 1.0], 100, 50)]
     df = spark.createDataFrame(rows, "k int, values array<double>, box array<double>, width int, height int")
-    told = landmarks.landmarks(df, "k").join(df.select("k", "box", "width", "height"), "k")
+    told = landmarks.landmarks(df, "k", ("box", "width", "height"))
     x, y = landmarks.back_in_crop(F.col("image_x"), F.col("image_y"), F.col("box"), F.col("width"), F.col("height"))
     got = {(r.k, r["index"]): r for r in told.withColumns({"bx": x, "by": y}).collect()}
     assert {k for k, _ in got} == {1, 4} and len(got) == 136
