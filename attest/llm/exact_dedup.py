@@ -69,4 +69,4 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     key, keep = free_name(docs, "_digest"), free_name(docs, "_keep")
     found = written(classes(docs, salts).select(F.col("_digest").alias(key), F.col("keep_id").alias(keep)), "copies")
     rows = docs.withColumn(key, digest(normalised(F.col("text")))).join(found, key, "left")
-    return rows.where(F.col("doc_id").eqNullSafe(F.col(keep))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.where(F.col("doc_id").eqNullSafe(F.col(keep))).select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
