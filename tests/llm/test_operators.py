@@ -603,6 +603,30 @@ def test_overlapping_licenses_are_brute_force(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_votes_find_what_all_windows_hold(spark):
+    """Templates with words left out, put in and changed: where any window at all reaches the threshold, the scan finds the licence."""
+    r = np.random.RandomState(11)
+    rows, want = [], []
+    for k, (name, notice) in enumerate(licenses.TEMPLATES):
+        base = license_words(notice)
+        for rate in (0.03, 0.08) if len(base) < 300 else (0.06,):
+            said = []
+            for w in base:
+                u = r.rand()
+                said += [] if u < rate / 3 else [r.choice(WORDS)] if u < 2 * rate / 3 else [w, r.choice(WORDS)] if u < rate else [w]
+            words = [*r.choice(WORDS, 15), *said, *r.choice(WORDS, 15)]
+            g, seq = list(zip(words, words[1:], strict=False)), list(zip(base, base[1:], strict=False))
+            b = set(seq)
+            if any(2 * len(b & (a := set(g[s : s + len(seq)]))) >= 0.8 * (len(a) + len(b)) for s in range(len(g))):
+                want.append((1000 * k + int(100 * rate), k))
+                rows.append((1000 * k + int(100 * rate), " ".join(words)))
+    got = defaultdict(set)
+    for i, name in scanned(spark.createDataFrame(rows, "doc_id long, text string")):
+        got[i].add(name)
+    found = sum(licenses.TEMPLATES[k][0] in got[i] for i, k in want)
+    assert len(want) > 50 and found >= 0.97 * len(want)  # a better match of a like notice of another licence may stand in its place
+
+
 def test_a_notice_repeated_very_often(spark):
     df = spark.createDataFrame([(1, "All rights reserved. " * 100_000), (2, "Licensed under CC BY 4.0. " * 40_000)], "doc_id long, text string")
     scanned(df.where("false"))
