@@ -6,10 +6,13 @@ A layout has identifier, caption, child_documents and paired_pages arrays, and a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .recursion import recursive
+from ..sources.tables import forget, written
 
 
 def visible(light: Column, layer: Column) -> Column:
@@ -126,23 +129,22 @@ def declared_ordinal(caption: Column) -> Column:
 def dependencies(requested: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, name): what each requested name needs, itself included, over edges (name, needs); with an identifier in both tables, within each layout, and the identifier is told too.
 
-    A recursion over rows of a layout and root: a step finds what the names found last need and have not been found yet, so that cycles end when
-    nothing is new, and each name comes once. What a row carries is bounded by the rules of its layout.
+    Steps by joins: the names that a step has found new meet the edges, and what their needs add to a root's names is new in the next one, so
+    that cycles end when nothing is new, and each name comes once. No task holds more than one root's names; a layout, and the graph, may be of any size.
     """
-    scope = "identifier" if "identifier" in requested.columns and "identifier" in edges.columns else None
-    of = F.col(scope) if scope else F.lit(0)
-    needs = edges.where(F.col("name") != F.col("needs")).groupBy(of.alias("_of"), "name").agg(F.collect_set("needs").alias("needs"))
-    needs = needs.groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("name", "needs"))).alias("needs"))
-    start = requested.groupBy(of.alias("_of"), "root").agg(F.collect_set("name").alias("found")).join(needs, "_of", "left")
-    found = recursive(
-        requested.sparkSession,
-        "SELECT _of, root, found, found AS fresh, needs FROM {begun}",
-        """SELECT _of, root, concat(found, next) AS found, next AS fresh, needs FROM (
-             SELECT *, array_except(flatten(transform(fresh, f -> coalesce(try_element_at(needs, f), slice(found, 1, 0)))), found) AS next FROM walk) WHERE size(next) > 0""",
-        "SELECT _of, root, explode(fresh) AS name FROM walk",
-        begun=start,
-    )
-    return found.select(*([F.col("_of").alias(scope)] if scope else []), "root", "name")
+    of = ["identifier"] if "identifier" in requested.columns and "identifier" in edges.columns else []
+    key = [*of, "root"]
+    needs = written(edges.where(F.col("name") != F.col("needs")).select(*of, "name", "needs").distinct(), "needs")
+    walk = written(requested.groupBy(*key).agg(F.collect_set("name").alias("found")).withColumn("fresh", F.col("found")), "found")
+    while not walk.where(F.size("fresh") > 0).isEmpty():
+        met = walk.select(*key, F.explode("fresh").alias("name")).join(needs, [*of, "name"])
+        told = met.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.collect_set("needs").alias("next"))
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+        more = F.when(F.col("next").isNull(), F.slice("found", 1, 0)).otherwise(F.array_except("next", "found"))
+        last, walk = walk, written(walk.join(told, same, "left").select(*key, "found", more.alias("fresh")).select(*key, F.concat("found", "fresh").alias("found"), "fresh"), "found")
+        forget(last)
+    forget(needs)
+    return walk.select(*key, F.explode("found").alias("name"))
 
 
 def field_edges(layouts: DataFrame) -> DataFrame:

@@ -162,11 +162,11 @@ def page_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What fields need, in layouts of 64 parts, over edges from each part to two before it, to itself, and from the seventh back to the thirteenth, a cycle."""
-    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("identifier"), (F.col("p_partkey") % 64).alias("k"))
-    needs = F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3), F.when(F.col("k") == 6, F.lit(12)).otherwise(F.col("k")))
-    edges = p.select("identifier", F.col("k").alias("name"), F.explode(needs).alias("needs")).where(F.col("needs") > 0)
-    return layouts.dependencies(p.select("identifier", F.col("k").alias("root"), F.col("k").alias("name")), edges)
+    """What fields need, over edges from each part to two before it, to itself, and from the sixth back to the twelfth, a cycle."""
+    k = F.col("p_partkey").cast("long")
+    p = table(spark, sf_dir, "part").select(k.alias("k"))
+    edges = p.select(F.col("k").alias("name"), F.explode(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3), F.when(F.col("k") == 6, F.lit(12)).otherwise(F.col("k")))).alias("needs")).where(F.col("needs") > 0)
+    return layouts.dependencies(p.select(F.col("k").alias("root"), F.col("k").alias("name")), edges)
 
 
 #: Runs in both engines: up to two readings of each of three parts of customers' names, and of the whole.
@@ -255,7 +255,7 @@ ORACLES = {
     "catalog_relation": f"""WITH e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'related_document' ELSE 'paired_page' END AS relation, unnest(CASE WHEN p_partkey % 3 = 0 THEN [p_partkey + 1, p_partkey + 2] ELSE [p_partkey + 1, p_partkey + 4] END) AS dst FROM part WHERE p_partkey % 3 < 2),
         r AS (SELECT id, relation, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS related FROM e WHERE dst IN (SELECT p_partkey FROM part) GROUP BY id, relation), m AS (SELECT l_orderkey AS doc_id, id AS front, relation, related, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_RANK}) AS k FROM lineitem JOIN r ON l_partkey = id)
         SELECT doc_id, front, relation, related FROM m WHERE k = 1""",
-    "field_closure": """WITH RECURSIVE p AS (SELECT p_partkey // 64 AS identifier, p_partkey % 64 AS k FROM part), e AS (SELECT identifier, k AS name, unnest([k // 2, k // 3, CASE WHEN k = 6 THEN 12 ELSE k END]) AS needs FROM p), c AS (SELECT identifier, k AS root, k AS name FROM p UNION SELECT identifier, root, needs FROM c JOIN e USING (identifier, name) WHERE needs > 0) SELECT identifier, root, name FROM c""",
+    "field_closure": """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS name, unnest([k // 2, k // 3, CASE WHEN k = 6 THEN 12 ELSE k END]) AS needs FROM p), c AS (SELECT k AS root, k AS name FROM p UNION SELECT root, needs FROM c JOIN e USING (name) WHERE needs > 0) SELECT root, name FROM c""",
     "field_assembly": f"""WITH r AS ({_READINGS.format(customer='customer')}), x AS (SELECT * FROM r WHERE value <> ''),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY confidence DESC, pos) AS place FROM x WHERE type < 9) WHERE place = 1),
         j AS (SELECT doc_id, max(value) FILTER (type = 1) AS a, max(value) FILTER (type = 2) AS b, max(value) FILTER (type = 3) AS c, round(avg(confidence), 6) AS confidence, string_agg(name, ',' ORDER BY type) AS derived_from, min(pos)::DOUBLE AS "left", max(pos)::DOUBLE + 1 AS "right" FROM b GROUP BY doc_id),

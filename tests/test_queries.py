@@ -49,3 +49,20 @@ def test_entry_points(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_field_closure_is_of_the_whole_graph(spark, tmp_path):
+    """Needs cross any blocks of keys: every part reaches the smallest ones."""
+    keys = range(1, 300)
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    want = set()
+    for k in keys:
+        open_, seen = [k], set()
+        while open_:
+            x = open_.pop()
+            if x not in seen:
+                seen.add(x)
+                open_ += [y for y in (x // 2, x // 3, 12 if x == 6 else x) if y > 0]
+        want |= {(k, x) for x in seen}
+    rows = catalog.QUERIES["field_closure"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.root, r.name) for r in rows} == want and (299, 1) in want
