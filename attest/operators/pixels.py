@@ -6,6 +6,10 @@ are sums over its lines, so that each line is read once and shuffles carry numbe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +23,49 @@ STROKE, BUSY, SPAN = 0.2, 0.03, 0.5
 STEPS, SMALLEST, MARGIN, APART = 100, (20, 80), 0.015, 0.08
 
 
+def line_changes(lines: DataFrame) -> DataFrame:
+    """image, y, width, low, high, changes: the range of grays of a line, and its changes over two pixels by their size (by, from 1 on): how many there are, and where the first and last of them are."""
+    image = lines.schema["image"].dataType.simpleString()
+    names = ["image", "y", "width", "low", "high", "changes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(2)
+            width = np.array(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            flat = values.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), width)
+            # A missing gray is nan, and so is a change from or to it.
+            own = flat[np.isfinite(flat)]
+            of = row[np.isfinite(flat)]
+            low, high = np.full(b.num_rows, np.inf), np.full(b.num_rows, -np.inf)
+            np.minimum.at(low, of, own)
+            np.maximum.at(high, of, own)
+            by = np.abs(flat[2:] - flat[:-2])
+            at = np.flatnonzero((row[2:] == row[:-2]) & (by >= 1))
+            place = at - (np.cumsum(width) - width)[row[at]] + 1
+            sizes, kind = np.unique(by[at], return_inverse=True)
+            key = row[at] * max(len(sizes), 1) + kind
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.diff(key[order], prepend=-1))
+            end = np.append(start[1:], len(order))[: len(start)]
+            parts = [pa.array(x) for x in (sizes[kind[order[start]]], end - start, place[order[start]], place[order[end - 1]])]
+            ends = np.append(0, np.cumsum(np.bincount(row[at][order[start]], minlength=b.num_rows))).astype(np.int32)
+            changes = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["by", "n", "first", "last"]))
+            bare = low > high
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(width.astype(np.int32)), pa.array(low, mask=bare), pa.array(high, mask=bare), changes], names=names)
+
+    kind = f"image {image}, y {lines.schema['y'].dataType.simpleString()}, width int, low double, high double, changes array<struct<by double, n bigint, first bigint, last bigint>>"
+    return lines.select("image", "y", "values").mapInArrow(run, kind)
+
+
 def line_strokes(lines: DataFrame) -> DataFrame:
-    """image, y, width, n, first, last: the changes of a line that count as strokes, by the range of grays of its image, and where the first and last of them are."""
-    ranges = lines.groupBy("image").agg(F.min(F.array_min("values")).alias("low"), F.max(F.array_max("values")).alias("high"))
-    own = lines.join(ranges, "image")
+    """image, y, width, n, first, last: the changes of a line that count as strokes, by the range of grays of its image, and where the first and last of them are. Pixels are not shuffled, but counts of changes."""
+    whole = Window.partitionBy("image")
+    own = line_changes(lines).withColumns({"low": F.min("low").over(whole), "high": F.max("high").over(whole)})
     least = F.greatest((F.col("high") - F.col("low")) * STROKE, F.lit(1.0))
-    changes = F.zip_with(F.slice("values", 3, F.greatest(F.size("values") - 2, F.lit(0))), "values", lambda a, b: F.coalesce(F.abs(a - b) >= least, F.lit(False)))
-    own = own.select("image", "y", F.size("values").alias("width"), F.explode(F.array(changes)).alias("c"))
-    return own.select("image", "y", "width", F.size(F.filter("c", lambda x: x)).alias("n"), F.array_position("c", True).alias("first"), (F.size("c") + 1 - F.array_position(F.reverse("c"), True)).alias("last"))
+    own = own.select("image", "y", "width", F.explode(F.array(F.filter("changes", lambda c: c["by"] >= least))).alias("c"))
+    pick = lambda name, of: F.coalesce(of(F.transform("c", lambda c: c[name])), F.lit(0))
+    return own.select("image", "y", "width", F.aggregate("c", F.lit(0).cast("bigint"), lambda s, c: s + c["n"]).alias("n"), pick("first", F.array_min).alias("first"), pick("last", F.array_max).alias("last"))
 
 
 def zones(lines: DataFrame, wanted: DataFrame, most: int = 2) -> DataFrame:
@@ -51,16 +90,20 @@ def zones(lines: DataFrame, wanted: DataFrame, most: int = 2) -> DataFrame:
         """The sum over the lines before y."""
         return F.coalesce(F.get("s", y.cast("int") - 1)[what], F.lit(0))
 
-    def windows(ratio: Column) -> Column:
-        return let(F.greatest(F.col("rows") * 8, F.bround(h * ratio).cast("int")), lambda tall: F.when(tall < h, F.transform(F.sequence(F.lit(0), h - tall, F.greatest(F.lit(1), F.floor(h / STEPS).cast("int"))), lambda top: F.struct(top.alias("top"), (top + tall).alias("bottom")))))
+    def window(top: Column, bottom: Column) -> Column:
+        """What lies in a window and around it: numbers alone go on from here, no sums of the image."""
+        half = F.floor((bottom - top) / 2).cast("int")
+        inside = [(until(bottom, what) - until(top, what)).alias(name) for what, name in (("ns", "n"), ("busy", "busy"), ("lefts", "lefts"), ("rights", "rights"))]
+        return F.struct(top.alias("top"), bottom.alias("bottom"), *inside, (until(F.least(h, bottom + half), "ns") - until(F.greatest(F.lit(0), top - half), "ns")).alias("around"))
+
+    def windows(tall: Column) -> Column:
+        return F.when(tall < h, F.transform(F.sequence(F.lit(0), h - tall, F.greatest(F.lit(1), F.floor(h / STEPS).cast("int"))), lambda top: window(top, top + tall)))
 
     fits = (h >= SMALLEST[0]) & (w >= SMALLEST[1])
-    each = rows.where(fits).select("image", "h", "w", "s", "width_ratio", "height_ratio", F.explode(F.flatten(F.array_compact(F.transform("ratios", windows)))).alias("at"))
-    top, bottom = F.col("at.top"), F.col("at.bottom")
-    half = F.floor((bottom - top) / 2).cast("int")
-    inside = lambda what: until(bottom, what) - until(top, what)
-    around = until(F.least(h, bottom + half), "ns") - until(F.greatest(F.lit(0), top - half), "ns")
-    told = settled(each.select("image", "h", "w", "at", "width_ratio", "height_ratio", inside("ns").alias("n"), inside("busy").alias("busy"), inside("lefts").alias("lefts"), inside("rights").alias("rights"), around.alias("around")).where(F.col("busy") > 0))
+    talls = F.array_distinct(F.transform("ratios", lambda ratio: F.greatest(F.col("rows") * 8, F.bround(h * ratio).cast("int"))))
+    each = rows.where(fits).select("image", "h", "w", "width_ratio", "height_ratio", F.explode(F.flatten(F.array_compact(F.transform(talls, windows)))).alias("at"))
+    told = each.select("image", "h", "w", "width_ratio", "height_ratio", "at.*").where(F.col("busy") > 0)
+    top, bottom = F.col("top"), F.col("bottom")
     told = told.select("image", "h", "w", "width_ratio", "height_ratio", top.alias("top"), bottom.alias("bottom"), (F.col("lefts") / F.col("busy")).alias("left"), (F.col("rights") / F.col("busy")).alias("right"), (F.col("busy") / (bottom - top)).alias("dense"), (F.col("n") / F.col("around")).alias("held"))
     cover, height = (F.col("right") - F.col("left")) / F.col("w"), (F.col("bottom") - F.col("top")) / F.col("h")
     near = lambda found, expected: F.coalesce(1 - F.least(F.lit(1.0), F.abs(found - expected) / expected) / 2, F.lit(1.0))
@@ -71,7 +114,7 @@ def zones(lines: DataFrame, wanted: DataFrame, most: int = 2) -> DataFrame:
     apart = lambda kept, x: F.forall(kept, lambda k: F.abs(k["middle"] - x["middle"]) >= APART)
     chosen = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when((F.size(kept) < most) & apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
     none = F.array().cast("array<array<double>>")
-    return rows.select("image").join(found.select("image", F.transform(chosen, lambda x: x["box"]).alias("boxes")), "image", "left").select("image", F.coalesce("boxes", none).alias("boxes"))
+    return wanted.select("image").join(found.select("image", F.transform(chosen, lambda x: x["box"]).alias("boxes")), "image", "left").select("image", F.coalesce("boxes", none).alias("boxes"))
 
 
 # --- patches ---

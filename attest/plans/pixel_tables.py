@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels
+from ..sources.tables import numbered, table
 from .payloads import dice, made, pick, quoted, view
 
 _ZONE, _PLAIN = "o_orderkey", "p_partkey"
 #: 40 orders are an image of 40 lines of 96 grays: dark strokes in two bands of five lines, at a height and with edges that depend on the image; marks and noise elsewhere.
 _IMAGE = "CAST(floor(k / 40) AS BIGINT)"
-PAGES = f"""SELECT image, y, CASE WHEN style > 0 AND ((y >= z AND y < z + 5) OR (y >= z + 7 AND y < z + 12)) THEN substr(concat(repeat('~', edge), repeat(stroke, 24), repeat('~', 96)), 1, 96)
+_LINES = f"""SELECT image, y, CASE WHEN style > 0 AND ((y >= z AND y < z + 5) OR (y >= z + 7 AND y < z + 12)) THEN substr(concat(repeat('~', edge), repeat(stroke, 24), repeat('~', 96)), 1, 96)
     WHEN mark = 0 THEN concat(repeat('~', 30 + z), '##~#', repeat('~', 62 - z)) WHEN mark = 1 THEN repeat('n~n', 32) ELSE repeat('~', 96) END AS grays
   FROM (SELECT {_IMAGE} AS image, k % 40 AS y, {dice('k', 'm', 9)} AS mark, {dice(_IMAGE, 'z', 27)} AS z, {dice(_IMAGE, 'e', 12)} AS edge, {dice(_IMAGE, 's', 5)} AS style, {pick(quoted(['#~~#', '#~', '##~~', '#~~~']), _IMAGE, 't')} AS stroke
-    FROM (SELECT row_number() OVER (ORDER BY {_ZONE}) - 1 AS k FROM {{orders}}) AS o) AS p"""
+    FROM {{numbered}} AS o) AS p"""
+PAGES = _LINES.replace("{numbered}", f"(SELECT row_number() OVER (ORDER BY {_ZONE}) - 1 AS k FROM {{orders}})")
 #: 20 parts are an image of 20 lines of 20 grays; those of layout k are looked at for a patch of image k, 6 lines of 8.
 TILES = f"SELECT CAST(floor(({_PLAIN} - 1) / 20) AS BIGINT) AS image, ({_PLAIN} - 1) % 20 AS y, substr(md5(CAST({_PLAIN} AS STRING)), 1, 20) AS grays FROM {{part}}"
 BOUNDS = (0.25, 0.3, 0.65, 0.6)
@@ -25,10 +31,23 @@ def grays(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))))
 
 
+def gray_lines(rows: DataFrame) -> DataFrame:
+    """image, y, values, of rows (image, y, grays as a text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(2).fill_null("").to_pylist()
+            values = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+            ends = np.append(0, np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["image", "y", "values"])
+
+    return rows.select("image", F.col("y").cast("int").alias("y"), "grays").mapInArrow(run, f"image {rows.schema['image'].dataType.simpleString()}, y int, values array<int>")
+
+
 def zone_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where zones of two lines may lie: heights to try, and the expected shape for every other image."""
-    rows = made(spark, sf_dir, PAGES)
-    lines = rows.select("image", F.col("y").cast("int").alias("y"), grays(F.col("grays")).alias("values"))
+    rows = spark.sql(_LINES, numbered=numbered(table(spark, sf_dir, "orders").select(_ZONE), _ZONE))
+    lines = gray_lines(rows)
     known = F.col("image") % 2 == 0
     wanted = rows.select("image").distinct().select("image", F.lit(2).alias("rows"), F.array(*map(F.lit, RATIOS)).alias("ratios"), F.when(known, 0.8).alias("width_ratio"), F.when(known, 0.3).alias("height_ratio"))
     found = pixels.zones(lines, wanted).select("image", F.posexplode("boxes").alias("place", "b"))

@@ -135,3 +135,30 @@ def test_lines_of_images(spark):
     df = spark.createDataFrame([(1, 2, 4, bytearray(image.tobytes())), (2, 0, 0, None), (3, 1, 1, bytearray(b"\x10\x10\x10"))], "k int, height int, width int, data binary")
     got = {(r.image, r.y): r["values"] for r in imaging.gray_lines(df, "k").collect()}
     assert got == {(1, 0): imaging.luminance(image)[0].tolist(), (1, 1): imaging.luminance(image)[1].tolist(), (3, 0): [16]}
+
+
+def test_rows_are_numbered_in_many_tasks(spark):
+    from attest.plans import pixel_tables
+    from attest.sources.tables import numbered
+
+    assert "OVER (ORDER BY" not in pixel_tables._LINES  # Spark would put all rows into one task
+    keys = [k * 7919 % 1000 for k in range(1000)]
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "key long, text string")
+    rows = numbered(df, "key").collect()
+    assert sorted((r.k, r.key, r.text) for r in rows) == [(n, k, str(k)) for n, k in enumerate(sorted(keys))]
+    assert numbered(df.where("false"), "key").count() == 0
+
+
+def test_strokes_are_brute_force(spark):
+    r = random.Random(3)
+    images = {k: [[r.choice([None, 0, 3, 90, 200, 255]) for _ in range(r.randint(0, 12))] for _ in range(9)] for k in "abc"}
+    images["flat"] = [[7] * 5, []]
+    rows = [(k, y, line) for k, image in images.items() for y, line in enumerate(image)]
+    got = {(x.image, x.y): (x.width, x.n, x.first, x.last) for x in pixels.line_strokes(spark.createDataFrame(rows, "image string, y int, values array<int>")).collect()}
+    for k, y, line in rows:
+        grays = [v for own in images[k] for v in own if v is not None]
+        least = max(1.0, (max(grays) - min(grays)) * pixels.STROKE)
+        at = [i for i in range(1, len(line) - 1) if None not in (line[i - 1], line[i + 1]) and abs(line[i + 1] - line[i - 1]) >= least]
+        width, n, first, last = got[k, y]
+        assert (width, n) == (len(line), len(at)) and (not at or (first, last) == (at[0], at[-1]))
+    assert len(got) == len(rows)
