@@ -68,10 +68,10 @@ def first_line_bands(readings: DataFrame, keep: int = 4) -> DataFrame:
     return readings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
-def second_line_specs(first: DataFrame, offsets: tuple[float, ...] = SECOND_OFFSETS, heights: tuple[float, ...] = SECOND_HEIGHTS, end: float = SECOND_END) -> DataFrame:
-    """Bands to read a second line in, below each first line (doc_id, place, top, height): four offsets by its own and two other heights, within the page."""
-    rows = first.select("doc_id", "place", "top", F.col("height").alias("own"), F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
-    rows = rows.select("doc_id", "place", F.round(F.col("top") + F.col("offset"), 6).alias("top"), F.explode(F.array(F.col("own"), *map(F.lit, heights))).alias("height"))
+def second_line_specs(first: DataFrame, offsets: tuple[float, ...] = SECOND_OFFSETS, heights: tuple[float, ...] = SECOND_HEIGHTS, end: float = SECOND_END, also: tuple[str, ...] = ()) -> DataFrame:
+    """Bands to read a second line in, below each first line (doc_id, place, top, height, and columns named beside them): four offsets by its own and two other heights, within the page."""
+    rows = first.select("doc_id", "place", *also, "top", F.col("height").alias("own"), F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
+    rows = rows.select("doc_id", "place", *also, F.round(F.col("top") + F.col("offset"), 6).alias("top"), F.explode(F.array(F.col("own"), *map(F.lit, heights))).alias("height"))
     return rows.where(F.round(F.col("top") + F.col("height"), 6) <= end)
 
 
@@ -84,10 +84,12 @@ def adaptive_lines(documents: DataFrame, read, keep: int = 4, mend=None) -> Data
     checked. bands: how many second bands were read. A document whose first lines leave no band has no row.
     """
     first = written(first_line_bands(read(first_line_specs(documents)), keep).select("doc_id", "place", "top", "height", "text", "confidence"), "first-lines")
-    specs = second_line_specs(first)
-    second = read(specs.select("doc_id", "top", "height").distinct())
-    met = specs.distinct().join(second.withColumnsRenamed({"text": "_text", "confidence": "_confidence"}), ["doc_id", "top", "height"]).withColumnRenamed("top", "second_top").drop("height")
-    pairs = met.join(first.select("doc_id", "place", "top", "text", "confidence"), ["doc_id", "place"])
+    # A document's rows stay in one task from here to its result; bands carry the first lines that ask for them, so that nothing is joined again.
+    dealt = first.repartition("doc_id").withColumn("first", F.struct("place", "top", "text", "confidence"))
+    specs = second_line_specs(dealt, also=("first",)).groupBy("doc_id", "top", "height").agg(F.collect_set("first").alias("firsts"))
+    second = read(specs)
+    pairs = second.select("doc_id", F.col("top").alias("second_top"), F.col("text").alias("_text"), F.col("confidence").alias("_confidence"), F.explode("firsts").alias("f"))
+    pairs = pairs.select("doc_id", "second_top", "_text", "_confidence", "f.*")
     lines = F.array("text", "_text")
     pairs = pairs.select("doc_id", "place", "top", "second_top", (mend(lines) if mend else lines).alias("lines"), F.array("confidence", "_confidence").alias("confidences"))
     surest = F.struct(total(F.col("confidences")), -F.col("place"), -F.col("second_top"))
@@ -96,8 +98,8 @@ def adaptive_lines(documents: DataFrame, read, keep: int = 4, mend=None) -> Data
     exact = F.forall(shown, lambda x: F.length(x) == 44).cast("int")
     one = one.select("doc_id", "lines", "b", F.struct(mrz.score(shown, "TD3").alias("checks"), exact.alias("exact"), "sure").alias("key"))
     best = one.groupBy("doc_id").agg(F.max_by(F.struct("lines", "b", "key"), "key").alias("r"))
-    bands = specs.select("doc_id", "top", "height").distinct().groupBy("doc_id").agg(F.count("*").alias("bands"))
-    return best.join(bands, "doc_id").select("doc_id", "r.lines", "r.b.confidences", "r.key.checks", "r.b.top", "r.b.second_top", "bands")
+    bands = specs.groupBy("doc_id").agg(F.count("*").alias("bands"))
+    return best.join(bands.hint("merge"), "doc_id").select("doc_id", "r.lines", "r.b.confidences", "r.key.checks", "r.b.top", "r.b.second_top", "bands")
 
 
 def crop_grid(spark: SparkSession, **axes: list[float]) -> DataFrame:

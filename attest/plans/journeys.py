@@ -43,11 +43,11 @@ _READ = """SELECT *, CASE
 
 
 def adaptive_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zone of each customer's passport, read in bands: the four likeliest first lines say where second lines are looked for."""
+    """The zone of each customer's passport, read in bands: the four likeliest first lines say where second lines are looked for. Lines, as many as customers, meet their bands by shuffles: a small file says little about their size."""
     lines = zones(spark, sf_dir, "TD3").select("key", "l1", "l2")
 
     def read(bands: DataFrame) -> DataFrame:
-        rows = bands.join(lines.withColumnRenamed("key", "doc_id"), "doc_id").withColumns({"key": F.col("doc_id"), "t": F.round(F.col("top") * 1000).cast("int"), "h": F.round(F.col("height") * 1000).cast("int")})
+        rows = bands.join(lines.withColumnRenamed("key", "doc_id").hint("merge"), "doc_id").withColumns({"key": F.col("doc_id"), "t": F.round(F.col("top") * 1000).cast("int"), "h": F.round(F.col("height") * 1000).cast("int")})
         return spark.sql(_READ, bands=rows).drop("key", "t", "h", "l1", "l2")
 
     found = readings.adaptive_lines(lines.select(F.col("key").alias("doc_id")), read)

@@ -66,3 +66,11 @@ def test_field_closure_is_of_the_whole_graph(spark, tmp_path):
         want |= {(k, x) for x in seen}
     rows = catalog.QUERIES["field_closure"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.root, r.name) for r in rows} == want and (299, 1) in want
+
+
+def test_adaptive_bands_sends_no_table_to_the_driver(spark, sf_dir):
+    """Lines and bands are as many as customers, however small their file is."""
+    df = catalog.QUERIES["adaptive_bands"](spark, sf_dir)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
