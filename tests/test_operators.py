@@ -442,6 +442,23 @@ def test_queries_against_all(spark):
     assert search.pair_scores(df.where("false")).count() == 0
 
 
+def test_pairs_of_one_file_are_not_one_task(spark, tmp_path):
+    """Work grows with the square of the rows: rows that are read as one piece are dealt out before they meet the queries."""
+    from attest.operators import search
+
+    r = np.random.RandomState(2)
+    vectors = [(k, [float(x) for x in r.randn(4)], k % 3) for k in range(400)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    assert df.rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        by_task = [x["count"] for x in search.pair_scores(df).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(by_task) == 20 * 399 - 190 and max(by_task) < sum(by_task) / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_places_of_groups(spark):
     r = np.random.RandomState(2)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 4999), (None, 700)) for v in (r.randint(0, 40, n) if g is None else r.rand(n) ** 9)] + [("a", None)]
