@@ -459,6 +459,51 @@ def test_pairs_of_one_file_are_not_one_task(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_pairs_by_ranges_are_the_same_pairs(spark, monkeypatch):
+    """Vectors that are equal, opposite, missing, zero, not finite, of another length, and scores on the borders of ranges."""
+    from attest.operators import search
+
+    r = np.random.RandomState(3)
+    vectors = [(k - 40, [float(x) for x in r.randn(2).astype(np.float32)], int(r.randint(3))) for k in range(700)]
+    for k, v in ((45, None), (60, [0.0, 0.0]), (47, [1.0]), (48, [float("nan"), 1.0]), (80, vectors[41][1]), (100, [-x for x in vectors[41][1]]), (49, [])):
+        vectors[k] = (k - 40, v, 1)
+    for n in range(1, search.RANGES):  # a query, and a vector whose score with it is the least of range n
+        c = 2 * n * search.VALUES / 10**search.PLACES - 1
+        vectors[300 + n] = (260 + n, [c, float(np.sqrt(1 - c * c))] if c < 1 else [1.0, 0.0], 0)
+    vectors[120] = (80, [1.0, 0.0], 0)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    plain = search.pair_scores(df).collect()
+    monkeypatch.setattr(search, "MANY", 1)
+    monkeypatch.setattr(search, "PART", 300)
+    monkeypatch.setattr(search, "HEAP", 20)
+    assert len(plain) > 20000 and {x.score for x in plain} >= {0.0, 1.0} | {n * search.VALUES / 10**search.PLACES for n in range(1, search.RANGES)}
+    for block in (7, 1000):
+        ranged = search.pair_scores(df, block=block)
+        assert sorted(ranged.collect()) == sorted(plain)
+    assert search.pair_scores(df.where("vec_id % 20 <> 0")).count() == 0
+
+
+def test_many_pairs_take_few_bytes(spark, tmp_path):
+    """The result of all pairs fills disks: a file codes scores by a dictionary, where its scores are few enough. Every pair is there, once."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from attest.operators import search
+
+    n = 9500
+    x = np.random.RandomState(4).randn(n, 64).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64), pa.int32()), pa.array(x.ravel())), "label": pa.array(np.arange(n) % 10, pa.int32())})
+    pq.write_table(table, tmp_path / "v.parquet")
+    search.pair_scores(spark.read.parquet(str(tmp_path / "v.parquet"))).write.parquet(str(tmp_path / "out"))
+    got = pq.read_table(tmp_path / "out")
+    a, b = got["vec_id"].to_numpy(), got["other"].to_numpy()
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    assert len(a) == 475 * (n - 1) - 475 * 474 // 2 == len(np.unique(a * n + b)) and (a % 20 == 0).all() and ((b % 20 != 0) | (a < b)).all() and (a != b).all()
+    assert np.abs(got["score"].to_numpy() - ((unit[::20] @ unit.T)[a // 20, b] + 1) / 2).max() < 5.1e-7
+    assert (got["same_person"].to_numpy() == (a % 10 == b % 10)).all()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * len(a)
+
+
 def test_places_of_groups(spark):
     r = np.random.RandomState(2)
     rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 4999), (None, 700)) for v in (r.randint(0, 40, n) if g is None else r.rand(n) ** 9)] + [("a", None)]
